@@ -7,6 +7,7 @@ from importlib import import_module
 #: query: (module, function). Modules are loaded with the first call of queries().
 QUERIES = {
     "op1_simhash_bktree": "simhash",
+    "op2_kneser_ney": "ngram",
     "op7_repeat_intervals": "repeats",
 }
 
