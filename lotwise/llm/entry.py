@@ -8,6 +8,8 @@ from importlib import import_module
 QUERIES = {
     "op1_simhash_bktree": "simhash",
     "op2_kneser_ney": "ngram",
+    "op3_bestfit_packing": "packing",
+    "op10_secret_structure": "secretscan",
     "op7_repeat_intervals": "repeats",
 }
 
