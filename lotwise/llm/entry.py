@@ -10,6 +10,7 @@ QUERIES = {
     "op2_kneser_ney": "ngram",
     "op3_bestfit_packing": "packing",
     "op10_secret_structure": "secretscan",
+    "op8_neighbour_quality": "neighbours",
     "op7_repeat_intervals": "repeats",
 }
 
