@@ -11,6 +11,7 @@ QUERIES = {
     "op3_bestfit_packing": "packing",
     "op10_secret_structure": "secretscan",
     "op8_neighbour_quality": "neighbours",
+    "op4_maxscore": "maxscore",
     "op7_repeat_intervals": "repeats",
 }
 
