@@ -12,6 +12,7 @@ QUERIES = {
     "op10_secret_structure": "secretscan",
     "op8_neighbour_quality": "neighbours",
     "op4_maxscore": "maxscore",
+    "op5_hierarchical_mix": "mixing",
     "op7_repeat_intervals": "repeats",
 }
 
@@ -20,5 +21,9 @@ def queries() -> dict:
     return {name: getattr(import_module(f"lotwise.llm.{module}"), name) for name, module in QUERIES.items()}
 
 
+#: query: (module, constant with its SQL).
+SQL = {"op4_maxscore": ("maxscore", "OP4_SQL"), "op5_hierarchical_mix": ("mixing", "OP5_SQL")}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"lotwise.llm.{module}"), const) for name, (module, const) in SQL.items()}
