@@ -13,6 +13,7 @@ QUERIES = {
     "op8_neighbour_quality": "neighbours",
     "op4_maxscore": "maxscore",
     "op5_hierarchical_mix": "mixing",
+    "op6_simhash_windows": "decontaminate",
     "op7_repeat_intervals": "repeats",
 }
 
