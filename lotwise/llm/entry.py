@@ -14,6 +14,7 @@ QUERIES = {
     "op4_maxscore": "maxscore",
     "op5_hierarchical_mix": "mixing",
     "op6_simhash_windows": "decontaminate",
+    "op9_licence_tfidf": "licences",
     "op7_repeat_intervals": "repeats",
 }
 
