@@ -2,8 +2,9 @@
 
 Suffixes are sparse: winnowing picks from every window of ``length`` bytes the anchor of ``gram`` bytes with the least
 hash, so two equal windows pick the same anchor at the same place. Anchors whose gram occurs once anywhere are dropped
-by a count; the others keep the bytes that a window around them can reach. Anchors with one gram meet in one task,
-which sorts their right sides (a suffix array), takes the common prefixes of neighbours, and scans them with a stack
+by a count. Of the others, those whose surroundings, all bytes that a window around them can reach, occur again as a
+whole are settled by that; only where surroundings differ, one of each kind is sent with its bytes. Those with one
+gram meet in one task, which sorts their right sides (a suffix array), takes the common prefixes of neighbours, and scans them with a stack
 into the interval tree. Within an interval the left sides are sorted: where neighbours' left sides differ the repeat
 can't be extended to the left, and what they share with the interval's prefix is a maximal repeat.
 """
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.bytestext import buffers, sliding, steps, window_hashes
+from lotwise.llm.bytestext import buffers, mixed, segment_hashes, sliding, steps, window_hashes
 
 LENGTH, GRAM = 200, 64
 #: Distinct surroundings of anchors that one sort takes, unless one gram has more.
@@ -142,8 +143,10 @@ def _emit_anchors(length: int, gram: int):
             data, offs = buffers(b.column(1))
             at, h = anchors(data, offs, length, gram)
             row = np.searchsorted(offs, at, "right") - 1
+            lo, hi = np.maximum(offs[row], at - (length - gram)), np.minimum(offs[row + 1], at + length)
+            around = mixed(segment_hashes(data, lo, hi) ^ (at - lo).astype(np.uint64))
             uid = b.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), uid, pa.array((at - offs[row]).astype(np.int32))], ["h", "uid", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), uid, pa.array((at - offs[row]).astype(np.int32))], ["h", "c", "uid", "pos"])
 
     return run
 
@@ -156,7 +159,7 @@ def _emit_surroundings(length: int, gram: int):
             found = b.column(2)
             row = np.repeat(np.arange(b.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64))
             flat = found.flatten()
-            pos, h = flat.field("pos").to_numpy().astype(np.int64), flat.field("h")
+            pos = flat.field("pos").to_numpy().astype(np.int64)
             begin, end = offs[row], offs[row + 1]
             at = begin + pos
             lo, hi = np.maximum(begin, at - (length - gram)), np.minimum(end, at + length)
@@ -164,7 +167,7 @@ def _emit_surroundings(length: int, gram: int):
             right = [whole[x:y] for x, y in zip(at.tolist(), hi.tolist())]
             for k in range(0, len(left), 20_000):
                 part = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_arrays([h[part], b.column(0).take(pa.array(row[part])), pa.array(pos[part].astype(np.int32)), pa.array(left[part], pa.binary()), pa.array(right[part], pa.binary())], ["h", "uid", "pos", "l", "r"])
+                yield pa.RecordBatch.from_arrays([flat.field(x)[part] for x in ("h", "c", "n")] + [pa.array(left[part], pa.binary()), pa.array(right[part], pa.binary())], ["h", "c", "n", "l", "r"])
 
     return run
 
@@ -205,7 +208,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(b.num_rows):
             text = data[offs[i] : offs[i + 1]].tobytes()
             runs: list[list[int]] = []
-            for s in sorted((x["s"], x["e"]) for x in spans[i].as_py() or ()):
+            for s in sorted((max(x["s"], 0), min(x["e"], len(text))) for x in spans[i].as_py() or ()):
                 if runs and s[0] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], s[1])
                 else:
@@ -226,22 +229,26 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
     Texts are UTF-8 bytes, null ones empty; matches don't cross documents. ``spans`` are the maximal runs removed, in
     bytes. Rows repeated as a whole are occurrences of their own, so both lose what they share; a null key is a key.
-    Text is shuffled once, by row; anchors are counted with map-side combine, and equal surroundings of anchors are
-    one row before they meet, so a passage or a text copied any number of times costs its edges only.
+    Text is shuffled once, by row; an anchor is 28 bytes. Bytes are sent for one of each kind of surroundings only, so
+    a passage or a text copied any number of times costs its edges.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be from 1 to length")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(key), F.col(text).cast("string")).alias("uid"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    found = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, uid long, pos int")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    per_row = found.join(again, "h").groupBy("uid").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
+    found = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, c long, uid long, pos int").repartition("h")
+    alike = Window.partitionBy("h", "c").orderBy("uid", "pos")
+    found = found.withColumns({"i": F.row_number().over(alike), "n": F.count("*").over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    found = found.withColumn("all", F.count("*").over(Window.partitionBy("h"))).filter("all > 1")
+    # One of each kind of surroundings, where a gram has several.
+    needed = found.filter("i = 1 and n < all").groupBy("uid").agg(F.collect_list(F.struct("pos", "h", "c", F.least(F.col("n"), F.lit(2)).alias("n"))).alias("found"))
     dealt = rows.repartition("uid")
-    around = dealt.join(per_row, "uid").select("uid", "t", "found").mapInArrow(_emit_surroundings(length, gram), "h long, uid long, pos int, l binary, r binary")
-    around = around.withColumn("c", F.xxhash64("l", "r"))
-    distinct = around.groupBy("h", "c", "l", "r").agg(F.count("*").alias("n")).repartition("h").sortWithinPartitions("h")
-    far = distinct.select("h", "c", "l", "r", "n").mapInArrow(_emit_reach(length, gram), "h long, c long, x int, y int")
-    spans = around.select("h", "c", "uid", "pos").join(far, ["h", "c"]).groupBy("uid").agg(F.collect_set(F.struct((F.col("pos") - F.col("x")).alias("s"), (F.col("pos") + F.col("y")).alias("e"))).alias("spans"))
+    around = dealt.join(needed, "uid").select("uid", "t", "found").mapInArrow(_emit_surroundings(length, gram), "h long, c long, n long, l binary, r binary")
+    around = around.repartition("h").sortWithinPartitions("h")
+    far = around.select("h", "c", "l", "r", "n").mapInArrow(_emit_reach(length, gram), "h long, c long, x int, y int")
+    settled = found.filter("n > 1").select("uid", (F.col("pos") - (length - gram)).alias("s"), (F.col("pos") + length).alias("e"))
+    reached = found.filter("n = 1 and n < all").join(far, ["h", "c"]).select("uid", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") + F.col("y")).alias("e"))
+    spans = settled.unionByName(reached).groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     out = dealt.join(spans, "uid", "left").select("k", "t", "spans")
     return out.mapInArrow(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>").withColumnRenamed("k", key)
 
