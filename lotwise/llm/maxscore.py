@@ -78,7 +78,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bl
             continue
         order = np.argsort(-spread, kind="stable")
         rest = np.concatenate((np.cumsum(spread[order][::-1])[::-1], [0]))  # the most that terms from here on add
-        essential = int(np.searchsorted(-(floor + rest), -threshold, "right")) if np.isfinite(threshold) else width
+        essential = min(width, int(np.searchsorted(-(floor + rest), -threshold, "right"))) if np.isfinite(threshold) else width
         first = order[:essential]
         # Measured from the lower bounds of the terms not read yet.
         partial = terms[first] @ lists[first] + least[order[essential:]].sum()

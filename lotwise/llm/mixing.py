@@ -99,24 +99,25 @@ def mix(docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), w
     prefix. Repeated rows count as often as they are there. Of the documents only counts by leaf and by ranges of the
     order are shuffled, and the few rows of the one range where the budget ends are sorted.
     """
-    m = docs.withColumns({x: F.coalesce(F.col(x).cast("string"), F.lit("")) for x in levels})
-    leaves = m.groupBy(*levels).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n_docs"))
+    # The documents' own columns go along as one, so that none of their names meets one of these.
+    m = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(tokens).alias("_tokens"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels])
+    leaves = m.groupBy(*levels).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     plan = budgets(leaves, levels, weights, budget_tokens, max_epochs).select(*levels, "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_docs)).cast("long").alias("buckets"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col(key).cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("_key").cast("string")))
     bucket = F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(float(1 << 32))).cast("long")
     m = m.join(plan, list(levels)).withColumn("order_key", order).withColumn("bucket", bucket)
-    sums = m.groupBy(*levels, "bucket", "rest").agg(F.sum(tokens).alias("t"))
+    sums = m.groupBy(*levels, "bucket", "rest").agg(F.sum("_tokens").alias("t"))
     before = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("start", F.sum("t").over(before) - F.col("t"))
     # The range in which the rest is reached: the first whose end is not below it.
     cut = sums.filter(F.col("start") + F.col("t") >= F.col("rest")).groupBy(*levels).agg(F.min(F.struct("bucket", "start")).alias("cut"))
     m = m.join(cut, list(levels), "left").withColumn("cut", F.when(F.col("rest") > 0, F.col("cut")))
-    names = [*docs.columns, "epoch", "take_tokens"]
+    names = [*[F.col("_row")[c].alias(c) for c in docs.columns], "epoch", "take_tokens"]
     whole_to = F.col("epochs") + F.when(F.col("bucket") < F.col("cut.bucket"), 1).otherwise(0)
-    whole = m.filter(whole_to > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (whole_to - 1).cast("int")))).withColumn("take_tokens", F.col(tokens))
-    inside = Window.partitionBy(*levels).orderBy("order_key", key, tokens).rowsBetween(Window.unboundedPreceding, 0)
-    last = m.filter("bucket = cut.bucket").withColumn("place", F.col("cut.start") + F.sum(tokens).over(inside) - F.col(tokens))
-    last = last.filter("place < rest").withColumn("epoch", F.col("epochs")).withColumn("take_tokens", F.least(F.col(tokens), F.col("rest") - F.col("place")))
+    whole = m.filter(whole_to > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (whole_to - 1).cast("int")))).withColumn("take_tokens", F.col("_tokens"))
+    inside = Window.partitionBy(*levels).orderBy("order_key", "_key", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    last = m.filter("bucket = cut.bucket").withColumn("place", F.col("cut.start") + F.sum("_tokens").over(inside) - F.col("_tokens"))
+    last = last.filter("place < rest").withColumn("epoch", F.col("epochs")).withColumn("take_tokens", F.least(F.col("_tokens"), F.col("rest") - F.col("place")))
     return whole.select(*names).unionByName(last.select(*names))
 
 

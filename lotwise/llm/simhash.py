@@ -88,7 +88,7 @@ class BKTree:
             if len(below) <= 2 * radius + 1:
                 todo += [to for edge, to in below.items() if d - radius <= edge <= d + radius]
             else:
-                todo += [below[edge] for edge in range(max(1, d - radius), d + radius + 1) if edge in below]
+                todo += [below[edge] for edge in range(max(0, d - radius), d + radius + 1) if edge in below]
         return found
 
 
