@@ -96,7 +96,7 @@ def stability(facts: DataFrame, names: Sequence[str], top: int = 20) -> DataFram
 
     f = facts.filter(F.col("importance").isNotNull()).dropDuplicates(["held_out_lot", "family", "ablation"])
     n = F.array(*map(F.lit, sorted(names)))
-    z = f.select("held_out_lot", "family", "ablation", F.posexplode(F.arrays_zip("importance", "coefficient_sign")).alias("place", "z"))
+    z = f.select("held_out_lot", "family", "ablation", F.posexplode(F.arrays_zip("importance", "coefficient_sign")).alias("place", "z")).filter(F.col("z.importance").isNotNull() & ~F.isnan("z.importance"))
     z = z.withColumn("feature", F.try_element_at(n, F.col("place") + 1))
     rank = F.row_number().over(Window.partitionBy("held_out_lot", "family", "ablation").orderBy(F.desc("importance"), "place"))
     z = z.select("held_out_lot", "family", "ablation", "place", "feature", feature_group(F.col("feature")).alias("feature_group"), sensor_family(F.col("feature")).alias("sensor_family"), F.col("z.importance").alias("importance"), F.col("z.coefficient_sign").alias("coefficient_sign"))
