@@ -120,22 +120,25 @@ class Voter:
 def fit(examples: DataFrame, text: str, label: str, key: str, settings: Settings = Settings()) -> Voter | None:
     """Fits on at most ``max_examples`` of ``examples``; None where there is none.
 
-    The examples with the least hashes of key and text are taken: the same ones on every run, whatever the
-    partitions. Rows whose label is neither 0 nor 1 take no part.
+    The examples with the least hashes of their keys are taken, while their texts are at most ``max_example_bytes``: the
+    same ones on every run, whatever the partitions. Rows whose label is neither 0 nor 1 take no part.
     """
     rows = examples.filter(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.lit(settings.seed)).alias("h"))
-    # What orders the sample is 8 bytes a row; texts are read for those chosen only.
-    least = rows.select("h").orderBy("h").limit(settings.max_examples).agg(F.max("h")).first()[0]
-    if least is None:
+    # The sample is found by hashes and sizes, 16 bytes a row; texts are read for those chosen only.
+    size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
+    chosen = rows.select("h", size.alias("n")).orderBy("h", "n").limit(settings.max_examples).toArrow().sort_by([("h", "ascending"), ("n", "ascending")])
+    if not chosen.num_rows:
         return None
-    got = rows.filter(F.col("h") <= least).select("t", "y", "h").toArrow().sort_by("h").slice(0, settings.max_examples)
+    most = max(1, int(np.searchsorted(np.cumsum(chosen.column("n").to_numpy()), settings.max_example_bytes, "right")))
+    most = min(most, chosen.num_rows)
+    last = chosen.slice(most - 1, 1).to_pylist()[0]
+    within = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (size <= last["n"])
+    got = rows.filter(within).select("h", size.alias("n"), "t", "y").orderBy("h", "n", "t").limit(most).toArrow()
     column = got.column("t").combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     labels = got.column("y").to_numpy().astype(np.float64)
-    size = np.cumsum([len(x.as_py() or "") for x in column])
-    n = max(1, int(np.searchsorted(size, settings.max_example_bytes, "right")))
-    column, labels = column.slice(0, n), labels[:n]
+    n = len(column)
     row, term, count = [], [], []
     at = 0
     for b in steps([pa.RecordBatch.from_arrays([column], ["t"])], "t"):
@@ -145,6 +148,8 @@ def fit(examples: DataFrame, text: str, label: str, key: str, settings: Settings
         count.append(c)
         at += b.num_rows
     row, term, count = np.concatenate(row), np.concatenate(term), np.concatenate(count)
+    if not len(row):  # no example has a word: every score is the share of label 1
+        return Voter(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((n, 1), np.float32), labels, float(labels.mean()), settings)
     with_term = np.bincount(term, minlength=TERMS)
     idf = np.log((1 + n) / (1 + with_term)) + 1
     weight = (1 + np.log(count)) * idf[term]

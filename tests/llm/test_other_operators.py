@@ -162,6 +162,12 @@ def test_votes_are_those_of_all_examples(spark):
         assert score == pytest.approx((w * v.labels[near]).sum() / w.sum(), abs=1e-3)
 
 
+def test_examples_without_words(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, "", 0), (3, " ", 1), (3, " ", 1)], "doc_id long, text string, quality int")
+    v = neighbours.fit(df, "text", "quality", "doc_id")
+    assert {x["score"] for x in neighbours.classify(df, v, ["doc_id"]).collect()} == {0.75}
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, quality int")
     assert neighbours.fit(df, "text", "quality", "doc_id") is None
