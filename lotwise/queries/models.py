@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import conformal, features, metrics, resample, risk, validate
-from lotwise.plans import models
+from lotwise.operators import conformal, features, metrics, resample, risk, template, validate
+from lotwise.plans import analyses, models
 from lotwise.queries import traces
 from lotwise.queries.policies import selected
 from lotwise.queries.registry import query, r6
@@ -105,3 +106,30 @@ def oes_early_fusion(spark, sf):
     keep = s.join(f.select("experiment_key").distinct(), "experiment_key", "left_semi")
     both = models.modelling_rows(f, maps).withColumn("ablation", F.lit("process")).unionByName(models.modelling_rows(features.fuse(f, keep, "oes__"), maps).withColumn("ablation", F.lit("process_oes")))
     return metrics.stage_summary(_errors(models.evaluate_folds(both, ("pls",))).filter("stage = 'full_map'"), ["mae"], ["ablation"])
+
+
+@query("drift_risk")
+def drift_risk(spark, sf):
+    """Mean areas under the risk curves, by policy."""
+    lots = analyses.drift_risk(rows(spark, sf), replicates=100)["lots"]
+    return lots.groupBy("policy").agg(F.count("*").alias("lots"), r6(F.avg("aurc"), "macro_aurc"))
+
+
+def _placed(spark, sf, facts):
+    """Points with the coordinates of their places, which are in the order of (y, x)."""
+    xy = tables.dense(spark, sf).select("x", "y").distinct()
+    place = F.row_number().over(Window.orderBy("y", "x")) - 1
+    return models.points(facts).join(F.broadcast(xy.withColumn("place", place)), "place"), xy
+
+
+@query("spatial_gate")
+def spatial_gate(spark, sf):
+    p, xy = _placed(spark, sf, models.evaluate_folds(rows(spark, sf), ("pls",)))
+    return analyses.spatial_decomposition(p, template.coordinate_zones(xy), replicates=500)["gate"]
+
+
+@query("model_benchmark")
+def model_benchmark(spark, sf):
+    facts = models.evaluate_folds(rows(spark, sf), ("pls", "gpr"))
+    e = metrics.wafer_errors(models.points(facts), ["family", "stage", "experiment_key", "lot_number"])
+    return analyses.model_benchmark(e, models.points(facts), replicates=500)["summary"]
