@@ -111,7 +111,7 @@ def require_cycles(regions: DataFrame, spec: TraceSpec = TraceSpec()) -> None:
     """ValueError for a trace without an active window or with fewer than two cycles."""
     bad = regions.groupBy(spec.key).agg(F.max(F.col("active").cast("int")).alias("a"), F.max("cycle_count").alias("c")).filter("a = 0 or a is null or c < 2").first()
     if bad:
-        raise ValueError("no active source-RF window was detected" if not bad["a"] else "fewer than two BOSCH cycles were detected")
+        raise ValueError("no active window was detected" if not bad["a"] else "fewer than two cycles were detected")
 
 
 def phase_runs(regions: DataFrame, flag: str, spec: TraceSpec = TraceSpec()) -> DataFrame:
