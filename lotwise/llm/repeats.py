@@ -236,14 +236,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         raise ValueError("gram must be from 1 to length")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(key), F.col(text).cast("string")).alias("uid"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    found = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, c long, uid long, pos int").repartition("h")
+    found = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, c long, uid long, pos int")
+    # The same filter for every use, as joins would push it below the exchange for some; so one exchange serves all.
+    found = found.filter(F.col("h").isNotNull() & F.col("c").isNotNull()).repartition("h")
     alike = Window.partitionBy("h", "c").orderBy("uid", "pos")
     found = found.withColumns({"i": F.row_number().over(alike), "n": F.count("*").over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     found = found.withColumn("all", F.count("*").over(Window.partitionBy("h"))).filter("all > 1")
     # One of each kind of surroundings, where a gram has several.
     needed = found.filter("i = 1 and n < all").groupBy("uid").agg(F.collect_list(F.struct("pos", "h", "c", F.least(F.col("n"), F.lit(2)).alias("n"))).alias("found"))
     dealt = rows.repartition("uid")
-    around = dealt.join(needed, "uid").select("uid", "t", "found").mapInArrow(_emit_surroundings(length, gram), "h long, c long, n long, l binary, r binary")
+    # All columns in both uses: the documents are shuffled once.
+    around = dealt.join(needed, "uid").select("k", "t", "found").mapInArrow(_emit_surroundings(length, gram), "h long, c long, n long, l binary, r binary")
     around = around.repartition("h").sortWithinPartitions("h")
     far = around.select("h", "c", "l", "r", "n").mapInArrow(_emit_reach(length, gram), "h long, c long, x int, y int")
     settled = found.filter("n > 1").select("uid", (F.col("pos") - (length - gram)).alias("s"), (F.col("pos") + length).alias("e"))
