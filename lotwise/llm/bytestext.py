@@ -16,7 +16,7 @@ U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: How many text bytes are worked on at once; the arrays of a step take some 40 times that.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -17,8 +17,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 #: Tokens that are packed together; a longer text is packed with what came before it.
 BLOCK_TOKENS = 4_000_000
-#: Pieces of text that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Pieces of text that a task remembers the ids of.
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -59,7 +59,7 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
 
     def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many in each row)."""
@@ -75,12 +75,12 @@ class Ids:
         coded = []
         for h, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist()):
             if (ids := known.get(h)) is None:
-                ids = np.array(self.encode(whole[a:b].decode("utf-8", "replace")), dtype=np.int32)
+                ids = np.array(self.encode(whole[a:b].decode("utf-8", "replace")), dtype="<i4").tobytes()
                 if b - a <= 64:
                     known[h] = ids
             coded.append(ids)
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat, begin = np.concatenate(coded), np.cumsum(size) - size
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, begin = np.frombuffer(b"".join(coded), "<i4"), np.cumsum(size) - size
         n = size[at]
         ends = np.cumsum(n)
         inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
@@ -144,16 +144,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-@lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> Ids:
-    return Ids(path, pattern)
-
-
 def _pack(path: str, pattern: str, capacity: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = _coder(path, pattern)
+        coder = Ids(path, pattern)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         made = 0
         ids: list[np.ndarray] = []

@@ -204,7 +204,7 @@ def test_ids_are_those_of_the_whole_text():
     r = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "a", "é", "b1", " ", "　", " ", "\u0085", ".", "'s", "ß", "漢", "\x1c", "🙂", "!!"]
     some = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(3000)]
-    coder, at = packing._coder(packing.VOCABULARY, packing.PATTERN), 0
+    coder, at = packing.Ids(packing.VOCABULARY, packing.PATTERN), 0
     ids, n = coder.of(*buffers(pa.array(some)))
     for t, k in zip(some, n.tolist()):
         assert ids[at : at + k].tolist() == coder.encode(t)
