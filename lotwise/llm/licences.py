@@ -9,9 +9,13 @@ licence of their own take that of the nearest directory above them that has one,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shared import written
+
 # Short forms in which files name their licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -39,27 +43,48 @@ def _templates(spark, templates: dict[str, str]) -> DataFrame:
     return spark.range(1).select(F.explode(both).alias("x")).select("x.template", F.explode(terms_of(F.col("x.t"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
 
 
+#: Words in capitals that are ordinary words as well.
+ORDINARY = ("by",)
+
+
 def _cues(templates: dict[str, str]) -> list[str]:
-    """Words of templates that a match cannot do without: those of five letters or more, versions, and all of short templates."""
-    import re
+    """Words of templates that a match cannot do without: those of five letters or more, versions, and names in capitals.
 
+    What else a template holds are short common words; without a cue a unit's cosine stays under the least of a match.
+    """
     out = set()
     for text in templates.values():
-        terms = re.findall(TERM, text.lower())
-        out.update(t for t in terms if len(t) >= 5 or t[0].isdigit() or t.isupper())
-        out.update(re.findall(TERM, " ".join(re.findall(r"\b[A-Z]{2,}\b", text)).lower()))
-    return sorted(out)
-
-
-def weights(files: DataFrame, text: str, templates: dict[str, str]) -> DataFrame:
-    """(template, term, tf, idf): document frequencies over all files; a term of no file has the largest weight."""
-    spark = files.sparkSession
-    t = _templates(spark, templates)
-    vocabulary = sorted({r[0] for r in t.select("term").distinct().collect()})  # as many as the templates have
-    # A file counts once for each term of the vocabulary that it has.
-    own = F.array_intersect(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), "[^a-z0-9.]+|\\.(?![0-9])"), F.array(*map(F.lit, vocabulary)))
-    df = files.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = files.agg(F.count("*").alias("n"))
+        out.update(t for t in re.findall(TERM, text.lower()) if len(t) >= 5 or t[0].isdigit() and "." in t)
+        out.update(t.lower() for t in re.findall(r"\b[A-Z]{2,}\b", text))
+    return sorted(out - set(ORDINARY))
+
+
+def marked(files: DataFrame, text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(path, dir, own, units, total) of every file, written: all that the scan needs, read from the texts in one pass.
+
+    own: the words of the templates that the file has. units, of files with a cue only: the lines with one, and the
+    text as a whole. total: the words of such a file.
+    """
+    cues = _cues(templates)
+    vocabulary = sorted({t for v in templates.values() for t in re.findall(TERM, v.lower())})
+    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    own = F.array_intersect(F.split("low", "[^a-z0-9.]+|\\.(?![0-9])"), F.array(*map(F.lit, vocabulary)))
+    cue = "\\b(" + "|".join(c.replace(".", "\\.") for c in cues) + ")\\b"
+    lines = F.array_distinct(F.filter(F.split("low", "[\\r\\n]+"), lambda x: x.rlike(cue)))
+    m = files.select(F.col(path).alias("path"), low.alias("low")).withColumn("own", own)
+    # Most texts have no cue among their words; their lines aren't looked at.
+    m = m.withColumn("lines", F.when(F.arrays_overlap("own", F.array(*map(F.lit, cues))), lines))
+    has = F.size("lines") > 0
+    directory = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), "/?[^/]*$", "")
+    m = m.select("path", directory.alias("dir"), "own", F.when(has, F.array_union("lines", F.array("low"))).alias("units"), F.when(has, F.size(terms_of(F.col("low")))).alias("total"))
+    return written(m, "licence-units")
+
+
+def weights(marks: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(template, term, tf, idf, most): document frequencies over all files; a term of no file has the largest weight, ``most``."""
+    t = _templates(marks.sparkSession, templates)
+    df = marks.select(F.explode("own").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = marks.agg(F.count("*").alias("n"))
     return t.join(df, "term", "left").crossJoin(n).select("template", "term", "tf", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"), (F.log(F.col("n") + 1.0) + 1).alias("most"))
 
 
@@ -76,25 +101,18 @@ def cosines(units: DataFrame, weighted: DataFrame) -> DataFrame:
     return dots.join(norms, "id").join(F.broadcast(t_norm), "template").select("id", "template", (F.col("dot") / (F.col("norm") * F.col("t_norm"))).alias("cosine"))
 
 
-def own_licences(files: DataFrame, text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
-    """(path, licence, cosine, share) of the files with a licence of their own, the best by cosine, then by name.
+def own_licences(marks: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+    """(path, licence, cosine, share) of the ``marked`` files with a licence of their own, the best by cosine, then by name.
 
-    Units are the lines of the whole text and the text as a whole; those without a cue, a telling word of a template,
-    are passed over before they are taken apart. share: the matching unit's words of the file's.
+    share: the matching unit's words of the file's.
     """
-    low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    cue = "\\b(" + "|".join(c.replace(".", "\\.") for c in _cues(templates)) + ")\\b"
-    lines = F.filter(F.split(low, "[\\r\\n]+"), lambda x: x.rlike(cue))
-    weighted = weights(files, text, templates)
-    f = files.select(path, low.alias("low"), F.array_distinct(lines).alias("lines")).filter(F.size("lines") > 0)
-    f = f.select(path, F.size(terms_of(F.col("low"))).alias("total"), F.explode(F.array_union("lines", F.array("low"))).alias("unit"))
-    units = f.select(path, "total", F.xxhash64("unit").alias("h"), terms_of(F.col("unit")).alias("terms"))
+    units = marks.filter(F.size("units") > 0).select("path", "total", F.explode("units").alias("unit")).select("path", "total", F.xxhash64("unit").alias("h"), terms_of(F.col("unit")).alias("terms"))
     # Equal units of any files are one: a line that a third of the files has is scored once.
     distinct = units.groupBy("h").agg(F.first("terms").alias("terms")).select(F.col("h").alias("id"), "terms")
-    scored = cosines(distinct, weighted).filter(F.col("cosine") >= least)
+    scored = cosines(distinct, weights(marks, templates)).filter(F.col("cosine") >= least)
     top = scored.groupBy("id").agg(F.max_by(F.col("template"), F.struct("cosine", F.col("template"))).alias("licence"), F.max("cosine").alias("cosine"))
-    found = units.join(top, units["h"] == top["id"]).select(path, "licence", "cosine", (F.size("terms") / F.greatest(F.col("total"), F.lit(1))).alias("share"))
-    return found.groupBy(path).agg(F.max(F.struct("cosine", "licence", "share")).alias("x")).select(path, "x.licence", "x.cosine", "x.share")
+    found = units.join(top, units["h"] == top["id"]).select("path", "licence", "cosine", (F.size("terms") / F.greatest(F.col("total"), F.lit(1))).alias("share"))
+    return found.groupBy("path").agg(F.max(F.struct("cosine", "licence", "share")).alias("x")).select("path", "x.licence", "x.cosine", "x.share")
 
 
 def scan(files: DataFrame, text: str = "text", path: str = "path", templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE, file_share: float = FILE_SHARE) -> DataFrame:
@@ -104,20 +122,21 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", templates: di
     directory the one with the largest cosine, then the first name, counts. Texts that are null or empty have no
     licence of their own. Inheritance joins distinct directories, not files, with the directories above them.
     """
-    directory = F.regexp_replace(F.coalesce(F.col(path), F.lit("")), "/?[^/]*$", "")
-    own = own_licences(files, text, path, templates, least)
+    marks = marked(files, text, path, templates)
+    own = written(own_licences(marks, templates, least), "licences")
+    directory = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), "/?[^/]*$", "")
     at = own.filter(F.col("share") >= file_share).select(directory.alias("licence_dir"), "licence", "cosine")
     at = at.groupBy("licence_dir").agg(F.max(F.struct("cosine", F.col("licence"))).alias("x")).select("licence_dir", F.col("x.licence").alias("dir_licence"), F.col("x.cosine").alias("dir_cosine"))
-    dirs = files.select(directory.alias("dir")).distinct()
+    dirs = marks.select("dir").distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     up = dirs.select("dir", F.posexplode(above).alias("depth", "licence_dir")).join(at, "licence_dir")
     nearest = up.groupBy("dir").agg(F.max_by(F.struct("licence_dir", "dir_licence", "dir_cosine"), "depth").alias("near")).select("dir", "near.*")
     # Depth 0 and a path of one part both name the root once; max_by takes either.
-    rows = files.select(path, directory.alias("dir")).join(own, path, "left").join(nearest, "dir", "left")
+    rows = marks.select("path", "dir").join(own, "path", "left").join(nearest, "dir", "left")
     mine = F.col("licence").isNotNull()
     return rows.select(
-        path,
+        F.col("path").alias(path),
         F.coalesce("licence", "dir_licence").alias("licence"),
         F.when(mine, "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.coalesce("cosine", "dir_cosine").alias("cosine"),
