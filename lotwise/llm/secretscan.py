@@ -151,19 +151,21 @@ def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
 
 
 def _runs(member: np.ndarray, offs: np.ndarray, least: int) -> np.ndarray:
-    """The rows with a run of ``least`` member bytes."""
-    edge = np.diff(member.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = end - start >= least
-    return np.searchsorted(offs, start[long], "right") - 1, np.searchsorted(offs, end[long] - 1, "right") - 1
+    """The rows with a run of ``least`` member bytes of their own: a run ends where its row does."""
+    member = member.astype(np.int8)
+    border = np.unique(offs[(offs > 0) & (offs < len(member))])
+    first, last = np.diff(member, prepend=np.int8(0)) == 1, np.diff(member, append=np.int8(0)) == -1
+    first[border] = member[border] == 1
+    last[border - 1] = member[border - 1] == 1
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.searchsorted(offs, start[end - start >= least], "right") - 1
 
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Rows that can hold any span: those with a keyword or a long run of an alphabet."""
     rows = np.zeros(len(offs), bool)
     for member, least in ((_IN_HEX, 24), (_IN_B64, 24)):
-        for r in _runs(member[data], offs, least):
-            rows[r] = True
+        rows[_runs(member[data], offs, least)] = True
     low = LOWER[data].tobytes()
     for word in _WORDS:
         at = low.find(word)

@@ -257,6 +257,26 @@ def test_secrets(spark):
     assert got[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
 
 
+def test_secrets_of_adjacent_rows_without_breaks():
+    """Rows that are one run of an alphabet from end to end, as copies of a bare hash or token are."""
+    import base64
+    import json
+
+    import pyarrow as pa
+
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    digest, jwt = "0123456789abcdef" * 2, f"{url({'alg': 'HS256'})}.{url({'sub': '1'})}.c2ln"
+
+    def spans(rows):
+        b = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.string())], ["k", "t"])
+        return [(n, x) for out in secretscan._scan([b]) for n, x in zip(out.column(3).to_pylist(), out.column(5).to_pylist())]
+
+    assert spans([digest] * 5) == [(1, "hex:0:32")] * 5
+    assert spans(["Some prose here.", jwt, "Other prose here."]) == [(0, ""), (0, f"jwt:0:{len(jwt)}"), (0, "")]
+    assert spans(["", digest, None, "", digest, digest[:20], digest[:20], ""]) == [(0, ""), (1, "hex:0:32"), (0, ""), (0, ""), (1, "hex:0:32"), (0, ""), (0, ""), (0, "")]
+    assert spans([digest]) == [(1, "hex:0:32")] and spans(["", None]) == [(0, "")] * 2
+
+
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(7)
     word = lambda: "w" + str(r.randrange(400))
