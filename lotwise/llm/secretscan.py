@@ -82,6 +82,16 @@ def is_der_key(data: bytes) -> bool:
     return named and (tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03] or tags == [0x30, 0x04])
 
 
+def der_length(data: bytes) -> int | None:
+    """The length of the sequence that the bytes begin with, header included; None if they begin with none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    if width > 4 or len(data) < 2 + width or data[1] == 0x80:
+        return None
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
 def is_openssh_key(data: bytes) -> bool:
     """openssh-key-v1: length-prefixed cipher, kdf and options, then at least one key."""
     if not data.startswith(b"openssh-key-v1\0"):
@@ -116,6 +126,37 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
+def _key_kind(data: bytes | None) -> str | None:
+    if data and is_der_key(data):
+        return "der"
+    return "openssh" if data and is_openssh_key(data) else None
+
+
+def _keys_of_lines(m: re.Match) -> list[tuple[str, int, int]]:
+    """The keys among the lines of a base64 candidate.
+
+    A key may begin at each line that is long enough. A DER key ends where its own header says, if a line ends there,
+    so it is told from lines of the alphabet before and after it; any other may only fill the rest of the candidate.
+    """
+    lines = [x.span() for x in re.finditer(r"[A-Za-z0-9+/]+", m[0])]
+    upto = np.cumsum([0, *[e - s for s, e in lines]])
+    out, i = [], 0
+    while i < len(lines):
+        (start, end), found = lines[i], None
+        if end - start >= 40 and (size := der_length(_decoded("b64", m[0][start : start + 8]) or b"")):
+            j = int(np.searchsorted(upto, upto[i] + -(-4 * size // 3)))
+            if j < len(upto) and upto[j] == upto[i] + -(-4 * size // 3):
+                stop = len(m[0]) if j == len(lines) else lines[j - 1][1]
+                if kind := _key_kind(_decoded("b64", m[0][start:stop])):
+                    found = (kind, start, stop, j)
+        if not found and (i == 0 or m[0].startswith("b3BlbnNzaC1rZXktdjEA", start)) and (kind := _key_kind(_decoded("b64", m[0][start:]))):
+            found = (kind, start, len(m[0]), len(lines))
+        if found:
+            out.append((found[0], m.start() + found[1], m.start() + found[2]))
+        i = found[3] if found else i + 1
+    return out
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), in code points, of encoded keys and signed tokens whose structure holds."""
     out = []
@@ -126,13 +167,11 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
         data = _decoded("b64", "".join(x for x in m[2].splitlines() if ":" not in x))
         if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[0][:80]):
             out.append(("pem", *m.span()))
-    for kind, pattern in (("b64", _B64), ("hex", _HEX_ANY)):
-        for m in pattern.finditer(text):
-            data = _decoded(kind, m[0])
-            if data and is_der_key(data):
-                out.append(("der", *m.span()))
-            elif data and is_openssh_key(data):
-                out.append(("openssh", *m.span()))
+    for m in _B64.finditer(text):
+        out += _keys_of_lines(m)
+    for m in _HEX_ANY.finditer(text):
+        if kind := _key_kind(_decoded("hex", m[0])):
+            out.append((kind, *m.span()))
     return out
 
 

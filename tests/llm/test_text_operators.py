@@ -277,6 +277,24 @@ def test_secrets_of_adjacent_rows_without_breaks():
     assert spans([digest]) == [(1, "hex:0:32")] and spans(["", None]) == [(0, "")] * 2
 
 
+def test_keys_next_to_lines_of_the_alphabet():
+    import base64
+
+    key = base64.b64encode(KEY_DER).decode()
+    assert len(KEY_DER) % 3 == 0 and "=" not in key
+    n = len(key)
+    one = [("der", 0, n)]
+    assert secretscan.confirmed(key) == one
+    assert secretscan.confirmed(key + "\nHello world") == secretscan.confirmed(key + "\r\n\r\nHello\nworld 1") == one
+    assert secretscan.confirmed(f"{key}\n{key}\n{key}") == [("der", 0, n), ("der", n + 1, 2 * n + 1), ("der", 2 * n + 2, 3 * n + 2)]
+    wrapped = f"{key[:44]}\n{key[44:]}"
+    assert secretscan.confirmed(f"{wrapped}\nand more") == [("der", 0, n + 1)]
+    assert secretscan.confirmed("a" * 44 + f"\n{wrapped}\nand more") == [("der", 45, n + 46)]
+    padded = base64.b64encode(bytes.fromhex("302f020100300506032b657004230421") + bytes(range(33))).decode()
+    assert padded.endswith("=") and secretscan.confirmed(padded + "\nHello") == [("der", 0, len(padded))]
+    assert secretscan.confirmed(key[:-8] + "\nHello world") == []
+
+
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(7)
     word = lambda: "w" + str(r.randrange(400))
