@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm import decontaminate, mixing, neighbours, packing, simhash
+from lotwise.llm import decontaminate, mixing, nearcopies, neighbours, packing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,9 +28,12 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of repeated rows one does."""
+    """Of each group of near duplicates the document with the smallest id stays; of repeated rows one does.
+
+    Near duplicates are linked by an exact Jaccard similarity of 0.8 over five-word shingles, unlike those of op1.
+    """
     keyed = _keyed(_documents(docs))
-    grouped = simhash.near_duplicates(keyed.select("_key", "text"), key="_key")
+    grouped = nearcopies.near_copies(keyed.select("_key", "text"), key="_key")
     kept = grouped.filter(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_rows"))
     left = keyed.join(kept, "_key")
     # Rows of one key are the same document: those that there are several of, and only those, are met by key.

@@ -192,3 +192,39 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "packing"]
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[0] == "pack_id" and out.count() > 0
+
+
+def test_near_duplicates_stage_has_similarity_of_five_words(spark):
+    r = random.Random(11)
+    word = lambda: "w" + str(r.randrange(4000))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(r.choice([60, 150, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(9):  # a chain of copies, each with a few words changed
+            base = [word() if r.random() < r.choice([0.005, 0.02, 0.04]) else w for w in base]
+            texts.append(" ".join(base))
+    passage = " ".join(word() for _ in range(80))
+    texts += [f"{passage} {' '.join(word() for _ in range(60))}" for _ in range(30)]  # one passage is not a copy
+    texts += [None, "", "a b", "A  b", "a c", texts[0].upper(), texts[0]]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    want = sorted({root(i) for i in range(len(texts))})
+    assert 60 < len(want) < 140
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = [x["doc_id"] for x in stages.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept) == want
