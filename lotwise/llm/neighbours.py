@@ -2,7 +2,7 @@
 
 Terms are hashed: lower-cased words, the shapes of words (runs of small letters, capitals, digits, other signs) and
 pairs of shapes that follow each other. The basis is the truncated singular value decomposition of the tf-idf matrix
-of a bounded sample of labelled training documents; the sample's vectors are broadcast, and each task computes the
+of a bounded sample of labelled training documents, document frequencies being those of all; the sample's vectors are broadcast, and each task computes the
 cosines of its documents with all of them in blocks.
 """
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 97, 65, 48, 97
 
 @dataclass(frozen=True)
 class Settings:
-    """max_examples bounds the labelled documents that are read to the driver (those with the least hashes of their
-    ids, over all sources alike), and max_example_bytes what is kept of the sample's text."""
+    """max_examples bounds the labelled documents whose terms are read to the driver (those with the least hashes of
+    their ids, over all sources alike), and max_example_bytes the sum of their texts."""
 
     max_examples: int = 6000
     max_example_bytes: int = 64 << 20
@@ -117,85 +118,118 @@ class Voter:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(examples: DataFrame, text: str, label: str, key: str, settings: Settings = Settings()) -> Voter | None:
-    """Fits on at most ``max_examples`` of ``examples``; None where there is none.
+def _emit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches, "t"):
+        row, term, n = terms_of(b.column(2))
+        offs = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+        lists = pa.ListArray.from_arrays
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(offs, pa.array(term, pa.int16())), lists(offs, pa.array(n, pa.int32()))], ["h", "y", "term", "n"])
 
-    The examples with the least hashes of their keys are taken, while their texts are at most ``max_example_bytes``: the
-    same ones on every run, whatever the partitions. Rows whose label is neither 0 nor 1 take no part.
+
+def _emit_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each term of the task's texts, and one, under TERMS, with how many texts these were."""
+    df, texts = np.zeros(TERMS, np.int64), 0
+    for b in steps(batches, "t"):
+        df += np.bincount(terms_of(b.column(0))[1], minlength=TERMS)
+        texts += b.num_rows
+    own = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(own, TERMS), pa.int32()), pa.array(np.append(df[own], texts))], ["term", "df"])
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
+    """(how many texts ``docs`` has, in how many of them each term occurs), from one pass over all of them.
+
+    The driver gets one number a term; a task sends that many at most.
+    """
+    got = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(_emit_frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    out = np.zeros(TERMS + 1, np.int64)
+    out[got.column("term").to_numpy()] = got.column("df").to_numpy()
+    return int(out[TERMS]), out[:TERMS]
+
+
+def _chosen(keys: DataFrame, settings: Settings) -> list[tuple[int, int, int]]:
+    """(h, c, y) of the examples to take of keys(h, c, n, y): those with the least h, passing over any that no longer fits the bytes."""
+    one = keys.groupBy("h").agg(F.min(F.struct("c", "n", "y")).alias("x"))  # repeated rows are one example
+    got = one.select("h", "x.c", "x.n", "x.y").orderBy("h").limit(settings.max_examples).collect()
+    out, left = [], settings.max_example_bytes
+    for h, c, n, y in got:
+        if n <= left:
+            out.append((h, c, y))
+            left -= n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", settings: Settings = Settings(), corpus: DataFrame | None = None) -> Voter | None:
+    """Fits on at most ``max_examples`` of ``docs`` that have a row in ``labels(key, label)``; None where there is none.
+
+    The examples with the least hashes of their keys are taken, while their texts are at most ``max_example_bytes``
+    together; a text that no longer fits is passed over. So they are the same ones on every run, whatever the
+    partitions. Rows whose label is neither 0 nor 1 and null keys take no part; of a key's repeated rows one does.
+    Document frequencies are those of all of ``corpus`` (if None, of ``docs``). Sizes and hashes are taken before
+    the labels are joined, so no text is shuffled; of the chosen texts the driver gets numbered terms only.
     """
-    rows = examples.filter(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.lit(settings.seed)).alias("h"))
-    # The sample is found by hashes and sizes, 16 bytes a row; texts are read for those chosen only.
-    size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
-    chosen = rows.select("h", size.alias("n")).orderBy("h", "n").limit(settings.max_examples).toArrow().sort_by([("h", "ascending"), ("n", "ascending")])
-    if not chosen.num_rows:
+    spark = docs.sparkSession
+    hashed = F.xxhash64(F.col(key), F.lit(settings.seed))
+    content = F.xxhash64(F.col(text).cast("string"))
+    sizes = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), hashed.alias("h"), content.alias("c"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n"))
+    marks = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("label_k"), F.col(label).cast("int").alias("y"))
+    chosen = _chosen(sizes.join(marks, F.col("k") == F.col("label_k")).select("h", "c", "n", "y"), settings)
+    if not chosen:
         return None
-    most = max(1, int(np.searchsorted(np.cumsum(chosen.column("n").to_numpy()), settings.max_example_bytes, "right")))
-    most = min(most, chosen.num_rows)
-    last = chosen.slice(most - 1, 1).to_pylist()[0]
-    within = (F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (size <= last["n"])
-    got = rows.filter(within).select("h", size.alias("n"), "t", "y").orderBy("h", "n", "t").limit(most).toArrow()
-    column = got.column("t").combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
-    labels = got.column("y").to_numpy().astype(np.float64)
-    n = len(column)
-    row, term, count = [], [], []
-    at = 0
-    for b in steps([pa.RecordBatch.from_arrays([column], ["t"])], "t"):
-        r, t, c = terms_of(b.column(0))
-        row.append(r + at)
-        term.append(t)
-        count.append(c)
-        at += b.num_rows
-    row, term, count = np.concatenate(row), np.concatenate(term), np.concatenate(count)
-    if not len(row):  # no example has a word: every score is the share of label 1
-        return Voter(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((n, 1), np.float32), labels, float(labels.mean()), settings)
-    with_term = np.bincount(term, minlength=TERMS)
-    idf = np.log((1 + n) / (1 + with_term)) + 1
-    weight = (1 + np.log(count)) * idf[term]
-    norm = np.sqrt(np.bincount(row, weight**2, minlength=n))
-    weight /= norm[row]
-    basis = _basis(row, term, weight, n, settings)
-    idf = idf.astype(np.float32)
-    vectors = np.concatenate([_projected(column.slice(i, 256), idf, basis) for i in range(0, n, 256)])
-    return Voter(idf, basis, vectors, labels, float(labels.mean()), settings)
-
-
-def _basis(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, settings: Settings) -> np.ndarray:
-    """The leading right singular vectors of the sparse matrix, by subspace iteration from a seeded start."""
-    k = min(settings.dimensions, n, TERMS)
-    by_term = np.argsort(term, kind="stable")
-    first_row = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    t = term[by_term]
-    first_term = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-
-    def times(v: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, v.shape[1]), np.float32)
-        out[row[first_row]] = _reduced(v, term, weight, first_row)
-        return out
-
-    def back(u: np.ndarray) -> np.ndarray:
-        out = np.zeros((TERMS, u.shape[1]), np.float32)
-        out[t[first_term]] = _reduced(u, row[by_term], weight[by_term], first_term)
-        return out
+    wanted = F.broadcast(spark.createDataFrame(chosen, "h long, c long, y int"))  # max_examples rows at most
+    texts = docs.select(hashed.alias("h"), content.alias("c"), F.col(text).cast("string").alias("t")).join(wanted, ["h", "c"])
+    found = texts.select("h", "y", "t").mapInArrow(_emit_terms, "h long, y int, term array<short>, n array<int>")
+    got = found.groupBy("h").agg(F.first("y").alias("y"), F.first("term").alias("term"), F.first("n").alias("n")).orderBy("h").toArrow()
+    files, df = document_frequencies(docs if corpus is None else corpus, text)
+    return _voter(got, files, df, settings)
+
 
+def _voter(got: pa.Table, files: int, df: np.ndarray, settings: Settings) -> Voter:
+    labels = got.column("y").to_numpy().astype(np.float64)
+    size = pc.list_value_length(got.column("term")).to_numpy().astype(np.int64)
+    term = pc.list_flatten(got.column("term")).to_numpy()
+    idf = (np.log((1 + files) / (1 + df)) + 1).astype(np.float32)
+    weight = (1 + np.log(pc.list_flatten(got.column("n")).to_numpy(), dtype=np.float32)) * idf[term]
+    offs = np.concatenate(([0], np.cumsum(size)))
+    if not len(term):  # no example has a word: every score is the share of label 1
+        return Voter(idf, np.zeros((TERMS, 1), np.float32), np.zeros((len(size), 1), np.float32), labels, float(labels.mean()), settings)
+    matrix = _Rows(offs, term, weight)
+    basis = _basis(matrix, settings)
+    vectors = np.concatenate([x @ basis for x in matrix])
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return Voter(idf, basis, np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0), labels, float(labels.mean()), settings)
+
+
+class _Rows:
+    """Sparse rows, given as dense blocks of some rows of unit length at a time: the only dense copy that there is."""
+
+    def __init__(self, offs: np.ndarray, term: np.ndarray, weight: np.ndarray, block: int = 256):
+        self.offs, self.term, self.weight, self.block = offs, term, weight, block
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for at in range(0, len(self.offs) - 1, self.block):
+            o = self.offs[at : at + self.block + 1]
+            x = np.zeros((len(o) - 1, TERMS), np.float32)
+            x[np.repeat(np.arange(len(x)), np.diff(o)), self.term[o[0] : o[-1]]] = self.weight[o[0] : o[-1]]
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            yield np.divide(x, length, out=x, where=length > 0)
+
+
+def _basis(rows: _Rows, settings: Settings) -> np.ndarray:
+    """The leading right singular vectors of the rows, by subspace iteration from a seeded start."""
+    k = min(settings.dimensions, len(rows.offs) - 1, TERMS)
     q = np.random.default_rng(settings.seed).standard_normal((TERMS, k)).astype(np.float32)
-    for _ in range(5):
-        q, _ = np.linalg.qr(back(times(np.linalg.qr(q)[0])))
-    small = times(q)
-    _, _, vt = np.linalg.svd(small, full_matrices=False)
+    for _ in range(6):
+        q, _ = np.linalg.qr(q)
+        back = np.zeros_like(q)
+        for x in rows:
+            back += x.T @ (x @ q)
+        q = back
+    q, _ = np.linalg.qr(q)
+    _, _, vt = np.linalg.svd(np.concatenate([x @ q for x in rows]), full_matrices=False)
     return np.ascontiguousarray((q @ vt.T).astype(np.float32))
 
 
-def _reduced(x: np.ndarray, at: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of weight * x[at] over the runs that begin at ``first``, some columns at a time."""
-    out = np.empty((len(first), x.shape[1]), np.float32)
-    w = weight.astype(np.float32)
-    for j in range(0, x.shape[1], 4):
-        out[:, j : j + 4] = np.add.reduceat(x[:, j : j + 4][at] * w[:, None], first, axis=0)
-    return out
-
-
 def classify(docs: DataFrame, voter: Voter | None, columns: list[str], text: str = "text") -> DataFrame:
     """``columns`` of every row and ``score``: the chance of label 1 by the whole text.
 
@@ -224,10 +258,9 @@ def held_out_part(key: str = "doc_id"):
 
 
 def fit_quality(spark, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> Voter | None:
-    """The quality model of the documents' labels, but for the held-out part."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("label_id"), "quality").filter("quality is not null")
-    examples = docs.filter(~held_out_part()).join(labels, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    return fit(examples, "text", "quality", "doc_id", settings)
+    """The quality model of the documents' labels, but for the held-out part; term statistics are those of all ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return fit(docs.filter(~held_out_part()), labels, "text", "quality", "doc_id", settings, corpus=docs)
 
 
 #: Scores from here on are label 1.

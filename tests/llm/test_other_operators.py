@@ -138,7 +138,7 @@ def test_classifier_tells_held_out_documents_apart(spark):
     rows = [(i, bad() if i % 4 == 0 else good(), 0 if i % 4 == 0 else 1) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     held = neighbours.held_out_part()
-    voter = neighbours.fit(df.filter(~held), "text", "quality", "doc_id", neighbours.Settings(max_examples=120, dimensions=8, neighbours=7))
+    voter = neighbours.fit(df.filter(~held).drop("quality"), df, "text", "quality", "doc_id", neighbours.Settings(max_examples=120, dimensions=8, neighbours=7))
     assert len(voter.vectors) == 120
     got = neighbours.classify(df.unionByName(spark.createDataFrame([(900, None, 1), (901, "", 1)], df.schema)), voter, ["doc_id", "quality"]).collect()
     assert all(0 <= x["score"] <= 1 for x in got)
@@ -153,7 +153,7 @@ def test_votes_are_those_of_all_examples(spark):
     texts = [" ".join(f"w{x}" for x in r.integers(0, 50, 30)) for _ in range(80)]
     df = spark.createDataFrame([(i, t, int(i % 3 > 0)) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
     s = neighbours.Settings(dimensions=6, neighbours=5, block=16)
-    v = neighbours.fit(df, "text", "quality", "doc_id", s)
+    v = neighbours.fit(df, df, "text", "quality", "doc_id", s)
     own = neighbours._projected(pa.array(texts), v.idf, v.basis)
     cosine = own.astype(float) @ v.vectors.T.astype(float)
     for row, score in zip(cosine, v.scores(pa.array(texts))):
@@ -164,13 +164,13 @@ def test_votes_are_those_of_all_examples(spark):
 
 def test_examples_without_words(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 0), (3, " ", 1), (3, " ", 1)], "doc_id long, text string, quality int")
-    v = neighbours.fit(df, "text", "quality", "doc_id")
-    assert {x["score"] for x in neighbours.classify(df, v, ["doc_id"]).collect()} == {0.75}
+    v = neighbours.fit(df, df, "text", "quality", "doc_id")
+    assert {x["score"] for x in neighbours.classify(df, v, ["doc_id"]).collect()} == {2 / 3}  # the repeated row is one example
 
 
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, quality int")
-    assert neighbours.fit(df, "text", "quality", "doc_id") is None
+    assert neighbours.fit(df, df, "text", "quality", "doc_id") is None
     assert neighbours.classify(df, None, ["doc_id"]).first()["score"] == 0.5
 
 
@@ -228,3 +228,21 @@ def test_near_duplicates_stage_has_similarity_of_five_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     kept = [x["doc_id"] for x in stages.near_duplicates(spark, docs, SF).collect()]
     assert sorted(kept) == want
+
+
+def test_examples_that_no_longer_fit_are_passed_over(spark):
+    rows = [(i, "long " * 500 if i % 2 else "short text", i % 2) for i in range(40)] + [(None, "none", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    v = neighbours.fit(df, df, "text", "quality", "doc_id", neighbours.Settings(max_example_bytes=400, dimensions=4))
+    assert len(v.vectors) == 20 and set(v.labels) == {0.0}
+    empty = df.limit(0)
+    assert neighbours.fit(empty, df, "text", "quality", "doc_id") is None and neighbours.classify(empty, v, ["doc_id"]).count() == 0
+
+
+def test_document_frequencies_are_those_of_all_texts(spark):
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 5))) for i in range(50)] + [(50, None), (51, "x " * 400_000)]
+    files, df = neighbours.document_frequencies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    _, term, _ = neighbours.terms_of(pa.array([t for _, t in rows]))
+    assert files == 52 and (df == np.bincount(term, minlength=neighbours.TERMS)).all()
