@@ -14,12 +14,16 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.shared import written
+
 #: Production parameters: weights of tree paths (others count 1), passes over a document at most, and the seed.
 WEIGHTS = {"web": 50, "books": 30, "reference": 20, "web/en": 3, "books/en": 3, "reference/en": 3}
 MAX_EPOCHS = 4
 SEED = 11
 #: Documents of a leaf that one sort takes.
 BUCKET_DOCS = 4000
+#: Leaves up to which their budgets are sent to all tasks; with more, budgets and documents are shuffled by leaf.
+SENT_LEAVES = 100_000
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -90,33 +94,46 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, int]
     return out.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).drop("given")
 
 
+def _sent(df: DataFrame, leaves: int) -> DataFrame:
+    """A table with a row a leaf: to all tasks if there are at most SENT_LEAVES of them, else as it is."""
+    return F.broadcast(df) if leaves <= SENT_LEAVES else df
+
+
 def mix(docs: DataFrame, levels: Sequence[str] = ("domain", "lang", "source"), weights: Mapping[str, int] = WEIGHTS, budget_tokens: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, key: str = "doc_id", tokens: str = "n_tokens", bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """``docs`` with epoch, take_tokens: a row for each time that a document is taken.
 
     take_tokens is less than the document's for the last one of a leaf, at which its budget is met; rows are whole
-    documents all the same. The seeded order of an epoch is by the md5 of seed, epoch and key, then by the key. Null
-    levels count as ''; a document without tokens is taken with the epochs of its leaf and where it stands in the
-    prefix. Repeated rows count as often as they are there. Of the documents only counts by leaf and by ranges of the
-    order are shuffled, and the few rows of the one range where the budget ends are sorted.
+    documents all the same. The seeded order of an epoch is by the md5 of seed, epoch and key, then by tokens. Null
+    levels count as '', null tokens as none; a document without tokens is taken with the epochs of its leaf and where
+    it stands in the prefix. Repeated rows count as often as they are there. Of the documents only counts by leaf and
+    by ranges of the order are shuffled, and the rows of the one range of a leaf in which its budget ends.
     """
     # The documents' own columns go along as one, so that none of their names meets one of these.
-    m = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.col(tokens).alias("_tokens"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels])
-    leaves = m.groupBy(*levels).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    m = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("_tokens"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels])
+    leaves = written(m.groupBy(*levels).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("n_docs")), "leaves")
+    many = leaves.count()
     plan = budgets(leaves, levels, weights, budget_tokens, max_epochs).select(*levels, "epochs", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / bucket_docs)).cast("long").alias("buckets"))
+    plan = written(plan, "budgets")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("_key").cast("string")))
     bucket = F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(float(1 << 32))).cast("long")
-    m = m.join(plan, list(levels)).withColumn("order_key", order).withColumn("bucket", bucket)
+    m = m.join(_sent(plan, many), list(levels)).withColumn("order_key", order).withColumn("bucket", bucket)
     sums = m.groupBy(*levels, "bucket", "rest").agg(F.sum("_tokens").alias("t"))
     before = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("start", F.sum("t").over(before) - F.col("t"))
     # The range in which the rest is reached: the first whose end is not below it.
     cut = sums.filter(F.col("start") + F.col("t") >= F.col("rest")).groupBy(*levels).agg(F.min(F.struct("bucket", "start")).alias("cut"))
-    m = m.join(cut, list(levels), "left").withColumn("cut", F.when(F.col("rest") > 0, F.col("cut")))
+    m = m.join(_sent(written(cut, "cuts"), many), list(levels), "left").withColumn("cut", F.when(F.col("rest") > 0, F.col("cut")))
     names = [*[F.col("_row")[c].alias(c) for c in docs.columns], "epoch", "take_tokens"]
     whole_to = F.col("epochs") + F.when(F.col("bucket") < F.col("cut.bucket"), 1).otherwise(0)
     whole = m.filter(whole_to > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), (whole_to - 1).cast("int")))).withColumn("take_tokens", F.col("_tokens"))
-    inside = Window.partitionBy(*levels).orderBy("order_key", "_key", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = m.filter("bucket = cut.bucket").withColumn("place", F.col("cut.start") + F.sum("_tokens").over(inside) - F.col("_tokens"))
+    # Places in the last range. Rows of one key, of which there may be any number, are numbered by the task that wrote
+    # them; only how many a task has is summed up in their order.
+    last = written(m.filter("bucket = cut.bucket").withColumn("task", F.spark_partition_id()), "last-ranges")
+    same = [*levels, "order_key", "_tokens", "task"]
+    inside = Window.partitionBy(*levels).orderBy("order_key", "_tokens", "task").rowsBetween(Window.unboundedPreceding, 0)
+    groups = last.groupBy(*same).agg(F.sum("_tokens").alias("t")).withColumn("ahead", F.sum("t").over(inside) - F.col("t")).drop("t")
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("_row"))) - 1
+    last = last.withColumn("nth", nth).join(groups, same).withColumn("place", F.col("cut.start") + F.col("ahead") + F.col("nth") * F.col("_tokens"))
     last = last.filter("place < rest").withColumn("epoch", F.col("epochs")).withColumn("take_tokens", F.least(F.col("_tokens"), F.col("rest") - F.col("place")))
     return whole.select(*names).unionByName(last.select(*names))
 
@@ -128,6 +145,7 @@ def with_tree(docs: DataFrame) -> DataFrame:
 
 def op5_hierarchical_mix(spark, sf_dir: str) -> DataFrame:
     docs = with_tree(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")).drop("text")
+    docs = written(docs, "token-counts")  # words are counted once
     return mix(docs).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
 
@@ -165,3 +183,8 @@ taken AS (
 )
 SELECT * FROM taken
 """
+
+
+def first_tokens(text: Column, n: Column) -> Column:
+    """The text up to the end of its first n words, as ``token_count`` counts them."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[\\x20\\x09-\\x0D]*{WORDS}"), F.lit(0)), F.lit(1), n.cast("int")), "")

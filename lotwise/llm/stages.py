@@ -50,8 +50,15 @@ def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the budgets of their domain, language and source take them."""
-    return _documents(mixing.mix(mixing.with_tree(_documents(docs))))
+    """Documents as often as the budgets of their domain, language and source take them.
+
+    The last document of a leaf is cut to the words that its budget still takes, and is left out if these are none.
+    Documents without words go where whole epochs of their leaf are taken or they stand before its end.
+    """
+    out = mixing.mix(mixing.with_tree(_documents(docs)))
+    cut = F.col("take_tokens") < F.col("n_tokens")
+    text = F.when(cut, mixing.first_tokens(F.col("text"), F.col("take_tokens"))).otherwise(F.col("text"))
+    return _documents(out.withColumn("text", text).withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
