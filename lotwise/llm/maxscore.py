@@ -18,12 +18,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.shared import new_dir, written
+
 #: Queries that are sent to all tasks at once, and candidates of a block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 
 
 def quantized(ids: pa.Array, vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, floor(scale * x) as int64) of the vectors without a null or non-finite component; short ones end in zeros."""
+    """(ids, floor(scale * x)) of the vectors without a null or non-finite component; short ones end in zeros.
+
+    Whole numbers are int64, or Python's where one is beyond that.
+    """
     good = np.asarray(pc.and_(pc.is_valid(vectors), pc.is_valid(ids)).to_numpy(zero_copy_only=False), bool)
     n = np.where(good, pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
     dims = int(n.max(initial=0))
@@ -32,8 +37,10 @@ def quantized(ids: pa.Array, vectors: pa.Array, scale: int) -> tuple[np.ndarray,
     x = np.asarray(pc.fill_null(pc.cast(flat, pa.float64()), np.nan).to_numpy(zero_copy_only=False))
     bad = np.unique(row[~np.isfinite(x)])
     good[bad] = False
-    out = np.zeros((len(n), dims), np.int64)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = np.floor(np.where(np.isfinite(x), x, 0) * scale)
+    x = np.floor(np.where(np.isfinite(x), x, 0) * scale)
+    wide = len(x) and np.abs(x).max() >= 2.0**62  # beyond a long: whole numbers of any size
+    out = np.zeros((len(n), dims), object if wide else np.int64)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = [int(v) if np.isfinite(v) else int(np.sign(v)) << 1024 for v in x.tolist()] if wide else x
     keep = np.flatnonzero(good)
     return pc.cast(ids, pa.int64()).take(pa.array(keep)).to_numpy(zero_copy_only=False), out[keep]
 
@@ -64,16 +71,17 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bl
     width = max(queries.shape[1], block.shape[1])
     q_all = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     lists = np.ascontiguousarray(np.pad(block, ((0, 0), (0, width - block.shape[1]))).T)
-    exact = float(np.abs(q_all).max(initial=0)) * float(np.abs(lists).max(initial=0)) * width < 2.0**53
-    if exact:  # then doubles hold all sums exactly
-        q_all, lists = q_all.astype(np.float64), lists.astype(np.float64)
+    most = int(np.abs(q_all).max(initial=0)) * int(np.abs(lists).max(initial=0)) * width
+    # Doubles hold all sums exactly, or longs do, or else Python's whole numbers.
+    kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
+    q_all, lists = q_all.astype(kind), lists.astype(kind)
     low, high = lists.min(axis=1), lists.max(axis=1)
     read = 0
     for q, (own, terms) in enumerate(zip(query_ids.tolist(), q_all)):
         a, b = terms * low, terms * high
         least, spread = np.minimum(a, b), np.abs(b - a)
         threshold = best.threshold(q)
-        floor = least.sum()
+        floor = least.sum() if width else 0
         if floor + spread.sum() < threshold:
             continue
         order = np.argsort(-spread, kind="stable")
@@ -94,7 +102,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, bl
             keep = partial + rest[min(at + 8, width)] >= threshold
             live, partial = live[keep], partial[keep]
         if len(live):
-            best.offer(q, partial.astype(np.int64), ids[live])
+            best.offer(q, np.clip(partial, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else partial.astype(np.int64), ids[live])
     return read
 
 
@@ -103,24 +111,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, key: str =
 
     Vectors that are null, or hold a null or non-finite component, and rows without id take no part. Of repeated ids
     each row is a candidate; such a query is asked once, with the least of its vectors. Empty vectors score zero.
-    Queries go to the tasks in blocks of a bounded size, each with one pass over the candidates; a task keeps the k
-    best of each query, and the tasks' lists are merged by a window of k rows for each task and query.
+    A score beyond a long counts as the nearest long. Queries go to the tasks in blocks of a bounded size, one after
+    the other, each with one pass over the candidates: the driver and a task hold one block. A task keeps the k best of
+    each query, and the tasks' lists, which are written, are merged by a window of k rows for each task and query.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     asked = vectors.filter(is_query).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = asked.filter(F.col("id").isNotNull() & sound).groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(asked.filter(F.col("id").isNotNull() & sound).groupBy("id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-asked.count() // query_block))
-    out = None
+    at = new_dir(spark, "best")
+    kinds = "query_id long, vec_id long, score long"
     for i in range(blocks):
         got = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        if not got.num_rows and i:
-            continue
         one = got.to_batches()[0] if got.num_rows else None
         block = quantized(one.column(0), one.column(1), scale) if one is not None else (np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), k, scale, candidate_block), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+        shared = spark.sparkContext.broadcast(block)
+        rows.mapInArrow(_search(shared, k, scale, candidate_block), kinds).write.mode("append").parquet(at)
+        shared.destroy()
+    out = spark.read.schema(kinds).parquet(at)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
