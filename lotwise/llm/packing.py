@@ -51,6 +51,25 @@ def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[: len(data)])
 
 
+def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place of one of each kind of piece, each piece's kind): pieces of one kind have the same bytes.
+
+    They are met by hash and compared byte by byte; one that only shares a hash is a kind of its own.
+    """
+    _, first, at = np.unique(segment_hashes(data, start, end), return_index=True, return_inverse=True)
+    size, model = end - start, first[at]
+    same = size == size[model]
+    n = np.where(same, size, 0)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = data[np.repeat(start, n) + inside] != data[np.repeat(start[model], n) + inside]
+    same[np.repeat(np.arange(len(n)), n)[differ]] = False
+    if not same.all():
+        other = np.flatnonzero(~same)
+        at[other] = len(first) + np.arange(len(other))
+        first = np.concatenate([first, other])
+    return first, at
+
+
 class Ids:
     """Token ids of many texts at once: each distinct piece of a batch is encoded once, or taken from what is remembered."""
 
@@ -59,7 +78,7 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many in each row)."""
@@ -68,16 +87,17 @@ class Ids:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         end = np.append(start[1:], len(data))
-        key, first, at = np.unique(segment_hashes(data, start, end), return_index=True, return_inverse=True)
+        first, at = alike(data, start, end)
         if len(self.known) > self.most:
             self.forget()
         known, whole = self.known, data.tobytes()
         coded = []
-        for h, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist()):
-            if (ids := known.get(h)) is None:
-                ids = np.array(self.encode(whole[a:b].decode("utf-8", "replace")), dtype="<i4").tobytes()
+        for a, b in zip(start[first].tolist(), end[first].tolist()):
+            piece = whole[a:b]
+            if (ids := known.get(piece)) is None:
+                ids = np.array(self.encode(piece.decode("utf-8", "replace")), dtype="<i4").tobytes()
                 if b - a <= 64:
-                    known[h] = ids
+                    known[piece] = ids
             coded.append(ids)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat, begin = np.frombuffer(b"".join(coded), "<i4"), np.cumsum(size) - size
@@ -228,19 +248,28 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
     return rows.mapInArrow(_pack(vocabulary, pattern, capacity, block_tokens), f"pack_id long, n_tokens int, n_segments int, keys array<{kind}>, pieces array<int>, cu_seqlens array<int>, input_ids array<int>, position_ids array<int>")
 
 
-def write_binary(packs: DataFrame, path: str) -> None:
-    """Writes packs as Parquet of little-endian int32 matrices' rows (binary), for readers that map them."""
+BINARY = "pack_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens binary"
+
+
+def write_binary(packs: DataFrame, path: str, capacity: int = CAPACITY, pad: int = 0) -> None:
+    """Writes packs as Parquet rows of binary little-endian int32: the ids and positions of a pack are a row of
+    ``capacity`` numbers, filled up with ``pad`` and zeros, so that a file's rows joined are a matrix; cu_seqlens has
+    the cumulative lengths of its segments, from zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [b.column(0), b.column(1)]
-            for i in (2, 3, 4):
-                values, offs = b.column(i).flatten().to_numpy().astype("<i4"), b.column(i).offsets.to_numpy()
-                offs = offs - offs[0]
-                out.append(pa.array([values[s:e].tobytes() for s, e in zip(offs[:-1], offs[1:])], pa.binary()))
-            yield pa.RecordBatch.from_arrays(out, ["pack_id", "n_tokens", "cu_seqlens", "input_ids", "position_ids"])
-
-    packs.select("pack_id", "n_tokens", "cu_seqlens", "input_ids", "position_ids").mapInArrow(run, "pack_id long, n_tokens int, cu_seqlens binary, input_ids binary, position_ids binary").write.parquet(path)
+            for column, fill in ((b.column(2), pad), (b.column(3), 0)):
+                values, offs = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
+                n = np.diff(offs)
+                matrix = np.full((len(n), capacity), fill, "<i4")
+                matrix[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(offs[:-1] - offs[0], n)] = values
+                out.append(pa.array([x.tobytes() for x in matrix], pa.binary()))
+            values, offs = b.column(4).flatten().to_numpy().astype("<i4"), b.column(4).offsets.to_numpy()
+            out.append(pa.array([values[s:e].tobytes() for s, e in zip(offs[:-1] - offs[0], offs[1:] - offs[0])], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["pack_id", "n_tokens", "input_ids", "position_ids", "cu_seqlens"])
+
+    packs.select("pack_id", "n_tokens", "input_ids", "position_ids", "cu_seqlens").mapInArrow(run, BINARY).write.parquet(path)
 
 
 def op3_bestfit_packing(spark, sf_dir: str) -> DataFrame:
