@@ -42,6 +42,14 @@ def test_maxscore_reads_less_than_everything():
     assert read < 0.75 * 4000 * 32
 
 
+def test_maxscore_of_huge_components(spark):
+    rows = [(0, [1e30, -2.0]), (50, [3e17, 0.5]), (1, [1e30, 5.0]), (2, [-1e300, 1.0]), (3, [1e10, 1.0]), (4, [2.0**40, 3.0]), (5, [0.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = sorted((q, n + 1, i, -x) for q, _, _, _ in brute_top(rows) for n, (x, i) in enumerate(sorted((clip(a[3]) * -1, a[2]) for a in brute_top(rows, k=9) if a[0] == q)[:5]))
+    assert sorted(map(tuple, maxscore.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(set(want))
+
+
 def test_maxscore_of_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in maxscore.top_k(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
@@ -111,24 +119,130 @@ def test_mixing_budgets_and_prefixes(spark):
     assert sum(taken.values()) == pytest.approx(min(total, sum(want.values())), abs=len(leaves))
 
 
+@pytest.mark.parametrize("sent", [0, mixing.SENT_LEAVES])
+def test_mixing_a_key_that_most_rows_have(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT_LEAVES", sent)
+    rows = [(7, "d", "en", "s", 3)] * 400 + [(None, "d", "en", "s", 2)] * 50 + [(i, "d", "en", "s", 5) for i in range(100, 160)] + [(i, "e", "en", "s", 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long").repartition(6)
+    for total in (1, 299, 1000, 1601):
+        got = mixing.mix(df, weights={}, budget_tokens=total, max_epochs=1, bucket_docs=40).collect()
+        taken = [x["take_tokens"] for x in got]
+        assert sum(taken) in (total, total - 1) and sum(x["take_tokens"] < x["n_tokens"] for x in got) <= 2
+
+
+def test_first_tokens(spark):
+    texts = ["", None, "a", "  a b\n\tc ", "ü  ü", "x " * 5000]
+    df = spark.createDataFrame([(t, n) for t in texts for n in (0, 1, 2, 4000)], "t string, n int")
+    for t, n, x in df.select("t", "n", mixing.first_tokens(F.col("t"), F.col("n"))).collect():
+        if t is None:
+            assert x is None
+        else:
+            assert t.startswith(x) and x.split() == t.split()[:n]
+
+
 def test_mixing_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, domain string, lang string, source string, n_tokens long")
     assert mixing.mix(df).count() == 0
 
 
-def test_licences(spark):
-    apache, mit = licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["MIT"]
-    filler = " ".join(f"word{i}" for i in range(200))
+def brute_licences(rows, forms, least=0.75, file_share=0.5):
+    """Every line, block and whole text against every form, by dictionaries."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    term = lambda t: re.findall(licences.TERM, t.lower())
+    damped = lambda c: {k: 1 + math.log(v) for k, v in c.items()}
+    listed = [(k, Counter(term(t))) for k, v in sorted(forms.items()) for t in v]
+    known = {t for _, c in listed for t in c}
+    df = Counter(t for _, x in rows for t in set(term(x or "")) & known)
+    idf = lambda t: math.log((len(rows) + 1) / (df[t] + 1)) + 1 if t in known else math.log(len(rows) + 1) + 1
+    vector = lambda c: {k: v * idf(k) for k, v in damped(c).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = [(k, vector(c)) for k, c in listed]
+    own, as_file = defaultdict(lambda: (False, 0, "")), defaultdict(lambda: (False, 0, ""))
+    for path, text in rows:
+        low = (text or "").lower()
+        total = len(term(low))
+        for unit in {low, *re.split(r"\r?\n(?:[ \t]*\r?\n)+", low), *re.split(r"[\r\n]+", low)}:
+            u = vector(Counter(term(unit)))
+            if not u:
+                continue
+            best = max((round(sum(w * v.get(k, 0) for k, w in u.items()) / length(u) / length(v), 9), name) for name, v in vectors)
+            if best[0] >= least:
+                best = (best[1] != "Proprietary", *best)
+                own[path] = max(own[path], best)
+                if unit == low or len(term(unit)) / total >= file_share:
+                    as_file[path] = max(as_file[path], best)
+    directory = lambda p: re.sub("/?[^/]*$", "", p or "")
+    at = defaultdict(lambda: (False, 0, ""))
+    for p, x in as_file.items():
+        at[directory(p)] = max(at[directory(p)], x)
+    out = []
+    for p, _ in rows:
+        d = directory(p)
+        above = [d[:i] for i in range(len(d), 0, -1) if i == len(d) or d[i] == "/"] + [""]
+        near = next((x for x in above if x in at), None)
+        if p in own:
+            out.append((p, own[p][2], "own", own[p][1], None))
+        elif near is not None:
+            out.append((p, at[near][2], "inherited", at[near][1], near))
+        else:
+            out.append((p, None, "none", None, None))
+    return out
+
+
+def test_licences_match_brute_force(spark):
+    r = random.Random(3)
+    forms = licences.templates()
+    filler = lambda n: " ".join(r.choice(["the", "a", "software", "license", "may", "use", f"word{r.randrange(400)}"]) for _ in range(n))
+    wrapped = lambda t, mark="": "\n".join(mark + x for x in t.strip().splitlines())
+    mit, apache, bsd = (next(v for v in reversed(forms[k])) for k in ("MIT", "Apache-2.0", "BSD-3-Clause"))
     rows = [
-        ("a/LICENSE", mit), ("a/b/c/code.py", filler), ("a/b/c/head.py", f"{filler}\n{apache}\n{filler}"), ("a/x/LICENSE", apache.upper()), ("a/x/y/code.py", filler), ("other/code.py", filler),
-        ("other/none", None), ("other/empty", ""), ("top", filler), (None, None), ("a/x/public", "the public licensed general talk of versions " + filler),
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit), ("a/b/c/code.py", filler(200)), ("a/x/LICENSE", apache.upper()), ("a/x/y/code.py", filler(50)),
+        ("bsd/COPYING", "Copyright (c) 2001, Them\nAll rights reserved.\n" + bsd), ("bsd/deep/er/f", filler(9)), ("a/h.c", wrapped(forms["Apache-2.0"][2], "# ") + "\n\nimport x\n" + filler(120)),
+        ("a/x/head.py", f"{filler(200)}\nLicensed under the Apache License, Version 2.0.\n{filler(200)}"), ("gpl/main.c", wrapped(forms["GPL-3.0"][1], " * ") + "\n\n" + filler(90)),
+        ("other/code.py", filler(200)), ("other/none", None), ("other/empty", ""), ("top", filler(30)), (None, None), (None, forms["MIT"][0]), ("", filler(5)),
+        ("twice/f", filler(20)), ("twice/f", filler(20) + "\n" + forms["MIT"][0]), ("twice/f", filler(20)), ("long", filler(60_000) + "\nReleased under the MIT License.\n"), ("a/b/../c", "\n\n \n"),
     ]
-    got = {r["path"]: (r["licence"], r["origin"], r["licence_dir"]) for r in licences.scan(spark.createDataFrame(rows, "path string, text string").withColumn("licence_dir", F.lit(0)).select("path", "text")).collect()}
-    assert got["a/LICENSE"] == ("MIT", "own", None) and got["a/b/c/head.py"] == ("Apache-2.0", "own", None)
-    assert got["a/b/c/code.py"] == ("MIT", "inherited", "a") and got["a/x/y/code.py"] == ("Apache-2.0", "inherited", "a/x") and got["a/x/public"][1] == "inherited"
-    assert all(got[p] == (None, "none", None) for p in ("other/code.py", "other/none", "other/empty", "top", None))
-    assert len(got) == len(rows)
-    assert licences.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+    rows += [(f"many/{i % 7}/{i}", filler(r.randrange(60)) + (r.choice(["\n", "\n\n", " "]) + r.choice([x for v in forms.values() for x in v if len(x) < 900]) if i % 3 == 0 else "")) for i in range(120)]
+    rows += [("many/hot/f", "All rights reserved. " + filler(3))] * 40
+    df = spark.createDataFrame(rows, "path string, text string").withColumns({"licence": F.lit(0), "dir": F.lit("x"), "uid": F.lit(1), "term": F.lit("t")}).repartition(5)
+    got = [tuple(x) for x in licences.scan(df).collect()]
+    want = brute_licences(rows, forms)
+    key = lambda x: tuple(map(repr, x))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert (g[0], g[1], g[2], g[4]) == (w[0], w[1], w[2], w[4]) and (g[3] is None) == (w[3] is None) and (g[3] is None or abs(g[3] - w[3]) < 1e-6)
+    by = {g[0]: g for g in got}
+    assert by["a/LICENSE"][1:3] == ("MIT", "own") and by["a/b/c/code.py"][1:3] == ("MIT", "inherited") and by["a/x/LICENSE"][1] == "Apache-2.0" and by["a/x/y/code.py"][4] == "a/x"
+    assert by["bsd/deep/er/f"][1:3] == ("BSD-3-Clause", "inherited") and by["a/h.c"][1:3] == ("Apache-2.0", "own") and by["gpl/main.c"][1:3] == ("GPL-3.0", "own") and by["long"][1:3] == ("MIT", "own")
+    assert by["other/code.py"][2] == "inherited" and by["other/none"][4] == ""  # the null path's notice is a licence file of the root
+
+
+def test_whole_licences_of_others_are_found(spark):
+    """Texts as they are found on systems, with their own first lines and wraps."""
+    from pathlib import Path
+
+    found = [(x.name, x.read_text()) for x in map(Path, ("/usr/share/common-licenses/" + n for n in ("BSD", "GPL-2", "GPL-3", "MPL-2.0", "Apache-2.0", "LGPL-2.1"))) if x.exists()]
+    if not found:
+        pytest.skip("none here")
+    got = {x["path"]: x["licence"] for x in licences.scan(spark.createDataFrame(found, "path string, text string")).collect()}
+    want = {"BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0"}
+    assert got == {k: want.get(k, k) for k, _ in found}
+
+
+def test_licences_of_nothing(spark):
+    none = spark.createDataFrame([], "path string, text string")
+    assert licences.scan(none).count() == 0
+    assert [tuple(x) for x in licences.scan(spark.createDataFrame([("a", "b")], "path string, text string"), forms={}).collect()] == [("a", None, "none", None, None)]
+
+
+def test_licence_query_of_null_ids(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.", "en", "s"), (None, "x", None, None), (7, "y", "en", "s"), (7, "y", "en", "s"), (8, None, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["licence"] or "") for x in licences.op9_licence_tfidf(spark, str(tmp_path)).collect())
+    assert got == [(False, 7, ""), (False, 7, ""), (False, 8, ""), (True, 0, ""), (True, 0, "MIT")]
 
 
 def test_classifier_tells_held_out_documents_apart(spark):

@@ -196,6 +196,35 @@ def test_packing_round_trip(docs):
         assert collections.Counter(parts[d]) == pieces
 
 
+def test_binary_matrices(spark, docs, tmp_path):
+    import numpy as np
+
+    packs = packing.pack(docs[1], capacity=64, block_tokens=500).cache()
+    packing.write_binary(packs, f"{tmp_path}/packs", capacity=64, pad=7)
+    back = {r["pack_id"]: r for r in spark.read.parquet(f"{tmp_path}/packs").collect()}
+    want = packs.collect()
+    assert len(back) == len(want) > 20
+    for p in want:
+        ids, positions, cuts = (np.frombuffer(back[p["pack_id"]][x], "<i4").tolist() for x in ("input_ids", "position_ids", "cu_seqlens"))
+        n = p["n_tokens"]
+        assert ids == p["input_ids"] + [7] * (64 - n) and positions == p["position_ids"] + [0] * (64 - n) and cuts == p["cu_seqlens"]
+    packing.write_binary(packs.limit(0), f"{tmp_path}/none")
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lotwise.llm.bytestext import buffers
+
+    monkeypatch.setattr(packing, "segment_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    coder = packing.Ids(packing.VOCABULARY, packing.PATTERN)
+    some = ["one two one", "two  three", "", "one"]
+    ids, n = coder.of(*buffers(pa.array(some)))
+    assert ids.tolist() == [x for t in some for x in coder.encode(t)] and n.tolist() == [len(coder.encode(t)) for t in some]
+
+
 def test_ids_are_those_of_the_whole_text():
     import pyarrow as pa
 
