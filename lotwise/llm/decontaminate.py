@@ -3,7 +3,9 @@
 A window of a document as long as an item is fingerprinted over its word shingles, and fingerprints meet the items' in
 multi-index Hamming blocks: of radius + 1 blocks of bits two fingerprints within the radius agree on one, so an equality
 join on (block, value) finds them all. Each pair found is then verified by the exact weighted Jaccard similarity of
-its shingles, weights being occurrences. Windows without a shingle of any item have similarity zero; they are not built.
+its shingles, weights being occurrences. Windows are built wherever an item can be: similarity s of a window and an
+item of a and b shingles takes s (a + b) / (1 + s) shared ones, so only starts from which a window has as many of the
+item's shingles, at any places, are built, and all of these are.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.shared import written
+from lotwise.llm.shared import sent, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints may differ. Shingle sets of similarity 0.8 have a cosine of 0.89, an angle of 0.476 and
-#: so 9.7 +- 2.9 differing bits of 64 on average; the exact check follows, so the radius is chosen for recall.
+#: so 9.7 +- 2.9 differing bits of 64: more than 23 differ with probability 0.000002. Windows of fewer than 9 shingles
+#: are of that similarity only if they are the item's own, with the same fingerprint.
 RADIUS = 23
 #: Rows of a side up to which it is sent to all tasks; beyond, both sides are shuffled.
 SMALL_ROWS = 200_000
+#: Windows of one document that are in one row before they are parted.
+CHUNK = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -49,7 +54,9 @@ def similarity(a: Column, b: Column) -> Column:
     def occurrences(x: Column, s: Column) -> Column:
         return F.size(F.filter(x, lambda y: y == s))
 
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, s: acc + F.least(occurrences(a, s), occurrences(b, s)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    shared = F.array_intersect(a, b)
+    both = F.when(once, F.size(shared)).otherwise(F.aggregate(shared, F.lit(0), lambda acc, s: acc + F.least(occurrences(a, s), occurrences(b, s))))
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -69,11 +76,6 @@ def _first_shared(a: Column, b: Column, blocks: int) -> Column:
     return reduce(lambda c, i: c.when(a.bitwiseXOR(b).bitwiseAND(F.lit(_mask(i, blocks)).cast("bigint")) == 0, i), range(1, blocks), cases)
 
 
-def _sent(df: DataFrame, most: int) -> DataFrame:
-    """``df`` to be sent to all tasks if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", shingle: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, small_rows: int = SMALL_ROWS) -> DataFrame:
     """(key, item_key, start_word, n_words, distance, similarity): each document's best window for each item of similarity ``least`` or more.
 
@@ -91,32 +93,46 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
         return reduce(lambda c, k: c.when(F.col("k") == k, make(k)), sizes[1:], F.when(F.col("k") == sizes[0], make(sizes[0])))
 
     it = written(it.withColumn("s", per_size(lambda k: shingles_of(F.col("w"), k))).select("item", "n", "k", "s", simhash(F.col("s")).alias("fp")), "items")
-    grams = it.select("n", "k", F.posexplode("s").alias("at", "h")).distinct()
-    grams = written(grams, "item-shingles")
+    one_per_key = it.select("item", "n", "k", F.size("s").alias("m")).distinct().withColumn("kind", F.xxhash64("item", "n", "k"))
+    grams = written(it.select(F.xxhash64("item", "n", "k").alias("kind"), "k", F.explode("s").alias("h")).distinct(), "item-shingles")
+    kinds = written(one_per_key.groupBy("kind").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.first("k").alias("k"), F.min("m").alias("m")), "item-sizes")
 
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(key), F.col(text).cast("string")).alias("uid"), F.col(text).alias("t"))
     worded = base.select("uid", words_of(F.col("t")).alias("w"))
     hits = None
     for k in sizes:
-        found = worded.select("uid", F.size("w").alias("words"), F.posexplode(shingles_of(F.col("w"), k)).alias("pos", "h"))
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("words") - F.col("n")))
-        found = found.join(_sent(grams.filter(F.col("k") == k), small_rows), "h").select("uid", "k", "n", start.alias("start"))
+        # Outer, as of others the optimizer also asks whether they are empty, by doing the work twice.
+        found = worded.select("uid", F.size("w").alias("words"), F.posexplode_outer(shingles_of(F.col("w"), k)).alias("pos", "h"))
+        found = found.join(sent(grams.filter(F.col("k") == k).drop("k"), small_rows), "h").select("uid", "kind", "words", "pos")
         hits = found if hits is None else hits.unionByName(found)
-    hits = written(hits.groupBy("uid", "k", "n").agg(F.collect_set("start").alias("starts")), "windows")
-    per_doc = hits.groupBy("uid").agg(F.collect_list(F.struct("k", "n", "starts")).alias("wanted"))
-    per_doc = _sent(per_doc, small_rows)
-
-    near = base.join(per_doc, "uid")
-    near = near.select("doc", "uid", words_of(F.col("t")).alias("w"), F.explode("wanted").alias("x"))
-    near = near.select("doc", "uid", "w", F.col("x.k").alias("k"), F.col("x.n").alias("n"), F.explode("x.starts").alias("start"))
-    near = near.withColumn("v", F.slice("w", F.col("start") + 1, F.col("n"))).drop("w")
-    near = near.withColumn("a", per_size(lambda k: shingles_of(F.col("v"), k))).drop("v")
+    hits = hits.groupBy("uid", "kind").agg(F.first("words").alias("words"), F.sort_array(F.collect_set("pos")).alias("p")).join(sent(kinds, small_rows), "kind")
+    span = F.least("words", "n")
+    hits = hits.withColumn("size", F.when(span >= F.col("k"), span - F.col("k") + 1).otherwise(1))  # shingles of a window
+    hits = hits.withColumn("need", F.ceil(least * (F.col("m") + F.col("size")) / (1 + least) - 1e-9).cast("int")).filter(F.size("p") >= F.col("need"))
+
+    def starts_at(i: Column) -> Column:
+        first, last = F.get("p", i), F.get("p", i + F.col("need") - 1)
+        some = F.sequence(F.greatest(last - F.col("size") + 1, F.lit(0)), F.least(first, F.greatest(F.col("words") - F.col("n"), F.lit(0))))
+        return F.when(last - first < F.col("size"), some).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), starts_at)))
+    hits = written(hits.select("uid", "item", "n", "k", "size", starts.alias("starts")).filter(F.size("starts") > 0), "windows")
+    per_doc = hits.groupBy("uid").agg(F.collect_list(F.struct("item", "n", "k", "size", "starts")).alias("wanted"))
+
+    near = base.join(sent(per_doc, small_rows), "uid")
+    near = near.select("doc", "uid", words_of(F.col("t")).alias("w"), F.explode_outer("wanted").alias("x")).select("doc", "uid", "w", "x.*")
+    near = near.withColumn("s", per_size(lambda k: shingles_of(F.col("w"), k))).drop("w")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("starts") - 1) / CHUNK).cast("int")), lambda c: F.slice("starts", c * CHUNK + 1, CHUNK))
+    near = near.select("doc", "uid", "item", "n", "k", "size", "s", F.explode_outer(chunks).alias("chunk"))
+    cut = F.transform("chunk", lambda x: F.struct(x.alias("start"), F.slice("s", x + 1, F.col("size")).alias("a")))
+    near = near.select("doc", "uid", "item", "n", "k", F.explode_outer(cut).alias("x")).select("doc", "uid", "item", "n", "k", "x.*")
     near = written(near.withColumn("window_fp", simhash(F.col("a"))), "fingerprints")
 
     blocks = radius + 1
     left = near.select("*", _blocks(F.col("window_fp"), blocks).alias("b")).select("*", "b.block", "b.value").drop("b")
-    right = it.select(F.col("item"), "n", "k", F.col("s").alias("b"), "fp", _blocks(F.col("fp"), blocks).alias("x")).select("*", "x.block", "x.value").drop("x")
-    pairs = left.join(right, ["n", "k", "block", "value"])
+    right = it.select("item", "n", "k", F.col("s").alias("b"), "fp", _blocks(F.col("fp"), blocks).alias("x")).select("*", "x.block", "x.value").drop("x")
+    pairs = left.join(sent(right, small_rows), (left["item"].eqNullSafe(right["item"])) & (left["n"] == right["n"]) & (left["k"] == right["k"]) & (left["block"] == right["block"]) & (left["value"] == right["value"]))
+    pairs = pairs.select("doc", "uid", left["item"], left["n"], "start", "a", "b", "window_fp", "fp", left["block"])
     pairs = pairs.filter(_first_shared(F.col("window_fp"), F.col("fp"), blocks) == F.col("block"))
     pairs = pairs.withColumn("distance", F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp")))).filter(F.col("distance") <= radius)
     pairs = pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)

@@ -22,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.shared import written
+from lotwise.llm.shared import sent, written
 
 # Public licence texts; the longer ones are in the folder licence_texts.
 _AS_IS = """
@@ -113,8 +113,6 @@ RESERVED = "Proprietary"
 #: The least cosine of a match, and the least share of a file's words in its matching unit for a licence file.
 LEAST_COSINE, FILE_SHARE = 0.75, 0.5
 TERM = "[a-z0-9]+(?:\\.[0-9]+)*"
-#: Rows of a table up to which it is sent to all tasks; beyond, both sides are shuffled.
-SMALL_ROWS = 200_000
 
 
 @cache
@@ -203,10 +201,6 @@ def cosines(units: DataFrame, weighted: DataFrame, most: Column) -> DataFrame:
     return sums.withColumn("best", best).select("uid", "path", "whole", "share", "best.licence", "best.cosine")
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def _directory(path: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(path), F.lit("")), "/?[^/]*$", "")
 
@@ -235,7 +229,7 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", forms: Mappin
     up = rows.select("dir").distinct().select("dir", F.posexplode(above).alias("depth", "licence_dir")).join(at, "licence_dir")
     nearest = up.groupBy("dir").agg(F.max_by(F.struct("licence_dir", "dir_licence", "dir_cosine"), "depth").alias("near")).select("dir", "near.*")
     # Depth 0 and a path of one part both name the root once; max_by takes either.
-    rows = rows.join(_sent(own.drop("as_file")), F.col("path").eqNullSafe(F.col("own_path")), "left").join(_sent(written(nearest, "nearest")), "dir", "left")
+    rows = rows.join(sent(own.drop("as_file")), F.col("path").eqNullSafe(F.col("own_path")), "left").join(sent(written(nearest, "nearest")), "dir", "left")
     mine = F.col("licence").isNotNull()
     return rows.select(
         F.col("path").alias(path),

@@ -16,10 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (a local run, tests), a temporary folder of this machine is set instead.
+    Where a local run (tests) names none, a temporary folder of this machine is set instead; a cluster has to name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lotwise-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -58,6 +60,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def sent(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` to be sent to all tasks if a count finds at most ``most`` rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
