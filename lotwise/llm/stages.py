@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm import decontaminate, mixing, nearcopies, neighbours, packing
+from lotwise.llm.shared import sent, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,7 +22,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under the threshold go. Labels of the held-out part are not learnt from."""
+    """Documents that the classifier scores under the threshold go. Labels of the held-out part are not learnt from.
+
+    Null and empty texts are scored as the share of good examples; repeated rows fare alike; without labels all go.
+    """
     docs = _documents(docs)
     scored = neighbours.classify(docs, neighbours.fit_quality(spark, docs.select("doc_id", "text"), sf_dir), list(COLUMNS))
     return _documents(scored.filter(F.col("score") >= neighbours.THRESHOLD))
@@ -33,20 +37,22 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates are linked by an exact Jaccard similarity of 0.8 over five-word shingles, unlike those of op1.
     """
     keyed = _keyed(_documents(docs))
-    grouped = nearcopies.near_copies(keyed.select("_key", "text"), key="_key")
-    kept = grouped.filter(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_rows"))
-    left = keyed.join(kept, "_key")
-    # Rows of one key are the same document: those that there are several of, and only those, are met by key.
-    repeated = left.filter("_rows > 1").dropDuplicates(["_key"])
-    return _documents(left.filter("_rows = 1").unionByName(repeated))
+    grouped = written(nearcopies.near_copies(keyed.select("_key", "text"), key="_key"), "near-copies")
+    # Only the keys that go, and those of several rows, are met by the documents' rows.
+    gone = grouped.filter(F.col("_key") != F.col("component_id")).select("_key").distinct()
+    several = grouped.filter(F.col("_key") == F.col("component_id")).groupBy("_key").count().filter("count > 1").select("_key")
+    gone, several = sent(written(gone, "gone")), sent(written(several, "repeated"))
+    left = keyed.join(gone, "_key", "left_anti")
+    once = left.join(several, "_key", "left_anti")
+    return _documents(once.unionByName(left.join(several, "_key", "left_semi").dropDuplicates(["_key"])))
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window that matches a benchmark item go."""
     keyed = _keyed(_documents(docs))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.written(decontaminate.matches(keyed.select("_key", "text"), items, key="_key").select("_key").distinct(), "contaminated")
-    return _documents(keyed.join(decontaminate._sent(found, decontaminate.SMALL_ROWS), "_key", "left_anti"))
+    found = written(decontaminate.matches(keyed.select("_key", "text"), items, key="_key").select("_key").distinct(), "contaminated")
+    return _documents(keyed.join(sent(found), "_key", "left_anti"))
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +68,5 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids of all documents."""
+    """Packed token ids of all documents, each row as often as it is there; null and empty texts have none."""
     return packing.pack(_documents(docs).select("doc_id", "text")).withColumnRenamed("keys", "doc_ids")

@@ -339,6 +339,15 @@ def test_decontamination_matches_brute_force(spark):
             w[r.randrange(len(w) + 1) : 0] = own
         rows.append((d, " ".join(w).upper() if d % 5 else " ".join(w) + "!"))
     rows += [(100, None), (101, ""), (102, items[2][1]), (102, items[2][1]), (None, items[1][1])]
+    for d in range(200, 260):  # items with words moved, put in, left out, changed or said twice, in other text
+        w = items[r.choice([1, 2, 5])][1].split()
+        for _ in range(r.randrange(1, 4)):
+            i, j = sorted((r.randrange(len(w)), r.randrange(len(w))))
+            how = r.randrange(5)
+            w = w[j:] + w[:j] if how == 0 else w[:i] + ["put", "in"] + w[i:] if how == 1 else w[:i] + w[i + 1 :] if how == 2 else w[:i] + ["new"] + w[i + 1 :] if how == 3 else w[:i] + w[i : i + 3] + w[i:]
+        rows.append((d, " ".join([word() for _ in range(r.randrange(60))] + w + [word() for _ in range(r.randrange(60))])))
+    swapped = items[5][1].split()
+    rows += [(300, " ".join([word() for _ in range(40)] + swapped[30:] + swapped[:30] + [word() for _ in range(40)])), (301, (items[2][1] + " ") * 70), (302, " ".join(["same"] * 400))]
     got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.matches(table(spark, rows).withColumn("n", F.lit(1)), table(spark, items, "item_id long, text string")).collect()}
 
     def shingles(w):
@@ -355,5 +364,5 @@ def test_decontamination_matches_brute_force(spark):
                 j = both / (sum(a.values()) + sum(b.values()) - both)
                 if j >= 0.8:
                     want[d, i] = max(j, want.get((d, i), 0))
-    assert set(got) == set(want)
+    assert set(got) == set(want) and (300, 5) in want and sum(d >= 200 for d, _ in map(lambda x: (x[0] or 0, x[1]), want)) > 10
     assert all(got[k] == pytest.approx(want[k]) for k in got)
