@@ -1,29 +1,54 @@
-"""One outer fold of nested evaluation, causal fold states and replays, in numpy."""
+"""Outer folds of nested evaluation and causal replays over lots of wafers."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 
 from lotwise.kernels import gaussian, linear
 
 FAMILIES = ("ridge", "pls", "gpr")
+#: The share of residual variance that components keep, and how many there are at most.
+SHARE, MOST = 0.90, 8
 
 
 def label(parameter) -> str:
     return parameter.label if isinstance(parameter, gaussian.Settings) else f"{parameter:g}"
 
 
-def fit(family: str, parameter, x: np.ndarray, y: np.ndarray):
-    if family == "ridge":
-        return linear.fit_ridge(x, y, float(parameter))
-    if family == "pls":
-        return linear.fit_pls(x, y, min(int(parameter), x.shape[1], len(x) - 1))
-    if family == "gpr":
-        return gaussian.fit_process(x, y, parameter)
-    raise ValueError(f"unknown model family: {family}")
+class Wafers:
+    """Wafers by lot, with the moments of each lot; the training part of any fold is a difference of these."""
+
+    def __init__(self, x: np.ndarray, maps: np.ndarray, lots: np.ndarray):
+        self.x, self.maps, self.lots = np.asarray(x, float), np.asarray(maps, float), np.asarray(lots)
+        rows = np.column_stack([self.x, self.maps])
+        self.origin = rows[0].copy() if len(rows) else np.zeros(rows.shape[1])
+        self.names = sorted(set(self.lots.tolist()))
+        self.own = {n: linear.Moments.of(rows[self.lots == n] - self.origin) for n in self.names}
+        self.training = lru_cache(maxsize=64)(self._training)
+
+    def of(self, *names) -> np.ndarray:
+        return np.flatnonzero(np.isin(self.lots, names))
+
+    def _training(self, names: tuple) -> linear.Training:
+        some = [self.own[n] for n in names]
+        return linear.Training(sum(some[1:], some[0]), self.x.shape[1], self.origin)
+
+    def fitted(self, names: tuple, family: str, parameter, components: np.ndarray | None = None):
+        """A model of the lots' shifts, or with ``components`` of their residuals' components, by standard features."""
+        t = self.training(names)
+        if family == "gpr":
+            rows = self.of(*names)
+            return gaussian.fit_process(t.standard(self.x[rows]), (self.maps[rows] - t.template) @ t.targets(components), parameter)
+        moments, features = t.explaining(components)
+        if family == "ridge":
+            return linear.ridge(moments, features, float(parameter))
+        if family == "pls":
+            return linear.partial_least_squares(moments, features, int(parameter))
+        raise ValueError(f"no such model family: {family}")
 
 
 def predict(model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -31,29 +56,25 @@ def predict(model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return got if isinstance(got, tuple) else (got, None)
 
 
-def inner_score(x, maps, lots, family, parameter, part: str, variance: float, most: int) -> float:
-    """Mean over held-out training lots: absolute error of the shift, or root mean square error of the rebuilt residual."""
-    scores = []
-    for lot in np.unique(lots):
-        train = lots != lot
-        scaling, d = linear.fit_scaling(x[train]), linear.decompose_maps(maps[train], maps[~train])
-        a, b = scaling.apply(x[train]), scaling.apply(x[~train])
-        if part == "mean_shift":
-            scores.append(np.abs(predict(fit(family, parameter, a, d.train_shift), b)[0][:, 0] - d.test_shift).mean())
-        elif part == "residual":
-            basis = linear.fit_basis(d.train_residual, variance, most)
-            rebuilt = basis.rebuild(predict(fit(family, parameter, a, basis.project(d.train_residual)), b)[0])
-            scores.append(np.sqrt(((rebuilt - d.test_residual) ** 2).mean()))
-        else:
-            raise ValueError(f"unknown target part: {part}")
-    return float(np.mean(scores))
+def errors_within(w: Wafers, names: tuple, family: str, parameters: Sequence, residual: bool, share: float = SHARE, most: int = MOST) -> Iterator[tuple[float, str, object]]:
+    """(error, label, parameter): the mean over the lots, each predicted from the others, of the shift's absolute or the residual map's root mean square error."""
+    by_lot = []
+    for n in names:
+        rest = tuple(x for x in names if x != n)
+        t, rows = w.training(rest), w.of(n)
+        by_lot.append((rest, t, t.standard(w.x[rows]), w.maps[rows], t.components(share, most)[0] if residual else None))
+    for parameter in parameters:
+        found = []
+        for rest, t, x, maps, components in by_lot:
+            p, _ = predict(w.fitted(rest, family, parameter, components), x)
+            found.append(np.abs(p[:, 0] - t.shift(maps)).mean() if components is None else np.sqrt(((p @ components - t.residual(maps)) ** 2).mean()))
+        yield float(np.mean(found)), label(parameter), parameter
 
 
-def select(x, maps, lots, family, parameters: Sequence, part: str, variance: float, most: int):
-    """(parameter, score) with the least score, ties by the label's text."""
-    scored = [(inner_score(x, maps, lots, family, p, part, variance, most), label(p), p) for p in parameters]
-    score, _, parameter = min(scored, key=lambda s: s[:2])
-    return parameter, score
+def chosen(w: Wafers, names: tuple, family: str, parameters: Sequence, residual: bool, share: float = SHARE, most: int = MOST):
+    """(parameter, error) of the least error; of equal ones that whose label comes first."""
+    error, _, parameter = min(errors_within(w, names, family, parameters, residual, share, most), key=lambda x: x[:2])
+    return parameter, error
 
 
 @dataclass
@@ -63,162 +84,123 @@ class Fold:
     stages: dict[str, np.ndarray]
     stds: dict[str, np.ndarray | None]
     facts: dict
-    importance: np.ndarray | None
-    sign: np.ndarray | None
-    retained: np.ndarray
-
-
-def run_fold(x, maps, lots, train: np.ndarray, test: np.ndarray, family: str, parameters: Sequence, variance: float = 0.90, most: int = 8) -> Fold:
-    """Everything that is fitted sees the rows of ``train`` only."""
-    scaling, d = linear.fit_scaling(x[train]), linear.decompose_maps(maps[train], maps[test])
-    a, b = scaling.apply(x[train]), scaling.apply(x[test])
-    args = (x[train], maps[train], lots[train], family, parameters)
-    mean_p, mean_score = select(*args, "mean_shift", variance, most)
-    res_p, res_score = select(*args, "residual", variance, most)
-    mean_model = fit(family, mean_p, a, d.train_shift)
-    shift, shift_sd = predict(mean_model, b)
-    basis = linear.fit_basis(d.train_residual, variance, most)
-    scores, score_sd = predict(fit(family, res_p, a, basis.project(d.train_residual)), b)
-    template = np.repeat(d.baseline[None], len(b), axis=0)
-    shifted = template + shift[:, :1]
-    stds = {"template": None, "mean_shift": None, "full_map": None}
-    if shift_sd is not None and score_sd is not None:
-        stds["mean_shift"] = np.repeat(shift_sd[:, :1], template.shape[1], axis=1)
-        stds["full_map"] = np.sqrt(shift_sd[:, :1] ** 2 + score_sd**2 @ basis.components**2)
+    importance: np.ndarray | None = None
+    sign: np.ndarray | None = None
+
+
+def run_fold(w: Wafers, train: tuple, test, family: str, parameters: Sequence, share: float = SHARE, most: int = MOST) -> Fold:
+    """Everything that is fitted sees the lots ``train`` only."""
+    t, rows = w.training(train), w.of(test)
+    x, maps = t.standard(w.x[rows]), w.maps[rows]
+    by_shift, shift_error = chosen(w, train, family, parameters, False, share, most)
+    by_residual, residual_error = chosen(w, train, family, parameters, True, share, most)
+    components, explained = t.components(share, most)
+    model = w.fitted(train, family, by_shift)
+    shift, shift_sd = predict(model, x)
+    scores, score_sd = predict(w.fitted(train, family, by_residual, components), x)
+    plain = np.tile(t.template, (len(rows), 1))
+    true = plain + t.shift(maps)[:, None]
     stages = {
-        "template": template, "mean_shift": shifted, "full_map": shifted + basis.rebuild(scores),
-        "oracle_zero_residual": template + d.test_shift[:, None], "oracle_pca_reconstruction": template + d.test_shift[:, None] + basis.rebuild(basis.project(d.test_residual)),
+        "template": plain, "mean_shift": plain + shift[:, :1], "full_map": plain + shift[:, :1] + scores @ components,
+        "oracle_zero_residual": true, "oracle_pca_reconstruction": true + t.residual(maps) @ components.T @ components,
     }
-    importance = sign = None
-    if family in ("pls", "ridge"):
-        # In the order of all features; those left out as constant have none.
-        sign, importance = np.full(x.shape[1], np.nan), np.full(x.shape[1], np.nan)
-        sign[scaling.retained] = np.sign(mean_model.coefficients[:, 0])
-        importance[scaling.retained] = linear.vip(mean_model) if family == "pls" else np.abs(mean_model.coefficients[:, 0])
+    stds: dict[str, np.ndarray | None] = {}
+    if shift_sd is not None and score_sd is not None:
+        stds = {"mean_shift": np.tile(shift_sd[:, :1], (1, maps.shape[1])), "full_map": np.sqrt(shift_sd[:, :1] ** 2 + score_sd**2 @ components**2)}
     facts = {
-        "training_wafers": int(train.sum()), "test_wafers": int(test.sum()), "retained_features": int(scaling.retained.sum()), "mean_parameter": label(mean_p), "mean_inner_lot_macro_mae": mean_score,
-        "residual_parameter": label(res_p), "residual_inner_lot_macro_rmse": res_score, "residual_components": len(basis.components), "residual_explained_variance": basis.explained,
+        "training_wafers": t.moments.count, "test_wafers": len(rows), "retained_features": int(t.kept.sum()), "mean_parameter": label(by_shift), "mean_inner_lot_macro_mae": shift_error,
+        "residual_parameter": label(by_residual), "residual_inner_lot_macro_rmse": residual_error, "residual_components": len(components), "residual_explained_variance": explained,
     }
-    return Fold(stages, stds, facts, importance, sign, scaling.retained)
-
-
-# Spectral models: many more channels than wafers.
+    if family == "gpr":
+        return Fold(stages, stds, facts)
+    # In the order of all features; those left out as constant have none.
+    sign, importance = np.full((2, w.x.shape[1]), np.nan)
+    sign[t.kept] = np.sign(model.coefficients[:, 0])
+    importance[t.kept] = linear.vip(model) if family == "pls" else np.abs(model.coefficients[:, 0])
+    return Fold(stages, stds, facts, importance, sign)
 
 
-@dataclass(frozen=True)
-class CompactModel:
-    """Variance filter, scaling, principal components, ridge."""
-
-    scaling: linear.Scaling
-    mean: np.ndarray
-    axes: np.ndarray
-    ridge: linear.Affine
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.ridge.predict((self.scaling.apply(x) - self.mean) @ self.axes.T)
-
-
-def fit_compact(x, y, components: int, alpha: float) -> CompactModel:
-    scaling = linear.fit_scaling(x, 1e-18)
-    z = scaling.apply(x)
-    mean, axes, _ = linear.principal_components(z, min(components, len(z) - 1, z.shape[1]))
-    return CompactModel(scaling, mean, axes, linear.fit_ridge((z - mean) @ axes.T, y, alpha))
-
-
-def select_compact(x, maps, lots, candidates: Sequence[tuple[int, float]]) -> tuple[tuple[int, float], float]:
-    """The (components, alpha) with the least lot-macro error of the shift; one decomposition per inner fold serves all."""
-    scores = {c: [] for c in candidates}
-    for lot in np.unique(lots):
-        train = lots != lot
-        d = linear.decompose_maps(maps[train], maps[~train])
-        scaling = linear.fit_scaling(x[train], 1e-18)
-        z, v = scaling.apply(x[train]), scaling.apply(x[~train])
-        mean, axes, _ = linear.principal_components(z, min(max(c[0] for c in candidates), len(z) - 1, z.shape[1]))
-        a, b = (z - mean) @ axes.T, (v - mean) @ axes.T
-        for k, alpha in candidates:
-            p = linear.fit_ridge(a[:, :k], d.train_shift, alpha).predict(b[:, :k])[:, 0]
-            scores[k, alpha].append(np.abs(p - d.test_shift).mean())
-    best = min(candidates, key=lambda c: (float(np.mean(scores[c])), f"pca={c[0]},alpha={c[1]:g}"))
-    return best, float(np.mean(scores[best]))
-
-
-def run_fused_fold(x, spectra, maps, lots, train, test, pls: Sequence, candidates: Sequence[tuple[int, float]], variance: float = 0.90, most: int = 8) -> tuple[dict[str, np.ndarray], dict]:
+def run_fused_fold(w: Wafers, spectra: np.ndarray, train: tuple, test, pls: Sequence, candidates: Sequence[tuple[int, float]], share: float = SHARE, most: int = MOST) -> Fold:
     """Spectra predict the shift, process features the residual."""
-    d = linear.decompose_maps(maps[train], maps[test])
-    (k, alpha), score = select_compact(spectra[train], maps[train], lots[train], candidates)
-    shift = fit_compact(spectra[train], d.train_shift, k, alpha).predict(spectra[test])[:, :1]
-    scaling = linear.fit_scaling(x[train])
-    res_p, res_score = select(x[train], maps[train], lots[train], "pls", pls, "residual", variance, most)
-    basis = linear.fit_basis(d.train_residual, variance, most)
-    model = fit("pls", res_p, scaling.apply(x[train]), basis.project(d.train_residual))
-    template = np.repeat(d.baseline[None], int(test.sum()), axis=0)
-    full = template + shift + basis.rebuild(model.predict(scaling.apply(x[test])))
-    return {"template": template, "mean_shift": template + shift, "full_map": full}, {"spectral_setting": f"pca={k},alpha={alpha:g}", "spectral_inner_mae": score, "residual_parameter": label(res_p), "residual_inner_lot_macro_rmse": res_score}
+
+    def by_spectra(names: tuple, of, some: Sequence[tuple[int, float]]) -> dict[tuple[int, float], np.ndarray]:
+        rows = w.of(*names)
+        return linear.shrunken(spectra[rows], w.training(names).shift(w.maps[rows]), spectra[w.of(of)], some)
+
+    errors = {c: [] for c in candidates}
+    for n in train:
+        rest = tuple(x for x in train if x != n)
+        true = w.training(rest).shift(w.maps[w.of(n)])
+        for c, p in by_spectra(rest, n, candidates).items():
+            errors[c].append(np.abs(p - true).mean())
+    named = lambda c: f"pca={c[0]},alpha={c[1]:g}"
+    best = min(candidates, key=lambda c: (float(np.mean(errors[c])), named(c)))
+    t, rows = w.training(train), w.of(test)
+    parameter, error = chosen(w, train, "pls", pls, True, share, most)
+    components, _ = t.components(share, most)
+    plain = np.tile(t.template, (len(rows), 1))
+    shifted = plain + by_spectra(train, test, [best])[best][:, None]
+    full = shifted + w.fitted(train, "pls", parameter, components).predict(t.standard(w.x[rows])) @ components
+    facts = {"spectral_setting": named(best), "spectral_inner_mae": float(np.mean(errors[best])), "residual_parameter": label(parameter), "residual_inner_lot_macro_rmse": error}
+    return Fold({"template": plain, "mean_shift": shifted, "full_map": full}, {}, facts)
 
 
 # Causal replay.
 
 
-@dataclass
-class CausalState:
-    """What is fitted on the lots before a test lot, and frozen."""
-
-    scaling: linear.Scaling
-    d: linear.Decomposition
-    basis: linear.Basis
-    x_train: np.ndarray
-    scores: np.ndarray
-    mean_parameter: float
-    residual_parameter: float
-
-    def models(self, extra_x=(), extra_shift=(), extra_scores=(), residual_too: bool = True):
-        x = np.vstack([self.x_train, *extra_x]) if len(extra_x) else self.x_train
-        y = np.concatenate([self.d.train_shift, extra_shift]) if len(extra_shift) else self.d.train_shift
-        mean = fit("pls", self.mean_parameter, x, y)
-        if not residual_too:
-            return mean, None
-        s = np.vstack([self.scores, *extra_scores]) if len(extra_scores) else self.scores
-        return mean, fit("pls", self.residual_parameter, x, s)
-
-    def predict(self, x, mean, residual) -> np.ndarray:
-        return self.d.baseline + mean.predict(x)[:, :1] + self.basis.rebuild(residual.predict(x))
-
-
-def causal_state(x, maps, lots, train, parameters: Sequence, variance: float = 0.90, most: int = 8) -> CausalState:
-    d = linear.decompose_maps(maps[train], maps[train])
-    scaling = linear.fit_scaling(x[train])
-    mean_p, _ = select(x[train], maps[train], lots[train], "pls", parameters, "mean_shift", variance, most)
-    res_p, _ = select(x[train], maps[train], lots[train], "pls", parameters, "residual", variance, most)
-    basis = linear.fit_basis(d.train_residual, variance, most)
-    return CausalState(scaling, d, basis, scaling.apply(x[train]), basis.project(d.train_residual), mean_p, res_p)
-
-
-def replay(state: CausalState, x_test, targets, measured, feedback: str, alpha: float = 0.3) -> tuple[np.ndarray, np.ndarray, int]:
-    """(predictions, system errors, updates) of wafers in order; what a measured wafer teaches holds from the next one on.
-
-    F0 changes nothing, F1 an additive bias, F2 refits the shift, F3 the shift and the residual.
-    """
-    if feedback not in ("F0", "F1", "F2", "F3"):
-        raise ValueError(f"unknown feedback: {feedback}")
-    mean, residual = state.models()
-    extra_x, extra_shift, extra_scores = [], [], []
-    bias, updates, predictions, errors = 0.0, 0, [], []
-    for x, target, taken in zip(x_test, targets, measured):
-        frozen = state.predict(x[None], mean, residual)[0]
-        p = frozen + bias if feedback == "F1" else frozen
-        predictions.append(p)
-        errors.append(0.0 if taken else float(np.abs(p - target).mean()))
-        if not taken or feedback == "F0":
-            continue
-        updates += 1
+@dataclass(frozen=True)
+class Known:
+    """What a replay knows before a wafer: moments of standard features with shifts, and with components; the bias; how often it has learnt."""
+
+    shifts: linear.Moments
+    scores: linear.Moments
+    bias: float = 0.0
+    updates: int = 0
+
+
+class Causal:
+    """Models of the lots before a test lot. Scales, template and components stay as they are; feedback changes what is ``Known``."""
+
+    def __init__(self, w: Wafers, train: tuple, parameters: Sequence, share: float = SHARE, most: int = MOST):
+        self.t = w.training(train)
+        self.components, _ = self.t.components(share, most)
+        self.by_shift, _ = chosen(w, train, "pls", parameters, False, share, most)
+        self.by_residual, _ = chosen(w, train, "pls", parameters, True, share, most)
+        (shifts, self.features), (scores, _) = self.t.explaining(None), self.t.explaining(self.components)
+        self.start = Known(shifts, scores)
+
+    def predicted(self, known: Known, x: np.ndarray) -> np.ndarray:
+        """Maps of raw features."""
+        z = self.t.standard(np.atleast_2d(x))
+        shift = linear.partial_least_squares(known.shifts, self.features, self.by_shift).predict(z)
+        scores = linear.partial_least_squares(known.scores, self.features, self.by_residual).predict(z)
+        return self.t.template + shift + scores @ self.components
+
+    def taught(self, known: Known, feedback: str, x: np.ndarray, target: np.ndarray, predicted: np.ndarray, alpha: float) -> Known:
+        """F0 learns nothing, F1 an additive bias, F2 refits the shift, F3 the shift and the residual."""
+        if feedback == "F0":
+            return known
+        known = replace(known, updates=known.updates + 1)
         if feedback == "F1":
-            bias = alpha * float((target - frozen).mean()) + (1 - alpha) * bias
-            continue
-        extra_x.append(x[None])
-        extra_shift.append(float(target.mean() - state.d.reference))
-        extra_scores.append(state.basis.project((target - target.mean() - state.d.template)[None]))
-        again = state.models(extra_x, extra_shift, extra_scores, residual_too=feedback == "F3")
-        mean = again[0]
-        if again[1] is not None:
-            residual = again[1]
-    return np.array(predictions), np.array(errors), updates
+            return replace(known, bias=(1 - alpha) * known.bias + alpha * float((target - predicted).mean()))
+        z, apart = self.t.standard(x[None])[0], target - self.t.template
+        known = replace(known, shifts=known.shifts + linear.Moments.of([*z, *(apart @ self.t.targets(None))]))
+        return known if feedback == "F2" else replace(known, scores=known.scores + linear.Moments.of([*z, *(apart @ self.t.targets(self.components))]))
+
+
+def replay(model: Causal, x: np.ndarray, targets: np.ndarray, measured: np.ndarray, feedback: str, alpha: float = 0.3) -> tuple[np.ndarray, np.ndarray, int]:
+    """(predictions, system errors, updates) of wafers in order; what a measured wafer teaches holds from the next one on."""
+    if feedback not in ("F0", "F1", "F2", "F3"):
+        raise ValueError(f"no such feedback: {feedback}")
+    known, out = model.start, []
+    learns = np.asarray(measured, bool) & (feedback in ("F2", "F3"))
+    # Between two refits nothing but the bias changes: the wafers up to the next one are predicted together.
+    at = np.concatenate(([0], np.flatnonzero(learns) + 1, [len(x)]))
+    for lo, hi in zip(at[:-1], at[1:]):
+        plain = model.predicted(known, x[lo:hi]) if hi > lo else np.zeros((0, targets.shape[1]))
+        for i, p in enumerate(plain, lo):
+            out.append(p + known.bias)
+            if measured[i]:
+                known = model.taught(known, feedback, x[i], targets[i], p, alpha)
+    predictions = np.array(out).reshape(len(x), -1)
+    return predictions, np.where(measured, 0.0, np.abs(predictions - targets).mean(axis=1)), known.updates

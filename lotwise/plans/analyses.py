@@ -68,19 +68,18 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         held = int(key[0])
         g, x, maps, lots = models._sorted(g)
-        train = lots != held
-        scaling = linear.fit_scaling(x[train])
-        z = scaling.apply(x)
+        w, train = evaluate.Wafers(x, maps, lots), lots != held
+        names = tuple(n for n in w.names if n != held)
+        t = w.training(names)
+        z = t.standard(x)
         mean, axes, _ = linear.principal_components(z[train], min(components, int(train.sum()) - 1, z.shape[1]))
         c = (z - mean) @ axes.T
-        d = linear.decompose_maps(maps[train], maps)
-        basis = linear.fit_basis(d.train_residual)
+        maps_of, _ = t.components(evaluate.SHARE, evaluate.MOST)
         full = {}
         for f, candidates in params.items():
-            mp, _ = evaluate.select(x[train], maps[train], lots[train], f, candidates, "mean_shift", 0.9, 8)
-            rp, _ = evaluate.select(x[train], maps[train], lots[train], f, candidates, "residual", 0.9, 8)
-            shift = evaluate.predict(evaluate.fit(f, mp, z[train], d.train_shift), z)[0][:, :1]
-            full[f] = d.baseline + shift + basis.rebuild(evaluate.predict(evaluate.fit(f, rp, z[train], basis.project(d.train_residual)), z)[0])
+            shift = w.fitted(names, f, evaluate.chosen(w, names, f, candidates, False)[0]).predict(z)
+            scores = w.fitted(names, f, evaluate.chosen(w, names, f, candidates, True)[0], maps_of).predict(z)
+            full[f] = t.template + shift + scores @ maps_of
         apart = np.sqrt(((full["pls"] - full["ridge"]) ** 2).mean(axis=1))
         error = np.abs(full["pls"] - maps).mean(axis=1)
         center = c[train].mean(axis=0)

@@ -68,8 +68,8 @@ def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"),
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         held, family, name = int(key[0]), key[1], key[2]
         g, x, maps, lots = _sorted(g)
-        test = lots == held
-        return _emit(g, test, held, family, name, evaluate.run_fold(x, maps, lots, ~test, test, family, params[family], variance, most), maps)
+        w = evaluate.Wafers(x, maps, lots)
+        return _emit(g, lots == held, held, family, name, evaluate.run_fold(w, tuple(n for n in w.names if n != held), held, family, params[family], variance, most), maps)
 
     return _fold_rows(rows, families, forward, least_lots).groupBy("held_out_lot", "family", ablation).applyInPandas(run, FACTS)
 
@@ -133,9 +133,9 @@ def fused_spectra(rows: DataFrame, spectra: DataFrame, pls: Sequence = PARAMETER
         held = int(key[0])
         g, x, maps, lot = _sorted(g)
         s = np.stack(g["spectrum"].to_numpy()).astype(float)
-        test = lot == held
-        stages, facts = evaluate.run_fused_fold(x, s, maps, lot, ~test, test, tuple(pls), tuple(candidates))
-        return _emit(g, test, held, "oes_mean_process_residual", "all", evaluate.Fold(stages, {}, facts, None, None, np.zeros(0)), maps)
+        w = evaluate.Wafers(x, maps, lot)
+        fold = evaluate.run_fused_fold(w, s, tuple(n for n in w.names if n != held), held, tuple(pls), tuple(candidates))
+        return _emit(g, lot == held, held, "oes_mean_process_residual", "all", fold, maps)
 
     return j.groupBy("held_out_lot").applyInPandas(run, FACTS)
 
@@ -158,15 +158,16 @@ def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[s
         lot, feedback = int(key[0]), key[1]
         g, x, maps, lot_of = _sorted(g)
         test = lot_of == lot
-        state = evaluate.causal_state(x, maps, lot_of, ~test, tuple(parameters))
-        z, targets, own = state.scaling.apply(x[test]), maps[test], g[test]
-        frozen = state.predict(z, *state.models())
+        w = evaluate.Wafers(x, maps, lot_of)
+        model = evaluate.Causal(w, tuple(n for n in w.names if n != lot), tuple(parameters))
+        targets, own = maps[test], g[test]
+        frozen = model.predicted(model.start, x[test])
         true = np.abs(frozen - targets).mean(axis=1)
         picks = [dict(p) if p is not None else {} for p in own["picks"]]
         out = []
         for budget in sorted({b for p in picks for b in p}):
             measured = np.array([bool(p.get(budget, False)) for p in picks])
-            _, errors, updates = evaluate.replay(state, z, targets, measured, feedback, alpha)
+            _, errors, updates = evaluate.replay(model, x[test], targets, measured, feedback, alpha)
             out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates) for i, (k, m, t, e) in enumerate(zip(own["experiment_key"], measured, true, errors))]
         return pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
 

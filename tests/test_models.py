@@ -33,21 +33,64 @@ def test_vip_finds_the_feature():
     assert v.argmax() == 0 and v[0] > 1 and (v**2).sum() == pytest.approx(4)
 
 
-def test_decomposition_and_basis_rebuild():
+def training(x, maps):
+    w = evaluate.Wafers(np.asarray(x, float), np.asarray(maps, float), np.zeros(len(x), int))
+    return w.training((0,))
+
+
+def test_maps_are_template_shift_and_residual():
     m = np.array([[10, 11, 12], [10.5, 11.6, 12.4], [9.8, 10.7, 11.9]])
-    d = linear.decompose_maps(m, m)
-    assert np.allclose(d.reference + d.template + d.test_shift[:, None] + d.test_residual, m)
-    b = linear.fit_basis(d.train_residual, 1.0)
-    assert np.allclose(b.rebuild(b.project(d.train_residual)), d.train_residual)
+    t = training([[0.0], [1.0], [2.0]], m)
+    assert np.allclose(t.template, m.mean(0)) and np.allclose(t.template + t.shift(m)[:, None] + t.residual(m), m) and t.level == pytest.approx(m.mean())
+    components, share = t.components(1.0, 8)
+    r = t.residual(m)
+    assert share == pytest.approx(1) and np.allclose(r @ components.T @ components, r) and np.allclose(r.mean(0), 0) and np.allclose(r.mean(1), 0)
     with pytest.raises(ValueError):
-        linear.decompose_maps(m, m[:, :2])
+        training([[0.0], [1.0]], [[1.0, 2.0], [1.0, np.nan]])
+
+
+def test_components_are_those_of_the_residuals():
+    r = np.random.default_rng(5)
+    m = r.normal(size=(30, 7)) * [5, 4, 3, 2, 1, 1, 1] + 100
+    t = training(r.normal(size=(30, 2)), m)
+    _, axes, variance = linear.principal_components(t.residual(m), 7)
+    for share in (0.5, 0.9, 0.99):
+        got, reached = t.components(share, 4)
+        assert reached == pytest.approx(variance[: len(got)].sum() / variance.sum()) and (len(got) == 4 or reached >= share)
+        assert np.allclose(np.abs((got * axes[: len(got)]).sum(1)), 1)
 
 
 def test_constant_features():
-    s = linear.fit_scaling(np.array([[1.0, 5.0], [2.0, 5.0], [3.0, 5.0]]))
-    assert s.retained.tolist() == [True, False]
-    with pytest.raises(ValueError, match="constant"):
-        linear.fit_scaling(np.ones((3, 2)))
+    assert training([[1.0, 5.0], [2.0, 5.0], [3.0, 5.0]], np.eye(3)).kept.tolist() == [True, False]
+    with pytest.raises(ValueError, match="varies"):
+        training(np.ones((3, 2)), np.eye(3))
+
+
+def test_moments_of_folds_are_differences():
+    r = np.random.default_rng(6)
+    x, maps, lots = r.normal(size=(40, 6)) + 50, r.normal(size=(40, 5)) + 900, np.arange(40) % 4
+    x[lots != 2, 3] = 17.25  # varies in one lot only
+    w = evaluate.Wafers(x, maps, lots)
+    train = lots != 2
+    t = w.training((0, 1, 3))
+    keep = [0, 1, 2, 4, 5]
+    z = (x[train][:, keep] - x[train][:, keep].mean(0)) / x[train][:, keep].std(0)
+    assert t.kept.tolist() == [i in keep for i in range(6)] and np.allclose(t.standard(x[train]), z)
+    for family, direct in (("ridge", linear.fit_ridge), ("pls", linear.fit_pls)):
+        for components, y in ((None, maps[train].mean(1) - maps[train].mean()), (t.components(0.9, 3)[0], t.residual(maps[train]) @ t.components(0.9, 3)[0].T)):
+            a, b = w.fitted((0, 1, 3), family, 2, components), direct(z, y, 2)
+            assert np.allclose(a.predict(z), b.predict(z)) and np.allclose(a.coefficients, b.coefficients)
+
+
+def test_one_decomposition_serves_all_settings():
+    r = np.random.default_rng(7)
+    x, new, y = r.normal(size=(12, 60)), r.normal(size=(5, 60)), r.normal(size=12)
+    x[:, 3] = new[:, 3] = 1
+    keep = [i for i in range(60) if i != 3]
+    z, v = ((a[:, keep] - x[:, keep].mean(0)) / x[:, keep].std(0) for a in (x, new))
+    for (k, alpha), p in linear.shrunken(x, y, new, [(2, 1.0), (5, 10.0), (40, 0.1)]).items():
+        _, axes, _ = linear.principal_components(z, min(k, 11))
+        assert np.allclose(p, linear.fit_ridge(z @ axes.T, y, alpha).predict(v @ axes.T)[:, 0])
 
 
 def test_process_interpolates_and_knows_its_noise():
@@ -108,16 +151,16 @@ def test_fused_spectra(spark):
 def test_feedback_only_changes_what_comes_later(spark):
     w = wafers(5, 4)
     x, maps, lots = np.array([r[2] for r in w]), np.array([r[3] for r in w]), np.array([r[1] for r in w])
-    train = lots < 5
-    state = evaluate.causal_state(x, maps, lots, train, (1, 2))
-    z, targets, measured = state.scaling.apply(x[~train]), maps[~train] + 0.5, np.array([False, True, False, True])
-    base, _, n0 = evaluate.replay(state, z, targets, measured, "F0")
+    test = lots == 5
+    model = evaluate.Causal(evaluate.Wafers(x, maps, lots), (1, 2, 3, 4), (1, 2))
+    z, targets, measured = x[test], maps[test] + 0.5, np.array([False, True, False, True])
+    base, _, n0 = evaluate.replay(model, z, targets, measured, "F0")
     assert n0 == 0
     for f in ("F1", "F2", "F3"):
-        p, e, n = evaluate.replay(state, z, targets, measured, f)
+        p, e, n = evaluate.replay(model, z, targets, measured, f)
         assert n == 2 and np.allclose(p[:2], base[:2]) and not np.allclose(p[2], base[2]) and (e[measured] == 0).all()
     with pytest.raises(ValueError):
-        evaluate.replay(state, z, targets, measured, "F9")
+        evaluate.replay(model, z, targets, measured, "F9")
 
 
 def test_feedback_job(spark):
