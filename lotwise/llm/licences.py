@@ -149,7 +149,10 @@ def weights(files: DataFrame, text: str, forms: Mapping[str, Sequence[str]]) ->
     """((form, licence, term, idf, tw), the frequency weight of a word of no file): idf over all files, tw of unit length in each form."""
     spark = files.sparkSession
     rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, v in sorted(forms.items()) for t in v)]
-    t = spark.createDataFrame(rows, "form int, licence string, t string").select("form", "licence", F.explode(terms_of(F.lower("t"))).alias("term"))
+    listed = F.array(*[F.struct(F.lit(i).alias("form"), F.lit(k).alias("licence"), F.lit(t).alias("t")) for i, k, t in rows])
+    if not rows:
+        listed = listed.cast("array<struct<form:int,licence:string,t:string>>")
+    t = spark.range(1).select(F.explode(listed).alias("x")).select("x.form", "x.licence", F.explode_outer(terms_of(F.lower("x.t"))).alias("term"))
     t = written(t.groupBy("form", "licence", "term").agg(F.count("*").alias("n")), "licence-terms")
     # Outer, as of others the optimizer also asks whether they are empty, by doing the work twice.
     found = files.select(F.explode_outer(F.array_distinct(terms_of(lowered(F.col(text))))).alias("term"))
