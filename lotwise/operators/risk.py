@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import l2_distance, safe_divide, spearman
+from lotwise.operators.resample import rankings
 
 
 def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, by: Sequence[str] = (), out: str = "percentile") -> DataFrame:
@@ -50,11 +53,43 @@ def standardized(vectors_long: DataFrame, fold: str = "held_out_lot", train: str
     return vectors_long.join(s, [fold, "feature"]).withColumn("z", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s", "_v")
 
 
-def nearest_training_distance(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x") -> DataFrame:
-    """(fold, key, ood_distance): distance to the nearest training row of the fold other than the row itself."""
-    t = vectors.filter(train).select(F.col(fold).alias("_f"), F.col(key).alias("_k"), F.col(x).alias("_x"))
-    j = vectors.join(t, (F.col(fold) == F.col("_f")) & (F.col(key) != F.col("_k")))
-    return j.groupBy(fold, key).agg(F.min(l2_distance(F.col(x), F.col("_x"))).alias("ood_distance"))
+#: Vectors of either side that one task compares with each other.
+BLOCK = 4096
+
+
+def _nearest(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
+    """The least distance from each row of q to a row of t of another key, dimension by dimension: exact, and no matrix but one."""
+    x, y = np.stack(q["x"].to_numpy()), np.stack(t["tx"].to_numpy())
+    square = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        square += (x[:, j, None] - y[None, :, j]) ** 2
+    square[q["k"].to_numpy()[:, None] == t["tk"].to_numpy()[None]] = np.inf
+    return np.sqrt(square.min(axis=1))
+
+
+def nearest_training_distance(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK) -> DataFrame:
+    """(fold, key, ood_distance): distance to the nearest training row of the fold other than the row itself.
+
+    Blocks of rows meet blocks of training rows of their fold, a pair of blocks a task; the least of a row's blocks
+    counts. Rows of a fold without any other training row are left out.
+    """
+    rows = vectors.select(F.col(fold).alias("f"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(train).alias("t"))
+    most = rows.groupBy("f").count().agg(F.max("count")).first()[0] or 1
+    blocks = -(-most // block)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    q = rows.select("f", "k", "x", own.alias("a"), every.alias("b"))
+    t = rows.filter("t").select(F.col("f").alias("tf"), F.col("k").alias("tk"), F.col("x").alias("tx"), own.alias("tb")).select("tf", "tk", "tx", every.alias("ta"), "tb")
+
+    def least(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return q[["f", "k"]].head(0).assign(d=np.zeros(0))
+        d = _nearest(q, t)
+        return q[["f", "k"]].assign(d=d)[np.isfinite(d)]
+
+    kinds = f"f {vectors.schema[fold].dataType.simpleString()}, k {vectors.schema[key].dataType.simpleString()}, d double"
+    d = q.groupBy("f", "a", "b").cogroup(t.groupBy("tf", "ta", "tb")).applyInPandas(least, kinds)
+    return d.groupBy("f", "k").agg(F.min("d").alias("ood_distance")).select(F.col("f").alias(fold), F.col("k").alias(key), "ood_distance")
 
 
 def model_disagreement(points: DataFrame, a: str = "pls", b: str = "ridge", keys: Sequence[str] = ("lot_number", "experiment_key")) -> DataFrame:
@@ -118,15 +153,67 @@ def aurc(wafers: DataFrame, score: str = "score", error: str = "error", by: Sequ
 
 
 def periodic_aurc(wafers: DataFrame, error: str = "error", by: Sequence[str] = ("lot_number",), order: str = "wafer_order") -> DataFrame:
-    """The area for even spacing, whose selection is made anew for each count."""
-    w = Window.partitionBy(*by)
-    r = wafers.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w).cast("int")})
-    r = r.withColumn("_count", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    r = r.filter(~F.array_contains(periodic_places(F.col("_n"), F.col("_count")), F.col("_i"))).groupBy(*by, "_n", "_count").agg(F.avg(error).alias("_risk"))
+    """The area for even spacing, whose selection is made anew for each count.
+
+    A count below n spreads its places by more than one, so none repeats: what is kept is the lot's sum less the errors
+    at those places, which are looked up, not searched for.
+    """
+    g = wafers.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(error).cast("double").alias("e")))), lambda x: x["e"]).alias("_e"))
+    g = g.withColumn("_n", F.size("_e")).withColumn("_all", F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)).withColumn("_count", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    place = lambda i: rint(i * (F.col("_n") - 1) / F.greatest(F.col("_count") - 1, F.lit(1)).cast("double"))
+    taken = F.when(F.col("_count") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("_count") - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + F.get("_e", place(i)))).otherwise(0.0)
+    r = g.select(*by, "_n", "_count", ((F.col("_all") - taken) / (F.col("_n") - F.col("_count"))).alias("_risk"))
     ends = F.sum(F.when(F.col("_count") == 0, F.col("_risk")).otherwise(0.0)) + F.sum(F.when(F.col("_count") == F.col("_n") - 1, F.col("_risk")).otherwise(0.0))
     return r.groupBy(*by).agg(F.when(F.first("_n") > 1, (F.sum("_risk") - ends / 2) / (F.first("_n") - 1)).otherwise(F.first("_risk")).alias("aurc"))
 
 
+def _areas(errors: np.ndarray) -> np.ndarray:
+    """The area under the curve of retained error of each row of errors in the order of measuring."""
+    n = errors.shape[1]
+    risk = np.cumsum(errors[:, ::-1], axis=1)[:, ::-1] / np.arange(n, 0, -1)
+    return risk[:, 0] if n == 1 else (risk.sum(axis=1) - (risk[:, 0] + risk[:, -1]) / 2) / (n - 1)
+
+
+RANDOM = "lot_number int, aurc double, random_p025 double, random_p975 double, budgets array<struct<requested_budget:double,selected_wafers:long,actual_metrology_fraction:double,retained_mae:double>>"
+
+
+def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260721, budgets: Sequence[float] = (), error: str = "error", order: str = "wafer_order") -> DataFrame:
+    """(lot_number, aurc, random_p025, random_p975, budgets): measuring in random order, over so many seeded orders of each lot.
+
+    aurc and the budgets' retained errors are means over the orders, the others percentiles of their areas. A task
+    holds some hundred thousand places at a time, whatever the lot and the number of orders.
+    """
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        e = g.sort_values("o")["e"].to_numpy(float)
+        n, draw, areas = len(e), np.random.default_rng([seed, int(key[0])]), []
+        chosen = [min(int(np.rint(b * n)), n - 1) for b in budgets]
+        kept = np.zeros(len(chosen))
+        step = max(1, 400_000 // n)
+        for at in range(0, replicates, step):
+            some = e[draw.random((min(step, replicates - at), n)).argsort(axis=1)]
+            areas.append(_areas(some))
+            kept += [some[:, k:].mean(axis=1).sum() for k in chosen]
+        areas = np.concatenate(areas)
+        low, high = np.quantile(areas, (0.025, 0.975))
+        listed = [{"requested_budget": float(b), "selected_wafers": k, "actual_metrology_fraction": k / n, "retained_mae": float(m / replicates)} for b, k, m in zip(budgets, chosen, kept)]
+        return pd.DataFrame([(int(key[0]), float(areas.mean()), float(low), float(high), listed)], columns=["lot_number", "aurc", "random_p025", "random_p975", "budgets"])
+
+    return wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), F.col(error).alias("e")).groupBy("lot_number").applyInPandas(run, RANDOM)
+
+
+def every_order(wafers: DataFrame, most: int = 8, error: str = "error", order: str = "wafer_order") -> DataFrame:
+    """(lot_number, permutation, aurc): every order of measuring the lots of at most ``most`` wafers; larger lots are left out."""
+    w = Window.partitionBy("lot_number")
+    small = wafers.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(order)) - 1}).filter(F.col("_n") <= most)
+    out = None
+    for r in small.select("_n").distinct().collect():  # at most 8 sizes
+        one = small.filter(F.col("_n") == r[0]).join(F.broadcast(rankings(wafers.sparkSession, r[0])), F.col("_i") == F.col("item"))  # n! n rows
+        one = aurc(one.withColumn("_s", -F.col("position")), "_s", error, ["lot_number", "permutation"], order)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else wafers.limit(0).select("lot_number", F.lit(0).alias("permutation"), F.col(error).cast("double").alias("aurc"))
+
+
 def score_correlations(scores_long: DataFrame, by: Sequence[str], key: str = "experiment_key") -> DataFrame:
     """(by, score_a, score_b, n, spearman) of every pair of scores(by, key, score, value)."""
     a = scores_long.select(*by, key, F.col("score").alias("score_a"), F.col("value").alias("a"))
@@ -141,7 +228,7 @@ def policy_influence(lot_summary: DataFrame, excluded_lot: int = 8, baseline: st
     median = p.groupBy("policy").agg(F.median(F.col("aurc") - F.col("_base")).alias("median_policy_minus_random"))
     lots = lot_summary.select(F.col("lot_number").alias("_removed")).distinct()
     removed = lots.select("_removed", F.col("_removed").cast("string").alias("removed_lot")).unionByName(lots.sparkSession.range(1).select(F.lit(None).cast("int").alias("_removed"), F.lit("none").alias("removed_lot")))
-    j = p.join(F.broadcast(removed), F.col("_removed").isNull() | (F.col("lot_number") != F.col("_removed")))
+    j = p.join(removed, F.col("_removed").isNull() | (F.col("lot_number") != F.col("_removed")))
     g = j.groupBy("policy", "removed_lot").agg(F.avg("aurc").alias("macro_aurc"), F.avg("_base").alias("macro_random_aurc"), (1 - safe_divide(F.avg("aurc"), F.avg("_base"))).alias("relative_reduction_vs_random"), F.max("aurc").alias("worst_lot_aurc"), F.count_if(F.col("aurc") > F.col("_base")).alias("lots_worse_than_random"))
     return g.join(median, "policy").withColumn("excluded_lot_of_interest", F.lit(excluded_lot))
 

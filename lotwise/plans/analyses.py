@@ -105,10 +105,10 @@ def risk_scores(inputs: DataFrame, alpha: float = 0.3, redundancy: float = 0.90)
     return wide.join(test, ["held_out_lot", "experiment_key"])
 
 
-def policy_scores(scores: DataFrame, seed: int = 20260721) -> DataFrame:
-    """A row for each wafer and policy: the five percentiles, combined, oracle, random."""
+def policy_scores(scores: DataFrame) -> DataFrame:
+    """A row for each wafer and policy: the five percentiles, combined, oracle."""
     named = [F.struct(F.lit(n).alias("policy"), F.col(f"{n}_percentile").alias("score")) for n in SCORES]
-    named += [F.struct(F.lit("combined").alias("policy"), F.col("combined_risk").alias("score")), F.struct(F.lit("oracle").alias("policy"), F.col("error").alias("score")), F.struct(F.lit("random").alias("policy"), resample.uniform(F.lit(seed), F.col("experiment_key")).alias("score"))]
+    named += [F.struct(F.lit("combined").alias("policy"), F.col("combined_risk").alias("score")), F.struct(F.lit("oracle").alias("policy"), F.col("error").alias("score"))]
     w = metrics.wafer_ordinal(scores.select("experiment_key", "lot_number", "error", F.array(*named).alias("p")))
     return w.select("experiment_key", "lot_number", "wafer_order", "error", F.explode("p").alias("p")).select("experiment_key", "lot_number", "wafer_order", "error", "p.policy", "p.score")
 
@@ -116,15 +116,18 @@ def policy_scores(scores: DataFrame, seed: int = 20260721) -> DataFrame:
 def drift_risk(rows: DataFrame, budgets: Sequence[float] = (0.1, 0.2, 0.3), alpha: float = 0.3, components: int = 10, replicates: int = 10_000, seed: int = 20260721) -> dict[str, DataFrame]:
     """Which wafers to measure: scores, curves and areas by policy, what single lots do to them, and intervals against random.
 
-    'periodic' is even spacing; 'random' is one draw here, see ``resample.cluster_bootstrap`` and the Monte-Carlo query for more.
+    'periodic' is even spacing; 'random' is the mean over ``replicates`` orders of a lot, whose percentiles ``lots`` has as well.
     """
     # What the kernels made is used by every score; a row for each wafer and fold. The caller may unpersist ``scores``.
     scores = risk_scores(risk_inputs(rows, components).persist(), alpha).persist()
-    p = policy_scores(scores, seed)
+    p = policy_scores(scores)
     by = ["lot_number", "policy"]
     one = p.filter("policy = 'oracle'")
     lots = risk.aurc(p, by=by).unionByName(risk.periodic_aurc(one, by=["lot_number"]).withColumn("policy", F.lit("periodic")))
+    drawn = risk.random_policy(one, replicates, seed, budgets).withColumn("policy", F.lit("random"))
+    lots = lots.unionByName(drawn.drop("budgets"), allowMissingColumns=True)
     curves = risk.policy_curve(p, budgets, by=by).unionByName(risk.periodic_curve(one, budgets, by=["lot_number"]).withColumn("policy", F.lit("periodic")))
+    curves = curves.unionByName(drawn.select("lot_number", "policy", F.explode("budgets").alias("b")).select("lot_number", "policy", "b.*"))
     base = lots.filter("policy = 'random'").select("lot_number", F.col("aurc").alias("_random"))
     apart = lots.filter("policy <> 'random'").join(base, "lot_number").select("policy", "lot_number", (F.col("aurc") - F.col("_random")).alias("d"))
     samples = resample.cluster_bootstrap(apart, seed, replicates, "d", by=["policy"])

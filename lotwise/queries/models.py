@@ -111,7 +111,7 @@ def oes_early_fusion(spark, sf):
 @query("drift_risk")
 def drift_risk(spark, sf):
     """Mean areas under the risk curves, by policy."""
-    lots = analyses.drift_risk(rows(spark, sf), replicates=100)["lots"]
+    lots = analyses.drift_risk(rows(spark, sf))["lots"]
     return lots.groupBy("policy").agg(F.count("*").alias("lots"), r6(F.avg("aurc"), "macro_aurc"))
 
 
@@ -125,11 +125,11 @@ def _placed(spark, sf, facts):
 @query("spatial_gate")
 def spatial_gate(spark, sf):
     p, xy = _placed(spark, sf, models.evaluate_folds(rows(spark, sf), ("pls",)))
-    return analyses.spatial_decomposition(p, template.coordinate_zones(xy), replicates=500)["gate"]
+    return analyses.spatial_decomposition(p, template.coordinate_zones(xy))["gate"]
 
 
 @query("model_benchmark")
 def model_benchmark(spark, sf):
     facts = models.evaluate_folds(rows(spark, sf), ("pls", "gpr"))
     e = metrics.wafer_errors(models.points(facts), ["family", "stage", "experiment_key", "lot_number"])
-    return analyses.model_benchmark(e, models.points(facts), replicates=500)["summary"]
+    return analyses.model_benchmark(e, models.points(facts))["summary"]

@@ -96,7 +96,7 @@ def spearman_scores(spark, sf):
     return stats.spearman(facts(spark, sf), "error", "score", ["lot_number"]).select("lot_number", "n", r6("spearman"))
 
 
-@query("score_correlations", sql(FACTS + ", s AS (SELECT lot_number, experiment_key, score AS n, v FROM (SELECT lot_number, experiment_key, error, score AS spread, shift FROM facts) UNPIVOT (v FOR score IN (error, spread, shift))), prs AS (SELECT a.lot_number, a.n AS score_a, b.n AS score_b, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lot_number = b.lot_number AND a.experiment_key = b.experiment_key AND a.n < b.n), r AS (SELECT *, rank() OVER (PARTITION BY lot_number, score_a, score_b ORDER BY va) + (count(*) OVER (PARTITION BY lot_number, score_a, score_b, va) - 1) / 2.0 AS x, rank() OVER (PARTITION BY lot_number, score_a, score_b ORDER BY vb) + (count(*) OVER (PARTITION BY lot_number, score_a, score_b, vb) - 1) / 2.0 AS y FROM prs)", f"SELECT lot_number, score_a, score_b, count(*) AS n, {dr6('corr(x, y)', 'spearman')} FROM r GROUP BY ALL"))
+@query("score_correlations", sql(FACTS + ", s AS (SELECT lot_number, experiment_key, score AS n, v FROM (SELECT lot_number, experiment_key, error, score AS spread, shift FROM facts) UNPIVOT (v FOR score IN (error, spread, shift))), prs AS (SELECT a.lot_number, a.n AS score_a, b.n AS score_b, a.v AS va, b.v AS vb FROM s a JOIN s b ON a.lot_number = b.lot_number AND a.experiment_key = b.experiment_key AND a.n < b.n), r AS (SELECT *, rank() OVER (PARTITION BY lot_number, score_a, score_b ORDER BY va) + (count(*) OVER (PARTITION BY lot_number, score_a, score_b, va) - 1) / 2.0 AS x, rank() OVER (PARTITION BY lot_number, score_a, score_b ORDER BY vb) + (count(*) OVER (PARTITION BY lot_number, score_a, score_b, vb) - 1) / 2.0 AS y FROM prs)", f"SELECT lot_number, score_a, score_b, count(*) AS n, {dr6('CASE WHEN count(*) >= 3 THEN corr(x, y) END', 'spearman')} FROM r GROUP BY ALL"))
 def score_correlations(spark, sf):
     s = stats.unpivot(facts(spark, sf).withColumnRenamed("score", "spread"), ["lot_number", "experiment_key"], ["error", "spread", "shift"], "score")
     return risk.score_correlations(s, ["lot_number"]).select("lot_number", "score_a", "score_b", "n", r6("spearman"))
@@ -183,7 +183,7 @@ def policy_influence(spark, sf):
     return i.select("policy", "removed_lot", r6("macro_aurc"), r6("macro_random_aurc"), r6("relative_reduction_vs_random"), r6("worst_lot_aurc"), "lots_worse_than_random", r6("median_policy_minus_random"))
 
 
-_REPS = 2000
+_REPS = 10_000
 
 
 def _draws(table: str, n: str, reps: int = _REPS) -> str:
@@ -211,22 +211,23 @@ def wafer_weighted_bootstrap(spark, sf):
     return _interval(s.withColumn("statistic", 1 - F.col("statistic")))
 
 
-@query("random_policy_mc", sql(FACTS + ", m AS (SELECT f.*, rep, ('0x' || substr(md5(concat_ws('-', 11, rep, experiment_key)), 1, 8))::BIGINT % 4294967296 / 4294967296.0 AS s FROM facts f CROSS JOIN (SELECT unnest(range(200)) AS rep)), r AS (SELECT *, row_number() OVER (PARTITION BY lot_number, rep ORDER BY s DESC, wafer_order) AS rn, count(*) OVER (PARTITION BY lot_number, rep) AS n FROM m), s AS (SELECT *, avg(error) OVER (PARTITION BY lot_number, rep ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM r), a AS (SELECT lot_number, rep, " + _AURC + " AS aurc FROM s GROUP BY lot_number, rep)", f"SELECT lot_number, {dr6('avg(aurc)', 'mean_aurc')}, {dr6('quantile_cont(aurc, 0.025)', 'random_p025')}, {dr6('quantile_cont(aurc, 0.975)', 'random_p975')} FROM a GROUP BY lot_number"))
+@query("random_policy_mc")
 def random_policy_mc(spark, sf):
-    m = facts(spark, sf).crossJoin(spark.range(200).withColumnRenamed("id", "replicate")).withColumn("_s", resample.uniform(F.lit(11), F.col("replicate"), F.col("experiment_key")))
-    a = risk.aurc(m, "_s", by=["lot_number", "replicate"])
-    q = F.percentile("aurc", F.array(F.lit(0.025), F.lit(0.975)))
-    return a.groupBy("lot_number").agg(F.avg("aurc").alias("m"), q.alias("q")).select("lot_number", r6("m", "mean_aurc"), r6(F.col("q")[0], "random_p025"), r6(F.col("q")[1], "random_p975"))
+    """10,000 random orders of each lot; too many rows for SQL, tested against every order of a small lot."""
+    return risk.random_policy(facts(spark, sf), 10_000, 11).select("lot_number", r6("aurc", "mean_aurc"), r6("random_p025"), r6("random_p975"))
 
 
-@query("small_lot_permutations", sql(FACTS + ", e AS (SELECT lot_number, wafer_order - 1 AS i, error FROM facts WHERE wafer_order <= 4), prm AS (SELECT a.lot_number, [a.error, b.error, c.error, d.error] AS v FROM e a JOIN e b ON a.lot_number = b.lot_number AND a.i <> b.i JOIN e c ON a.lot_number = c.lot_number AND c.i NOT IN (a.i, b.i) JOIN e d ON a.lot_number = d.lot_number AND d.i NOT IN (a.i, b.i, c.i)), q AS (SELECT lot_number, ((v[1] + v[2] + v[3] + v[4]) / 4 / 2 + (v[2] + v[3] + v[4]) / 3 + (v[3] + v[4]) / 2 + v[4] / 2) / 3 AS aurc FROM prm)", f"SELECT lot_number, count(*) AS ranking_permutations, count(DISTINCT round(aurc, 9)) AS unique_aurc_values, {dr6('min(aurc)', 'best_aurc')}, {dr6('max(aurc)', 'worst_aurc')} FROM q GROUP BY lot_number HAVING count(*) = 24"))
+_SMALL = FACTS + """, sized AS (SELECT lot_number, wafer_order, error, count(*) OVER (PARTITION BY lot_number) AS n FROM facts), small AS (SELECT * FROM sized WHERE n <= 8),
+lined AS (SELECT DISTINCT lot_number, n, CAST([] AS BIGINT[]) AS used, CAST([] AS DOUBLE[]) AS v FROM small UNION ALL SELECT o.lot_number, o.n, list_append(used, wafer_order), list_append(v, error) FROM lined o JOIN small s ON s.lot_number = o.lot_number AND NOT list_contains(used, wafer_order)),
+whole AS (SELECT lot_number, n, list_transform(range(1, n + 1), lambda i: list_avg(v[i:])) AS risk FROM lined WHERE len(used) = n),
+q AS (SELECT lot_number, CASE WHEN n > 1 THEN (list_sum(risk) - (risk[1] + risk[n]) / 2) / (n - 1) ELSE risk[1] END AS aurc FROM whole)"""
+
+
+@query("small_lot_permutations", sql(_SMALL.replace("WITH ", "WITH RECURSIVE ", 1), f"SELECT lot_number, count(*) AS ranking_permutations, count(DISTINCT round(aurc, 9)) AS unique_aurc_values, {dr6('min(aurc)', 'best_aurc')}, {dr6('max(aurc)', 'worst_aurc')} FROM q GROUP BY lot_number"))
 def small_lot_permutations(spark, sf):
-    small = facts(spark, sf).filter("wafer_order <= 4")
-    r = resample.rankings(spark, 4)
-    m = small.join(F.broadcast(r), F.col("item") == F.col("wafer_order") - 1).withColumn("_s", -F.col("position"))
-    a = risk.aurc(m, "_s", by=["lot_number", "permutation"])
-    lots = small.groupBy("lot_number").count().filter("count = 4").select("lot_number")
-    return a.join(lots, "lot_number").groupBy("lot_number").agg(F.count("*").alias("ranking_permutations"), F.countDistinct(F.round("aurc", 9)).alias("unique_aurc_values"), r6(F.min("aurc"), "best_aurc"), r6(F.max("aurc"), "worst_aurc"))
+    """All orders of the lots of at most 8 wafers; none where there is no lot that small."""
+    a = risk.every_order(facts(spark, sf))
+    return a.groupBy("lot_number").agg(F.count("*").alias("ranking_permutations"), F.countDistinct(F.round("aurc", 9)).alias("unique_aurc_values"), r6(F.min("aurc"), "best_aurc"), r6(F.max("aurc"), "worst_aurc"))
 
 
 @query("simplex_grid", "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_index, a / 4.0 AS w1, b / 4.0 AS w2, c / 4.0 AS w3 FROM (SELECT unnest(range(5)) AS a) CROSS JOIN (SELECT unnest(range(5)) AS b) CROSS JOIN (SELECT unnest(range(5)) AS c) WHERE a + b + c = 4")

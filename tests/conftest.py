@@ -27,9 +27,20 @@ def duck():
     return con
 
 
+def plain(x):
+    """A value as either engine gives it: whole decimals are numbers, NaN is NULL."""
+    import math
+    from decimal import Decimal
+
+    if isinstance(x, Decimal):
+        return int(x) if x == int(x) else float(x)
+    if isinstance(x, float) and math.isnan(x):
+        return None
+    return [plain(v) for v in x] if isinstance(x, list) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
 def same_rows(spark_df, duck_rel) -> None:
-    a, b = spark_df.toPandas(), duck_rel.df()
-    assert sorted(a.columns) == sorted(b.columns)
-    c = sorted(a.columns)
-    rows = lambda d: sorted(map(repr, d[c].astype(object).where(d[c].notna(), None).itertuples(index=False, name=None)))
+    a, b = spark_df.toArrow(), duck_rel.to_arrow_table()
+    assert sorted(a.column_names) == sorted(b.column_names)
+    rows = lambda t: sorted(repr(tuple(plain(r[c]) for c in sorted(t.column_names))) for r in t.to_pylist())
     assert rows(a) == rows(b)

@@ -217,3 +217,60 @@ def test_best_lots(spark):
     rows = [("pls", lot, 1.0) for lot in (1, 2, 3)] + [("gpr", lot, 2.0) for lot in (1, 2, 3)]
     got = {r["family"]: r["best_lots"] for r in metrics.best_lot_counts(spark.createDataFrame(rows, "family string, lot_number int, mae double")).collect()}
     assert got == {"pls": 3, "gpr": 0}
+
+
+def lot_errors(spark, sizes):
+    r = np.random.default_rng(8)
+    rows = [(lot, i + 1, float(e)) for lot, n in enumerate(sizes) for i, e in enumerate(r.gamma(2, 1, n))]
+    return rows, spark.createDataFrame(rows, "lot_number int, wafer_order int, error double")
+
+
+def area(v):
+    risk = [sum(v[i:]) / len(v[i:]) for i in range(len(v))]
+    return risk[0] if len(v) == 1 else sum((a + b) / 2 for a, b in zip(risk, risk[1:])) / (len(v) - 1)
+
+
+def test_every_order_of_small_lots(spark):
+    from itertools import permutations
+
+    rows, df = lot_errors(spark, [1, 3, 6, 9])
+    got = risk.every_order(df).groupBy("lot_number").agg(F.sort_array(F.collect_list("aurc")).alias("a")).collect()
+    assert {x["lot_number"] for x in got} == {0, 1, 2}
+    for x in got:
+        assert np.allclose(x["a"], sorted(area(p) for p in permutations([e for lot, _, e in rows if lot == x["lot_number"]])))
+    assert risk.every_order(df.filter("lot_number = 3")).count() == 0
+
+
+def test_random_policy_is_the_mean_of_all_orders(spark):
+    from itertools import permutations
+
+    rows, df = lot_errors(spark, [1, 5, 40])
+    for x in risk.random_policy(df, 20_000, 3, (0.0, 0.4)).collect():
+        e = [v for lot, _, v in rows if lot == x["lot_number"]]
+        assert x["aurc"] == pytest.approx(np.mean(e), rel=0.02) and x["random_p025"] <= x["aurc"] + 1e-9 and x["aurc"] <= x["random_p975"] + 1e-9
+        assert x["budgets"][0]["retained_mae"] == pytest.approx(np.mean(e)) and x["budgets"][1]["retained_mae"] == pytest.approx(np.mean(e), rel=0.02)
+        if len(e) == 5:
+            low, high = np.quantile([area(p) for p in permutations(e)], (0.025, 0.975))
+            assert x["random_p025"] == pytest.approx(low, rel=0.03) and x["random_p975"] == pytest.approx(high, rel=0.03)
+
+
+def test_periodic_area_by_lookup(spark):
+    rows, df = lot_errors(spark, [1, 2, 3, 17, 50])
+    for x in risk.periodic_aurc(df).collect():
+        e = np.array([v for lot, _, v in rows if lot == x["lot_number"]])
+        n, kept = len(e), []
+        for k in range(n):
+            at = {int(np.rint(i * (n - 1) / max(k - 1, 1))) for i in range(k)}
+            kept.append(np.delete(e, sorted(at)).mean())
+        want = kept[0] if n == 1 else sum((a + b) / 2 for a, b in zip(kept, kept[1:])) / (n - 1)
+        assert x["aurc"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_nearest_training_rows(spark, block):
+    r = np.random.default_rng(9)
+    rows = [(f, f"w{i}", [float(v) for v in r.normal(size=3)], bool(i % 3)) for f in (1, 2) for i in range(20)] + [(3, "alone", [0.0, 0.0, 0.0], True)]
+    got = risk.nearest_training_distance(spark.createDataFrame(rows, "held_out_lot int, experiment_key string, x array<double>, is_train boolean"), block=block).collect()
+    want = {(f, k): min(np.linalg.norm(np.subtract(x, y)) for g, j, y, t in rows if g == f and j != k and t) for f, k, x, _ in rows if f < 3}
+    assert {(a["held_out_lot"], a["experiment_key"]) for a in got} == set(want)
+    assert all(a["ood_distance"] == pytest.approx(want[a["held_out_lot"], a["experiment_key"]]) for a in got)
