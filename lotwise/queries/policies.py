@@ -223,7 +223,7 @@ whole AS (SELECT lot_number, n, list_transform(range(1, n + 1), lambda i: list_a
 q AS (SELECT lot_number, CASE WHEN n > 1 THEN (list_sum(risk) - (risk[1] + risk[n]) / 2) / (n - 1) ELSE risk[1] END AS aurc FROM whole)"""
 
 
-@query("small_lot_permutations", sql(_SMALL.replace("WITH ", "WITH RECURSIVE ", 1), f"SELECT lot_number, count(*) AS ranking_permutations, count(DISTINCT round(aurc, 9)) AS unique_aurc_values, {dr6('min(aurc)', 'best_aurc')}, {dr6('max(aurc)', 'worst_aurc')} FROM q GROUP BY lot_number"))
+@query("small_lot_permutations", "WITH RECURSIVE " + _SMALL.replace("WITH ", "") + (f" SELECT lot_number, count(*) AS ranking_permutations, count(DISTINCT round(aurc, 9)) AS unique_aurc_values, {dr6('min(aurc)', 'best_aurc')}, {dr6('max(aurc)', 'worst_aurc')} FROM q GROUP BY lot_number"))
 def small_lot_permutations(spark, sf):
     """All orders of the lots of at most 8 wafers; none where there is no lot that small."""
     a = risk.every_order(facts(spark, sf))

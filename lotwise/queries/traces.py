@@ -123,7 +123,10 @@ def detector_comparison(spark, sf):
     return s.select("detector", "wafer_count", r6("median_cycle_count"), "minimum_cycle_count", "maximum_cycle_count", "outside_95_105", r6("median_absolute_cycle_deviation"), r6("mean_phase_overlap_fraction"), r6("mean_uncovered_active_fraction"))
 
 
-@query("selected_detector")
+_KEYS = "count(*) FILTER (NOT detected_cycle_count BETWEEN 95 AND 105) AS a, median(abs(detected_cycle_count - 100)) AS b, avg(phase_overlap_fraction) AS c, avg(uncovered_active_fraction) AS d"
+
+
+@query("selected_detector", "SELECT arg_min(detector, (a, b, c, d, place)) AS selected_detector FROM (" + " UNION ALL ".join(f"SELECT '{d}' AS detector, {i} AS place, {_KEYS} FROM ({sql(diagnostics_sql(d), 'SELECT * FROM diagnostics')})" for i, d in enumerate(segment.DETECTORS)) + ")")
 def selected_detector(spark, sf):
     return segment.selected_detector(segment.detector_summary(all_diagnostics(spark, sf)))
 
