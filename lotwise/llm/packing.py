@@ -57,12 +57,22 @@ def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     They are met by hash and compared byte by byte; one that only shares a hash is a kind of its own.
     """
     _, first, at = np.unique(segment_hashes(data, start, end), return_index=True, return_inverse=True)
-    size, model = end - start, first[at]
+    size = end - start
+    model = first[at]
     same = size == size[model]
-    n = np.where(same, size, 0)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    differ = data[np.repeat(start, n) + inside] != data[np.repeat(start[model], n) + inside]
-    same[np.repeat(np.arange(len(n)), n)[differ]] = False
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))  # eight bytes from each place
+    left = np.flatnonzero(same & (start != start[model]))
+    for i in left[size[left] > 64].tolist():
+        same[i] = padded[start[i] : end[i]].tobytes() == padded[start[model[i]] : end[model[i]]].tobytes()
+    left = left[size[left] <= 64]
+    a, b, n = start[left], start[model[left]], size[left]
+    while len(left):
+        mask = np.uint64(2**64 - 1) >> (8 * np.maximum(8 - n, 0)).astype(np.uint64)
+        differ = (words[a] ^ words[b]) & mask != 0
+        same[left[differ]] = False
+        more = ~differ & (n > 8)
+        left, a, b, n = left[more], a[more] + 8, b[more] + 8, n[more] - 8
     if not same.all():
         other = np.flatnonzero(~same)
         at[other] = len(first) + np.arange(len(other))
