@@ -7,6 +7,10 @@ whole are settled by that; only where surroundings differ, one of each kind is s
 gram meet in one task, which sorts their right sides (a suffix array), takes the common prefixes of neighbours, and scans them with a stack
 into the interval tree. Within an interval the left sides are sorted: where neighbours' left sides differ the repeat
 can't be extended to the left, and what they share with the interval's prefix is a maximal repeat.
+
+Grams that are far more frequent than others never meet in one task: their anchors are counted by gram and
+surroundings where they are, and if one gram has more differing surroundings than a sort should hold, each of these is
+told by the hashes of its windows of ``length`` bytes, which are counted in the same way.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.bytestext import buffers, mixed, segment_hashes, sliding, steps, window_hashes
+from lotwise.llm.shared import written
 
 LENGTH, GRAM = 200, 64
 #: Distinct surroundings of anchors that one sort takes, unless one gram has more.
 BLOCK = 30_000
+#: Grams are frequent if their bucket of so many has over HOT_ROWS anchors and over HOT_TIMES the mean: the buckets
+#: that are sent to all tasks are a HOT_TIMES-th of all at most.
+BUCKETS, HOT_ROWS, HOT_TIMES = 1 << 20, 10_000, 16
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +180,28 @@ def _emit_surroundings(length: int, gram: int):
     return run
 
 
+def _emit_windows(length: int, gram: int):
+    """(wh, h, c, t): the hash of each window of an anchor's surroundings, t bytes of it to the anchor's left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "t"):
+            data, offs = buffers(b.column(1))
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = b.column(2).flatten()
+            h, c = (flat.field(x).to_numpy() for x in "hc")
+            at = offs[row] + flat.field("pos").to_numpy().astype(np.int64)
+            for k in range(0, len(at), 4096):
+                part = slice(k, k + 4096)
+                t = np.arange(length - gram + 1)[None]
+                lo = at[part, None] - t
+                i, j = np.nonzero((lo >= offs[row[part], None]) & (lo + length <= offs[row[part] + 1, None]))
+                start = lo[i, j]
+                wh = mixed(segment_hashes(data, start, start + length) ^ mixed(h[part][i].view(np.uint64) + j.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(wh.view(np.int64)), pa.array(h[part][i]), pa.array(c[part][i]), pa.array(j.astype(np.int32))], ["wh", "h", "c", "t"])
+
+    return run
+
+
 def _emit_reach(length: int, gram: int):
     def block(table: pa.Table) -> pa.RecordBatch:
         left, right = table.column("l").to_pylist(), table.column("r").to_pylist()
@@ -224,7 +254,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], kind)], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _frequent(found: DataFrame) -> DataFrame:
+    """(bucket): those of far more anchors than others, BUCKETS / HOT_TIMES at most."""
+    counts = written(found.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n")), "gram-buckets")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    return written(counts.filter(F.col("n") > max(HOT_ROWS, HOT_TIMES * mean)).select("bucket"), "frequent-grams")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("h"), F.lit(BUCKETS))
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans): what repeated strings of ``length`` bytes cover.
 
     Texts are UTF-8 bytes, null ones empty; matches don't cross documents. ``spans`` are the maximal runs removed, in
@@ -236,21 +277,42 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         raise ValueError("gram must be from 1 to length")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(key), F.col(text).cast("string")).alias("uid"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    found = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, c long, uid long, pos int")
+    every = rows.select("uid", "t").mapInArrow(_emit_anchors(length, gram), "h long, c long, uid long, pos int")
+    every = written(every, "anchors")
+    frequent = F.broadcast(_frequent(every))
     # The same filter for every use, as joins would push it below the exchange for some; so one exchange serves all.
-    found = found.filter(F.col("h").isNotNull() & F.col("c").isNotNull()).repartition("h")
+    found = every.join(frequent, _bucket() == F.col("bucket"), "left_anti").filter(F.col("h").isNotNull() & F.col("c").isNotNull()).repartition("h")
     alike = Window.partitionBy("h", "c").orderBy("uid", "pos")
     found = found.withColumns({"i": F.row_number().over(alike), "n": F.count("*").over(alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     found = found.withColumn("all", F.count("*").over(Window.partitionBy("h"))).filter("all > 1")
+    settled, single = found.filter("n > 1").select("uid", "pos"), found.filter("n = 1 and n < all").select("h", "c", "uid", "pos")
     # One of each kind of surroundings, where a gram has several.
-    needed = found.filter("i = 1 and n < all").groupBy("uid").agg(F.collect_list(F.struct("pos", "h", "c", F.least(F.col("n"), F.lit(2)).alias("n"))).alias("found"))
+    asked = found.filter("i = 1 and n < all").select("uid", "pos", "h", "c", F.least(F.col("n"), F.lit(2)).alias("n"))
+
+    hot = every.join(frequent, _bucket() == F.col("bucket"), "left_semi")
+    kinds = written(hot.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("one")), "frequent-kinds")
+    grams = written(kinds.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1"), "frequent-sizes")
+    apart = kinds.join(grams, "h").filter("n < all").select("one.uid", "one.pos", "h", "c", F.least(F.col("n"), F.lit(2)).alias("n"), "kinds")
+    settled = settled.unionByName(hot.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("uid", "pos"))
+    single = single.unionByName(apart.filter("n = 1").select("h", "c", "uid", "pos"))
+    asked = asked.unionByName(apart.filter(F.col("kinds") <= block).drop("kinds"))
+
     dealt = rows.repartition("uid")
     # All columns in both uses: the documents are shuffled once.
+    needed = asked.groupBy("uid").agg(F.collect_list(F.struct("pos", "h", "c", "n")).alias("found"))
     around = dealt.join(needed, "uid").select("k", "t", "found").mapInArrow(_emit_surroundings(length, gram), "h long, c long, n long, l binary, r binary")
     around = around.repartition("h").sortWithinPartitions("h")
     far = around.select("h", "c", "l", "r", "n").mapInArrow(_emit_reach(length, gram), "h long, c long, x int, y int")
-    settled = found.filter("n > 1").select("uid", (F.col("pos") - (length - gram)).alias("s"), (F.col("pos") + length).alias("e"))
-    reached = found.filter("n = 1 and n < all").join(far, ["h", "c"]).select("uid", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") + F.col("y")).alias("e"))
+    many = apart.filter(F.col("kinds") > block)
+    if many.limit(1).count():
+        wanted = many.groupBy("uid").agg(F.collect_list(F.struct("pos", "h", "c")).alias("found"))
+        windows = dealt.join(wanted, "uid").select("k", "t", "found").mapInArrow(_emit_windows(length, gram), "wh long, h long, c long, t int")
+        windows = written(windows, "windows")
+        again = windows.groupBy("wh").agg(F.count("*").alias("n")).filter("n > 1").select("wh")
+        reach = windows.join(again, "wh").groupBy("h", "c").agg(F.max("t").alias("x"), (length - F.min("t")).alias("y"))
+        far = far.unionByName(reach)
+    settled = settled.select("uid", (F.col("pos") - (length - gram)).alias("s"), (F.col("pos") + length).alias("e"))
+    reached = single.join(far, ["h", "c"]).select("uid", (F.col("pos") - F.col("x")).alias("s"), (F.col("pos") + F.col("y")).alias("e"))
     spans = settled.unionByName(reached).groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     out = dealt.join(spans, "uid", "left").select("k", "t", "spans")
     return out.mapInArrow(_cut, f"k {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>").withColumnRenamed("k", key)

@@ -148,9 +148,11 @@ def test_language_model_matches_brute_force(docs):
         assert sum(p(a, w) for w in uni) + p(a, "unknown") == pytest.approx(1.0)
 
 
-def test_repeats_match_brute_force(docs):
+@pytest.mark.parametrize("hot_rows,block", [(repeats.HOT_ROWS, repeats.BLOCK), (2, 30_000), (2, 1), (0, 2)])
+def test_repeats_match_brute_force(docs, monkeypatch, hot_rows, block):
     rows, df = docs
-    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(df).collect())
+    monkeypatch.setattr(repeats, "HOT_ROWS", hot_rows)
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(df, block=block).collect())
     raw = [(d, (t or "").encode()) for d, t in rows]
     seen = collections.Counter(t[i : i + 200] for _, t in raw for i in range(len(t) - 199))
     want = collections.Counter()
