@@ -1,11 +1,13 @@
-"""Nested evaluations as one grouped job each (L6-L18, C2-C9): fold, family and ablation are keys, numpy runs in Arrow groups.
+"""Nested evaluations as grouped jobs (L6-L18, C2-C9): fold, family and ablation are keys, numpy runs in Arrow groups.
 
-Input of a group is the wafers' vectors and maps, a row each; facts come back as rows and are unfolded natively.
+Linear families are fitted on the moments of lots, which folds add and subtract, and go to the wafers they are scored
+on; facts come back as rows and are unfolded natively.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.kernels import evaluate, gaussian
+from lotwise.kernels import evaluate, gaussian, linear
 from lotwise.operators.features import FEATURE_GROUPS, feature_group, feature_vectors, sensor_family
 
 #: Default candidates of each family.
@@ -56,14 +58,122 @@ def _emit(g, test, held, family, ablation, fold: evaluate.Fold, observed) -> pd.
     return pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
 
+MOMENTS = "ablation string, lot_number int, features int, count long, first array<double>, second array<double>, origin array<double>"
+
+
+def lot_moments(rows: DataFrame) -> DataFrame:
+    """Moments of each lot's rows (x, map) by ``ablation``: tasks add up what they read, and only their sums are shuffled."""
+    origin = rows.groupBy("ablation").agg(F.min_by(F.concat("x", "map"), "experiment_key").alias("origin"))
+    z = rows.join(origin, "ablation").select("ablation", "lot_number", F.size("x").alias("features"), F.concat("x", "map").alias("z"), "origin")
+
+    def frame(found: dict) -> pd.DataFrame:
+        return pd.DataFrame([(a, n, p, m.count, m.first, m.second.ravel(), o) for (a, n), (p, o, m) in found.items()], columns=[c.split()[0] for c in MOMENTS.split(", ")])
+
+    def partial(batches):
+        found: dict = {}
+        for b in batches:
+            for key, g in b.groupby(["ablation", "lot_number"]):
+                o = np.asarray(g["origin"].iloc[0], float)
+                m = linear.Moments.of(np.stack(g["z"].to_numpy()) - o)
+                found[key] = (int(g["features"].iloc[0]), o, found[key][2] + m if key in found else m)
+        yield frame(found)
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        w = _moments(g)
+        return frame({(g["ablation"].iloc[0], n): (w.features, w.origin, m) for n, m in w.own.items()})
+
+    return z.mapInPandas(partial, MOMENTS).groupBy("ablation", "lot_number").applyInPandas(total, MOMENTS)
+
+
+def _moments(g: pd.DataFrame) -> evaluate.LotMoments:
+    own: dict = {}
+    for n, count, first, second in zip(g["lot_number"], g["count"], g["first"], g["second"]):
+        m = linear.Moments(int(count), np.asarray(first, float), np.asarray(second, float).reshape(len(first), -1))
+        own[int(n)] = own[int(n)] + m if int(n) in own else m
+    return evaluate.LotMoments(own, int(g["features"].iloc[0]), np.asarray(g["origin"].iloc[0], float))
+
+
+FITTED = "ablation string, held_out_lot int, family string, at_lot int, models binary"
+INNER = "ablation string, held_out_lot int, family string, residual boolean, place int, label string, error double"
+FINAL = FITTED + ", facts string, importance array<double>, coefficient_sign array<double>"
+
+
+def _names(kinds: str) -> list[str]:
+    return [c.split()[0] for c in kinds.split(", ")]
+
+
+def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool, least: int, share: float, most: int) -> DataFrame:
+    """The facts of the families that moments suffice for.
+
+    No group holds the wafers of more than one lot: folds are fitted on the lots' moments, and what they fit goes to
+    the wafers of the lot that it is scored on. Candidates are scored lot by lot, averaged and chosen natively.
+    """
+    moments = lot_moments(rows)
+    folds = _fold_rows(moments, list(params), forward, least)
+    by = ["ablation", "held_out_lot", "family"]
+
+    def inner(key, g: pd.DataFrame) -> pd.DataFrame:
+        name, held, family = key[0], int(key[1]), key[2]
+        w, out = _moments(g), []
+        train = tuple(n for n in w.names if n != held)
+        for n in train if len(train) > 1 else ():
+            fitted = evaluate.portable(w, tuple(x for x in train if x != n), family, params[family], params[family], share, most)
+            out.append((name, held, family, n, pickle.dumps(fitted)))
+        return pd.DataFrame(out, columns=_names(FITTED))
+
+    def scored(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wafers) and len(fitted):
+            _, x, maps, _ = _sorted(wafers)
+            for name, held, family, blob in zip(fitted["ablation"], fitted["held_out_lot"], fitted["family"], fitted["models"]):
+                for residual, found in zip((False, True), pickle.loads(blob).errors(x, maps)):
+                    out += [(name, held, family, residual, i, evaluate.label(params[family][i]), e) for i, e in enumerate(found)]
+        return pd.DataFrame(out, columns=_names(INNER))
+
+    wafers = rows.select("ablation", "experiment_key", "lot_number", "x", "map")
+    each = wafers.groupBy("ablation", "lot_number")
+    scores = each.cogroup(folds.groupBy(*by).applyInPandas(inner, FITTED).groupBy("ablation", "at_lot")).applyInPandas(scored, INNER)
+    scores = scores.groupBy(*by, "residual", "place", "label").agg(F.avg("error").alias("error"))
+    best = scores.groupBy(*by, "residual").agg(F.min(F.struct("error", "label", "place")).alias("b"))
+    at = lambda r: F.max(F.when(F.col("residual") == r, F.col("b")))
+    best = best.groupBy(*by).agg(at(False).alias("s"), at(True).alias("r")).select(F.col("ablation").alias("_a"), F.col("held_out_lot").alias("_h"), F.col("family").alias("_f"), "s.place", F.col("r.place").alias("residual_place"), F.col("s.error").alias("error"), F.col("r.error").alias("residual_error"))
+
+    def final(key, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(chosen):
+            return pd.DataFrame([], columns=_names(FINAL))
+        name, held, family = key[0], int(key[1]), key[2]
+        w, c = _moments(g), chosen.iloc[0]
+        train = tuple(n for n in w.names if n != held)
+        s, r = params[family][int(c["place"])], params[family][int(c["residual_place"])]
+        facts, importance, sign = evaluate.fold_facts(w, train, family, s, r, float(c["error"]), float(c["residual_error"]), w.own[held].count, share, most)
+        return pd.DataFrame([(name, held, family, held, pickle.dumps(evaluate.portable(w, train, family, [s], [r], share, most)), json.dumps(facts), importance, sign)], columns=_names(FINAL))
+
+    def predicted(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wafers) and len(fitted):
+            g, x, maps, _ = _sorted(wafers)
+            for f in fitted.itertuples():
+                for stage, p in pickle.loads(f.models).stages(x, maps).items():
+                    out += [(f.held_out_lot, f.family, f.ablation, k, int(n), stage, p[i], maps[i], None, f.facts, f.importance, f.coefficient_sign) for i, (k, n) in enumerate(zip(g["experiment_key"], g["lot_number"]))]
+        return pd.DataFrame(out, columns=_names(FACTS))
+
+    models = folds.groupBy(*by).cogroup(best.groupBy("_a", "_h", "_f")).applyInPandas(final, FINAL)
+    return each.cogroup(models.groupBy("ablation", "at_lot")).applyInPandas(predicted, FACTS)
+
+
 def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"), parameters: Mapping[str, Sequence] = PARAMETERS, forward: bool = False, least_lots: int = 3, variance: float = 0.90, most: int = 8, ablation: str = "ablation") -> DataFrame:
     """The facts of every outer fold: leave-one-lot-out, or with ``forward`` earlier lots only.
 
     One row for each test wafer and stage; see ``points``, ``folds``, ``stability``. Parameters are chosen in inner
-    folds of the training lots. ``rows`` may carry a column ``ablation``; each value is evaluated in the same job.
+    folds of the training lots, of which there must be two or more. ``rows`` may carry a column ``ablation``; each value
+    is evaluated in the same job. Gaussian processes need their training wafers, so their folds are groups of them.
     """
-    rows = rows if ablation in rows.columns else rows.withColumn(ablation, F.lit("all"))
+    rows = rows.withColumn("ablation", F.col(ablation) if ablation in rows.columns else F.lit("all"))
     params = {f: tuple(parameters[f]) for f in families}
+    linear_ones = {f: p for f, p in params.items() if f != "gpr"}
+    out = _linear_folds(rows, linear_ones, forward, least_lots, variance, most) if linear_ones else None
+    if "gpr" not in params:
+        return out
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         held, family, name = int(key[0]), key[1], key[2]
@@ -71,7 +181,8 @@ def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"),
         w = evaluate.Wafers(x, maps, lots)
         return _emit(g, lots == held, held, family, name, evaluate.run_fold(w, tuple(n for n in w.names if n != held), held, family, params[family], variance, most), maps)
 
-    return _fold_rows(rows, families, forward, least_lots).groupBy("held_out_lot", "family", ablation).applyInPandas(run, FACTS)
+    grouped = _fold_rows(rows, ["gpr"], forward, least_lots).groupBy("held_out_lot", "family", "ablation").applyInPandas(run, FACTS)
+    return grouped if out is None else out.unionByName(grouped)
 
 
 def points(facts: DataFrame, coordinates: Column | None = None) -> DataFrame:

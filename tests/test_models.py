@@ -131,6 +131,28 @@ def test_predictions_do_not_see_what_is_held_out(spark, forward):
         assert all(np.allclose(plain[k], later[k]) for k in plain)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_folds_of_moments_are_those_of_wafers(spark, forward):
+    rows = wafers(6, 4)
+    got = models.evaluate_folds(spark.createDataFrame(rows, SCHEMA).repartition(5), ("ridge", "pls"), forward=forward).collect()
+    x, maps, lots = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    by = {(r["held_out_lot"], r["family"], r["stage"], r["experiment_key"]): r for r in got}
+    held = [4, 5, 6] if forward else [1, 2, 3, 4, 5, 6]
+    assert len(by) == len(got) == len(held) * 2 * 5 * 4
+    for lot in held:
+        known = lots <= lot if forward else lots > 0
+        w = evaluate.Wafers(x[known], maps[known], lots[known])
+        for family in ("ridge", "pls"):
+            f = evaluate.run_fold(w, tuple(n for n in w.names if n != lot), lot, family, models.PARAMETERS[family])
+            for stage, p in f.stages.items():
+                for i, k in enumerate(r[0] for r in rows if r[1] == lot):
+                    r = by[lot, family, stage, k]
+                    assert np.allclose(r["predicted"], p[i], atol=1e-6)
+                    facts = json.loads(r["facts"])
+                    assert all(facts[n] == pytest.approx(v) for n, v in f.facts.items())
+                    assert np.allclose(np.array(r["importance"], float), f.importance, equal_nan=True)
+
+
 def test_facts_unfold(spark):
     f = models.evaluate_folds(spark.createDataFrame(wafers(), SCHEMA), ("pls",)).cache()
     assert f.count() == 15 * 5 and models.points(f).count() == 15 * 5 * 3
