@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from lotwise.llm import decontaminate, licences, maxscore, mixing, neighbours, ngram, packing, repeats, secretscan, simhash
 
-#: query: (module, function). Modules are loaded with the first call of queries().
 QUERIES = {
-    "op1_simhash_bktree": "simhash",
-    "op2_kneser_ney": "ngram",
-    "op3_bestfit_packing": "packing",
-    "op10_secret_structure": "secretscan",
-    "op8_neighbour_quality": "neighbours",
-    "op4_maxscore": "maxscore",
-    "op5_hierarchical_mix": "mixing",
-    "op6_simhash_windows": "decontaminate",
-    "op9_licence_tfidf": "licences",
-    "op7_repeat_intervals": "repeats",
+    "op1_simhash_bktree": simhash.op1_simhash_bktree,
+    "op2_kneser_ney": ngram.op2_kneser_ney,
+    "op3_bestfit_packing": packing.op3_bestfit_packing,
+    "op10_secret_structure": secretscan.op10_secret_structure,
+    "op8_neighbour_quality": neighbours.op8_neighbour_quality,
+    "op4_maxscore": maxscore.op4_maxscore,
+    "op5_hierarchical_mix": mixing.op5_hierarchical_mix,
+    "op6_simhash_windows": decontaminate.op6_simhash_windows,
+    "op9_licence_tfidf": licences.op9_licence_tfidf,
+    "op7_repeat_intervals": repeats.op7_repeat_intervals,
 }
+SQL = {"op4_maxscore": maxscore.OP4_SQL, "op5_hierarchical_mix": mixing.OP5_SQL}
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"lotwise.llm.{module}"), name) for name, module in QUERIES.items()}
-
-
-#: query: (module, constant with its SQL).
-SQL = {"op4_maxscore": ("maxscore", "OP4_SQL"), "op5_hierarchical_mix": ("mixing", "OP5_SQL")}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: getattr(import_module(f"lotwise.llm.{module}"), const) for name, (module, const) in SQL.items()}
+    return dict(SQL)

@@ -30,6 +30,7 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 # Candidates for decoding: longest runs of the alphabets.
 _B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:[\r\n]+[A-Za-z0-9+/]+)*={0,2}")
+_B64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")  # of one line, with a sign of its own
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.+?)-----END \1-----", re.S)
@@ -111,6 +112,8 @@ def _decoded(kind: str, s: str) -> bytes | None:
     try:
         if kind == "hex":
             return bytes.fromhex(s)
+        if kind == "b64url":
+            s = s.replace("-", "+").replace("_", "/")
         s = re.sub(r"\s", "", s).rstrip("=")
         return base64.b64decode(s[: len(s) - (len(s) % 4 == 1)] + "=" * (-len(s) % 4 % 3), validate=True)
     except (ValueError, binascii.Error):
@@ -169,6 +172,9 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
             out.append(("pem", *m.span()))
     for m in _B64.finditer(text):
         out += _keys_of_lines(m)
+    for m in _B64URL.finditer(text):
+        if kind := _key_kind(_decoded("b64url", m[0])):
+            out.append((kind, *m.span()))
     for m in _HEX_ANY.finditer(text):
         if kind := _key_kind(_decoded("hex", m[0])):
             out.append((kind, *m.span()))

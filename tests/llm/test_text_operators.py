@@ -288,6 +288,36 @@ def test_secrets(spark):
     assert got[1]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
 
 
+def test_keys_in_the_url_alphabet():
+    import base64
+
+    rows = [base64.urlsafe_b64encode(KEY_DER[:16] + bytes((x * 7 + i) % 256 for x in range(32))).decode() for i in range(256)]
+    rows = [k for k in rows if "-" in k or "_" in k][:20]
+    assert len(rows) == 20
+    for k in rows:
+        for text in (k, f"key={k.rstrip('=')} and more", f"a {k}\nhello there"):
+            at = text.index(k.rstrip("="))
+            assert any(kind == "der" and s == at for kind, s, _ in secretscan.confirmed(text))
+        assert not any(kind == "der" for kind, _, _ in secretscan.confirmed(k[4:]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_base_spans_of_random_rows(spark, seed):
+    """Rows of the alphabets without breaks between them, in one batch: as the patterns give them text by text."""
+    r = random.Random(seed)
+    some = lambda: r.choice(["0123456789abcdef" * r.randrange(1, 4), "AKIA" + "A1" * r.randrange(5, 12), "token=" + "x" * r.randrange(3, 9), "é", " ", "\n", "Password\": 'abc123/+", "ABC", "-", "f" * r.randrange(20, 30), "api_key:" + "Z" * 6, ""])
+    rows = [(i, "".join(some() for _ in range(r.randrange(5)))) for i in range(300)] + [(300, None), (301, "word " * 100_000 + "a0" * 15)]
+    got = {x["doc_id"]: x for x in secretscan.scan(table(spark, rows).coalesce(1)).collect()}
+    for i, t in rows:
+        base = [("assign", m) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t or "") if len(m[2]) >= 6]
+        base += [("access", m) for m in re.finditer(r"AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20] + [("hex", m) for m in re.finditer(r"[0-9a-f]+", t or "") if len(m[0]) >= 24]
+        order = {"assign": 0, "access": 1, "hex": 2}
+        listed = ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in sorted(base, key=lambda x: (x[1].start(), order[x[0]])))
+        x = got[i]
+        assert (x["n_assign"], x["n_access"], x["n_hex"]) == tuple(sum(k == n for k, _ in base) for n in order)
+        assert x["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest() and set(filter(None, listed.split(","))) <= set(x["spans"].split(","))
+
+
 def test_secrets_of_adjacent_rows_without_breaks():
     """Rows that are one run of an alphabet from end to end, as copies of a bare hash or token are."""
     import base64
