@@ -27,6 +27,8 @@ from lotwise.llm.shared import new_dir, posix_path
 U64 = np.uint64
 #: Hashes of what stands before a text and of its end.
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
+#: Bytes of training text to a shard, and how many shards there are at least and at most.
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16 << 20, 8, 20_000
 #: Tokens whose pairs a task holds before it sends them on.
 HELD_TOKENS = 5_000_000
 #: An entry of a pair array: a hash but for its low 8 bits, which hold the count, or this if it is in the file of large counts.
@@ -247,10 +249,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 def train(texts: DataFrame, text: str = "text", shards: int | None = None) -> Model:
     """Counts the whole of ``texts`` and writes the arrays to the shared folder; nothing is pruned or sampled.
 
-    The driver gets one row of sums. Counts of one pair must stay under 2**32 in a shard.
+    The driver gets one row of sums. Counts of one pair must stay under 2**32 in a shard. There are as many shards as
+    the text's bytes ask for, so what a task adds up is the same at any size (up to MOST_SHARDS).
     """
     spark = texts.sparkSession
-    shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = texts.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+        shards = min(max(-(-size // SHARD_BYTES), LEAST_SHARDS), MOST_SHARDS)
     folder = posix_path(new_dir(spark, "ngram"))
     os.makedirs(folder, exist_ok=True)
     column = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -264,7 +269,7 @@ def train(texts: DataFrame, text: str = "text", shards: int | None = None) -> Mo
     return Model(folder, shards, tokens, types, int(starts), discounts(*pair_counts), discounts(*word_counts), (distinct, n1, n2, types - n1 - n2))
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=4 * MOST_SHARDS)
 def _mapped(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
