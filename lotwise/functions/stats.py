@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def linear_quantile(x: Column, q: float) -> Column:
@@ -48,6 +52,36 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str], out: str = "spear
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(usable, F.corr("_ra", "_rb")).alias(out))
 
 
+def _incomplete_beta(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function at x of parameters a and 1/2, by its continued fraction."""
+    b, swap = 0.5, x > (a + 1) / (a + 2.5)
+    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    keep = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(z), 1 / keep(1 - (p + q) * z / (p + 1))
+    h = d.copy()
+    for m in range(1, 400):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / keep(1 + step * d), keep(1 + step / c)
+            h = h * d * c
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(gamma(a + b) - gamma(a) - math.lgamma(b) + p * np.log(z) + q * np.log1p(-z)) / p
+    return np.where(swap, 1 - front * h, front * h)
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of a correlation of n pairs by Student's t with n - 2 degrees of freedom; NULL for fewer than three."""
+    x, k = r.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan)
+    out = np.full(len(x), np.nan)
+    some = np.isfinite(x) & (k >= 3)
+    if some.any():
+        # P(|t| > t_r) is the incomplete beta function at (n - 2) / (n - 2 + t_r^2) = 1 - r^2.
+        out[some] = _incomplete_beta((k[some] - 2) / 2, np.clip(1 - x[some] ** 2, 0, 1))
+    return pd.Series(out).where(some, None).astype("Float64")
+
+
 def robust_absolute_z(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """|x - median| / (1.4826 MAD) within each group; 0 where the MAD is at most 1e-12. Two aggregates, joined back by group."""
     keys = list(by)

@@ -42,3 +42,23 @@ def gate(lots: DataFrame, tolerance: float = 0.05, stable: float = 0.7, fold: st
     ok = F.col("point_coverage") >= F.col("nominal_coverage") - tolerance
     g = lots.groupBy("nominal_coverage").agg(F.avg("point_coverage").alias("mean_point_coverage"), F.avg(ok.cast("double")).alias("stable_lot_fraction"))
     return g.withColumn("passes", (F.col("mean_point_coverage") >= F.col("nominal_coverage") - tolerance) & (F.col("stable_lot_fraction") >= stable))
+
+
+def uncertainty_gate(lots: DataFrame, bounds: DataFrame, baseline: DataFrame, shortfall: float = 0.05, most_width: float = 1.0, stable: float = 0.7, fold: str = "test_lot") -> DataFrame:
+    """One row with the four checks of the intervals, at every nominal level, and PASS if all hold.
+
+    Coverage of points and of whole maps falls short by at most ``shortfall``, on average and in the share ``stable`` of
+    the lots; half the points' width is at most ``most_width`` of the baseline's error; every bound's rank is there.
+    lots: see ``coverage``; bounds(nominal_coverage, attainable): of points and maps; baseline(fold, baseline_mae).
+    """
+    c = F.col("nominal_coverage") - shortfall
+    within = (F.col("point_coverage") >= c) & (F.col("simultaneous_coverage") >= c)
+    levels = lots.join(baseline.select(fold, "baseline_mae"), fold).groupBy("nominal_coverage").agg(
+        F.avg("point_coverage").alias("point_coverage"), F.avg("simultaneous_coverage").alias("simultaneous_coverage"), F.avg(within.cast("double")).alias("stable"), F.avg(F.col("point_width") / 2 / F.col("baseline_mae")).alias("width"))
+    reached = bounds.agg(F.bool_and("attainable").alias("levels_attainable"))
+    checks = levels.agg(F.bool_and(within).alias("coverage_within_tolerance"), F.bool_and(F.col("width") <= most_width).alias("half_width_below_baseline"), F.bool_and(F.col("stable") >= stable).alias("stable_across_lots")).crossJoin(reached)
+    names = ("coverage_within_tolerance", "half_width_below_baseline", "stable_across_lots", "levels_attainable")
+    every = F.lit(True)
+    for n in names:
+        every = every & F.col(n)
+    return checks.select(*names, F.when(every, "PASS").otherwise("FAIL").alias("gate"))

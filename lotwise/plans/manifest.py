@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from importlib import metadata
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,10 +81,18 @@ class Step:
     needs: tuple[str, ...] = ()
 
 
+@lru_cache
+def library_hash() -> str:
+    """Of the library's sources, but for the text operators, which no step uses: a change in what a step calls is a change of the step."""
+    root = Path(__file__).resolve().parents[1]
+    files = [f for f in sorted(root.rglob("*.py")) if f.relative_to(root).parts[0] != "llm"]
+    return hashlib.sha256("".join(f"{f.relative_to(root)}:{file_hash(f)}" for f in files).encode()).hexdigest()
+
+
 def cache_key(step: Step, inputs: Mapping[str, str], upstream: Mapping[str, str]) -> str:
-    """Of the step's code and configuration, the inputs' fingerprints and the keys of the steps it needs."""
+    """Of the library, the step's code and configuration, the inputs' fingerprints and the keys of the steps it needs."""
     code = step.run.__code__
-    text = json.dumps([step.name, hashlib.sha256(code.co_code + repr(code.co_consts).encode()).hexdigest(), dict(step.config), dict(inputs), {n: upstream[n] for n in step.needs}], sort_keys=True, default=str)
+    text = json.dumps([library_hash(), step.name, hashlib.sha256(code.co_code + repr(code.co_consts).encode()).hexdigest(), dict(step.config), dict(inputs), {n: upstream[n] for n in step.needs}], sort_keys=True, default=str)
     return hashlib.sha256(text.encode()).hexdigest()
 
 

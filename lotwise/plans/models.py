@@ -227,6 +227,16 @@ def ablation_rows(features: DataFrame, maps: DataFrame, cumulative: Mapping[str,
     return out
 
 
+def ablation_steps(wafers: DataFrame, order: Sequence[str] = tuple(CUMULATIVE)) -> DataFrame:
+    """(ablation, previous, lots, lots_improved, lot_macro_mae, relative_gain) of each cumulative subset against the one before; the first has none before it."""
+    lots = wafers.filter(F.col("ablation").isin(*order)).groupBy("ablation", "lot_number").agg(F.avg("mae").alias("mae"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("ablation"))
+    lots = lots.withColumn("_p", place)
+    before = lots.select((F.col("_p") + 1).alias("_p"), "lot_number", F.col("ablation").alias("previous"), F.col("mae").alias("_mae"))
+    j = lots.join(before, ["_p", "lot_number"], "left")
+    return j.groupBy("ablation").agg(F.max("previous").alias("previous"), F.count("*").alias("lots"), F.count_if(F.col("mae") < F.col("_mae")).alias("lots_improved"), F.avg("mae").alias("lot_macro_mae"), (1 - F.avg("mae") / F.avg("_mae")).alias("relative_gain"))
+
+
 def compare(forward_wafers: DataFrame, lolo_wafers: DataFrame) -> DataFrame:
     """(scope, family, lot_number, lolo_mae, chronological_mae, relative_degradation) per lot of both and as means of lots."""
     a = forward_wafers.groupBy("family", "lot_number").agg(F.avg("mae").alias("chronological_mae"))
@@ -251,13 +261,14 @@ def fused_spectra(rows: DataFrame, spectra: DataFrame, pls: Sequence = PARAMETER
     return j.groupBy("held_out_lot").applyInPandas(run, FACTS)
 
 
-REPLAY = "test_lot int, feedback string, budget double, experiment_key string, wafer_order int, measured boolean, true_error double, system_error double, updates int"
+REPLAY = "test_lot int, feedback string, budget double, experiment_key string, wafer_order int, measured boolean, true_error double, system_error double, updates int, drift_error_threshold double"
 
 
 def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[str] = ("F0", "F1", "F2", "F3"), parameters: Sequence = PARAMETERS["pls"], alpha: float = 0.3, least_lots: int = 3) -> DataFrame:
     """A row for each wafer, budget and feedback of every test lot that follows at least ``least_lots`` others.
 
     selection: (experiment_key, budget, measured). Models see earlier lots and wafers measured before only.
+    drift_error_threshold is the 95 % quantile of the training wafers' errors.
     """
     from pyspark.sql import Window
 
@@ -274,12 +285,13 @@ def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[s
         targets, own = maps[test], g[test]
         frozen = model.predicted(model.start, x[test])
         true = np.abs(frozen - targets).mean(axis=1)
+        limit = float(np.quantile(np.abs(model.predicted(model.start, x[~test]) - maps[~test]).mean(axis=1), 0.95))
         picks = [dict(p) if p is not None else {} for p in own["picks"]]
         out = []
         for budget in sorted({b for p in picks for b in p}):
             measured = np.array([bool(p.get(budget, False)) for p in picks])
             _, errors, updates = evaluate.replay(model, x[test], targets, measured, feedback, alpha)
-            out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates) for i, (k, m, t, e) in enumerate(zip(own["experiment_key"], measured, true, errors))]
+            out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(own["experiment_key"], measured, true, errors))]
         return pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
 
     return j.groupBy("test_lot", "feedback").applyInPandas(run, REPLAY)

@@ -58,6 +58,13 @@ def feature_ablation(spark, sf):
     return metrics.stage_summary(_errors(facts).filter("stage = 'full_map'"), ["mae", "rmse"], ["ablation"])
 
 
+@query("feature_ablation_steps")
+def feature_ablation_steps(spark, sf):
+    """Cumulative feature groups: how many lots each one betters."""
+    facts = models.evaluate_folds(models.ablation_rows(*_rows(spark, sf), families=False), ("pls",))
+    return models.ablation_steps(_errors(facts).filter("stage = 'full_map'"))
+
+
 @query("feature_stability")
 def feature_stability(spark, sf):
     f, maps = _rows(spark, sf)
@@ -84,7 +91,7 @@ def model_disagreement(spark, sf):
 @query("causal_feedback_refit")
 def causal_feedback_refit(spark, sf):
     r = models.causal_feedback(rows(spark, sf), selected(spark, sf).select("experiment_key", "budget", "measured"))
-    return risk.stream_metrics(r, 1.0, ["test_lot", "feedback", "budget"])
+    return risk.stream_metrics(r, F.col("drift_error_threshold"), ["test_lot", "feedback", "budget"])
 
 
 def _spectra(spark, sf):

@@ -268,8 +268,11 @@ def conformal_bounds(spark, sf):
     return b.select("test_lot", "x", "y", "nominal_coverage", r6("bound"), "rank", "attainable", r6("resolution"))
 
 
-@query("conformal_coverage", sql(_CONF + """, tt AS (SELECT pt.lot_number AS test_lot, pt.experiment_key, nom.c, abs(observed - template_prediction) <= pb.bound AS ok, abs(observed - template_prediction) <= mb.bound AS mok, 2 * pb.bound AS w, 2 * mb.bound AS mw FROM pt CROSS JOIN nom JOIN pb ON pb.test_lot = pt.lot_number AND pb.x = pt.x AND pb.y = pt.y AND pb.c = nom.c JOIN mb ON mb.test_lot = pt.lot_number AND mb.c = nom.c),
-wf AS (SELECT test_lot, c, experiment_key, bool_and(mok) AS a FROM tt GROUP BY ALL), wm AS (SELECT test_lot, c, avg(CAST(a AS INTEGER)) AS sc FROM wf GROUP BY ALL)""", f"SELECT test_lot, c AS nominal_coverage, {dr6('avg(CAST(ok AS INTEGER))', 'point_coverage')}, {dr6('any_value(sc)', 'simultaneous_coverage')}, {dr6('avg(w)', 'point_width')}, {dr6('any_value(mw)', 'simultaneous_width')} FROM tt JOIN wm USING (test_lot, c) GROUP BY test_lot, c"))
+_COVER = _CONF + """, tt AS (SELECT pt.lot_number AS test_lot, pt.experiment_key, nom.c, abs(observed - template_prediction) <= pb.bound AS ok, abs(observed - template_prediction) <= mb.bound AS mok, 2 * pb.bound AS w, 2 * mb.bound AS mw FROM pt CROSS JOIN nom JOIN pb ON pb.test_lot = pt.lot_number AND pb.x = pt.x AND pb.y = pt.y AND pb.c = nom.c JOIN mb ON mb.test_lot = pt.lot_number AND mb.c = nom.c),
+wf AS (SELECT test_lot, c, experiment_key, bool_and(mok) AS a FROM tt GROUP BY ALL), wm AS (SELECT test_lot, c, avg(CAST(a AS INTEGER)) AS sc FROM wf GROUP BY ALL)"""
+
+
+@query("conformal_coverage", sql(_COVER, f"SELECT test_lot, c AS nominal_coverage, {dr6('avg(CAST(ok AS INTEGER))', 'point_coverage')}, {dr6('any_value(sc)', 'simultaneous_coverage')}, {dr6('avg(w)', 'point_width')}, {dr6('any_value(mw)', 'simultaneous_width')} FROM tt JOIN wm USING (test_lot, c) GROUP BY test_lot, c"))
 def conformal_coverage(spark, sf):
     test, cal = _conformal(spark, sf)
     pb = conformal.bounds(cal, ["test_lot", "x", "y"], "score", NOMINALS)
@@ -278,6 +281,19 @@ def conformal_coverage(spark, sf):
     return c.select("test_lot", "nominal_coverage", *map(r6, ("point_coverage", "simultaneous_coverage", "point_width", "simultaneous_width")))
 
 
+@query("uncertainty_gate", sql(_COVER + """, cl AS (SELECT test_lot, c, avg(CAST(ok AS INTEGER)) AS pc, any_value(sc) AS sc, avg(w) AS w FROM tt JOIN wm USING (test_lot, c) GROUP BY test_lot, c), base AS (SELECT lot_number AS test_lot, avg(abs(observed - template_prediction)) AS mae FROM pt GROUP BY ALL),
+lv AS (SELECT c, avg(pc) AS pc, avg(sc) AS sc, avg(CASE WHEN pc >= c - 0.05 AND sc >= c - 0.05 THEN 1.0 ELSE 0.0 END) AS st, avg(w / 2 / mae) AS wd FROM cl JOIN base USING (test_lot) GROUP BY c),
+reached AS (SELECT bool_and(attainable) AS a FROM (SELECT attainable FROM pb UNION ALL SELECT ceil((count(*) + 1) * c) <= count(*) FROM ms CROSS JOIN nom GROUP BY test_lot, c)),
+ck AS (SELECT bool_and(pc >= c - 0.05 AND sc >= c - 0.05) AS coverage_within_tolerance, bool_and(wd <= 1.0) AS half_width_below_baseline, bool_and(st >= 0.7) AS stable_across_lots, any_value(a) AS levels_attainable FROM lv CROSS JOIN reached)""", "SELECT *, CASE WHEN coverage_within_tolerance AND half_width_below_baseline AND stable_across_lots AND levels_attainable THEN 'PASS' ELSE 'FAIL' END AS gate FROM ck"))
+def uncertainty_gate(spark, sf):
+    test, cal = _conformal(spark, sf)
+    pb = conformal.bounds(cal, ["test_lot", "x", "y"], "score", NOMINALS)
+    mb = conformal.bounds(conformal.wafer_scores(cal, ["test_lot", "experiment_key"]), ["test_lot"], "score", NOMINALS)
+    base = test.groupBy("test_lot").agg(F.avg(F.abs(metrics.error())).alias("baseline_mae"))
+    some = pb.select("nominal_coverage", "attainable").unionByName(mb.select("nominal_coverage", "attainable"))
+    return conformal.uncertainty_gate(conformal.coverage(test, pb, mb), some, base)
+
+
 @query("fit_cal_test_roles", sql(FACTS + ", d AS (SELECT DISTINCT lot_number, dense_rank() OVER (ORDER BY lot_number) AS k FROM facts)", "SELECT t.lot_number AS test_lot, CASE WHEN f.k = t.k THEN 'test' WHEN f.k = t.k - 1 THEN 'calibration' ELSE 'fit' END AS role, count(*) AS wafers FROM d t JOIN d f ON f.k <= t.k JOIN facts USING (lot_number) WHERE t.k > 3 GROUP BY ALL".replace("JOIN facts USING (lot_number)", "JOIN facts ON facts.lot_number = f.lot_number")))
 def fit_cal_test_roles(spark, sf):
     return resample.fit_calibrate_test(facts(spark, sf)).groupBy("test_lot", "role").agg(F.count("*").alias("wafers"))

@@ -274,3 +274,10 @@ def test_nearest_training_rows(spark, block):
     want = {(f, k): min(np.linalg.norm(np.subtract(x, y)) for g, j, y, t in rows if g == f and j != k and t) for f, k, x, _ in rows if f < 3}
     assert {(a["held_out_lot"], a["experiment_key"]) for a in got} == set(want)
     assert all(a["ood_distance"] == pytest.approx(want[a["held_out_lot"], a["experiment_key"]]) for a in got)
+
+
+def test_correlation_p_values(spark):
+    known = [(0.5, 10, 0.141113), (0.9, 5, 0.037386), (-0.3, 50, 0.034286), (0.0, 8, 1.0), (1.0, 6, 0.0), (0.05, 400, 0.318525)]  # Student's t, by numerical integration
+    df = spark.createDataFrame([(r, n) for r, n, _ in known] + [(None, 9), (0.4, 2)], "r double, n long")
+    got = [x[0] for x in df.select(stats.correlation_p_value("r", "n")).collect()]
+    assert got[-2:] == [None, None] and np.allclose(got[:-2], [p for _, _, p in known], atol=2e-6)
