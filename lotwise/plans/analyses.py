@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import safe_divide, spearman, unpivot
 from lotwise.kernels import evaluate, linear
-from lotwise.operators import conformal, metrics, resample, risk, template, validate
+from lotwise.operators import conformal, metrics, replay, resample, risk, template, validate
 from lotwise.plans import models
 
 SCORES = ("initial_state", "wafer_delta", "ewma_distance", "ood_distance", "model_disagreement")
@@ -57,12 +57,12 @@ def spatial_decomposition(points: DataFrame, zones: DataFrame, family: str = "pl
 RISK = "held_out_lot int, experiment_key string, lot_number int, is_train boolean, x array<double>, centroid array<double>, model_disagreement double, error double"
 
 
-def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMETERS) -> DataFrame:
+def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMETERS, forward: bool = False, least_lots: int = 3) -> DataFrame:
     """Each wafer for each held-out lot: its training-fitted components, their centroid, how far the families' maps are apart, and the error of partial least squares.
 
     Training wafers are predicted by the models that were fitted on them; they serve as the reference of percentiles only.
+    With ``forward`` a lot's training wafers are those of earlier lots, of which there must be ``least_lots``.
     """
-    folds = rows.select(F.col("lot_number").alias("held_out_lot")).distinct()
     params = {f: tuple(parameters[f]) for f in ("pls", "ridge")}
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +85,7 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
         center = c[train].mean(axis=0)
         return pd.DataFrame([(held, k, int(lot), bool(t), c[i], center, float(apart[i]), float(error[i])) for i, (k, lot, t) in enumerate(zip(g["experiment_key"], lots, train))], columns=[s.split()[0] for s in RISK.split(", ")])
 
-    return rows.crossJoin(F.broadcast(folds)).groupBy("held_out_lot").applyInPandas(run, RISK)
+    return models.fold_rows(rows, ["all"], forward, least_lots).drop("family").groupBy("held_out_lot").applyInPandas(run, RISK)
 
 
 def risk_scores(inputs: DataFrame, alpha: float = 0.3, redundancy: float = 0.90) -> DataFrame:
@@ -135,6 +135,23 @@ def drift_risk(rows: DataFrame, budgets: Sequence[float] = (0.1, 0.2, 0.3), alph
     return {"scores": scores, "curves": curves, "lots": lots, "influence": risk.policy_influence(lots), "bootstrap": resample.bootstrap_interval(samples, ["policy"]), "correlations": risk.score_correlations(long, ["held_out_lot"])}
 
 
+def causal_policies(rows: DataFrame, budgets: Sequence[float] = replay.BUDGETS, replicates: int = 100, bootstraps: int = 10_000, alpha: float = 0.3, least_lots: int = 3, seed: int = 20260721, without_lot: int = 8) -> dict[str, DataFrame]:
+    """Policies replayed over each lot by models and scores of earlier lots only: streams by lot, by policy, combined against random, and the gate.
+
+    'validated_combined' is the combined score, as weights chosen in training are not adopted. A lot's drift threshold is
+    the 95 % quantile of its training wafers' errors.
+    """
+    inputs = risk_inputs(rows, forward=True, least_lots=least_lots).persist()
+    scores = risk_scores(inputs, alpha)
+    limit = inputs.filter("is_train").groupBy("held_out_lot").agg(F.percentile("error", F.lit(0.95)).alias("drift_error_threshold"))
+    w = scores.join(limit, "held_out_lot").select(
+        "experiment_key", "lot_number", F.col("error").alias("true_error"), "drift_error_threshold", F.col("ood_distance_percentile").alias("ood"), F.col("model_disagreement_percentile").alias("disagreement"),
+        F.col("combined_risk").alias("combined"), F.col("combined_risk").alias("validated_combined"), F.cume_dist().over(Window.partitionBy("lot_number").orderBy("error")).alias("oracle"))
+    lots = replay.lot_summary(replay.grid(metrics.wafer_ordinal(w), ("ood", "disagreement", "combined", "validated_combined", "oracle"), budgets, replicates, seed))
+    difference = replay.policy_difference(lots, replicates=bootstraps, seed=seed)
+    return {"scores": scores, "lots": lots, "policies": replay.policy_summary(lots), "difference": difference, "gate": replay.gate(lots, difference, without_lot)}
+
+
 def conformal_bounds(points: DataFrame, nominals: Sequence[float] = (0.8, 0.9, 0.95), least_fit: int = 2) -> dict[str, DataFrame]:
     """Bounds calibrated on the lot before each test lot, coverage and gate. points: (experiment_key, lot_number, x, y, observed, predicted) predicted from earlier lots."""
     folds = resample.fit_calibrate_test(points, least_fit)

@@ -31,7 +31,7 @@ def modelling_rows(features: DataFrame, maps: DataFrame, key: str = "experiment_
     return feature_vectors(features, key).join(maps.select(key, "lot_number", "map"), key).select(F.col(key).alias("experiment_key"), F.col("lot_number").cast("int").alias("lot_number"), "x", "map")
 
 
-def _fold_rows(rows: DataFrame, families: Sequence[str], forward: bool, least: int) -> DataFrame:
+def fold_rows(rows: DataFrame, families: Sequence[str], forward: bool, least: int) -> DataFrame:
     """Each wafer for every fold and family that it is trained on or tested in."""
     lots = rows.select(F.col("lot_number").alias("held_out_lot")).distinct()
     fold = F.lit(True)
@@ -109,7 +109,7 @@ def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool
     the wafers of the lot that it is scored on. Candidates are scored lot by lot, averaged and chosen natively.
     """
     moments = lot_moments(rows)
-    folds = _fold_rows(moments, list(params), forward, least)
+    folds = fold_rows(moments, list(params), forward, least)
     by = ["ablation", "held_out_lot", "family"]
 
     def inner(key, g: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +181,7 @@ def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"),
         w = evaluate.Wafers(x, maps, lots)
         return _emit(g, lots == held, held, family, name, evaluate.run_fold(w, tuple(n for n in w.names if n != held), held, family, params[family], variance, most), maps)
 
-    grouped = _fold_rows(rows, ["gpr"], forward, least_lots).groupBy("held_out_lot", "family", "ablation").applyInPandas(run, FACTS)
+    grouped = fold_rows(rows, ["gpr"], forward, least_lots).groupBy("held_out_lot", "family", "ablation").applyInPandas(run, FACTS)
     return grouped if out is None else out.unionByName(grouped)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwise.operators import features, metrics, risk, segment, template, validate
-from lotwise.plans import models
+from lotwise.operators import conformal, features, metrics, risk, segment, template, validate
+from lotwise.plans import analyses, models
 from lotwise.plans.manifest import Step
 from lotwise.sources import tables
 
@@ -51,6 +51,55 @@ def _replay(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
     return {"replay": models.causal_feedback(models.modelling_rows(ctx["features"], maps), picks.select("experiment_key", "budget", "measured"), ctx["config"].get("feedbacks", ("F0", "F1")))}
 
 
+def _rows(ctx: dict) -> DataFrame:
+    return models.modelling_rows(ctx["features"], validate.ordered_maps(ctx["dense"], ctx["features"], "stepheight"))
+
+
+def _placed(ctx: dict, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points with coordinates, the coordinates): places of a map are in the order of (y, x)."""
+    xy = ctx["dense"].select("x", "y").distinct()
+    place = F.row_number().over(Window.orderBy("y", "x")) - 1  # a row a coordinate
+    return models.points(facts).join(xy.withColumn("place", place), "place"), xy
+
+
+def _named(prefix: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {f"{prefix}_{k}": v for k, v in frames.items()}
+
+
+def _ablation(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    maps = validate.ordered_maps(ctx["dense"], ctx["features"], "stepheight")
+    facts = models.evaluate_folds(models.ablation_rows(ctx["features"], maps), ("pls",))
+    e = metrics.wafer_errors(models.points(facts), ["ablation", "stage", "experiment_key", "lot_number"])
+    return {"ablation_wafers": e, "ablation_steps": models.ablation_steps(e.filter("stage = 'full_map'"))}
+
+
+def _chronological(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    facts = models.evaluate_folds(_rows(ctx), ctx["config"].get("families", ("pls",)), forward=True)
+    e = metrics.wafer_errors(models.points(facts), ["family", "stage", "experiment_key", "lot_number"]).filter("stage = 'full_map'")
+    return {"forward_facts": facts, "comparison": models.compare(e, ctx["wafer_errors"].filter("stage = 'full_map'"))}
+
+
+def _spatial(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    p, xy = _placed(ctx, ctx["facts"])
+    return _named("spatial", analyses.spatial_decomposition(p, template.coordinate_zones(xy)))
+
+
+def _drift(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    return _named("drift", analyses.drift_risk(_rows(ctx)))
+
+
+def _uncertainty(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    p, _ = _placed(ctx, ctx["forward_facts"])
+    out = analyses.conformal_bounds(p.filter("stage = 'full_map'"), least_fit=0)
+    base = p.filter("stage = 'template'").groupBy(F.col("lot_number").alias("test_lot")).agg(F.avg(F.abs(metrics.error())).alias("baseline_mae"))
+    some = out["point_bounds"].select("nominal_coverage", "attainable").unionByName(out["map_bounds"].select("nominal_coverage", "attainable"))
+    return _named("uncertainty", out | {"checks": conformal.uncertainty_gate(out["lots"], some, base)})
+
+
+def _policies(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    return _named("policies", analyses.causal_policies(_rows(ctx)))
+
+
 STEPS = (
     Step("features", _features, {"detector": "complementary"}),
     Step("cycle_validation", _cycles, {"detector": "complementary"}),
@@ -59,6 +108,12 @@ STEPS = (
     Step("metrics", _metrics, {}, needs=("process_baseline",)),
     Step("risk_audit", _risk, {}, gate="QUALIFIED", needs=("process_baseline", "metrics")),
     Step("causal_replay", _replay, {"feedbacks": ("F0", "F1")}, gate="QUALIFIED", claim_boundary="decisions see earlier lots and wafers only", needs=("features", "risk_audit")),
+    Step("feature_ablation", _ablation, {}, claim_boundary="each feature set is evaluated as the whole", needs=("features",)),
+    Step("chronological_vm", _chronological, {"families": ("pls",)}, claim_boundary="models see earlier lots only", needs=("features", "metrics")),
+    Step("spatial_decomposition", _spatial, {}, gate="QUALIFIED", needs=("process_baseline",)),
+    Step("drift_risk", _drift, {}, gate="QUALIFIED", claim_boundary="percentiles are against training wafers", needs=("features",)),
+    Step("uncertainty_calibration", _uncertainty, {}, gate="QUALIFIED", claim_boundary="bounds are calibrated on the lot before", needs=("chronological_vm",)),
+    Step("selective_metrology", _policies, {}, gate="QUALIFIED", claim_boundary="decisions see earlier lots and wafers only", needs=("features",)),
 )
 
 

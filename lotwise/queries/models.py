@@ -122,6 +122,13 @@ def drift_risk(spark, sf):
     return lots.groupBy("policy").agg(F.count("*").alias("lots"), r6(F.avg("aurc"), "macro_aurc"))
 
 
+@query("causal_policies")
+def causal_policies(spark, sf):
+    """Policies replayed by models and scores of earlier lots: errors by policy and budget, 100 random replicates."""
+    p = analyses.causal_policies(rows(spark, sf))["policies"]
+    return p.select("mode", "policy", "budget", r6("lot_macro_system_mae"), r6("mean_measured_fraction"), r6("worst_lot_mae"))
+
+
 def _placed(spark, sf, facts):
     """Points with the coordinates of their places, which are in the order of (y, x)."""
     xy = tables.dense(spark, sf).select("x", "y").distinct()

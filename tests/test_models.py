@@ -193,6 +193,28 @@ def test_feedback_job(spark):
     assert all(x["system_error"] == 0 for x in r if x["measured"])
 
 
+def test_policies_of_earlier_lots(spark):
+    from lotwise.plans import analyses
+
+    rows = spark.createDataFrame(wafers(6, 5), SCHEMA)
+    out = analyses.causal_policies(rows, budgets=(0.0, 0.4, 1.0), replicates=7, bootstraps=200, without_lot=6)
+    lots = out["lots"].collect()
+    assert {x["lot_number"] for x in lots} == {4, 5, 6} and {x["mode"] for x in lots} == {"direct_substitution", "ranking_only"}
+    assert {x["policy"] for x in lots} == {"no_metrology", "periodic", "ood", "disagreement", "combined", "validated_combined", "oracle", "random"}
+    assert all(x["random_replicates"] == (7 if x["policy"] == "random" else 1) for x in lots)
+    plain = {x["lot_number"]: x["total_system_mae"] for x in lots if x["policy"] == "no_metrology" and x["budget"] == 0}
+    for x in lots:
+        if x["policy"] == "no_metrology" or x["budget"] == 0:
+            assert x["measured_fraction"] == 0 and x["total_system_mae"] == pytest.approx(plain[x["lot_number"]])
+        elif x["budget"] == 1 and x["policy"] != "no_metrology":
+            assert x["measured_fraction"] == 1 and x["total_system_mae"] == 0
+        else:
+            assert x["measured_fraction"] == pytest.approx(0.4)
+    best = min(x["total_system_mae"] for x in lots if x["budget"] == 0.4 and x["lot_number"] == 5)
+    assert best == pytest.approx(next(x["total_system_mae"] for x in lots if x["budget"] == 0.4 and x["lot_number"] == 5 and x["policy"] == "oracle" and x["mode"] == "ranking_only"))
+    assert out["gate"].first()["gate"] in ("PASS", "FAIL") and out["difference"].count() == 3
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     r = np.random.default_rng(3)
     rows = [(lot, i + 1, f"{lot}-{i:02d}", float(r.random()), float(r.normal()), float(r.random())) for lot in range(3) for i in range(9)]
