@@ -5,8 +5,9 @@ of ``simhash`` give the links of few differing bits; each is confirmed by the ex
 all pairs of similarity 0.8: these differ in 9.7 +- 2.9 of 64 bits, and at a radius that holds them a tree follows
 nearly all its edges (figures in the README). So what the trees leave apart is met a second time, by bands of minima of
 the same shingle hashes: sets that agree on all rows of a band share a bucket. Within a bucket each set is first
-compared with the smallest; of what these links leave apart, every pair is compared. So each pair that shares a bucket
-is either compared or already in one component, without the pairs of a large group.
+compared with the smallest; of what these links leave apart, all but the largest component are compared with the rest,
+where the bucket's sets are, in tiles of a bounded size. So each pair that shares a bucket is either compared or already
+in one component, and what is sent is in proportion to the buckets' rows, not to their pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lotwise.llm.simhash import fingerprint_links
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
+#: Sets of either side that a task compares at a time.
+TILE = 2000
 #: Differing bits that the trees search.
 RADIUS = 3
 #: Sets of similarity 0.8 share none of 48 bands of 8 rows with probability 0.00015, of 0.85 with 0.0000002. Eight rows
@@ -69,6 +72,49 @@ def sketches_of(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node, bands
 
 
+def _links_of(asks: list[tuple], asked: list[tuple], least: float) -> Iterator[tuple[int, int]]:
+    """(node, a node of another component that is alike), one for each such component. Rows: (node, root, in the main component, set)."""
+    size = np.array([len(x[3]) for x in asked])
+    flat, begin = np.concatenate([x[3] for x in asked]), np.cumsum(size) - size
+    node, root, main = (np.array([x[i] for x in asked]) for i in range(3))
+    for own, own_root, _, s in asks:
+        shared = np.add.reduceat(np.isin(flat, s), begin)
+        alike = (shared >= least * (size + len(s) - shared)) & (root != own_root) & (main | (node < own))
+        found = np.flatnonzero(alike)
+        for i in found[np.unique(root[found], return_index=True)[1]].tolist():
+            yield own, int(node[i])
+
+
+def _meet(least: float):
+    """Compares the sets of each tile of a bucket, rows of which follow each other, those that are asked first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, asked, asks = None, [], []
+
+        def done() -> list[tuple[int, int]]:
+            out = list(_links_of(asks, asked, least)) if asks and asked else []
+            asked.clear()
+            asks.clear()
+            return out
+
+        for b in batches:
+            h, ca, cb, kind, node, root, main = (b.column(i).to_pylist() for i in range(7))
+            s, links = b.column(7), []
+            flat, offs = s.flatten().to_numpy(), s.offsets.to_numpy()
+            offs = offs - offs[0]
+            for i in range(b.num_rows):
+                if (h[i], ca[i], cb[i]) != tile:
+                    links += done()
+                    tile = (h[i], ca[i], cb[i])
+                (asks if kind[i] else asked).append((node[i], root[i], main[i], flat[offs[i] : offs[i + 1]].copy()))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+        if last := done():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*last)], ["a", "b"])
+
+    return run
+
+
 def fingerprints_of(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The SimHash of each set: a bit is 1 if it is set in over half of the shingles' hashes; zero for empty sets."""
     have = np.flatnonzero(np.diff(offs))
@@ -130,17 +176,13 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     firsts = buckets.groupBy("h").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(buckets.join(firsts.select("h", "first"), "h"), "buckets")
 
-    # Sets whose sizes differ too much cannot be alike.
-    def sized(x: str, y: str):
-        return F.least(x, y) >= least * F.greatest(x, y)
-
     some = buckets.select("node").unionByName(tree.select(F.col("a").alias("node"))).unionByName(tree.select(F.col("b").alias("node"))).distinct()
     wanted = written(nodes.join(some, "node", "left_semi").select(F.col("low").alias("k"), "node"), "wanted")
     sets = rows.join(sent(wanted), "k").select("node", "t").mapInArrow(_shingles, "node long, s array<long>")
     sets = written(sets.dropDuplicates(["node"]), "shingles")  # rows of one key are the same text
 
     sizes = nodes.select(F.col("node").alias("first"), F.col("n").alias("first_n"))
-    star = buckets.filter("node <> first").select("node", "n", "first").distinct().join(sizes, "first").filter(sized("n", "first_n"))
+    star = buckets.filter("node <> first").select("node", "n", "first").distinct().join(sizes, "first").filter(F.least("n", "first_n") >= least * F.greatest("n", "first_n"))  # else the sizes differ too much
     tried = star.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(tree).distinct()
     links = written(_alike(tried, sets, least), "near-links")
 
@@ -149,13 +191,16 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     placed = written(placed, "near-placed")
     # Of a bucket's components all but the largest meet the others: what is one component already is not paired.
     shares = placed.groupBy("h", "root").agg(F.count("*").alias("m"))
-    main = shares.groupBy("h").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("apart")).filter("apart > 1").select("h", F.col("x.root").alias("main"))
+    main = shares.groupBy("h").agg(F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("apart"), F.sum("m").alias("all")).filter("apart > 1")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    main = main.select("h", F.col("x.root").alias("main"), tiles(F.col("all") - F.col("x.m")).alias("la"), tiles(F.col("all")).alias("lb"))
     apart = placed.join(main, "h")
-    left = apart.filter("root <> main").select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    right = apart.select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), "main")
-    rest = left.join(right, "h").filter((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("main")) | (F.col("a") < F.col("b"))) & sized("an", "bn"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = links.unionByName(_alike(rest, sets, least))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = apart.filter("root <> main").select("h", F.pmod(F.xxhash64("node"), F.col("la")).cast("int").alias("ca"), every("lb").alias("cb"), F.lit(1).alias("asks"), "node", "root", (F.col("root") == F.col("main")).alias("main"))
+    asked = apart.select("h", every("la").alias("ca"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("lb")).cast("int").alias("cb"), F.lit(0).alias("asks"), "node", "root", (F.col("root") == F.col("main")).alias("main"))
+    met = asks.unionByName(asked).join(sets, "node").select("h", "ca", "cb", "asks", "node", "root", "main", "s")
+    met = met.repartition("h", "ca", "cb").sortWithinPartitions("h", "ca", "cb", "asks")
+    links = links.unionByName(met.mapInArrow(_meet(least), "a long, b long"))
 
     linked = components(links, "near-links")
     rooted = nodes.select("node", "low").join(linked, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

@@ -308,7 +308,11 @@ def test_pipeline_stages(spark):
     assert out.columns[0] == "pack_id" and out.count() > 0
 
 
-def test_near_duplicates_stage_has_similarity_of_five_words(spark):
+@pytest.mark.parametrize("tile", [3, 2000])
+def test_near_duplicates_stage_has_similarity_of_five_words(spark, monkeypatch, tile):
+    from lotwise.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "TILE", tile)
     r = random.Random(11)
     word = lambda: "w" + str(r.randrange(4000))
     texts = []
