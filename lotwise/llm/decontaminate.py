@@ -142,5 +142,6 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
 
 
 def op6_simhash_windows(spark, sf_dir: str) -> DataFrame:
+    """A row for each document and item that match; null and empty texts match nothing, repeated rows give one row, a null doc_id is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

@@ -153,6 +153,7 @@ def _search(shared, k: int, scale: int, size: int):
 
 
 def op4_maxscore(spark, sf_dir: str) -> DataFrame:
+    """Rows without vec_id and vectors that are null or hold null or non-finite components take no part; see ``top_k`` for repeats."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, F.col("vec_id") % 50 == 0)
 

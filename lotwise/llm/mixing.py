@@ -144,6 +144,7 @@ def with_tree(docs: DataFrame) -> DataFrame:
 
 
 def op5_hierarchical_mix(spark, sf_dir: str) -> DataFrame:
+    """A null text has no tokens, a null lang or source counts as ''; repeated rows and null ids are taken as often as they are there."""
     docs = with_tree(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")).drop("text")
     docs = written(docs, "token-counts")  # words are counted once
     return mix(docs).select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")

@@ -268,6 +268,7 @@ THRESHOLD = 0.7
 
 
 def op8_neighbour_quality(spark, sf_dir: str) -> DataFrame:
+    """A row a document: null and empty texts have the share of label 1 among the examples; a null doc_id is not held out and teaches nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out_part())
     scored = classify(docs, fit_quality(spark, docs.select("doc_id", "text"), sf_dir), ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -283,4 +283,5 @@ def write_binary(packs: DataFrame, path: str, capacity: int = CAPACITY, pad: int
 
 
 def op3_bestfit_packing(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts are in no pack, repeated rows in one each; a null doc_id is a key like any other."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumnRenamed("keys", "doc_ids")

@@ -319,5 +319,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 
 def op7_repeat_intervals(spark, sf_dir: str) -> DataFrame:
+    """A row a document: null texts are empty, repeated rows lose what they share, a null doc_id is a key like any other."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeated_spans(docs).drop("spans")

@@ -251,4 +251,5 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def op10_secret_structure(spark, sf_dir: str) -> DataFrame:
+    """A row a document: null texts are empty; repeated rows and null ids have their rows."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

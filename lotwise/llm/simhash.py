@@ -207,5 +207,6 @@ def hexadecimal(fp: str = "fp"):
 
 
 def op1_simhash_bktree(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts have fingerprint zero and are linked; each repeated row has its row; a null doc_id names no component but its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
