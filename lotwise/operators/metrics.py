@@ -115,10 +115,19 @@ def wafer_ordinal(wafers: DataFrame, lot: str = "lot_number", key: str = "experi
 
 
 def representative(wafers: DataFrame, value: str, key: str = "experiment_key") -> DataFrame:
-    """(median_key, best_key, worst_key) by a value."""
-    w = Window.orderBy(value, key)
-    r = wafers.withColumns({"_r": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy())})
-    return r.agg(F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2), F.col(key))).alias("median_key"), F.min_by(key, F.struct(value, key)).alias("best_key"), F.max_by(key, F.struct(value, key)).alias("worst_key"))
+    """(median_key, best_key, worst_key) by a value.
+
+    The median row is looked for between approximate quantiles around it only: a thousandth of the rows are sorted.
+    """
+    quantiles = F.percentile_approx(value, F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000))
+    ends = wafers.agg(F.count("*").alias("_n"), quantiles.alias("_q"), F.min_by(key, F.struct(value, key)).alias("best_key"), F.max_by(key, F.struct(value, key)).alias("worst_key"))
+    ends = ends.select("_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "best_key", "worst_key")
+    near = wafers.select(F.col(value).alias("_v"), F.col(key).alias("_k")).crossJoin(ends.select("_lo", "_hi"))
+    below = near.agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
+    r = near.filter(F.col("_v").between(F.col("_lo"), F.col("_hi"))).withColumn("_r", F.row_number().over(Window.orderBy("_v", "_k")) - 1)
+    r = r.crossJoin(below).crossJoin(ends.select("_n"))
+    median = r.agg(F.max(F.when(F.col("_r") + F.col("_below") == F.floor(F.col("_n") / 2), F.col("_k"))).alias("median_key"))
+    return median.crossJoin(ends.select("best_key", "worst_key"))
 
 
 def stability_rollup(stability: DataFrame, top: int = 18) -> DataFrame:
