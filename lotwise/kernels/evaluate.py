@@ -19,6 +19,14 @@ def label(parameter) -> str:
     return parameter.label if isinstance(parameter, gaussian.Settings) else f"{parameter:g}"
 
 
+def of_moments(family: str, parameter, moments: linear.Moments, features: int) -> linear.Affine:
+    if family == "ridge":
+        return linear.ridge(moments, features, float(parameter))
+    if family == "pls":
+        return linear.partial_least_squares(moments, features, int(parameter))
+    raise ValueError(f"no such model family: {family}")
+
+
 class LotMoments:
     """The moments of each lot's rows (features, map) less ``origin``; the training part of any fold is a difference of these."""
 
@@ -36,12 +44,7 @@ class LotMoments:
 
     def fitted(self, names: tuple, family: str, parameter, components: np.ndarray | None = None) -> linear.Affine:
         """A model of the lots' shifts, or with ``components`` of their residuals' components, by standard features."""
-        moments, features = self.training(names).explaining(components)
-        if family == "ridge":
-            return linear.ridge(moments, features, float(parameter))
-        if family == "pls":
-            return linear.partial_least_squares(moments, features, int(parameter))
-        raise ValueError(f"no such model family: {family}")
+        return of_moments(family, parameter, *self.training(names).explaining(components))
 
 
 class Wafers(LotMoments):
@@ -156,7 +159,8 @@ def portable(w: LotMoments, names: tuple, family: str, by_shift: Sequence, by_sc
     """All candidates fitted on some lots."""
     t = w.training(names)
     components, _ = t.components(share, most)
-    return Portable(t.template, components, [_raw(t, w.fitted(names, family, p)) for p in by_shift], [_raw(t, w.fitted(names, family, p, components)) for p in by_scores])
+    shift, scores = t.explaining(None), t.explaining(components)
+    return Portable(t.template, components, [_raw(t, of_moments(family, p, *shift)) for p in by_shift], [_raw(t, of_moments(family, p, *scores)) for p in by_scores])
 
 
 def fold_facts(w: LotMoments, names: tuple, family: str, by_shift, by_residual, shift_error: float, residual_error: float, test_wafers: int, share: float = SHARE, most: int = MOST) -> tuple[dict, np.ndarray, np.ndarray]:

@@ -108,7 +108,7 @@ def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool
     No group holds the wafers of more than one lot: folds are fitted on the lots' moments, and what they fit goes to
     the wafers of the lot that it is scored on. Candidates are scored lot by lot, averaged and chosen natively.
     """
-    moments = lot_moments(rows)
+    moments = lot_moments(rows).persist()
     folds = fold_rows(moments, list(params), forward, least)
     by = ["ablation", "held_out_lot", "family"]
 
@@ -167,8 +167,9 @@ def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"),
     One row for each test wafer and stage; see ``points``, ``folds``, ``stability``. Parameters are chosen in inner
     folds of the training lots, of which there must be two or more. ``rows`` may carry a column ``ablation``; each value
     is evaluated in the same job. Gaussian processes need their training wafers, so their folds are groups of them.
+    The wafers' rows and the lots' moments are met several times and persisted; ``spark.catalog.clearCache`` frees them.
     """
-    rows = rows.withColumn("ablation", F.col(ablation) if ablation in rows.columns else F.lit("all"))
+    rows = rows.withColumn("ablation", F.col(ablation) if ablation in rows.columns else F.lit("all")).persist()
     params = {f: tuple(parameters[f]) for f in families}
     linear_ones = {f: p for f, p in params.items() if f != "gpr"}
     out = _linear_folds(rows, linear_ones, forward, least_lots, variance, most) if linear_ones else None
