@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import cascade, decontaminate, licences, maxscore, mixing, neighbours, ngram, packing, repeats, secretscan, simhash
+from lotwise.llm import cascade, decontaminate, licences, maxscore, mixing, neighbours, ngram, packing, prefixtrie, repeats, secretscan, simhash
 
 QUERIES = {
     "op1_simhash_bktree": simhash.op1_simhash_bktree,
@@ -15,9 +15,10 @@ QUERIES = {
     "op6_simhash_windows": decontaminate.op6_simhash_windows,
     "op9_licence_tfidf": licences.op9_licence_tfidf,
     "op7_repeat_intervals": repeats.op7_repeat_intervals,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     "op12_rule_cascade": cascade.op12_rule_cascade,
 }
-SQL = {"op4_maxscore": maxscore.OP4_SQL, "op5_hierarchical_mix": mixing.OP5_SQL, "op12_rule_cascade": cascade.OP12_SQL}
+SQL = {"op4_maxscore": maxscore.OP4_SQL, "op5_hierarchical_mix": mixing.OP5_SQL, "op12_rule_cascade": cascade.OP12_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
 
 
 def queries() -> dict:
