@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import cascade, decontaminate, licences, maxscore, mixing, neighbours, ngram, packing, prefixtrie, repeats, secretscan, simhash
+from lotwise.llm import cascade, decontaminate, licences, maxscore, mixing, neighbours, ngram, packing, prefixtrie, repeats, secretscan, simhash, spelling
 
 QUERIES = {
     "op1_simhash_bktree": simhash.op1_simhash_bktree,
@@ -16,9 +16,10 @@ QUERIES = {
     "op9_licence_tfidf": licences.op9_licence_tfidf,
     "op7_repeat_intervals": repeats.op7_repeat_intervals,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_rule_cascade": cascade.op12_rule_cascade,
 }
-SQL = {"op4_maxscore": maxscore.OP4_SQL, "op5_hierarchical_mix": mixing.OP5_SQL, "op12_rule_cascade": cascade.OP12_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
+SQL = {"op4_maxscore": maxscore.OP4_SQL, "op5_hierarchical_mix": mixing.OP5_SQL, "op12_rule_cascade": cascade.OP12_SQL, "op11_spelling_variants": spelling.OP11_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
 
 
 def queries() -> dict:
