@@ -28,19 +28,50 @@ def of_moments(family: str, parameter, moments: linear.Moments, features: int) -
 
 
 class LotMoments:
-    """The moments of each lot's rows (features, map) less ``origin``; the training part of any fold is a difference of these."""
+    """The moments of each lot's rows (features, map), and of any set of lots by merging.
 
-    def __init__(self, own: dict, features: int, origin: np.ndarray):
-        self.own, self.features, self.origin, self.names = own, features, origin, sorted(own)
-        self.total = sum(list(own.values())[1:], next(iter(own.values()))) if own else None
+    Lots are the leaves of a balanced tree whose nodes are merged once: a set that lacks few lots is a union of few
+    nodes. A node has its own lots only, so the moments of a set don't depend on what is outside it.
+    """
+
+    def __init__(self, own: dict, features: int):
+        self.own, self.features, self.names = own, features, sorted(own)
+        self._at = {n: i for i, n in enumerate(self.names)}
+        self._node = lru_cache(maxsize=None)(self._merged)
         self.training = lru_cache(maxsize=64)(self._training)
 
+    def _merged(self, lo: int, hi: int) -> linear.Moments:
+        if hi - lo == 1:
+            return self.own[self.names[lo]]
+        mid = (lo + hi) // 2
+        return self._node(lo, mid) + self._node(mid, hi)
+
+    def moments(self, names: Sequence) -> linear.Moments:
+        wanted = np.zeros(len(self.names) + 1, int)
+        wanted[[self._at[n] + 1 for n in names]] = 1
+        upto = np.cumsum(wanted)
+
+        def within(lo: int, hi: int) -> linear.Moments | None:
+            some = upto[hi] - upto[lo]
+            if some in (0, hi - lo):
+                return self._node(lo, hi) if some else None
+            mid = (lo + hi) // 2
+            a, b = within(lo, mid), within(mid, hi)
+            return a + b if a and b else a or b
+
+        out = within(0, len(self.names)) if self.names else None
+        if out is None:
+            raise ValueError("training takes two wafers or more")
+        return out
+
     def _training(self, names: tuple) -> linear.Training:
-        out = self.total
-        for n in self.names:
-            if n not in names:
-                out = out - self.own[n]
-        return linear.Training(out, self.features, self.origin)
+        return linear.Training(self.moments(names), self.features)
+
+    def only(self, features: np.ndarray) -> LotMoments:
+        """The same lots with some of the features."""
+        width = len(next(iter(self.own.values())).mean) if self.own else 0
+        places = np.concatenate([np.asarray(features, int), np.arange(self.features, width)])
+        return LotMoments({n: m.only(places) for n, m in self.own.items()}, len(features))
 
     def fitted(self, names: tuple, family: str, parameter, components: np.ndarray | None = None) -> linear.Affine:
         """A model of the lots' shifts, or with ``components`` of their residuals' components, by standard features."""
@@ -53,8 +84,7 @@ class Wafers(LotMoments):
     def __init__(self, x: np.ndarray, maps: np.ndarray, lots: np.ndarray):
         self.x, self.maps, self.lots = np.asarray(x, float), np.asarray(maps, float), np.asarray(lots)
         rows = np.column_stack([self.x, self.maps])
-        origin = rows[0].copy()
-        super().__init__({n: linear.Moments.of(rows[self.lots == n] - origin) for n in sorted(set(self.lots.tolist()))}, self.x.shape[1], origin)
+        super().__init__({n: linear.Moments.of(rows[self.lots == n]) for n in sorted(set(self.lots.tolist()))}, self.x.shape[1])
 
     def of(self, *names) -> np.ndarray:
         return np.flatnonzero(np.isin(self.lots, names))
@@ -127,20 +157,29 @@ def run_fold(w: Wafers, train: tuple, test, family: str, parameters: Sequence, s
 
 @dataclass
 class Portable:
-    """Models of raw features that a group of wafers can apply without the rows or moments they were fitted on."""
+    """Models of raw features that a group of wafers can apply without the rows or moments they were fitted on.
+
+    ``features``: the places of those that the models take, all if None.
+    """
 
     template: np.ndarray
     components: np.ndarray
     shifts: list[linear.Affine]
     scores: list[linear.Affine]
+    features: np.ndarray | None = None
+
+    def _own(self, x: np.ndarray) -> np.ndarray:
+        return x if self.features is None else x[:, self.features]
 
     def errors(self, x: np.ndarray, maps: np.ndarray) -> tuple[list[float], list[float]]:
         """(mean absolute errors of the shift, root mean square errors of the residual map) of each model."""
+        x = self._own(x)
         shift = maps.mean(axis=1) - self.template.mean()
         residual = maps - self.template - shift[:, None]
         return [float(np.abs(m.predict(x)[:, 0] - shift).mean()) for m in self.shifts], [float(np.sqrt(((m.predict(x) @ self.components - residual) ** 2).mean())) for m in self.scores]
 
     def stages(self, x: np.ndarray, maps: np.ndarray) -> dict[str, np.ndarray]:
+        x = self._own(x)
         plain = np.tile(self.template, (len(x), 1))
         shift = plain + self.shifts[0].predict(x)[:, :1]
         true = plain + (maps.mean(axis=1) - self.template.mean())[:, None]
@@ -155,12 +194,12 @@ def _raw(t: linear.Training, model: linear.Affine) -> linear.Affine:
     return linear.Affine(w, model.intercept - t.feature_mean @ w)
 
 
-def portable(w: LotMoments, names: tuple, family: str, by_shift: Sequence, by_scores: Sequence, share: float = SHARE, most: int = MOST) -> Portable:
+def portable(w: LotMoments, names: tuple, family: str, by_shift: Sequence, by_scores: Sequence, share: float = SHARE, most: int = MOST, features: np.ndarray | None = None) -> Portable:
     """All candidates fitted on some lots."""
     t = w.training(names)
     components, _ = t.components(share, most)
     shift, scores = t.explaining(None), t.explaining(components)
-    return Portable(t.template, components, [_raw(t, of_moments(family, p, *shift)) for p in by_shift], [_raw(t, of_moments(family, p, *scores)) for p in by_scores])
+    return Portable(t.template, components, [_raw(t, of_moments(family, p, *shift)) for p in by_shift], [_raw(t, of_moments(family, p, *scores)) for p in by_scores], features)
 
 
 def fold_facts(w: LotMoments, names: tuple, family: str, by_shift, by_residual, shift_error: float, residual_error: float, test_wafers: int, share: float = SHARE, most: int = MOST) -> tuple[dict, np.ndarray, np.ndarray]:

@@ -82,6 +82,11 @@ def feature_group(name: Column) -> Column:
     return F.try_element_at(pairs, F.substring_index(name, "__", -1))
 
 
+def group_of(name: str) -> str | None:
+    """As ``feature_group``, of one name."""
+    return next((g for g, stats in FEATURE_GROUPS.items() if name.rsplit("__", 1)[-1] in stats), None)
+
+
 #: Parts of lower-case signal names, and the family that the first one found stands for.
 SENSOR_FAMILIES = (
     ("gas", "gas_or_backside_flow"), ("heliumbpflow", "gas_or_backside_flow"), ("pressure", "pressure"), ("heater", "heater_temperature"),
@@ -99,6 +104,12 @@ def sensor_family(name: Column, families: Sequence[tuple[str, str]] = SENSOR_FAM
     return out.otherwise(OTHER_FAMILY)
 
 
+def family_of(name: str, families: Sequence[tuple[str, str]] = SENSOR_FAMILIES) -> str:
+    """As ``sensor_family``, of one name."""
+    low = name.split("__", 1)[0].lower()
+    return next((family for part, family in families if part in low), OTHER_FAMILY)
+
+
 def select_groups(features: DataFrame, groups: Sequence[str]) -> DataFrame:
     """The features of some groups; ValueError for a group that is not there."""
     unknown = sorted(set(groups) - set(FEATURE_GROUPS))

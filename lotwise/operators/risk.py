@@ -81,7 +81,7 @@ def nearest_training_distance(vectors: DataFrame, fold: str = "held_out_lot", tr
     q = rows.select("f", "k", "x", own.alias("a"), every.alias("b"))
     t = rows.filter("t").select(F.col("f").alias("tf"), F.col("k").alias("tk"), F.col("x").alias("tx"), own.alias("tb")).select("tf", "tk", "tx", every.alias("ta"), "tb")
 
-    def least(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def least(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
             return q[["f", "k"]].head(0).assign(d=np.zeros(0))
         d = _nearest(q, t)
@@ -184,7 +184,7 @@ def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260
     holds some hundred thousand places at a time, whatever the lot and the number of orders.
     """
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         e = g.sort_values("o")["e"].to_numpy(float)
         n, draw, areas = len(e), np.random.default_rng([seed, int(key[0])]), []
         chosen = [min(int(np.rint(b * n)), n - 1) for b in budgets]

@@ -65,7 +65,7 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
     """
     params = {f: tuple(parameters[f]) for f in ("pls", "ridge")}
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         held = int(key[0])
         g, x, maps, lots = models._sorted(g)
         w, train = evaluate.Wafers(x, maps, lots), lots != held

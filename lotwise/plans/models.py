@@ -1,7 +1,7 @@
 """Nested evaluations as grouped jobs (L6-L18, C2-C9): fold, family and ablation are keys, numpy runs in Arrow groups.
 
-Linear families are fitted on the moments of lots, which folds add and subtract, and go to the wafers they are scored
-on; facts come back as rows and are unfolded natively.
+Linear families are fitted on the moments of lots, which folds merge, and go to the wafers they are scored on; facts
+come back as rows and are unfolded natively.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.kernels import evaluate, gaussian, linear
-from lotwise.operators.features import FEATURE_GROUPS, feature_group, feature_vectors, sensor_family
+from lotwise.operators.features import FEATURE_GROUPS, family_of, feature_group, feature_vectors, group_of, sensor_family
+from lotwise.sources.shared import written
 
 #: Default candidates of each family.
 PARAMETERS: dict[str, tuple] = {"ridge": (0.1, 1.0, 10.0, 100.0, 1000.0), "pls": (1, 2, 4), "gpr": (gaussian.Settings(4, 1.0, 0.1), gaussian.Settings(4, 3.0, 0.1), gaussian.Settings(8, 3.0, 0.3))}
@@ -58,125 +59,150 @@ def _emit(g, test, held, family, ablation, fold: evaluate.Fold, observed) -> pd.
     return pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
 
-MOMENTS = "ablation string, lot_number int, features int, count long, first array<double>, second array<double>, origin array<double>"
+MOMENTS = "ablation string, subset string, places array<int>, lot_number int, features int, count long, mean array<double>, centred array<double>"
 
 
-def lot_moments(rows: DataFrame) -> DataFrame:
-    """Moments of each lot's rows (x, map) by ``ablation``: tasks add up what they read, and only their sums are shuffled."""
-    origin = rows.groupBy("ablation").agg(F.min_by(F.concat("x", "map"), "experiment_key").alias("origin"))
-    z = rows.join(origin, "ablation").select("ablation", "lot_number", F.size("x").alias("features"), F.concat("x", "map").alias("z"), "origin")
+def _names(kinds: str) -> list[str]:
+    return [c.split()[0] for c in kinds.split(", ")]
+
+
+def lot_moments(rows: DataFrame, subsets: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
+    """Moments of each lot's rows (x, map) by ``ablation``: tasks merge those of what they read, and only these are shuffled.
+
+    With ``subsets`` (places of features, by name) there is a row for each subset: the entries of one matrix that
+    belong to it, so that the rows are gone through once for all of them.
+    """
+    z = rows.select("ablation", "lot_number", F.size("x").alias("features"), F.concat("x", "map").alias("z"))
 
     def frame(found: dict) -> pd.DataFrame:
-        return pd.DataFrame([(a, n, p, m.count, m.first, m.second.ravel(), o) for (a, n), (p, o, m) in found.items()], columns=[c.split()[0] for c in MOMENTS.split(", ")])
+        return pd.DataFrame([(a, "", None, n, p, m.count, m.mean, m.centred.ravel()) for (a, n), (p, m) in found.items()], columns=_names(MOMENTS))
 
     def partial(batches):
         found: dict = {}
         for b in batches:
             for key, g in b.groupby(["ablation", "lot_number"]):
-                o = np.asarray(g["origin"].iloc[0], float)
-                m = linear.Moments.of(np.stack(g["z"].to_numpy()) - o)
-                found[key] = (int(g["features"].iloc[0]), o, found[key][2] + m if key in found else m)
+                m = linear.Moments.of(np.stack(g["z"].to_numpy()))
+                found[key] = (int(g["features"].iloc[0]), found[key][1] + m if key in found else m)
         yield frame(found)
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         w = _moments(g)
-        return frame({(g["ablation"].iloc[0], n): (w.features, w.origin, m) for n, m in w.own.items()})
+        (n, m), name = next(iter(w.own.items())), g["ablation"].iloc[0]
+        if subsets is None:
+            return frame({(name, n): (w.features, m)})
+        own = ((s, np.asarray(places, int), w.only(places).own[n]) for s, places in subsets.items())
+        return pd.DataFrame([(name, s, places, n, len(places), x.count, x.mean, x.centred.ravel()) for s, places, x in own], columns=_names(MOMENTS))
 
     return z.mapInPandas(partial, MOMENTS).groupBy("ablation", "lot_number").applyInPandas(total, MOMENTS)
 
 
 def _moments(g: pd.DataFrame) -> evaluate.LotMoments:
-    own: dict = {}
-    for n, count, first, second in zip(g["lot_number"], g["count"], g["first"], g["second"]):
-        m = linear.Moments(int(count), np.asarray(first, float), np.asarray(second, float).reshape(len(first), -1))
-        own[int(n)] = own[int(n)] + m if int(n) in own else m
-    return evaluate.LotMoments(own, int(g["features"].iloc[0]), np.asarray(g["origin"].iloc[0], float))
+    """Parts of one lot are merged in an order of their own, so the sum doesn't depend on how they came."""
+    parts: dict = {}
+    for n, count, mean, centred in zip(g["lot_number"], g["count"], g["mean"], g["centred"]):
+        parts.setdefault(int(n), []).append(linear.Moments(int(count), np.asarray(mean, float), np.asarray(centred, float).reshape(len(mean), -1)))
+    own = {}
+    for n, some in parts.items():
+        some.sort(key=lambda m: (m.count, m.mean.tobytes()))
+        own[n] = sum(some[1:], some[0])
+    return evaluate.LotMoments(own, int(g["features"].iloc[0]))
 
 
-FITTED = "ablation string, held_out_lot int, family string, at_lot int, models binary"
-INNER = "ablation string, held_out_lot int, family string, residual boolean, place int, label string, error double"
-FINAL = FITTED + ", facts string, importance array<double>, coefficient_sign array<double>"
+def _places(g: pd.DataFrame) -> np.ndarray | None:
+    places = g["places"].iloc[0]
+    return None if places is None else np.asarray(places, int)
 
 
-def _names(kinds: str) -> list[str]:
-    return [c.split()[0] for c in kinds.split(", ")]
+FITTED = "ablation string, subset string, held_out_lot int, family string, at_lot int, models binary"
+INNER = "ablation string, subset string, held_out_lot int, family string, residual boolean, place int, label string, error double"
+FINAL = FITTED + ", facts string, importance array<double>, coefficient_sign array<double>"
+_BY = ["ablation", "subset", "held_out_lot", "family"]
 
 
-def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool, least: int, share: float, most: int) -> DataFrame:
-    """The facts of the families that moments suffice for.
+def _chosen(each, folds: DataFrame, params: Mapping[str, Sequence], share: float, most: int) -> DataFrame:
+    """(ablation, subset, held_out_lot, family, place, residual_place, error, residual_error): the parameters that inner folds choose.
 
-    No group holds the wafers of more than one lot: folds are fitted on the lots' moments, and what they fit goes to
-    the wafers of the lot that it is scored on. Candidates are scored lot by lot, averaged and chosen natively.
+    Candidates are fitted on the lots' moments, scored lot by lot, averaged and chosen natively.
     """
-    moments = lot_moments(rows).persist()
-    folds = fold_rows(moments, list(params), forward, least)
-    by = ["ablation", "held_out_lot", "family"]
 
-    def inner(key, g: pd.DataFrame) -> pd.DataFrame:
-        name, held, family = key[0], int(key[1]), key[2]
-        w, out = _moments(g), []
+    def inner(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        name, subset, held, family = key[0], key[1], int(key[2]), key[3]
+        w, places, out = _moments(g), _places(g), []
         train = tuple(n for n in w.names if n != held)
         for n in train if len(train) > 1 else ():
-            fitted = evaluate.portable(w, tuple(x for x in train if x != n), family, params[family], params[family], share, most)
-            out.append((name, held, family, n, pickle.dumps(fitted)))
+            fitted = evaluate.portable(w, tuple(x for x in train if x != n), family, params[family], params[family], share, most, places)
+            out.append((name, subset, held, family, n, pickle.dumps(fitted)))
         return pd.DataFrame(out, columns=_names(FITTED))
 
     def scored(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(wafers) and len(fitted):
             _, x, maps, _ = _sorted(wafers)
-            for name, held, family, blob in zip(fitted["ablation"], fitted["held_out_lot"], fitted["family"], fitted["models"]):
+            for name, subset, held, family, blob in zip(fitted["ablation"], fitted["subset"], fitted["held_out_lot"], fitted["family"], fitted["models"]):
                 for residual, found in zip((False, True), pickle.loads(blob).errors(x, maps)):
-                    out += [(name, held, family, residual, i, evaluate.label(params[family][i]), e) for i, e in enumerate(found)]
+                    out += [(name, subset, held, family, residual, i, evaluate.label(params[family][i]), e) for i, e in enumerate(found)]
         return pd.DataFrame(out, columns=_names(INNER))
 
-    wafers = rows.select("ablation", "experiment_key", "lot_number", "x", "map")
-    each = wafers.groupBy("ablation", "lot_number")
-    scores = each.cogroup(folds.groupBy(*by).applyInPandas(inner, FITTED).groupBy("ablation", "at_lot")).applyInPandas(scored, INNER)
-    scores = scores.groupBy(*by, "residual", "place", "label").agg(F.avg("error").alias("error"))
-    best = scores.groupBy(*by, "residual").agg(F.min(F.struct("error", "label", "place")).alias("b"))
+    scores = each.cogroup(folds.groupBy(*_BY).applyInPandas(inner, FITTED).groupBy("ablation", "at_lot")).applyInPandas(scored, INNER)
+    scores = scores.groupBy(*_BY, "residual", "place", "label").agg(F.avg("error").alias("error"))
+    best = scores.groupBy(*_BY, "residual").agg(F.min(F.struct("error", "label", "place")).alias("b"))
     at = lambda r: F.max(F.when(F.col("residual") == r, F.col("b")))
-    best = best.groupBy(*by).agg(at(False).alias("s"), at(True).alias("r")).select(F.col("ablation").alias("_a"), F.col("held_out_lot").alias("_h"), F.col("family").alias("_f"), "s.place", F.col("r.place").alias("residual_place"), F.col("s.error").alias("error"), F.col("r.error").alias("residual_error"))
+    return best.groupBy(*_BY).agg(at(False).alias("s"), at(True).alias("r")).select(*_BY, "s.place", F.col("r.place").alias("residual_place"), F.col("s.error").alias("error"), F.col("r.error").alias("residual_error"))
+
+
+def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool, least: int, share: float, most: int, subsets: Mapping[str, Sequence[int]] | None) -> DataFrame:
+    """The facts of the families that moments suffice for.
+
+    No group holds the wafers of more than one lot: folds are fitted on the lots' moments, and what they fit goes to
+    the wafers of the lot that it is scored on.
+    """
+    moments = written(lot_moments(rows, subsets), "moments")
+    folds = fold_rows(moments, list(params), forward, least)
+    each = rows.select("ablation", "experiment_key", "lot_number", "x", "map").groupBy("ablation", "lot_number")
+    best = _chosen(each, folds, params, share, most)
 
-    def final(key, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+    def final(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(chosen):
             return pd.DataFrame([], columns=_names(FINAL))
-        name, held, family = key[0], int(key[1]), key[2]
+        name, subset, held, family = key[0], key[1], int(key[2]), key[3]
         w, c = _moments(g), chosen.iloc[0]
         train = tuple(n for n in w.names if n != held)
         s, r = params[family][int(c["place"])], params[family][int(c["residual_place"])]
         facts, importance, sign = evaluate.fold_facts(w, train, family, s, r, float(c["error"]), float(c["residual_error"]), w.own[held].count, share, most)
-        return pd.DataFrame([(name, held, family, held, pickle.dumps(evaluate.portable(w, train, family, [s], [r], share, most)), json.dumps(facts), importance, sign)], columns=_names(FINAL))
+        blob = pickle.dumps(evaluate.portable(w, train, family, [s], [r], share, most, _places(g)))
+        return pd.DataFrame([(name, subset, held, family, held, blob, json.dumps(facts), importance, sign)], columns=_names(FINAL))
 
     def predicted(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(wafers) and len(fitted):
             g, x, maps, _ = _sorted(wafers)
             for f in fitted.itertuples():
+                name = f.subset or f.ablation
                 for stage, p in pickle.loads(f.models).stages(x, maps).items():
-                    out += [(f.held_out_lot, f.family, f.ablation, k, int(n), stage, p[i], maps[i], None, f.facts, f.importance, f.coefficient_sign) for i, (k, n) in enumerate(zip(g["experiment_key"], g["lot_number"]))]
+                    out += [(f.held_out_lot, f.family, name, k, int(n), stage, p[i], maps[i], None, f.facts, f.importance, f.coefficient_sign) for i, (k, n) in enumerate(zip(g["experiment_key"], g["lot_number"]))]
         return pd.DataFrame(out, columns=_names(FACTS))
 
-    models = folds.groupBy(*by).cogroup(best.groupBy("_a", "_h", "_f")).applyInPandas(final, FINAL)
+    models = folds.groupBy(*_BY).cogroup(best.groupBy(*_BY)).applyInPandas(final, FINAL)
     return each.cogroup(models.groupBy("ablation", "at_lot")).applyInPandas(predicted, FACTS)
 
 
-def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"), parameters: Mapping[str, Sequence] = PARAMETERS, forward: bool = False, least_lots: int = 3, variance: float = 0.90, most: int = 8, ablation: str = "ablation") -> DataFrame:
+def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"), parameters: Mapping[str, Sequence] = PARAMETERS, forward: bool = False, least_lots: int = 3, variance: float = 0.90, most: int = 8, ablation: str = "ablation", subsets: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
     """The facts of every outer fold: leave-one-lot-out, or with ``forward`` earlier lots only.
 
     One row for each test wafer and stage; see ``points``, ``folds``, ``stability``. Parameters are chosen in inner
     folds of the training lots, of which there must be two or more. ``rows`` may carry a column ``ablation``; each value
-    is evaluated in the same job. Gaussian processes need their training wafers, so their folds are groups of them.
-    The wafers' rows and the lots' moments are met several times and persisted; ``spark.catalog.clearCache`` frees them.
+    is evaluated in the same job. ``subsets``, by name the places in x, are ablations of the same rows: they share one
+    moment matrix a lot. Gaussian processes need their training wafers, so their folds are groups of them.
+    The wafers' rows and the lots' moments are met several times, so they are written to the shared folder.
     """
-    rows = rows.withColumn("ablation", F.col(ablation) if ablation in rows.columns else F.lit("all")).persist()
+    rows = written(rows.withColumn("ablation", F.col(ablation) if ablation in rows.columns else F.lit("all")), "modelling-rows")
     params = {f: tuple(parameters[f]) for f in families}
     linear_ones = {f: p for f, p in params.items() if f != "gpr"}
-    out = _linear_folds(rows, linear_ones, forward, least_lots, variance, most) if linear_ones else None
+    out = _linear_folds(rows, linear_ones, forward, least_lots, variance, most, subsets) if linear_ones else None
     if "gpr" not in params:
         return out
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         held, family, name = int(key[0]), key[1], key[2]
         g, x, maps, lots = _sorted(g)
         w = evaluate.Wafers(x, maps, lots)
@@ -215,17 +241,14 @@ def stability(facts: DataFrame, names: Sequence[str], top: int = 20) -> DataFram
     return z.withColumn("rank", rank).withColumn("top_20", F.col("rank") <= top).drop("place")
 
 
-def ablation_rows(features: DataFrame, maps: DataFrame, cumulative: Mapping[str, Sequence[str]] = CUMULATIVE, families: bool = True) -> DataFrame:
-    """Modelling rows of every feature subset: cumulative groups, and each sensor family alone."""
-    out = None
-    for name, groups in cumulative.items():
-        one = modelling_rows(features.filter(feature_group(F.col("feature")).isin(*groups)), maps).withColumn("ablation", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+def ablation_subsets(names: Sequence[str], cumulative: Mapping[str, Sequence[str]] = CUMULATIVE, families: bool = True) -> dict[str, list[int]]:
+    """By ablation the places of its features in their order: cumulative groups, and with ``families`` each sensor family alone."""
+    ordered = sorted(names)
+    out = {name: [i for i, n in enumerate(ordered) if group_of(n) in groups] for name, groups in cumulative.items()}
     if families:
-        tagged = features.withColumn("ablation", F.concat(F.lit("only_"), sensor_family(F.col("feature"))))
-        v = tagged.groupBy("ablation", "experiment_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("x"))
-        out = out.unionByName(v.join(maps.select("experiment_key", "lot_number", "map"), "experiment_key").select("experiment_key", F.col("lot_number").cast("int").alias("lot_number"), "x", "map", "ablation"))
-    return out
+        for i, n in enumerate(ordered):
+            out.setdefault(f"only_{family_of(n)}", []).append(i)
+    return {name: places for name, places in out.items() if places}
 
 
 def ablation_steps(wafers: DataFrame, order: Sequence[str] = tuple(CUMULATIVE)) -> DataFrame:
@@ -251,7 +274,7 @@ def fused_spectra(rows: DataFrame, spectra: DataFrame, pls: Sequence = PARAMETER
     lots = rows.select(F.col("lot_number").alias("held_out_lot")).distinct()
     j = rows.join(spectra.select("experiment_key", "spectrum"), "experiment_key").crossJoin(F.broadcast(lots))
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         held = int(key[0])
         g, x, maps, lot = _sorted(g)
         s = np.stack(g["spectrum"].to_numpy()).astype(float)
@@ -277,7 +300,7 @@ def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[s
     picks = selection.groupBy("experiment_key").agg(F.map_from_entries(F.collect_list(F.struct("budget", "measured"))).alias("picks"))
     j = rows.join(picks, "experiment_key", "left").join(F.broadcast(lots), F.col("lot_number") <= F.col("test_lot")).withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lot, feedback = int(key[0]), key[1]
         g, x, maps, lot_of = _sorted(g)
         test = lot_of == lot

@@ -68,7 +68,8 @@ def _named(prefix: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def _ablation(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
     maps = validate.ordered_maps(ctx["dense"], ctx["features"], "stepheight")
-    facts = models.evaluate_folds(models.ablation_rows(ctx["features"], maps), ("pls",))
+    names = [r[0] for r in ctx["features"].select("feature").distinct().collect()]  # a row a column of the wide table
+    facts = models.evaluate_folds(models.modelling_rows(ctx["features"], maps), ("pls",), subsets=models.ablation_subsets(names))
     e = metrics.wafer_errors(models.points(facts), ["ablation", "stage", "experiment_key", "lot_number"])
     return {"ablation_wafers": e, "ablation_steps": models.ablation_steps(e.filter("stage = 'full_map'"))}
 

@@ -13,6 +13,9 @@ from lotwise.queries.registry import query, r6
 from lotwise.sources import tables
 
 
+NAMES = [f"{s}__{t}" for s in tables.SIGNALS for t in features.STATISTICS]
+
+
 def _rows(spark, sf):
     f = traces.long_features(spark, sf).filter("value is not null")
     return f, validate.ordered_maps(tables.dense(spark, sf), f, "stepheight")
@@ -54,22 +57,21 @@ def chronological_vm(spark, sf):
 
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    facts = models.evaluate_folds(models.ablation_rows(*_rows(spark, sf)), ("pls",))
+    facts = models.evaluate_folds(rows(spark, sf), ("pls",), subsets=models.ablation_subsets(NAMES))
     return metrics.stage_summary(_errors(facts).filter("stage = 'full_map'"), ["mae", "rmse"], ["ablation"])
 
 
 @query("feature_ablation_steps")
 def feature_ablation_steps(spark, sf):
     """Cumulative feature groups: how many lots each one betters."""
-    facts = models.evaluate_folds(models.ablation_rows(*_rows(spark, sf), families=False), ("pls",))
+    facts = models.evaluate_folds(rows(spark, sf), ("pls",), subsets=models.ablation_subsets(NAMES, families=False))
     return models.ablation_steps(_errors(facts).filter("stage = 'full_map'"))
 
 
 @query("feature_stability")
 def feature_stability(spark, sf):
     f, maps = _rows(spark, sf)
-    names = [f"{s}__{t}" for s in tables.SIGNALS for t in features.STATISTICS]
-    return metrics.stability_rollup(models.stability(models.evaluate_folds(models.modelling_rows(f, maps), ("pls",)), names))
+    return metrics.stability_rollup(models.stability(models.evaluate_folds(models.modelling_rows(f, maps), ("pls",)), NAMES))
 
 
 @query("conformal_vm")

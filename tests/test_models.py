@@ -66,7 +66,7 @@ def test_constant_features():
         training(np.ones((3, 2)), np.eye(3))
 
 
-def test_moments_of_folds_are_differences():
+def test_moments_of_folds_are_those_of_their_wafers():
     r = np.random.default_rng(6)
     x, maps, lots = r.normal(size=(40, 6)) + 50, r.normal(size=(40, 5)) + 900, np.arange(40) % 4
     x[lots != 2, 3] = 17.25  # varies in one lot only
@@ -82,6 +82,47 @@ def test_moments_of_folds_are_differences():
             assert np.allclose(a.predict(z), b.predict(z)) and np.allclose(a.coefficients, b.coefficients)
 
 
+@pytest.mark.parametrize("family", ["ridge", "pls"])
+@pytest.mark.parametrize("scale", [1e4, 1e6, 1e12])
+def test_what_is_held_out_leaves_no_trace(family, scale):
+    """Outer and inner folds are bit for bit the same, whatever the values of the lot that they leave out."""
+    r = np.random.default_rng(8)
+    x, maps, lots = r.normal(size=(70, 5)) + 7.3, r.normal(size=(70, 4)), np.arange(70) % 7
+    x[lots != 3, 2] = 7.3  # constant but for the spiking lot
+    wild_x, wild_maps = x.copy(), maps.copy()
+    wild_x[lots == 3] *= scale
+    wild_maps[lots == 3] *= scale
+    tame, wild = evaluate.Wafers(x, maps, lots), evaluate.Wafers(wild_x, wild_maps, lots)
+    train = (0, 1, 2, 4, 5, 6)
+    assert tame.training(train).kept.tolist() == [True, True, False, True, True]
+    for names in (train, *(tuple(n for n in train if n != i) for i in train), (0, 1, 2)):
+        a, b = (evaluate.portable(w, names, family, (1, 2), (1, 2)) for w in (tame, wild))
+        assert (a.template == b.template).all() and (a.components == b.components).all()
+        for m, n in zip((*a.shifts, *a.scores), (*b.shifts, *b.scores)):
+            assert (m.coefficients == n.coefficients).all() and (m.intercept == n.intercept).all()
+    assert evaluate.chosen(tame, train, family, (1, 2), True) == evaluate.chosen(wild, train, family, (1, 2), True)
+
+
+def test_merged_moments_are_exact():
+    r = np.random.default_rng(9)
+    rows = r.normal(size=(33, 4)) * [1e-3, 1, 1e3, 1] + [1e6, 0, 1e9, 5]
+    parts = [linear.Moments.of(x) for x in np.split(rows, [1, 9, 10, 25])]
+    m, whole = sum(parts[1:], parts[0]), linear.Moments.of(rows)
+    assert m.count == 33 and np.allclose(m.mean, whole.mean, rtol=1e-15) and np.allclose(m.centred, whole.centred, rtol=1e-6, atol=1e-9)
+    tree = evaluate.LotMoments(dict(enumerate(parts)), 2)
+    assert np.allclose(tree.moments((0, 2, 4)).centred, linear.Moments.of(np.concatenate([rows[:1], rows[9:10], rows[25:]])).centred, rtol=1e-6, atol=1e-9)
+
+
+def test_ablations_of_one_matrix_are_those_of_their_rows(spark):
+    rows = [(k, n, [*x, x[0] * (i % 3), float(i % 4)], m) for i, (k, n, x, m) in enumerate(wafers(4, 4))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = models.evaluate_folds(df, ("pls",), subsets={"two": [0, 3], "all": [0, 1, 2, 3, 4]})
+    want = models.evaluate_folds(df.withColumn("x", F.array(F.col("x")[0], F.col("x")[3])).withColumn("ablation", F.lit("two")).unionByName(df.withColumn("ablation", F.lit("all"))), ("pls",))
+    by = lambda f: {(r["ablation"], r["stage"], r["experiment_key"]): r["predicted"] for r in f.collect()}
+    a, b = by(got), by(want)
+    assert a.keys() == b.keys() and len(a) == 2 * 5 * 16 and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_one_decomposition_serves_all_settings():
     r = np.random.default_rng(7)
     x, new, y = r.normal(size=(12, 60)), r.normal(size=(5, 60)), r.normal(size=12)
