@@ -46,11 +46,30 @@ def change_scores(vectors: DataFrame, alpha: float, centroid: str = "centroid",
     return vectors.join(g, [*by, key])
 
 
-def standardized(vectors_long: DataFrame, fold: str = "held_out_lot", train: str = "is_train", least_variance: float = 1e-12) -> DataFrame:
-    """(fold, key, feature, z): features scaled by the training rows of each fold; those constant in training are dropped."""
-    v = F.when(F.col(train), F.col("value"))
-    s = vectors_long.groupBy(fold, "feature").agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"), F.var_pop(v).alias("_v")).filter(F.col("_v") > least_variance)
-    return vectors_long.join(s, [fold, "feature"]).withColumn("z", (F.col("value") - F.col("_m")) / F.col("_s")).drop("_m", "_s", "_v")
+def fold_scales(long: DataFrame, lot: str = "lot_number", least_variance: float = 1e-12) -> DataFrame:
+    """(held_out_lot, feature, mean, deviation) over the other lots of long(lot, feature, value); features that don't vary there are left out.
+
+    Lots' moments are merged from either end, and a fold is what is before its lot merged with what is behind it. Means
+    are running sums, and the second moment grows with each lot by its own and by its distance from the mean so far:
+    nothing is subtracted that a large value of the held-out lot could have rounded away.
+    """
+    own = long.groupBy("feature", lot).agg(F.count("value").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("q")).filter("n > 0")
+    for side, order in (("a", F.asc(lot)), ("b", F.desc(lot))):
+        w = Window.partitionBy("feature").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        n = F.coalesce(F.sum("n").over(w), F.lit(0))
+        own = own.withColumns({f"n{side}": n, f"m{side}": F.coalesce(F.sum(F.col("n") * F.col("m")).over(w), F.lit(0.0)) / F.greatest(n, F.lit(1))})
+        grows = F.col("q") + F.col("n") * F.col(f"n{side}") / (F.col("n") + F.col(f"n{side}")) * (F.col("m") - F.col(f"m{side}")) ** 2
+        own = own.withColumn("_g", grows).withColumn(f"q{side}", F.coalesce(F.sum("_g").over(w), F.lit(0.0)))
+    n = F.col("na") + F.col("nb")
+    mean = (F.col("na") * F.col("ma") + F.col("nb") * F.col("mb")) / n
+    variance = (F.col("qa") + F.col("qb") + F.col("na") * F.col("nb") / n * (F.col("ma") - F.col("mb")) ** 2) / n
+    return own.filter(n > 0).select(F.col(lot).alias("held_out_lot"), "feature", mean.alias("mean"), variance.alias("_v")).filter(F.col("_v") > least_variance).select("held_out_lot", "feature", "mean", F.sqrt("_v").alias("deviation"))
+
+
+def standardized(long: DataFrame, lot: str = "lot_number", least_variance: float = 1e-12) -> DataFrame:
+    """``long`` once for each fold, with held_out_lot, is_train and z: the value scaled by the fold's training rows; those constant in training are dropped."""
+    j = long.join(fold_scales(long, lot, least_variance), "feature")
+    return j.withColumns({"is_train": F.col(lot) != F.col("held_out_lot"), "z": (F.col("value") - F.col("mean")) / F.col("deviation")}).drop("mean", "deviation")
 
 
 #: Vectors of either side that one task compares with each other.

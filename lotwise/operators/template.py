@@ -12,14 +12,15 @@ from lotwise.functions.stats import r_squared
 TARGETS = ("stepheight", "oxide_etch", "si_etch")
 
 
-def total_minus_own(value: str, by: Sequence[str], own: str, sum_alias: str = "_s", count_alias: str = "_n") -> Column:
+def mean_of_others(by: Sequence[str], own: str, sum_alias: str = "_s", count_alias: str = "_n") -> Column:
     """The mean over the groups of ``by`` without the row's ``own``; NULL if nothing else is there.
 
-    For frames of partials (by, own, sum, count): two window sums instead of a join of every lot with every other.
+    For frames of partials (by, own, sum, count), a row for each of ``own``: the rows before and the rows after are
+    added up, so nothing is subtracted and a large value of the row itself doesn't show in the mean of the others.
     """
-    w = Window.partitionBy(*by)
-    n = F.sum(count_alias).over(w) - F.col(count_alias)
-    return (F.sum(sum_alias).over(w) - F.col(sum_alias)) / F.when(n > 0, n)
+    sides = [Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(own), F.desc(own))]
+    total = lambda c: sum((F.coalesce(F.sum(c).over(w), F.lit(0)) for w in sides[1:]), F.coalesce(F.sum(c).over(sides[0]), F.lit(0)))
+    return total(sum_alias) / F.when(total(count_alias) > 0, total(count_alias))
 
 
 def with_targets(dense: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
@@ -34,12 +35,12 @@ def decompose(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     template_prediction is the mean of the coordinate over the other lots, global_prediction that of all their points;
     mean_shift is the wafer's mean difference from the template, residual what is left. A coordinate that no other lot
     covers has a NULL template; ``require_coverage`` raises for it. All targets go through one job, and lots are
-    aggregated before they are subtracted, so the cost does not grow with the number of lots.
+    aggregated first, so the cost does not grow with the number of lots.
     """
     by_xy = points.groupBy("target", x, y, "lot_number").agg(F.sum("observed").alias("_s"), F.count("observed").alias("_n"))
-    template = by_xy.withColumn("template_prediction", total_minus_own("observed", ["target", x, y], "lot_number")).drop("_s", "_n")
+    template = by_xy.withColumn("template_prediction", mean_of_others(["target", x, y], "lot_number")).drop("_s", "_n")
     by_lot = by_xy.groupBy("target", "lot_number").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    overall = by_lot.withColumn("global_prediction", total_minus_own("observed", ["target"], "lot_number")).drop("_s", "_n")
+    overall = by_lot.withColumn("global_prediction", mean_of_others(["target"], "lot_number")).drop("_s", "_n")
     d = points.join(template, ["target", "lot_number", x, y]).join(overall, ["target", "lot_number"])
     wafer = Window.partitionBy("target", "experiment_key")
     d = d.withColumn("mean_shift", F.avg(F.col("observed") - F.col("template_prediction")).over(wafer))
@@ -114,14 +115,30 @@ def tool_bias(paired: DataFrame) -> DataFrame:
     return paired.groupBy("target").agg(F.count("*").alias("paired_points"), F.avg(diff).alias("bias"), F.avg(F.abs(diff)).alias("mae"), F.corr("sparse_value", "dense_value").alias("pearson"))
 
 
+def medians_of_others(values: DataFrame, by: Sequence[str], value: str, lot: str = "lot_number", order: str = "experiment_key") -> DataFrame:
+    """(by, lot, offset): for each lot the median of the other lots' values; NULL values don't count, lots alone in a group are left out.
+
+    One sort a group numbers the values, and those of each lot. The k-th of the others is at place k + j, j being the
+    lot's own values before it: those that have fewer than k others before them. Two places a lot are looked up.
+    """
+    v = values.filter(F.col(value).isNotNull())
+    group, own = Window.partitionBy(*by), Window.partitionBy(*by, lot)
+    ordered = v.select(*by, lot, F.col(value).cast("double").alias("_v"), F.row_number().over(group.orderBy(value, lot, order)).alias("_p"), F.count("*").over(group).alias("_n"))
+    ranked = ordered.withColumns({"_i": F.row_number().over(own.orderBy("_p")), "_m": F.count("*").over(own)})
+    others = F.col("_n") - F.col("_m")
+    ranked = ranked.filter(others > 0).withColumns({"_lo": F.floor((others + 1) / 2), "_hi": F.floor((others + 2) / 2)})
+    ahead = F.col("_p") - F.col("_i")
+    at = ranked.groupBy(*by, lot).agg(*[(F.first(k) + F.count_if(ahead < F.col(k))).alias(k) for k in ("_lo", "_hi")])
+    places = at.select(*by, lot, F.explode(F.array("_lo", "_hi")).alias("_p"))
+    return places.join(ordered.select(*by, "_p", "_v"), [*by, "_p"]).groupBy(*by, lot).agg(F.avg("_v").alias("offset"))
+
+
 def median_calibration(paired: DataFrame) -> DataFrame:
     """(target, raw_lot_macro_mae, calibrated_lot_macro_mae, lots_improved, lots): each lot corrected by the coordinate
-    medians of the other lots. Medians cannot be subtracted, so lots are joined with the others; the fold side is as
-    many rows as there are lots."""
+    medians of the other lots."""
     p = paired.withColumn("diff", F.col("sparse_value") - F.col("dense_value"))
-    folds = p.select(F.col("lot_number").alias("held")).distinct()
-    offset = p.join(folds, F.col("lot_number") != F.col("held")).groupBy("target", "held", "x", "y").agg(F.median("diff").alias("offset"))
-    c = p.join(offset.withColumnRenamed("held", "lot_number"), ["target", "lot_number", "x", "y"])
+    offset = medians_of_others(p, ["target", "x", "y"], "diff")
+    c = p.join(offset, ["target", "lot_number", "x", "y"])
     lots = c.groupBy("target", "lot_number").agg(F.avg(F.abs("diff")).alias("raw"), F.avg(F.abs(F.col("diff") - F.col("offset"))).alias("calibrated"))
     return lots.groupBy("target").agg(F.avg("raw").alias("raw_lot_macro_mae"), F.avg("calibrated").alias("calibrated_lot_macro_mae"), F.count_if(F.col("calibrated") < F.col("raw")).alias("lots_improved"), F.count("*").alias("lots"))
 

@@ -310,7 +310,7 @@ _STD = traces.FEATURES + ", lots AS (SELECT DISTINCT experiment_key, CAST(substr
 
 def _standardized(spark, sf):
     f = traces.long_features(spark, sf).filter(F.col("feature").endswith("active_mean") | F.col("feature").endswith("cycle_mean_std")).withColumn("lot_number", F.substring("experiment_key", 10, 1).cast("int"))
-    return risk.standardized(resample.leave_one_out(f))
+    return risk.standardized(f)
 
 
 @query("fold_standardize", sql(_STD, f"SELECT held_out_lot, experiment_key, feature, {dr6('z')} FROM zz"))
