@@ -1,50 +1,88 @@
-"""Replays of measurement policies over lots (C8-C12): a grid of policies, modes, budgets and random replicates, and what it sums up to."""
+"""Replays of measurement policies over lots (C8-C12): streams of policies, modes, budgets and random replicates, and what they sum up to."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import safe_divide
-from lotwise.operators import resample, risk
+from lotwise.kernels import policies as kernel
+from lotwise.operators import resample
 
 #: Budgets of the grid, and those that the gate looks at.
 BUDGETS, GATE_BUDGETS = (0.0, 0.1, 0.2, 0.3, 0.5), (0.1, 0.2, 0.3)
 MEANS = ("total_system_mae", "unmeasured_wafer_mae", "measured_fraction", "high_error_capture", "p95_system_error", "cumulative_system_error", "drift_error_threshold", "drift_onset_wafer_order", "recovery_wafer_count")
+STREAMS = "lot_number int, mode string, policy string, budget double, replicate long, " + ", ".join(f"{c} {'long' if c == 'measured_wafers' else 'double'}" for c in kernel.METRICS) + ", drift_error_threshold double, drift_onset_wafer_order long, recovery_wafer_count long"
+#: Random replicates that one task draws of a lot.
+PART = 1000
 
 
-def grid(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float] = BUDGETS, replicates: int = 100, seed: int = 20260721, lot: str = "lot_number", order: str = "wafer_order", key: str = "experiment_key", error: str = "true_error") -> DataFrame:
-    """(lot, key, order, mode, policy, budget, replicate, measured, true_error, system_error, and drift_error_threshold if there).
+def streams(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float] = BUDGETS, replicates: int = 100, seed: int = 20260721, lot: str = "lot_number", order: str = "wafer_order", key: str = "experiment_key", error: str = "true_error") -> DataFrame:
+    """(lot_number, mode, policy, budget, replicate, metrics): a row a stream of decisions, not a row a wafer of it.
 
-    ``wafers`` has a column of scores for each of ``policies``. Modes: 'direct_substitution' decides wafer by wafer under
-    a quota, 'ranking_only' by the ranks of the whole lot. 'no_metrology' and 'periodic' are the same in both;
-    'random' is drawn anew in each replicate and decides directly. A measured wafer has no system error.
+    ``wafers`` has a column of scores for each of ``policies``, and may have drift_error_threshold. Modes:
+    'direct_substitution' decides wafer by wafer under a quota, the threshold being 1 - budget; 'ranking_only' by the
+    ranks of the whole lot. 'no_metrology' and 'periodic' are the same in both; 'random' is drawn anew in each replicate
+    and decides directly. A measured wafer has no system error. A task holds one lot's scores and steps through its
+    wafers with all streams side by side; of random replicates it draws a range by their keys.
     """
-    limit = ["drift_error_threshold"] if "drift_error_threshold" in wafers.columns else []
-    base = [lot, key, order, error, *limit]
-    scored = wafers.select(*base, F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).cast("double").alias("score")) for p in policies])).alias("_p")).select(*base, "_p.*").withColumn("replicate", F.lit(0).cast("long"))
-    drawn = wafers.select(*base).crossJoin(wafers.sparkSession.range(replicates).withColumnRenamed("id", "replicate")).withColumn("policy", F.lit("random"))
-    drawn = drawn.withColumn("score", resample.uniform(F.lit(seed), F.col("replicate"), F.col(key)))
-    by = [lot, "policy", "replicate"]
-    out = [*base, "mode", "policy", "budget", "replicate", "measured"]
-    direct = risk.causal_selection(scored.unionByName(drawn), budgets, score="score", by=by, order=order).withColumn("mode", F.lit("direct_substitution")).select(*out)
-    ranked = risk.top_selection(scored, budgets, "score", by, order).withColumn("mode", F.lit("ranking_only")).select(*out)
-    w = Window.partitionBy(lot)
-    plain = wafers.select(*base).withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w).cast("int")}).withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
-    places = risk.periodic_places(F.col("_n"), F.least(risk.rint(F.col("budget") * F.col("_n")), F.col("_n")))
-    plain = plain.withColumn("_p", F.explode(F.array(F.struct(F.lit("no_metrology").alias("policy"), F.lit(False).alias("measured")), F.struct(F.lit("periodic").alias("policy"), F.array_contains(places, F.col("_i")).alias("measured")))))
-    plain = plain.withColumn("mode", F.explode(F.array(F.lit("ranking_only"), F.lit("direct_substitution")))).select(*base, "mode", "_p.policy", "budget", F.lit(0).cast("long").alias("replicate"), "_p.measured")
-    every = direct.unionByName(ranked).unionByName(plain)
-    return every.withColumn("system_error", F.when(F.col("measured"), 0.0).otherwise(F.col(error)))
-
-
-def lot_summary(grid: DataFrame, by: Sequence[str] = ("lot_number", "mode", "policy", "budget"), order: str = "wafer_order") -> DataFrame:
+    limit = F.col("drift_error_threshold") if "drift_error_threshold" in wafers.columns else F.lit(None)
+    own = wafers.select(F.col(lot).cast("int").alias("lot"), F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(error).cast("double").alias("e"), limit.cast("double").alias("limit"), F.array(*[F.col(p).cast("double") for p in policies]).alias("s"))
+    parts = 1 + -(-replicates // PART)
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(-1), F.lit(parts - 2))) if parts > 1 else F.lit(-1))
+    every = [float(b) for b in budgets]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("o", kind="stable")
+        n, e, limit = len(g), g["e"].to_numpy(float), float(g["limit"].iloc[0]) if g["limit"].notna().iloc[0] else np.nan
+        onset, recovery = kernel.drift(e, limit)
+        out = []
+
+        def add(mode: str, names: Sequence[tuple[str, float, int]], measured: np.ndarray) -> None:
+            m = kernel.stream_metrics(measured, e)
+            out.append(pd.DataFrame({"lot_number": int(key[0]), "mode": mode, "policy": [x[0] for x in names], "budget": [x[1] for x in names], "replicate": [x[2] for x in names], **m}))
+
+        def decided(mode: str, cells: Sequence[tuple[str, float, int]], scores) -> None:
+            """Streams in blocks; ``scores`` gives those of some of them."""
+            step = max(1, kernel.CELLS // n)
+            for at in range(0, len(cells), step):
+                some = cells[at : at + step]
+                b = np.array([x[1] for x in some])
+                add(mode, some, kernel.quota(scores(some), b, 1 - b) if mode == "direct_substitution" else kernel.ranked(scores(some), b))
+
+        if key[1] < 0:
+            s = np.stack(g["s"].to_numpy()).astype(float).T.reshape(len(policies), n)
+            cells = [(p, b, 0) for p in policies for b in every]
+            for mode in ("direct_substitution", "ranking_only"):
+                decided(mode, cells, lambda some: np.stack([s[policies.index(x[0])] for x in some]))
+                for b in every:
+                    add(mode, [("no_metrology", b, 0), ("periodic", b, 0)], np.stack([np.zeros(n, bool), kernel.periodic(n, b)]))
+        else:
+            # A replicate's draws serve all of its budgets.
+            keys = g["k"].tolist()
+            cells = [("random", b, r) for r in range(int(key[1]) * PART, min((int(key[1]) + 1) * PART, replicates)) for b in every]
+
+            def draws(some: Sequence[tuple[str, float, int]]) -> np.ndarray:
+                reps = sorted({x[2] for x in some})
+                d = kernel.keyed_draws(seed, reps, keys) / float(1 << 32)
+                return d[[x[2] - reps[0] for x in some]]
+
+            decided("direct_substitution", cells, draws)
+        made = pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in STREAMS.split(", ")])
+        return made.assign(drift_error_threshold=limit, drift_onset_wafer_order=pd.array([onset] * len(made), "Int64"), recovery_wafer_count=pd.array([recovery] * len(made), "Int64"))
+
+    policies = list(policies)
+    rows = own.groupBy("lot", "part").applyInPandas(run, STREAMS)
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("unmeasured_wafer_mae", "drift_error_threshold")})
+
+
+def lot_summary(streams: DataFrame, by: Sequence[str] = ("lot_number", "mode", "policy", "budget")) -> DataFrame:
     """A row for each lot, mode, policy and budget: the metrics of its streams as means over replicates, and how many there are."""
-    limit = F.col("drift_error_threshold") if "drift_error_threshold" in grid.columns else F.lit(None).cast("double")
-    m = risk.stream_metrics(grid, limit, [*by, "replicate"], order=order)
-    return m.groupBy(*by).agg(*[F.avg(c).alias(c) for c in MEANS], F.countDistinct("replicate").alias("random_replicates"))
+    return streams.groupBy(*by).agg(*[F.avg(c).alias(c) for c in MEANS], F.countDistinct("replicate").alias("random_replicates"))
 
 
 def policy_summary(lots: DataFrame, by: Sequence[str] = ("mode", "policy", "budget")) -> DataFrame:

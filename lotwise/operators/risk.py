@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import l2_distance, safe_divide, spearman
+from lotwise.kernels import policies as kernel
 from lotwise.operators.resample import rankings
 
 
@@ -186,39 +187,51 @@ def periodic_aurc(wafers: DataFrame, error: str = "error", by: Sequence[str] = (
     return r.groupBy(*by).agg(F.when(F.first("_n") > 1, (F.sum("_risk") - ends / 2) / (F.first("_n") - 1)).otherwise(F.first("_risk")).alias("aurc"))
 
 
-def _areas(errors: np.ndarray) -> np.ndarray:
-    """The area under the curve of retained error of each row of errors in the order of measuring."""
-    n = errors.shape[1]
-    risk = np.cumsum(errors[:, ::-1], axis=1)[:, ::-1] / np.arange(n, 0, -1)
-    return risk[:, 0] if n == 1 else (risk.sum(axis=1) - (risk[:, 0] + risk[:, -1]) / 2) / (n - 1)
+RANDOM = "lot_number int, aurc double, random_p025 double, random_p975 double, budgets array<struct<requested_budget:double,selected_wafers:long,actual_metrology_fraction:double,retained_mae:double>>"
+#: Random orders that one task draws of a lot.
+PART = 1000
 
 
-RANDOM = "lot_number int, aurc double, random_p025 double, random_p975 double, budgets array<struct<requested_budget:double,selected_wafers:long,actual_metrology_fraction:double,retained_mae:double>>"
+def random_areas(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260721, budgets: Sequence[float] = (), error: str = "error", order: str = "wafer_order", key: str = "experiment_key") -> DataFrame:
+    """(lot_number, replicate, aurc, retained): measuring a lot in each of so many random orders; ``retained`` has the mean error left at each budget.
+
+    An order is that of draws keyed by (seed, replicate, wafer), so a task makes a range of ``PART`` orders of one lot
+    from its array of errors, some hundred thousand places at a time, and gives back areas: wafers meet ranges of
+    replicates, not replicates.
+    """
+    shares = [float(b) for b in budgets]
 
+    def run(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("o", kind="stable")
+        e, first = g["e"].to_numpy(float), int(group[1]) * PART
+        left = [min(int(np.rint(b * len(e))), len(e) - 1) for b in shares]
+        out = []
+        for some, ordered in kernel.drawn_orders(seed, first, min(first + PART, replicates), g["k"].tolist(), e):
+            kept = np.stack([ordered[:, k:].mean(axis=1) for k in left], axis=1) if left else np.zeros((len(some), 0))
+            out.append(pd.DataFrame({"lot_number": int(group[0]), "replicate": some, "aurc": kernel.areas(ordered), "retained": list(kept)}))
+        return pd.concat(out)
 
-def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260721, budgets: Sequence[float] = (), error: str = "error", order: str = "wafer_order") -> DataFrame:
-    """(lot_number, aurc, random_p025, random_p975, budgets): measuring in random order, over so many seeded orders of each lot.
+    own = wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(error).cast("double").alias("e"))
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PART) - 1))))
+    return own.groupBy("lot_number", "part").applyInPandas(run, "lot_number int, replicate long, aurc double, retained array<double>")
 
-    aurc and the budgets' retained errors are means over the orders, the others percentiles of their areas. A task
-    holds some hundred thousand places at a time, whatever the lot and the number of orders.
+
+def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260721, budgets: Sequence[float] = (), error: str = "error", order: str = "wafer_order", key: str = "experiment_key") -> DataFrame:
+    """(lot_number, aurc, random_p025, random_p975, budgets): measuring in random order, over so many keyed orders of each lot.
+
+    aurc and the budgets' retained errors are means over the orders, the others percentiles of their areas.
     """
+    a = random_areas(wafers, replicates, seed, budgets, error, order, key)
+    q = F.percentile("aurc", F.array(F.lit(0.025), F.lit(0.975)))
+    g = a.groupBy("lot_number").agg(F.avg("aurc").alias("aurc"), q.alias("_q"), *[F.avg(F.col("retained")[i]).alias(f"_r{i}") for i in range(len(budgets))])
+    g = g.join(wafers.groupBy(F.col("lot_number").cast("int").alias("lot_number")).agg(F.count("*").alias("_n")), "lot_number")
+
+    def listed(i: int, b: float) -> Column:
+        k = F.least(rint(F.lit(float(b)) * F.col("_n")), F.col("_n").cast("int") - 1).cast("long")
+        return F.struct(F.lit(float(b)).alias("requested_budget"), k.alias("selected_wafers"), (k / F.col("_n")).alias("actual_metrology_fraction"), F.col(f"_r{i}").alias("retained_mae"))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        e = g.sort_values("o")["e"].to_numpy(float)
-        n, draw, areas = len(e), np.random.default_rng([seed, int(key[0])]), []
-        chosen = [min(int(np.rint(b * n)), n - 1) for b in budgets]
-        kept = np.zeros(len(chosen))
-        step = max(1, 400_000 // n)
-        for at in range(0, replicates, step):
-            some = e[draw.random((min(step, replicates - at), n)).argsort(axis=1)]
-            areas.append(_areas(some))
-            kept += [some[:, k:].mean(axis=1).sum() for k in chosen]
-        areas = np.concatenate(areas)
-        low, high = np.quantile(areas, (0.025, 0.975))
-        listed = [{"requested_budget": float(b), "selected_wafers": k, "actual_metrology_fraction": k / n, "retained_mae": float(m / replicates)} for b, k, m in zip(budgets, chosen, kept)]
-        return pd.DataFrame([(int(key[0]), float(areas.mean()), float(low), float(high), listed)], columns=["lot_number", "aurc", "random_p025", "random_p975", "budgets"])
-
-    return wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), F.col(error).alias("e")).groupBy("lot_number").applyInPandas(run, RANDOM)
+    some = F.array(*[listed(i, b) for i, b in enumerate(budgets)]) if budgets else F.array()
+    return g.select("lot_number", "aurc", F.col("_q")[0].alias("random_p025"), F.col("_q")[1].alias("random_p975"), some.cast(RANDOM.split("budgets ")[1]).alias("budgets"))
 
 
 def every_order(wafers: DataFrame, most: int = 8, error: str = "error", order: str = "wafer_order") -> DataFrame:

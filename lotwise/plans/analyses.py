@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import safe_divide, spearman, unpivot
-from lotwise.kernels import evaluate, linear
+from lotwise.kernels import evaluate
+from lotwise.kernels import policies as kernel
 from lotwise.operators import conformal, metrics, replay, resample, risk, template, validate
 from lotwise.plans import models
+from lotwise.sources.shared import written
 
 SCORES = ("initial_state", "wafer_delta", "ewma_distance", "ood_distance", "model_disagreement")
 
@@ -54,61 +58,145 @@ def spatial_decomposition(points: DataFrame, zones: DataFrame, family: str = "pl
     return {"wafers": wafers, "coordinates": metrics.coordinate_mae(p, ["stage"]), "summary": summary, "gate": gate}
 
 
-RISK = "held_out_lot int, experiment_key string, lot_number int, is_train boolean, x array<double>, centroid array<double>, model_disagreement double, error double"
+RISK = "fold string, held_out_lot int, test_lot int, experiment_key string, lot_number int, is_train boolean, x array<double>, initial_state double, wafer_delta double, ewma_distance double, model_disagreement double, error double"
+#: Of a fold: the lot held out, the lot tested, one of the lots that it concerns, and what to apply to that one's wafers.
+APPLIED = "held_out_lot int, test_lot int, at_lot int, models binary"
 
 
-def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMETERS, forward: bool = False, least_lots: int = 3) -> DataFrame:
-    """Each wafer for each held-out lot: its training-fitted components, their centroid, how far the families' maps are apart, and the error of partial least squares.
+def _changes(c: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance from the origin, from the row before, from the exponential mean before the row) of rows in order; NaN for the first."""
+    before, run = np.full(len(c), np.nan), np.full(len(c), np.nan)
+    before[1:] = np.linalg.norm(np.diff(c, axis=0), axis=1)
+    mean = c[0] if len(c) else None
+    for i in range(1, len(c)):
+        run[i] = np.linalg.norm(c[i] - mean)
+        mean = alpha * c[i] + (1 - alpha) * mean
+    return np.linalg.norm(c, axis=1), before, run
 
-    Training wafers are predicted by the models that were fitted on them; they serve as the reference of percentiles only.
-    With ``forward`` a lot's training wafers are those of earlier lots, of which there must be ``least_lots``.
+
+def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMETERS, forward: bool = False, least_lots: int = 3, alpha: float = 0.3, inner: bool = False) -> DataFrame:
+    """Each wafer of each fold: its place on the fold's principal components, how it changes within its lot, how far the families' maps are apart, and the error of partial least squares.
+
+    A fold tests one lot and is fitted on others: leave-one-lot-out, or with ``forward`` the earlier ones, of which
+    there must be ``least_lots``. With ``inner`` each training lot is tested too, by what is fitted on the others with
+    the parameters of its outer fold. Training wafers are predicted by the models that were fitted on them; they serve
+    as the reference of percentiles only. Fits need the lots' moments: transforms and models go to the lots, and no
+    group holds the wafers of more than one. Components are about the training mean, which is the origin.
     """
     params = {f: tuple(parameters[f]) for f in ("pls", "ridge")}
+    rows = written(rows.withColumn("ablation", F.lit("all")), "risk-rows")
+    moments = written(models.lot_moments(rows), "moments")
+    each = rows.groupBy("ablation", "lot_number")
+    best = models._chosen(each, models.fold_rows(moments, list(params), forward, least_lots), params, evaluate.SHARE, evaluate.MOST)
+
+    def fit(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        w, held, out = models._moments(g), int(key[1]), []
+        picked = {c.family: (params[c.family][int(c.place)], params[c.family][int(c.residual_place)]) for c in chosen.itertuples()}
+        others = [n for n in w.names if n != held]
+        for tested in [held, *(others if inner else ())] if len(picked) == 2 else ():
+            names = tuple(n for n in others if n != tested)
+            if sum(w.own[n].count for n in names) < 2:
+                continue
+            t = w.training(names)
+            maps = {f: evaluate.portable(w, names, f, [s], [r]) for f, (s, r) in picked.items()}
+            blob = pickle.dumps((maps, t.kept, t.feature_mean[t.kept], t.axes(components) / t.deviation))
+            out += [(held, tested, n, blob) for n in (*names, tested)]
+        return pd.DataFrame(out, columns=models._names(APPLIED))
+
+    def apply(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wafers) and len(fitted):
+            g, x, maps, lots = models._sorted(wafers)
+            for f in fitted.itertuples():
+                by, kept, mean, axes = pickle.loads(f.models)
+                c = (x[:, kept] - mean) @ axes.T
+                full = {name: m.stages(x, maps)["full_map"] for name, m in by.items()}
+                apart, error = np.sqrt(((full["pls"] - full["ridge"]) ** 2).mean(axis=1)), np.abs(full["pls"] - maps).mean(axis=1)
+                fold = str(f.held_out_lot) if f.test_lot == f.held_out_lot else f"{f.held_out_lot}/{f.test_lot}"
+                facts = zip(g["experiment_key"], lots, c, *_changes(c, alpha), apart, error)
+                out += [(fold, f.held_out_lot, f.test_lot, k, int(n), int(n) != f.test_lot, *rest) for k, n, *rest in facts]
+        return pd.DataFrame(out, columns=models._names(RISK))
+
+    by = ["ablation", "held_out_lot"]
+    fitted = models.fold_rows(moments, ["all"], forward, least_lots).groupBy(*by).cogroup(best.groupBy(*by)).applyInPandas(fit, APPLIED)
+    out = each.cogroup(fitted.withColumn("ablation", F.lit("all")).groupBy("ablation", "at_lot")).applyInPandas(apply, RISK)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("wafer_delta", "ewma_distance")})
+
+
+def risk_scores(inputs: DataFrame, redundancy: float = 0.90) -> DataFrame:
+    """Test wafers of each fold with their five scores, the percentile of each among the training wafers of the fold, and combined_risk.
+
+    initial_state is left out of the mean where its rank correlation with the distance to the nearest training wafer is
+    at least ``redundancy``, of either sign, in training.
+    """
+    near = risk.nearest_training_distance(inputs, fold="fold")
+    s = inputs.drop("x").join(near, ["fold", "experiment_key"], "left")
+    drop = spearman(s.filter("is_train"), "ood_distance", "initial_state", ["fold"]).select("fold", (F.abs(F.coalesce("spearman", F.lit(0.0))) >= redundancy).alias("initial_is_redundant"))
+    long = unpivot(s, ["fold", "experiment_key", "is_train"], SCORES, "score")
+    p = risk.empirical_percentile(long.filter("not is_train"), long.filter("is_train"), "value", ["fold", "score"])
+    wide = p.groupBy("fold", "experiment_key").agg(*[F.first(F.when(F.col("score") == n, F.col("percentile")), ignorenulls=True).alias(f"{n}_percentile") for n in SCORES])
+    test = s.filter("not is_train").select("fold", "held_out_lot", "lot_number", "experiment_key", *SCORES, "error")
+    j = test.join(wide, ["fold", "experiment_key"]).join(drop, "fold", "left").withColumn("initial_is_redundant", F.coalesce("initial_is_redundant", F.lit(False)))
+    kept = [F.when((F.lit(n) != "initial_state") | ~F.col("initial_is_redundant"), F.col(f"{n}_percentile")) for n in SCORES]
+    some = F.filter(F.array(*kept), lambda x: x.isNotNull())
+    return j.withColumn("combined_risk", F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some))
+
+
+#: What weights have to gain on equal ones, in the share of inner lots that they don't worsen, to be adopted.
+LEAST_GAIN, LEAST_SHARE, WEIGHT_PARTS = 0.02, 0.70, 4
+WEIGHTS = "held_out_lot int, weights array<double>, inner_equal_macro_aurc double, inner_selected_macro_aurc double, inner_relative_gain double, inner_improved_lot_fraction double, adoption_rule_passed boolean, grid_candidates int"
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        held = int(key[0])
-        g, x, maps, lots = models._sorted(g)
-        w, train = evaluate.Wafers(x, maps, lots), lots != held
-        names = tuple(n for n in w.names if n != held)
-        t = w.training(names)
-        z = t.standard(x)
-        mean, axes, _ = linear.principal_components(z[train], min(components, int(train.sum()) - 1, z.shape[1]))
-        c = (z - mean) @ axes.T
-        maps_of, _ = t.components(evaluate.SHARE, evaluate.MOST)
-        full = {}
-        for f, candidates in params.items():
-            shift = w.fitted(names, f, evaluate.chosen(w, names, f, candidates, False)[0]).predict(z)
-            scores = w.fitted(names, f, evaluate.chosen(w, names, f, candidates, True)[0], maps_of).predict(z)
-            full[f] = t.template + shift + scores @ maps_of
-        apart = np.sqrt(((full["pls"] - full["ridge"]) ** 2).mean(axis=1))
-        error = np.abs(full["pls"] - maps).mean(axis=1)
-        center = c[train].mean(axis=0)
-        return pd.DataFrame([(held, k, int(lot), bool(t), c[i], center, float(apart[i]), float(error[i])) for i, (k, lot, t) in enumerate(zip(g["experiment_key"], lots, train))], columns=[s.split()[0] for s in RISK.split(", ")])
-
-    return models.fold_rows(rows, ["all"], forward, least_lots).drop("family").groupBy("held_out_lot").applyInPandas(run, RISK)
-
-
-def risk_scores(inputs: DataFrame, alpha: float = 0.3, redundancy: float = 0.90) -> DataFrame:
-    """Test wafers with their five scores, the percentile of each among the training wafers of the fold, and combined_risk.
-
-    initial_state is left out of the mean where its rank correlation with the distance to the nearest training wafer is at least ``redundancy`` in training.
+
+def validated_weights(scores: DataFrame, parts: int = WEIGHT_PARTS) -> DataFrame:
+    """(held_out_lot, weights, diagnostics): of the grid of weights of ``parts`` parts those of the least mean area over the inner lots, ties to the first; adopted if they gain enough on equal weights in enough lots.
+
+    ``scores`` are those of inner folds. Weights are in the order of ``SCORES``; where initial_state is redundant in the
+    outer fold it has none. Areas are found lot by lot, so a group holds one lot's percentiles, and averaged natively.
     """
-    by = ["held_out_lot", "lot_number"]
-    s = risk.change_scores(inputs, alpha, by=by).join(risk.nearest_training_distance(inputs), ["held_out_lot", "experiment_key"])
-    drop = spearman(s.filter("is_train"), "ood_distance", "initial_state", ["held_out_lot"]).select("held_out_lot", (F.coalesce("spearman", F.lit(0.0)) >= redundancy).alias("initial_is_redundant"))
-    long = unpivot(s, ["held_out_lot", "experiment_key", "lot_number", "is_train"], SCORES, "score")
-    p = risk.empirical_percentile(long.filter("not is_train"), long.filter("is_train"), "value", ["held_out_lot", "score"])
-    p = p.join(F.broadcast(drop), "held_out_lot")
-    kept = F.when((F.col("score") != "initial_state") | ~F.col("initial_is_redundant"), F.col("percentile"))
-    wide = p.groupBy("held_out_lot", "experiment_key", "lot_number").agg(*[F.first(F.when(F.col("score") == n, F.col("percentile")), ignorenulls=True).alias(f"{n}_percentile") for n in SCORES], F.avg(kept).alias("combined_risk"), F.first("initial_is_redundant").alias("initial_is_redundant"))
-    test = s.filter("not is_train").select("held_out_lot", "experiment_key", *SCORES, "error")
-    return wide.join(test, ["held_out_lot", "experiment_key"])
+
+    def grid(redundant: bool) -> list[list[float]]:
+        free = [i for i, n in enumerate(SCORES) if not (redundant and n == "initial_state")]
+        cuts = ([b - a - 1 for a, b in zip((-1, *c), (*c, parts + len(free) - 1))] for c in combinations(range(parts + len(free) - 1), len(free) - 1))
+        out = [[1 / len(free) if i in free else 0.0 for i in range(len(SCORES))]]  # equal weights come first, numbered -1
+        for c in sorted(cuts):
+            w = [0.0] * len(SCORES)
+            for i, x in zip(free, c):
+                w[i] = x / parts
+            out.append(w)
+        return out
+
+    def areas_of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("experiment_key")
+        p, e = np.nan_to_num(np.stack(g["p"].to_numpy()).astype(float), nan=0.5), g["error"].to_numpy(float)
+        w = np.array(grid(bool(g["redundant"].iloc[0])))
+        order = np.argsort(-np.round(w @ p.T, 12), axis=1, kind="stable")
+        return pd.DataFrame({"held_out_lot": int(key[0]), "test_lot": int(key[1]), "place": np.arange(-1, len(w) - 1), "weights": list(w), "aurc": kernel.areas(e[order])})
+
+    p = scores.select("held_out_lot", F.col("lot_number").alias("test_lot"), "experiment_key", "error", F.col("outer_redundant").alias("redundant"), F.array(*[F.col(f"{n}_percentile") for n in SCORES]).alias("p"))
+    a = p.groupBy("held_out_lot", "test_lot").applyInPandas(areas_of, "held_out_lot int, test_lot int, place int, weights array<double>, aurc double")
+    equal = a.filter("place = -1").select("held_out_lot", "test_lot", F.col("aurc").alias("equal"))
+    m = a.join(equal, ["held_out_lot", "test_lot"]).groupBy("held_out_lot", "place").agg(F.first("weights").alias("weights"), F.avg("aurc").alias("aurc"), F.avg("equal").alias("equal"), F.avg((F.col("aurc") <= F.col("equal")).cast("double")).alias("improved"))
+    best = m.filter("place >= 0").groupBy("held_out_lot").agg(F.min_by(F.struct("weights", "aurc", "equal", "improved"), F.struct("aurc", "place")).alias("b"), F.count("*").cast("int").alias("grid_candidates"))
+    gain = 1 - safe_divide(F.col("b.aurc"), F.col("b.equal"))
+    adopted = F.coalesce((gain >= LEAST_GAIN) & (F.col("b.improved") >= LEAST_SHARE), F.lit(False))
+    return best.select("held_out_lot", "b.weights", F.col("b.equal").alias("inner_equal_macro_aurc"), F.col("b.aurc").alias("inner_selected_macro_aurc"), gain.alias("inner_relative_gain"), F.col("b.improved").alias("inner_improved_lot_fraction"), adopted.alias("adoption_rule_passed"), "grid_candidates")
+
+
+def weighted_risk(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds training_weighted_risk: the percentiles under the weights that inner lots select, adopted or not."""
+    j = scores.join(weights.select("held_out_lot", "weights"), "held_out_lot", "left")
+    total = F.lit(0.0)
+    for i, n in enumerate(SCORES):
+        total = total + F.col("weights")[i] * F.coalesce(f"{n}_percentile", F.lit(0.5))
+    return j.withColumn("training_weighted_risk", total).drop("weights")
 
 
 def policy_scores(scores: DataFrame) -> DataFrame:
-    """A row for each wafer and policy: the five percentiles, combined, oracle."""
+    """A row for each wafer and policy: the five percentiles, combined, training_weighted_candidate if scores have it, oracle."""
     named = [F.struct(F.lit(n).alias("policy"), F.col(f"{n}_percentile").alias("score")) for n in SCORES]
     named += [F.struct(F.lit("combined").alias("policy"), F.col("combined_risk").alias("score")), F.struct(F.lit("oracle").alias("policy"), F.col("error").alias("score"))]
+    if "training_weighted_risk" in scores.columns:
+        named.append(F.struct(F.lit("training_weighted_candidate").alias("policy"), F.col("training_weighted_risk").alias("score")))
     w = metrics.wafer_ordinal(scores.select("experiment_key", "lot_number", "error", F.array(*named).alias("p")))
     return w.select("experiment_key", "lot_number", "wafer_order", "error", F.explode("p").alias("p")).select("experiment_key", "lot_number", "wafer_order", "error", "p.policy", "p.score")
 
@@ -117,9 +205,14 @@ def drift_risk(rows: DataFrame, budgets: Sequence[float] = (0.1, 0.2, 0.3), alph
     """Which wafers to measure: scores, curves and areas by policy, what single lots do to them, and intervals against random.
 
     'periodic' is even spacing; 'random' is the mean over ``replicates`` orders of a lot, whose percentiles ``lots`` has as well.
+    'training_weighted_candidate' weighs the percentiles as the inner folds of the training lots would; ``weights`` tells
+    whether the rule would adopt that. What is met several times is written: the inputs, and the scores.
     """
-    # What the kernels made is used by every score; a row for each wafer and fold. The caller may unpersist ``scores``.
-    scores = risk_scores(risk_inputs(rows, components).persist(), alpha).persist()
+    every = written(risk_scores(written(risk_inputs(rows, components, alpha=alpha, inner=True), "risk-inputs")), "risk-scores")
+    outer = every.filter(~F.col("fold").contains("/")).drop("fold")
+    redundant = outer.select("held_out_lot", F.col("initial_is_redundant").alias("outer_redundant")).distinct()
+    weights = validated_weights(every.filter(F.col("fold").contains("/")).join(redundant, "held_out_lot"))
+    scores = written(weighted_risk(outer, weights), "scores")
     p = policy_scores(scores)
     by = ["lot_number", "policy"]
     one = p.filter("policy = 'oracle'")
@@ -132,24 +225,35 @@ def drift_risk(rows: DataFrame, budgets: Sequence[float] = (0.1, 0.2, 0.3), alph
     apart = lots.filter("policy <> 'random'").join(base, "lot_number").select("policy", "lot_number", (F.col("aurc") - F.col("_random")).alias("d"))
     samples = resample.cluster_bootstrap(apart, seed, replicates, "d", by=["policy"])
     long = unpivot(scores, ["held_out_lot", "experiment_key"], SCORES, "score")
-    return {"scores": scores, "curves": curves, "lots": lots, "influence": risk.policy_influence(lots), "bootstrap": resample.bootstrap_interval(samples, ["policy"]), "correlations": risk.score_correlations(long, ["held_out_lot"])}
+    return {"scores": scores, "weights": weights, "curves": curves, "lots": lots, "influence": risk.policy_influence(lots), "bootstrap": resample.bootstrap_interval(samples, ["policy"]), "correlations": risk.score_correlations(long, ["held_out_lot"])}
 
 
-def causal_policies(rows: DataFrame, budgets: Sequence[float] = replay.BUDGETS, replicates: int = 100, bootstraps: int = 10_000, alpha: float = 0.3, least_lots: int = 3, seed: int = 20260721, without_lot: int = 8) -> dict[str, DataFrame]:
-    """Policies replayed over each lot by models and scores of earlier lots only: streams by lot, by policy, combined against random, and the gate.
+CAUSAL = ("ood", "disagreement", "combined", "validated_combined", "oracle")
+
+
+def causal_wafers(rows: DataFrame, alpha: float = 0.3, least_lots: int = 3) -> DataFrame:
+    """(experiment_key, lot_number, wafer_order, true_error, drift_error_threshold, the scores of ``CAUSAL``) of the lots that follow ``least_lots`` others, by what earlier lots tell.
 
-    'validated_combined' is the combined score, as weights chosen in training are not adopted. A lot's drift threshold is
-    the 95 % quantile of its training wafers' errors.
+    A lot's drift threshold is the 95 % quantile of its training wafers' errors.
     """
-    inputs = risk_inputs(rows, forward=True, least_lots=least_lots).persist()
-    scores = risk_scores(inputs, alpha)
+    inputs = written(risk_inputs(rows, forward=True, least_lots=least_lots, alpha=alpha), "causal-inputs")
     limit = inputs.filter("is_train").groupBy("held_out_lot").agg(F.percentile("error", F.lit(0.95)).alias("drift_error_threshold"))
-    w = scores.join(limit, "held_out_lot").select(
+    w = risk_scores(inputs).join(limit, "held_out_lot").select(
         "experiment_key", "lot_number", F.col("error").alias("true_error"), "drift_error_threshold", F.col("ood_distance_percentile").alias("ood"), F.col("model_disagreement_percentile").alias("disagreement"),
         F.col("combined_risk").alias("combined"), F.col("combined_risk").alias("validated_combined"), F.cume_dist().over(Window.partitionBy("lot_number").orderBy("error")).alias("oracle"))
-    lots = replay.lot_summary(replay.grid(metrics.wafer_ordinal(w), ("ood", "disagreement", "combined", "validated_combined", "oracle"), budgets, replicates, seed))
+    return metrics.wafer_ordinal(w)
+
+
+def causal_policies(rows: DataFrame, budgets: Sequence[float] = replay.BUDGETS, replicates: int = 100, bootstraps: int = 10_000, alpha: float = 0.3, least_lots: int = 3, seed: int = 20260721, without_lot: int = 8) -> dict[str, DataFrame]:
+    """Policies replayed over each lot by models and scores of earlier lots only: streams by lot, by policy, combined against random, and the gate.
+
+    'validated_combined' is the combined score, as weights chosen in training are not adopted. Scores and lots are written
+    before they are used again.
+    """
+    w = written(causal_wafers(rows, alpha, least_lots), "causal-scores")
+    lots = written(replay.lot_summary(replay.streams(w, CAUSAL, budgets, replicates, seed)), "causal-lots")
     difference = replay.policy_difference(lots, replicates=bootstraps, seed=seed)
-    return {"scores": scores, "lots": lots, "policies": replay.policy_summary(lots), "difference": difference, "gate": replay.gate(lots, difference, without_lot)}
+    return {"scores": w, "lots": lots, "policies": replay.policy_summary(lots), "difference": difference, "gate": replay.gate(lots, difference, without_lot)}
 
 
 def conformal_bounds(points: DataFrame, nominals: Sequence[float] = (0.8, 0.9, 0.95), least_fit: int = 2) -> dict[str, DataFrame]:

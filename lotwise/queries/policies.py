@@ -213,10 +213,8 @@ def wafer_weighted_bootstrap(spark, sf):
 
 @query("random_policy_mc", sql(FACTS + ", m AS (SELECT f.*, rep, ('0x' || substr(md5(concat_ws('-', 11, rep, experiment_key)), 1, 8))::BIGINT % 4294967296 / 4294967296.0 AS s FROM facts f CROSS JOIN (SELECT unnest(range(10000)) AS rep)), r AS (SELECT *, row_number() OVER (PARTITION BY lot_number, rep ORDER BY s DESC, wafer_order) AS rn, count(*) OVER (PARTITION BY lot_number, rep) AS n FROM m), s AS (SELECT *, avg(error) OVER (PARTITION BY lot_number, rep ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM r), a AS (SELECT lot_number, rep, " + _AURC + " AS aurc FROM s GROUP BY lot_number, rep)", f"SELECT lot_number, {dr6('avg(aurc)', 'mean_aurc')}, {dr6('quantile_cont(aurc, 0.025)', 'random_p025')}, {dr6('quantile_cont(aurc, 0.975)', 'random_p975')} FROM a GROUP BY lot_number"))
 def random_policy_mc(spark, sf):
-    m = facts(spark, sf).crossJoin(spark.range(10_000).withColumnRenamed("id", "replicate")).withColumn("_s", resample.uniform(F.lit(11), F.col("replicate"), F.col("experiment_key")))
-    a = risk.aurc(m, "_s", by=["lot_number", "replicate"])
-    q = F.percentile("aurc", F.array(F.lit(0.025), F.lit(0.975)))
-    return a.groupBy("lot_number").agg(F.avg("aurc").alias("m"), q.alias("q")).select("lot_number", r6("m", "mean_aurc"), r6(F.col("q")[0], "random_p025"), r6(F.col("q")[1], "random_p975"))
+    p = risk.random_policy(facts(spark, sf), 10_000, 11)
+    return p.select("lot_number", r6("aurc", "mean_aurc"), r6("random_p025"), r6("random_p975"))
 
 
 _SMALL = FACTS + """, sized AS (SELECT lot_number, wafer_order, error, count(*) OVER (PARTITION BY lot_number) AS n FROM facts), small AS (SELECT * FROM sized WHERE n <= 8),

@@ -39,7 +39,7 @@ diff AS (SELECT budget, avg(s) AS bootstrap_mean, quantile_cont(s, 0.025) AS p02
 def lots(spark, sf):
     w = Window.partitionBy("lot_number")
     f = facts(spark, sf).withColumns({"combined": F.col("score") / F.max("score").over(w), "ood": F.abs("shift") / F.max(F.abs("shift")).over(w), "oracle": F.cume_dist().over(w.orderBy("error")), "true_error": F.col("error")})
-    return replay.lot_summary(replay.grid(f, POLICIES, replicates=REPLICATES))
+    return replay.lot_summary(replay.streams(f, POLICIES, replicates=REPLICATES))
 
 
 @query("replay_lot_summary", _GRID + f" SELECT mode, lot_number, policy, budget, {', '.join(map(dr6, _MEANS))}, random_replicates FROM lots")
