@@ -28,12 +28,18 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "pem")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
-# Candidates for decoding: longest runs of the alphabets.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}(?:[\r\n]+[A-Za-z0-9+/]+)*={0,2}")
+# Candidates for decoding: longest runs of the alphabets. Line ends may be escaped, as in JSON, and lines indented.
+_EOL = r"(?:(?:[\r\n]|\\[rn])[\x20\t]*)+"
+_B64 = re.compile(rf"(?:(?<![A-Za-z0-9+/\\])|(?<=\\[rn])|(?<=\\)(?![rn]))[A-Za-z0-9+/]{{40,}}(?:{_EOL}[A-Za-z0-9+/]+)*={{0,2}}")
+_LINE_END = re.compile(_EOL)
 _B64URL = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{40,}={0,2}")  # of one line, with a sign of its own
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.+?)-----END \1-----", re.S)
+_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY)-----")
+_DEK = re.compile(r"([A-Z0-9-]{3,32}),([0-9A-Fa-f]{16,32})")
+_OPENSSH = b"openssh-key-v1\0"
+#: A key's sequences have ten items at most, and files of this format one key.
+MOST_ITEMS, MOST_KEYS = 10, 16
 
 _IN_HEX = np.zeros(256, bool)
 _IN_HEX[[*b"0123456789abcdef"]] = True
@@ -43,34 +49,76 @@ _IN_B64[[*range(65, 91), *range(97, 123), *b"0123456789+/-_."]] = True
 _WORDS = tuple(w.encode() for w in ("password", "passwd", "secret", "token", "apikey", "api_key", "akia", "-----begin "))
 
 
-def der_items(data: bytes, start: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end of the content) of each DER item; None unless the items fill the range exactly."""
+class Decoded:
+    """The bytes of a base64 text, decoded where they are read: a header of a key is looked up, not its content."""
+
+    def __init__(self, text: str, start: int = 0, chars: int | None = None):
+        self.text, self.start = text, start
+        self.chars = len(text) - start if chars is None else chars
+
+    def __len__(self) -> int:
+        return self.chars * 3 // 4
+
+    def __getitem__(self, at: slice) -> bytes:
+        lo, hi = max(at.start or 0, 0), min(len(self) if at.stop is None else at.stop, len(self))
+        if hi <= lo:
+            return b""
+        first, last = lo // 3 * 4, min(-(-hi // 3) * 4, self.chars)
+        some = self.text[self.start + first : self.start + last]
+        raw = base64.b64decode(some + "=" * (-len(some) % 4))
+        return raw[lo - first // 4 * 3 :][: hi - lo]
+
+
+def _header(data, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, end of the content) of the DER item at a place; None if it isn't one or doesn't end by ``end``."""
+    head = data[at : min(at + 6, end)]
+    if len(head) < 2 or head[0] & 0x1F == 0x1F:
+        return None
+    n, at = head[1], at + 2
+    if n & 0x80:
+        width = n & 0x7F
+        if not 1 <= width <= 4 or len(head) < 2 + width:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + width], "big"), at + width
+        if n < 0x80 or n >> 8 * (width - 1) == 0:  # not the shortest form
+            return None
+    return (head[0], at, at + n) if at + n <= end else None
+
+
+def der_items(data, start: int = 0, end: int | None = None, most: int = MOST_ITEMS) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end of the content) of each DER item; None unless the items, ``most`` at most, fill the range exactly."""
     end = len(data) if end is None else end
     out, at = [], start
     while at < end:
-        if at + 2 > end or data[at] & 0x1F == 0x1F:
+        item = _header(data, at, end) if len(out) < most else None
+        if item is None:
             return None
-        tag, n, at = data[at], data[at + 1], at + 2
-        if n & 0x80:
-            width = n & 0x7F
-            if not 1 <= width <= 4 or at + width > end:
-                return None
-            n, at = int.from_bytes(data[at : at + width], "big"), at + width
-            if n < 0x80 or n >> 8 * (width - 1) == 0:  # not the shortest form
-                return None
-        if at + n > end:
-            return None
-        out.append((tag, at, at + n))
-        at += n
+        out.append(item)
+        at = item[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
+def _key_items(data) -> list[tuple[int, int, int]] | None:
+    """The items of the one sequence that the bytes are."""
+    top = _header(data, 0, len(data))
+    return der_items(data, *top[1:]) if top and top[0] == 0x30 and top[2] == len(data) else None
+
+
+def _algorithm(data, items: list[tuple[int, int, int]]) -> bool:
+    """Whether the first sequence among the items begins with an object identifier."""
+    names = next((der_items(data, s, e) for t, s, e in items if t == 0x30), None)
+    return bool(names) and names[0][0] == 0x06
+
+
+def is_encrypted_key(data) -> bool:
+    """Whether the bytes are one encrypted PKCS#8 key: an algorithm and what it encrypted."""
+    items = _key_items(data)
+    return bool(items) and [t for t, _, _ in items] == [0x30, 0x04] and items[1][2] > items[1][1] and _algorithm(data, items)
+
+
+def is_der_key(data) -> bool:
     """Whether the bytes are one DER key: RSA (PKCS#1), EC (SEC1) or wrapped (PKCS#8, public or encrypted)."""
-    top = der_items(data) if data[:1] == b"\x30" else None
-    if not top or len(top) != 1:
-        return False
-    items = der_items(data, *top[0][1:])
+    items = _key_items(data)
     if not items:
         return False
     tags = [t for t, _, _ in items]
@@ -78,34 +126,50 @@ def is_der_key(data: bytes) -> bool:
         return max(e - s for _, s, e in items) >= 32
     if tags[:2] == [0x02, 0x04]:  # EC private key
         return items[0][2] - items[0][1] == 1 and items[1][2] - items[1][1] >= 16
-    names = next((der_items(data, s, e) for t, s, e in items if t == 0x30), None)
-    named = bool(names) and names[0][0] == 0x06  # an algorithm
-    return named and (tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03] or tags == [0x30, 0x04])
+    return (tags[:3] == [0x02, 0x30, 0x04] or tags in ([0x30, 0x03], [0x30, 0x04])) and _algorithm(data, items)
 
 
-def der_length(data: bytes) -> int | None:
+def der_length(data) -> int | None:
     """The length of the sequence that the bytes begin with, header included; None if they begin with none."""
-    if len(data) < 2 or data[0] != 0x30:
+    head = data[0:6]
+    if len(head) < 2 or head[0] != 0x30:
         return None
-    width = data[1] & 0x7F if data[1] & 0x80 else 0
-    if width > 4 or len(data) < 2 + width or data[1] == 0x80:
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 4 or len(head) < 2 + width or head[1] == 0x80:
         return None
-    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """openssh-key-v1: length-prefixed cipher, kdf and options, then at least one key."""
-    if not data.startswith(b"openssh-key-v1\0"):
-        return False
-    at = 15
-    for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + n
+def openssh_length(data) -> int | None:
+    """The length of the openssh-key-v1 file that the bytes begin with, by its own length fields; None if they begin with none.
+
+    Length-prefixed cipher, kdf and options, a number of keys, as many public ones, and the private part.
+    """
+    if data[0:15] != _OPENSSH:
+        return None
+    at, left, keys = 15, 3, None
+    while True:
+        field = data[at : at + 4]
+        if len(field) < 4:
+            return None
+        n, at = int.from_bytes(field, "big"), at + 4
+        if not left and keys is None:
+            if not 1 <= n <= MOST_KEYS:
+                return None
+            keys = left = n
+            left += 1
+            continue
+        at, left = at + n, left - 1
         if at > len(data):
-            return False
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 1024
+            return None
+        if keys is not None and not left:
+            return at
+
+
+def is_openssh_key(data) -> bool:
+    """Whether the bytes are one such file; blanks of its last base64 group aside."""
+    n = openssh_length(data)
+    return n is not None and n == len(data)
 
 
 def _decoded(kind: str, s: str) -> bytes | None:
@@ -129,7 +193,7 @@ def is_signed_token(head: str, body: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
 
 
-def _key_kind(data: bytes | None) -> str | None:
+def _key_kind(data) -> str | None:
     if data and is_der_key(data):
         return "der"
     return "openssh" if data and is_openssh_key(data) else None
@@ -138,38 +202,75 @@ def _key_kind(data: bytes | None) -> str | None:
 def _keys_of_lines(m: re.Match) -> list[tuple[str, int, int]]:
     """The keys among the lines of a base64 candidate.
 
-    A key may begin at each line that is long enough. A DER key ends where its own header says, if a line ends there,
-    so it is told from lines of the alphabet before and after it; any other may only fill the rest of the candidate.
+    A key may begin at each line that is long enough, and ends where its own length fields say, if a line ends there:
+    so it is told from lines of the alphabet before and after it. Fields are read where they are, a bounded number of
+    them a line, so time is in proportion to the text.
     """
-    lines = [x.span() for x in re.finditer(r"[A-Za-z0-9+/]+", m[0])]
+    whole = m[0].rstrip("=")
+    lines, at = [], 0
+    for e in _LINE_END.finditer(whole):
+        lines.append((at, e.start()))
+        at = e.end()
+    lines.append((at, len(whole)))
+    joined = "".join(whole[s:e] for s, e in lines)
     upto = np.cumsum([0, *[e - s for s, e in lines]])
     out, i = [], 0
     while i < len(lines):
         (start, end), found = lines[i], None
-        if end - start >= 40 and (size := der_length(_decoded("b64", m[0][start : start + 8]) or b"")):
-            j = int(np.searchsorted(upto, upto[i] + -(-4 * size // 3)))
-            if j < len(upto) and upto[j] == upto[i] + -(-4 * size // 3):
-                stop = len(m[0]) if j == len(lines) else lines[j - 1][1]
-                if kind := _key_kind(_decoded("b64", m[0][start:stop])):
-                    found = (kind, start, stop, j)
-        if not found and (i == 0 or m[0].startswith("b3BlbnNzaC1rZXktdjEA", start)) and (kind := _key_kind(_decoded("b64", m[0][start:]))):
-            found = (kind, start, len(m[0]), len(lines))
+        if end - start >= 40:
+            rest = Decoded(joined, int(upto[i]))
+            for length in (der_length, openssh_length):
+                if found or (size := length(rest)) is None:
+                    continue
+                chars = -(-4 * size // 3)
+                j = int(np.searchsorted(upto, upto[i] + chars))
+                if j < len(upto) and upto[j] == upto[i] + chars and (kind := _key_kind(Decoded(joined, int(upto[i]), chars))):
+                    found = (kind, start, len(m[0]) if j == len(lines) else lines[j - 1][1], j)
         if found:
             out.append((found[0], m.start() + found[1], m.start() + found[2]))
         i = found[3] if found else i + 1
     return out
 
 
+def _cipher_blocks(headers: dict[str, str], data: bytes) -> bool:
+    """Whether headers name a cipher and its start, and the data is whole blocks of it."""
+    dek = _DEK.fullmatch(headers.get("DEK-Info", ""))
+    block = len(dek[2]) // 2 if dek else 0
+    return headers.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED" and block in (8, 16) and len(data) > 0 and len(data) % block == 0
+
+
+def _framed_key(label: str, body: str) -> bool:
+    """Whether the lines between two marks are a key of the label's form."""
+    lines = [x.strip() for x in body.replace("\\r", "\n").replace("\\n", "\n").splitlines()]
+    headers = dict(x.split(":", 1) for x in lines if ":" in x)
+    data = _decoded("b64", "".join(x for x in lines if ":" not in x))
+    if not data:
+        return False
+    if "ENCRYPTED" in label:
+        return is_encrypted_key(data)
+    return is_der_key(data) or is_openssh_key(data) or _cipher_blocks({k: v.strip() for k, v in headers.items()}, data)
+
+
+def _framed(text: str) -> list[tuple[str, int, int]]:
+    """Keys between marks: each BEGIN with the next END of its label, if no other mark stands between."""
+    out, begin = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and begin and begin[2] == m[2] and _framed_key(m[2], text[begin.end() : m.start()]):
+            out.append(("pem", begin.start(), m.end()))
+        begin = m if m[1] == "BEGIN" else None
+    return out
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end), in code points, of encoded keys and signed tokens whose structure holds."""
+    """(kind, start, end), in code points, of encoded keys and signed tokens whose structure holds.
+
+    Each kind goes over the text once, and no candidate is decoded more than once.
+    """
     out = []
     for m in _JWT.finditer(text):
         if is_signed_token(m[1], m[2]):
             out.append(("jwt", *m.span()))
-    for m in _PEM.finditer(text):
-        data = _decoded("b64", "".join(x for x in m[2].splitlines() if ":" not in x))
-        if data and (is_der_key(data) or is_openssh_key(data) or "ENCRYPTED" in m[0][:80]):
-            out.append(("pem", *m.span()))
+    out += _framed(text)
     for m in _B64.finditer(text):
         out += _keys_of_lines(m)
     for m in _B64URL.finditer(text):
