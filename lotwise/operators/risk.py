@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.stats import l2_distance, safe_divide, spearman
 from lotwise.kernels import policies as kernel
 from lotwise.operators.resample import rankings
+from lotwise.sources.shared import written
 
 
 def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, by: Sequence[str] = (), out: str = "percentile") -> DataFrame:
@@ -73,43 +74,116 @@ def standardized(long: DataFrame, lot: str = "lot_number", least_variance: float
     return j.withColumns({"is_train": F.col(lot) != F.col("held_out_lot"), "z": (F.col("value") - F.col("mean")) / F.col("deviation")}).drop("mean", "deviation")
 
 
-#: Vectors of either side that one task compares with each other.
-BLOCK = 4096
+#: Vectors of either side that one task compares with each other, and points from which distances are known.
+BLOCK, PIVOTS = 4096, 64
+#: Pivots of all folds together, a handful a fold at least.
+MOST_PIVOTS, LEAST_PIVOTS = 200_000, 4
 
 
 def _nearest(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
     """The least distance from each row of q to a row of t of another key, dimension by dimension: exact, and no matrix but one."""
-    x, y = np.stack(q["x"].to_numpy()), np.stack(t["tx"].to_numpy())
+    x, y = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy())
     square = np.zeros((len(x), len(y)))
     for j in range(x.shape[1]):
         square += (x[:, j, None] - y[None, :, j]) ** 2
-    square[q["k"].to_numpy()[:, None] == t["tk"].to_numpy()[None]] = np.inf
+    square[q["k"].to_numpy()[:, None] == t["k"].to_numpy()[None]] = np.inf
     return np.sqrt(square.min(axis=1))
 
 
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots."""
+    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * x @ pivots.T, 0))
+
+
+def _bounds(distances: np.ndarray, rings: np.ndarray) -> np.ndarray:
+    """The least distance that a row of each ring can have, by the triangle inequality; rings: (pivot, least and largest distance to it).
+
+    Bounds are taken down by what rounding may have added to a distance.
+    """
+    own = distances[:, rings[:, 0].astype(int)]
+    slack = 1e-6 * (1 + own + rings[:, 2])
+    return np.maximum(np.maximum(own - rings[:, 2], rings[:, 1] - own) - slack, 0)
+
+
+def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(fold, key, ood_distance, compared): the distance to the nearest training row, and how many rows were looked at for it.
+
+    Training rows lie in rings about their nearest pivots, of ``block`` rows at most. A row first looks into the ring
+    that can be nearest; what it finds there rules out all rings that the triangle inequality keeps farther away, and
+    only the others are looked into. Pivots are rows of some keys, the same in all folds. They and the rings' bounds,
+    a row for each ``block`` training rows, come to the driver and go to the tasks. Rows are written once.
+    """
+    spark = vectors.sparkSession
+    rows = written(vectors.select(F.col(fold).alias("f"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(train).alias("t")), "vectors")
+    kinds = f"f {vectors.schema[fold].dataType.simpleString()}, k {vectors.schema[key].dataType.simpleString()}, x array<double>"
+    folds = rows.select("f").distinct().count()
+    some = max(LEAST_PIVOTS, min(pivots, MOST_PIVOTS // max(folds, 1)))
+    named = rows.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(some)
+    at: dict = {}
+    for r in rows.join(F.broadcast(named), "k").select("f", "k", "x").collect():  # ``some`` a fold at most
+        at.setdefault(r["f"], []).append((r["k"], r["x"]))
+    pivot_of = spark.sparkContext.broadcast({f: np.array([v for _, v in sorted(found, key=lambda p: str(p[0]))], float) for f, found in at.items()})
+
+    def own_pivots(f, width: int) -> np.ndarray:
+        return pivot_of.value.get(f, np.zeros((1, width)))
+
+    def placed(batches):
+        for b in batches:
+            for f, g in b.groupby("f", sort=False):
+                d = _to_pivots(np.stack(g["x"].to_numpy()).astype(float), own_pivots(f, len(g["x"].iloc[0])))
+                home = d.argmin(axis=1)
+                yield g[["f", "k", "x"]].assign(home=home, d=d[np.arange(len(g)), home])
+
+    around = Window.partitionBy("f", "home").orderBy("d", "k")
+    training = rows.filter("t").mapInPandas(placed, kinds + ", home int, d double").withColumn("ring", F.floor((F.row_number().over(around) - 1) / F.lit(block)))
+    training = written(training.select("f", "k", "x", "home", "d", (F.col("home") * F.lit(1 << 32) + F.col("ring")).alias("b")), "rings")
+    bounds: dict = {}
+    for r in training.groupBy("f", "b").agg(F.first("home").alias("home"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
+        bounds.setdefault(r["f"], []).append((r["home"], r["lo"], r["hi"], r["b"]))
+    ring_of = spark.sparkContext.broadcast({f: np.array(sorted(found)) for f, found in bounds.items()})
+
+    def asked(batches, first: bool):
+        """Each row for the ring that can be nearest, or for the others that can be nearer than what it has found."""
+        for b in batches:
+            for f, g in b.groupby("f", sort=False):
+                rings = ring_of.value.get(f)
+                if rings is None:
+                    continue
+                d = _to_pivots(np.stack(g["x"].to_numpy()).astype(float), own_pivots(f, len(g["x"].iloc[0])))
+                low = _bounds(d, rings)
+                best = np.lexsort((d[:, rings[:, 0].astype(int)], low), axis=1)[:, 0]
+                if first:
+                    i, j = np.arange(len(g)), best
+                else:
+                    can = low < g["d"].to_numpy()[:, None]
+                    can[np.arange(len(g)), best] = False
+                    i, j = np.nonzero(can)
+                yield g[["f", "k", "x"]].iloc[i].assign(b=rings[j, 3].astype(np.int64))
+
+    found_kinds = kinds.replace(", x array<double>", ", x array<double>, d double, n long")
+
+    def looked(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        d = _nearest(q, t) if len(q) and len(t) else np.full(len(q), np.inf)
+        return q[["f", "k", "x"]].assign(d=d, n=len(t))
+
+    def found(queries: DataFrame) -> DataFrame:
+        chunks = queries.groupBy("f", "b").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+        q = queries.join(chunks, ["f", "b"]).withColumn("c", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
+        t = training.join(chunks, ["f", "b"]).select("f", "k", "x", "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+        return q.groupBy("f", "b", "c").cogroup(t.groupBy("f", "b", "c")).applyInPandas(looked, found_kinds)
+
+    one = written(found(rows.select("f", "k", "x").mapInPandas(lambda batches: asked(batches, True), kinds + ", b long")), "first-rings")
+    more = found(one.select("f", "k", "x", "d").mapInPandas(lambda batches: asked(batches, False), kinds + ", b long"))
+    every = one.select("f", "k", "d", "n").unionByName(more.select("f", "k", "d", "n")).groupBy("f", "k").agg(F.min("d").alias("d"), F.sum("n").alias("n"))
+    return every.filter(F.col("d") < F.lit(float("inf"))).select(F.col("f").alias(fold), F.col("k").alias(key), F.col("d").alias("ood_distance"), F.col("n").alias("compared"))
+
+
 def nearest_training_distance(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK) -> DataFrame:
     """(fold, key, ood_distance): distance to the nearest training row of the fold other than the row itself.
 
-    Blocks of rows meet blocks of training rows of their fold, a pair of blocks a task; the least of a row's blocks
-    counts. Rows of a fold without any other training row are left out.
+    Rows of a fold without any other training row are left out; keys are distinct within a fold.
     """
-    rows = vectors.select(F.col(fold).alias("f"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(train).alias("t"))
-    most = rows.groupBy("f").count().agg(F.max("count")).first()[0] or 1
-    blocks = -(-most // block)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-    q = rows.select("f", "k", "x", own.alias("a"), every.alias("b"))
-    t = rows.filter("t").select(F.col("f").alias("tf"), F.col("k").alias("tk"), F.col("x").alias("tx"), own.alias("tb")).select("tf", "tk", "tx", every.alias("ta"), "tb")
-
-    def least(key: tuple, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(t):
-            return q[["f", "k"]].head(0).assign(d=np.zeros(0))
-        d = _nearest(q, t)
-        return q[["f", "k"]].assign(d=d)[np.isfinite(d)]
-
-    kinds = f"f {vectors.schema[fold].dataType.simpleString()}, k {vectors.schema[key].dataType.simpleString()}, d double"
-    d = q.groupBy("f", "a", "b").cogroup(t.groupBy("tf", "ta", "tb")).applyInPandas(least, kinds)
-    return d.groupBy("f", "k").agg(F.min("d").alias("ood_distance")).select(F.col("f").alias(fold), F.col("k").alias(key), "ood_distance")
+    return nearest_search(vectors, fold, train, key, x, block).drop("compared")
 
 
 def model_disagreement(points: DataFrame, a: str = "pls", b: str = "ridge", keys: Sequence[str] = ("lot_number", "experiment_key")) -> DataFrame:

@@ -276,6 +276,25 @@ def test_nearest_training_rows(spark, block):
     assert all(a["ood_distance"] == pytest.approx(want[a["held_out_lot"], a["experiment_key"]]) for a in got)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_rings_rule_out_most_rows(spark, hot):
+    """On clustered rows less than a tenth of all pairs is looked at; if a third of the rows is one cluster, little more."""
+    block = 16
+    r = np.random.default_rng(10)
+    centres = r.normal(size=(30, 4)) * 40
+    rows = [(f, f"w{i}", (centres[0 if hot and i % 3 == 0 else r.integers(30)] + r.normal(size=4)).tolist(), bool(i % 5)) for f in (1, 2) for i in range(900)]
+    got = risk.nearest_search(spark.createDataFrame(rows, "held_out_lot int, experiment_key string, x array<double>, is_train boolean"), block=block).collect()
+    for f in (1, 2):
+        own = [x for x in rows if x[0] == f]
+        train = np.array([x[2] for x in own if x[3]])
+        names = [x[1] for x in own if x[3]]
+        for x in (x for x in got if x["held_out_lot"] == f):
+            v = next(y[2] for y in own if y[1] == x["experiment_key"])
+            d = np.linalg.norm(train - v, axis=1)
+            assert x["ood_distance"] == pytest.approx(min(z for z, n in zip(d, names) if n != x["experiment_key"]))
+    assert len(got) == 1800 and sum(x["compared"] for x in got) < (0.15 if hot else 0.1) * 1800 * 720
+
+
 def test_correlation_p_values(spark):
     known = [(0.5, 10, 0.141113), (0.9, 5, 0.037386), (-0.3, 50, 0.034286), (0.0, 8, 1.0), (1.0, 6, 0.0), (0.05, 400, 0.318525)]  # Student's t, by numerical integration
     df = spark.createDataFrame([(r, n) for r, n, _ in known] + [(None, 9), (0.4, 2)], "r double, n long")
