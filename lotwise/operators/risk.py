@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.stats import l2_distance, safe_divide, spearman
 from lotwise.kernels import policies as kernel
+from lotwise.operators import scan
 from lotwise.operators.resample import rankings
 from lotwise.sources.shared import written
 
@@ -27,25 +28,45 @@ def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, by
     return both.filter("_side = 1").select("_row.*", out)
 
 
-def change_scores(vectors: DataFrame, alpha: float, centroid: str = "centroid", by: Sequence[str] = ("lot_number",), key: str = "experiment_key", x: str = "x") -> DataFrame:
+def change_scores(vectors: DataFrame, alpha: float, centroid: str = "centroid", by: Sequence[str] = ("lot_number",), key: str = "experiment_key", x: str = "x", block: int | None = None) -> DataFrame:
     """Adds initial_state (distance to the centroid), wafer_delta (to the previous wafer) and ewma_distance (to the running mean before the wafer).
 
-    The first wafer of a lot has NULL for the last two. A lot's wafers are folded in order as one array.
+    The first wafer of a lot has NULL for the last two. Lots are scanned in blocks: a block hands on its last wafer and
+    the running mean, which is an affine map of the one before it.
     """
     if not 0 < alpha <= 1:
         raise ValueError("ewma_alpha must be in (0, 1]")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).alias("x"), F.col(centroid).alias("c"))))
-    start = F.struct(F.array().cast("array<double>").alias("run"), F.array().cast("array<double>").alias("prev"), F.array().cast(f"array<struct<{key}:string,initial_state:double,wafer_delta:double,ewma_distance:double>>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        first = F.size(s["prev"]) == 0
-        run = F.when(first, r["x"]).otherwise(F.zip_with(r["x"], s["run"], lambda a, b: alpha * a + (1 - alpha) * b))
-        scored = F.struct(r["k"].alias(key), l2_distance(r["x"], r["c"]).alias("initial_state"), F.when(~first, l2_distance(r["x"], s["prev"])).alias("wafer_delta"), F.when(~first, l2_distance(r["x"], s["run"])).alias("ewma_distance"))
-        return F.struct(run.alias("run"), r["x"].alias("prev"), F.concat(s["out"], F.array(scored)).alias("out"))
-
-    g = vectors.groupBy(*by).agg(rows.alias("_r"))
-    g = g.select(*by, F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("_s")).select(*by, "_s.*")
-    return vectors.join(g, [*by, key])
+    def matrix(g: pd.DataFrame) -> np.ndarray:
+        return np.stack(g["_x"].to_numpy()).astype(float)
+
+    def summary(g: pd.DataFrame):
+        v = matrix(g)
+        if g["_i"].iloc[0] == 0:  # a lot's mean starts as its first wafer
+            return v[-1], 0.0, scan.decayed(v[1:], alpha, v[0])[-1]
+        return v[-1], (1 - alpha) ** len(v), scan.decayed(v, alpha, np.zeros(v.shape[1]))[-1]
+
+    def after(carry, s):
+        return s[0], s[2] if carry is None else s[1] * carry[1] + s[2]
+
+    def apply(g: pd.DataFrame, carry) -> pd.DataFrame:
+        v = matrix(g)
+        before = np.concatenate([v[:1] if carry is None else carry[0][None], v[:-1]])
+        run = scan.decayed(v[1:], alpha, v[0]) if carry is None else scan.decayed(v, alpha, carry[1])[:-1]
+        run = np.concatenate([v[:1], run[:-1]]) if carry is None else run
+        near = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=1))
+        initial = np.array([np.nan if c is None else float(np.sqrt(((r - np.asarray(c, float)) ** 2).sum())) for r, c in zip(v, g["_c"])])
+        out = g[[*by, key]].assign(initial_state=initial, wafer_delta=near(v, before), ewma_distance=near(v, run))
+        if carry is None:
+            out.iloc[0, -2:] = np.nan
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    kinds = ", ".join([*(f"`{c}` {types[c]}" for c in (*by, key)), "initial_state double, wafer_delta double, ewma_distance double"])
+    rows = vectors.select(*by, key, F.col(x).alias("_x"), F.col(centroid).alias("_c"))
+    s = scan.scanned(rows, by, [key], summary, after, apply, kinds, block)
+    s = s.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("initial_state", "wafer_delta", "ewma_distance")})
+    return vectors.join(s, [*by, key])
 
 
 def fold_scales(long: DataFrame, lot: str = "lot_number", least_variance: float = 1e-12) -> DataFrame:
@@ -371,26 +392,49 @@ def quota_decisions(scores: Column, budget: Column | float, threshold: Column |
     return F.aggregate(scores, start, step, lambda s: s["f"])
 
 
-def causal_selection(wafers: DataFrame, budgets: Sequence[float], thresholds: DataFrame | None = None, score: str = "score", by: Sequence[str] = ("lot_number",), order: str = "wafer_order") -> DataFrame:
-    """Each wafer for each budget with ``measured``. thresholds: (by, budget, threshold), or a wafer's score at 1 - budget by default."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("s"), F.struct(*wafers.columns).alias("row"))))
-    g = wafers.groupBy(*by).agg(rows.alias("_r")).withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
+def causal_selection(wafers: DataFrame, budgets: Sequence[float], thresholds: DataFrame | None = None, score: str = "score", by: Sequence[str] = ("lot_number",), order: str = "wafer_order", block: int | None = None) -> DataFrame:
+    """Each wafer for each budget with ``measured``, decided as ``quota_decisions`` does. thresholds: (by, budget, threshold), or a wafer's score at 1 - budget by default.
+
+    Lots are scanned in blocks: a block hands on how many wafers it leaves taken, a step function of how many were
+    before it. ``order`` tells the wafers of a lot apart.
+    """
+    g = wafers.select(*by, order, F.col(score).cast("double").alias("_v")).withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets])))
     g = g.join(thresholds, [*by, "budget"]) if thresholds is not None else g.withColumn("threshold", 1 - F.col("budget"))
-    g = g.withColumn("_m", quota_decisions(F.transform("_r", lambda r: r["s"]), F.col("budget"), F.col("threshold")))
-    return g.select("budget", "threshold", F.explode(F.arrays_zip("_r", "_m")).alias("z")).select("z._r.row.*", "budget", "threshold", F.col("z._m").alias("measured"))
 
+    def limit(g: pd.DataFrame) -> np.ndarray:
+        return scan.limits(g["_v"].to_numpy(float), g["_i"].to_numpy(), int(g["_n"].iloc[0]), float(g["budget"].iloc[0]), float(g["threshold"].iloc[0]))
+
+    types = {f.name: f.dataType.simpleString() for f in g.schema}
+    kinds = ", ".join([*(f"`{c}` {types[c]}" for c in (*by, order)), "budget double", f"threshold {types['threshold']}", "measured boolean"])
+    decided = scan.scanned(
+        g, [*by, "budget"], [order], lambda g: scan.steps_of(limit(g)), lambda carry, s: scan.counted(carry or 0, s),
+        lambda g, carry: g[[*by, order, "budget", "threshold"]].assign(measured=scan.taken(limit(g), carry or 0)), kinds, block)
+    return wafers.join(decided, [*by, order])
+
+
+def bias_feedback(selected: DataFrame, alpha: float, shift: str = "shift", by: Sequence[str] = ("lot_number", "budget"), order: str = "wafer_order", block: int | None = None) -> DataFrame:
+    """Adds ``bias``, what a prediction is corrected by: an exponential mean of the shifts of the wafers measured before it.
+
+    Scanned in blocks: a block makes an affine map of the bias that comes into it.
+    """
+
+    def taught(g: pd.DataFrame) -> np.ndarray:
+        return g.loc[g["measured"], "_v"].to_numpy(float)
 
-def bias_feedback(selected: DataFrame, alpha: float, shift: str = "shift", by: Sequence[str] = ("lot_number", "budget"), order: str = "wafer_order") -> DataFrame:
-    """Adds ``bias``, what a prediction is corrected by: an exponential mean of the shifts of the wafers measured before it."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(shift).alias("s"), F.col("measured").alias("m"))))
-    start = F.struct(F.lit(0.0).alias("b"), F.array().cast("array<struct<o:int,bias:double>>").alias("out"))
+    def summary(g: pd.DataFrame) -> tuple[float, float]:
+        v = taught(g)
+        return (1 - alpha) ** len(v), float(scan.decayed(v, alpha, 0.0)[-1])
 
-    def step(s: Column, r: Column) -> Column:
-        after = F.when(r["m"], alpha * r["s"] + (1 - alpha) * s["b"]).otherwise(s["b"])
-        return F.struct(after.alias("b"), F.concat(s["out"], F.array(F.struct(r["o"].cast("int").alias("o"), s["b"].alias("bias")))).alias("out"))
+    def apply(g: pd.DataFrame, carry) -> pd.DataFrame:
+        run = scan.decayed(taught(g), alpha, carry or 0.0)
+        learnt = np.concatenate([[0], np.cumsum(g["measured"].to_numpy(bool))[:-1]]).astype(int)
+        return g[[*by, order]].assign(bias=run[learnt])
 
-    g = selected.groupBy(*by).agg(rows.alias("_r")).select(*by, F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("_s"))
-    return selected.join(g.select(*by, F.col("_s.o").alias(order), F.col("_s.bias").alias("bias")), [*by, order])
+    types = {f.name: f.dataType.simpleString() for f in selected.schema}
+    kinds = ", ".join([*(f"`{c}` {types[c]}" for c in (*by, order)), "bias double"])
+    rows = selected.select(*by, order, F.col(shift).cast("double").alias("_v"), "measured")
+    b = scan.scanned(rows, by, [order], summary, lambda carry, s: s[0] * (carry or 0.0) + s[1], apply, kinds, block)
+    return selected.join(b, [*by, order])
 
 
 def stream_metrics(wafers: DataFrame, threshold: Column | float, by: Sequence[str], true_error: str = "true_error", system_error: str = "system_error", order: str = "wafer_order") -> DataFrame:

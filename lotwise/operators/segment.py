@@ -97,9 +97,12 @@ def with_cycles(phased: DataFrame, detector: str, spec: TraceSpec = TraceSpec())
     rising = F.col("long_phase") & ~F.lag("long_phase", 1, False).over(order)
     d = phased.withColumn("_edge", F.when(rising, F.col(spec.time)))
     spacing = 0.5 * spec.expected_period if detector == "period_constrained" else spec.edge_spacing
-    d = d.withColumn("edges", debounced(F.array_sort(F.collect_list("_edge").over(w)), spacing)).drop("_edge")
-    d = d.withColumn("_at", F.size(F.filter("edges", lambda e: e <= F.col(spec.time))) - 1)
-    return d.withColumns({"cycle_count": F.size("edges"), "cycle_index": F.when(F.col("active") & (F.col("_at") >= 0), F.col("_at")).otherwise(-1)}).drop("_at")
+    d = d.withColumn("edges", debounced(F.array_sort(F.collect_list("_edge").over(w)), spacing))
+    # Only rising samples are looked up; a sample's cycle is how many kept edges came up to it.
+    kept = F.when(F.col("_edge").isNotNull(), F.array_contains("edges", F.col("_edge")).cast("int")).otherwise(0)
+    upto = Window.partitionBy(spec.key).orderBy(spec.time).rangeBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_kept", kept).withColumn("_at", (F.sum("_kept").over(upto) - 1).cast("int"))
+    return d.withColumns({"cycle_count": F.size("edges"), "cycle_index": F.when(F.col("active") & (F.col("_at") >= 0), F.col("_at")).otherwise(-1)}).drop("_at", "_edge", "_kept")
 
 
 def detect_regions(traces: DataFrame, detector: str = "quantile", spec: TraceSpec = TraceSpec()) -> DataFrame:

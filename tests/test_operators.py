@@ -295,6 +295,55 @@ def test_rings_rule_out_most_rows(spark, hot):
     assert len(got) == 1800 and sum(x["compared"] for x in got) < (0.15 if hot else 0.1) * 1800 * 720
 
 
+def test_scans_in_blocks_are_the_folds(spark):
+    """Blocks of a few rows, several lots, against the fold of a whole array and plain loops."""
+    r = np.random.default_rng(12)
+    rows = [(lot, i + 1, f"{lot}-{i:04d}", float(r.choice([0.1, 0.5, 0.9, r.random()])), float(r.normal()), [float(v) for v in r.normal(size=2)], [0.5, -1.0]) for lot, n in ((1, 1), (2, 7), (3, 8), (4, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "lot_number int, wafer_order int, experiment_key string, score double, shift double, x array<double>, centroid array<double>")
+    budgets = (0.0, 0.1, 0.3, 0.5, 1.0)
+    got = risk.causal_selection(df, budgets, block=4).cache()
+    fold = df.groupBy("lot_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("wafer_order", "score"))), lambda s: s["score"]).alias("s")).withColumn("b", F.explode(F.array(*map(F.lit, budgets))))
+    want = {(x["lot_number"], x["b"]): x["m"] for x in fold.select("lot_number", "b", risk.quota_decisions(F.col("s"), F.col("b"), 1 - F.col("b")).alias("m")).collect()}
+    for x in got.collect():
+        assert x["measured"] == want[x["lot_number"], x["budget"]][x["wafer_order"] - 1]
+    bias = {(x["lot_number"], x["budget"], x["wafer_order"]): x for x in risk.bias_feedback(got, 0.3, block=4).collect()}
+    for lot, b in want:
+        now = 0.0
+        for i, m in enumerate(want[lot, b]):
+            x = bias[lot, b, i + 1]
+            assert x["bias"] == pytest.approx(now)
+            now = 0.3 * x["shift"] + 0.7 * now if m else now
+    change = {x["experiment_key"]: x for x in risk.change_scores(df, 0.3, block=4).collect()}
+    for lot in (1, 2, 3, 4):
+        own = [x for x in rows if x[0] == lot]
+        run = before = None
+        for _, _, k, _, _, v, c in own:
+            v, x = np.array(v), change[k]
+            assert x["initial_state"] == pytest.approx(np.linalg.norm(v - c))
+            for name, other in (("wafer_delta", before), ("ewma_distance", run)):
+                assert (x[name] is None) == (other is None) and (other is None or x[name] == pytest.approx(np.linalg.norm(v - other)))
+            run = v if run is None else 0.3 * v + 0.7 * run
+            before = v
+
+
+def test_a_million_wafers_in_linear_time():
+    import time
+
+    from lotwise.operators import scan
+
+    r = np.random.default_rng(13)
+    took = []
+    for n in (100_000, 400_000):
+        began = time.perf_counter()
+        limit = scan.limits(r.random(n), np.arange(n), n, 0.3, 0.7)
+        c, whole = 0, int(scan.taken(limit, 0).sum())
+        for at in range(0, n, scan.BLOCK):
+            c = scan.counted(c, scan.steps_of(limit[at : at + scan.BLOCK]))
+        took.append(time.perf_counter() - began)
+        assert c == whole == round(0.3 * n)
+    assert took[1] < 8 * took[0]
+
+
 def test_correlation_p_values(spark):
     known = [(0.5, 10, 0.141113), (0.9, 5, 0.037386), (-0.3, 50, 0.034286), (0.0, 8, 1.0), (1.0, 6, 0.0), (0.05, 400, 0.318525)]  # Student's t, by numerical integration
     df = spark.createDataFrame([(r, n) for r, n, _ in known] + [(None, 9), (0.4, 2)], "r double, n long")
