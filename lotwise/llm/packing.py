@@ -34,19 +34,29 @@ def _encoding(path: str, pattern: str):
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def follows_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space, or what may be its last byte, is before each place; so it is for the first three places.
+
+    Characters of more than one byte that are white space end in C2 85, C2 A0, E1 9A .., E2 80 .., E2 81 .. or E3 80 ..
+    """
+    out = np.ones(len(at), bool)
+    some = np.flatnonzero(at >= 3)
+    one, two, three = (data[at[some] - k] for k in (1, 2, 3))
+    white = (one < 0x21) | (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    out[some] = white | (three >= 0xE1) & (three <= 0xE3) & (two <= 0x9A) & (one >= 0x80)
+    return out
+
+
 def piece_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Places where the text can be cut with no change to its ids: row starts, and spaces after other than white space.
 
     The pattern lets a space begin a token or be among white space only, so a space after anything else begins one.
-    Characters of more than one byte that are white space end in C2 85, C2 A0, E1 9A .., E2 80 .., E2 81 .. or E3 80 ..;
-    what follows any of these is left uncut.
+    What follows a byte that may end white space is left uncut.
     """
+    space = np.flatnonzero(data == 0x20)
+    space = space[~follows_white(data, space)]
     cut = np.zeros(len(data) + 1, bool)
-    if len(data) > 3:
-        back = [data[2:-1], data[1:-2], data[:-3]]  # one, two and three bytes before
-        white = (back[0] < 0x21) | (back[1] == 0xC2) & ((back[0] == 0x85) | (back[0] == 0xA0))
-        white |= (back[2] >= 0xE1) & (back[2] <= 0xE3) & (back[1] <= 0x9A) & (back[0] >= 0x80)
-        cut[3:-1] = (data[3:] == 0x20) & ~white
+    cut[space] = True
     cut[offs[:-1][np.diff(offs) > 0]] = True
     return np.flatnonzero(cut[: len(data)])
 
@@ -81,15 +91,42 @@ def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 class Ids:
-    """Token ids of many texts at once: each distinct piece of a batch is encoded once, or taken from what is remembered."""
+    """Token ids of many texts at once: each distinct piece of a batch is encoded once, or taken from what is remembered.
+
+    New pieces are encoded as one text, and told apart by the bytes that their tokens stand for.
+    """
 
     def __init__(self, path: str, pattern: str, most: int = REMEMBERED):
-        self.encode, self.most = _encoding(path, pattern).encode_ordinary, most
+        encoding = _encoding(path, pattern)
+        self.encode, self.most = encoding.encode_ordinary, most
+        self.width = np.zeros(encoding.n_vocab, np.int64)
+        for token, i in encoding._mergeable_ranks.items():
+            self.width[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
 
+    def _one(self, piece: bytes) -> bytes:
+        return np.array(self.encode(piece.decode("utf-8", "replace")), dtype="<i4").tobytes()
+
+    def _joined(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces that may follow each other: each begins with a space, and none ends in white space."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 20_000):
+            some = pieces[at : at + 20_000]
+            try:
+                ids = np.array(self.encode(b"".join(some).decode()), dtype="<i4")
+            except UnicodeDecodeError:  # what stands for bytes that aren't text has another length
+                out += map(self._one, some)
+                continue
+            cut = 4 * np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in some]), "left") + 4
+            raw, start = ids.tobytes(), 0
+            for end in cut.tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
+
     def of(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many in each row)."""
         rows = len(offs) - 1
@@ -101,20 +138,25 @@ class Ids:
         if len(self.known) > self.most:
             self.forget()
         known, whole = self.known, data.tobytes()
-        coded = []
-        for a, b in zip(start[first].tolist(), end[first].tolist()):
-            piece = whole[a:b]
-            if (ids := known.get(piece)) is None:
-                ids = np.array(self.encode(piece.decode("utf-8", "replace")), dtype="<i4").tobytes()
-                if b - a <= 64:
-                    known[piece] = ids
-            coded.append(ids)
+        pieces = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        coded = [known.get(x) for x in pieces]
+        regular = ((data[start[first]] == 0x20) & ~follows_white(data, end[first])).tolist()
+        new = [i for i, ids in enumerate(coded) if ids is None and regular[i]]
+        for i, ids in zip(new, self._joined([pieces[i] for i in new])):
+            coded[i] = ids
+        for i, ids in enumerate(coded):
+            if ids is None:
+                coded[i] = self._one(pieces[i])
+                new.append(i)
+        for i in new:
+            if len(pieces[i]) <= 64:
+                known[pieces[i]] = coded[i]
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat, begin = np.frombuffer(b"".join(coded), "<i4"), np.cumsum(size) - size
         n = size[at]
         ends = np.cumsum(n)
-        inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        ids = flat[np.repeat(begin[at], n) + inside]
+        place = np.arange(ends[-1]) + np.repeat(begin[at] - (ends - n), n)
+        ids = flat[place]
         done = np.concatenate(([0], ends))
         return ids, np.diff(done[np.searchsorted(start, offs)])
 
