@@ -259,14 +259,18 @@ class Known:
 class Causal:
     """Models of the lots before a test lot. Scales, template and components stay as they are; feedback changes what is ``Known``."""
 
-    def __init__(self, w: Wafers, train: tuple, parameters: Sequence, share: float = SHARE, most: int = MOST):
+    def __init__(self, w: LotMoments, train: tuple, by_shift, by_residual, share: float = SHARE, most: int = MOST):
         self.t = w.training(train)
         self.components, _ = self.t.components(share, most)
-        self.by_shift, _ = chosen(w, train, "pls", parameters, False, share, most)
-        self.by_residual, _ = chosen(w, train, "pls", parameters, True, share, most)
+        self.by_shift, self.by_residual = by_shift, by_residual
         (shifts, self.features), (scores, _) = self.t.explaining(None), self.t.explaining(self.components)
         self.start = Known(shifts, scores)
 
+    @classmethod
+    def chosen(cls, w: Wafers, train: tuple, parameters: Sequence, share: float = SHARE, most: int = MOST) -> Causal:
+        """With the parameters that inner folds of the training lots choose."""
+        return cls(w, train, *(chosen(w, train, "pls", parameters, residual, share, most)[0] for residual in (False, True)), share, most)
+
     def predicted(self, known: Known, x: np.ndarray) -> np.ndarray:
         """Maps of raw features."""
         z = self.t.standard(np.atleast_2d(x))

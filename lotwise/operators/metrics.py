@@ -40,6 +40,14 @@ def spatial_metrics(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def residual_profiles(points: DataFrame, by: Sequence[str] = ("ablation",), key: str = "experiment_key") -> DataFrame:
+    """(by, wafers, residual_profile_mae, residual_profile_rmse): means over wafers of how far a predicted map less its mean is from the observed one less its."""
+    w = Window.partitionBy(*by, key)
+    c = (F.col("predicted") - F.avg("predicted").over(w)) - (F.col("observed") - F.avg("observed").over(w))
+    wafers = points.withColumn("_c", c).groupBy(*by, key).agg(F.avg(F.abs("_c")).alias("a"), F.sqrt(F.avg(F.col("_c") ** 2)).alias("r"))
+    return wafers.groupBy(*by).agg(F.count("*").alias("wafers"), F.avg("a").alias("residual_profile_mae"), F.avg("r").alias("residual_profile_rmse"))
+
+
 def coordinate_mae(points: DataFrame, by: Sequence[str] = ("family", "stage")) -> DataFrame:
     return points.groupBy(*by, "x", "y").agg(F.avg(F.abs(error())).alias("coordinate_mae"))
 

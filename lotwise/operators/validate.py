@@ -219,3 +219,9 @@ def spacing_stats(axis: DataFrame, key: str, position: str, value: str) -> DataF
     """(key, median, minimum and maximum spacing) of an axis."""
     d = axis.withColumn("_d", F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(position)))
     return d.groupBy(key).agg(F.median("_d").alias("median_spacing"), F.min("_d").alias("minimum_spacing"), F.max("_d").alias("maximum_spacing"))
+
+
+def with_target_flag(audit: DataFrame, dense: DataFrame, key: str = "experiment_key", out: str = "has_direct_89_point_target") -> DataFrame:
+    """``audit`` with whether a wafer has a dense map: a semi-join's worth of keys is met, each once."""
+    keys = dense.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(out, F.lit(True))
+    return audit.join(keys, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))

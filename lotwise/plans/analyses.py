@@ -21,10 +21,13 @@ from lotwise.sources.shared import written
 SCORES = ("initial_state", "wafer_delta", "ewma_distance", "ood_distance", "model_disagreement")
 
 
-def data_audit(dense: DataFrame, sparse: DataFrame, traces: DataFrame, signals: Sequence[str]) -> dict[str, DataFrame]:
-    """Rows, wafers and coordinates of either tool, formulas, trace steps, the template's reach, and how the tools agree."""
+def data_audit(dense: DataFrame, sparse: DataFrame, traces: DataFrame, signals: Sequence[str], spectra: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Rows, wafers and coordinates of either tool, formulas, trace steps, the template's reach, how the tools agree, and whether there are spectra."""
     paired = template.paired_tools(sparse, dense)
+    spark = dense.sparkSession
+    some = spectra.agg(F.countDistinct("experiment_key").alias("spectral_wafers")) if spectra is not None else spark.range(1).select(F.lit(0).cast("long").alias("spectral_wafers"))
     return {
+        "spectra": some.withColumn("spectra_present", F.col("spectral_wafers") > 0),
         "measurements": validate.measurement_audit(dense, sparse), "formulas": validate.formula_audit(dense, sparse), "traces": validate.process_audit(traces, signals), "dates": validate.wafers_by_date(traces),
         "template": template.audit_r2(template.with_targets(dense)), "tools": template.tool_bias(paired), "calibration": template.median_calibration(paired),
     }

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.kernels import evaluate, gaussian, linear
+from lotwise.kernels import policies as kernel
 from lotwise.operators.features import FEATURE_GROUPS, family_of, feature_group, feature_vectors, group_of, sensor_family
 from lotwise.sources.shared import written
 
@@ -286,36 +287,141 @@ def fused_spectra(rows: DataFrame, spectra: DataFrame, pls: Sequence = PARAMETER
 
 
 REPLAY = "test_lot int, feedback string, budget double, experiment_key string, wafer_order int, measured boolean, true_error double, system_error double, updates int, drift_error_threshold double"
+FEEDBACKS = ("F0", "F1", "F2", "F3")
+CAUSAL = "test_lot int, model binary"
 
 
-def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[str] = ("F0", "F1", "F2", "F3"), parameters: Sequence = PARAMETERS["pls"], alpha: float = 0.3, least_lots: int = 3) -> DataFrame:
-    """A row for each wafer, budget and feedback of every test lot that follows at least ``least_lots`` others.
+def causal_models(rows: DataFrame, parameters: Sequence = PARAMETERS["pls"], least_lots: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((test_lot, model), (test_lot, drift_error_threshold)) of every lot that follows at least ``least_lots`` others, fitted on earlier lots.
 
-    selection: (experiment_key, budget, measured). Models see earlier lots and wafers measured before only.
-    drift_error_threshold is the 95 % quantile of the training wafers' errors.
+    drift_error_threshold is the 95 % quantile of the training wafers' errors. Fits need the lots' moments only; models
+    go to the lots that they are applied to.
     """
-    from pyspark.sql import Window
+    params = {"pls": tuple(parameters)}
+    rows = written(rows.withColumn("ablation", F.lit("all")), "causal-rows")
+    folds = fold_rows(written(lot_moments(rows), "moments"), ["pls"], True, least_lots)
+    each = rows.groupBy("ablation", "lot_number")
+    best = written(_chosen(each, folds, params, evaluate.SHARE, evaluate.MOST), "chosen")
+
+    def parts(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame):
+        w, c, held = _moments(g), chosen.iloc[0], int(key[2])
+        return w, tuple(n for n in w.names if n != held), held, params["pls"][int(c["place"])], params["pls"][int(c["residual_place"])]
+
+    def fit(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(chosen):
+            return pd.DataFrame([], columns=_names(CAUSAL))
+        w, train, held, s, r = parts(key, g, chosen)
+        return pd.DataFrame([(held, pickle.dumps(evaluate.Causal(w, train, s, r)))], columns=_names(CAUSAL))
+
+    def back(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(chosen):
+            return pd.DataFrame([], columns=_names(FITTED))
+        w, train, held, s, r = parts(key, g, chosen)
+        blob = pickle.dumps(evaluate.portable(w, train, "pls", [s], [r]))
+        return pd.DataFrame([("all", "", held, "pls", n, blob) for n in train], columns=_names(FITTED))
+
+    def errors(wafers: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wafers) and len(fitted):
+            _, x, maps, _ = _sorted(wafers)
+            out = [(held, float(e)) for held, blob in zip(fitted["held_out_lot"], fitted["models"]) for e in np.abs(pickle.loads(blob).stages(x, maps)["full_map"] - maps).mean(axis=1)]
+        return pd.DataFrame(out, columns=["test_lot", "error"])
+
+    pairs = folds.groupBy(*_BY).cogroup(best.groupBy(*_BY))
+    train = each.cogroup(pairs.applyInPandas(back, FITTED).groupBy("ablation", "at_lot")).applyInPandas(errors, "test_lot int, error double")
+    limits = train.groupBy("test_lot").agg(F.percentile("error", F.lit(0.95)).alias("drift_error_threshold"))
+    return pairs.applyInPandas(fit, CAUSAL), limits
+
 
-    lots = rows.select(F.col("lot_number").alias("test_lot")).distinct().withColumn("_k", F.dense_rank().over(Window.orderBy("test_lot"))).filter(F.col("_k") > least_lots).drop("_k")
+def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[str] = FEEDBACKS, parameters: Sequence = PARAMETERS["pls"], alpha: float = 0.3, least_lots: int = 3) -> DataFrame:
+    """A row for each wafer, budget and feedback of every test lot that follows at least ``least_lots`` others.
+
+    selection: (experiment_key, budget, measured). Models see earlier lots and wafers measured before only; a group
+    holds the wafers of the test lot.
+    """
+    models, limits = causal_models(rows, parameters, least_lots)
+    models = models.join(limits, "test_lot").withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
     picks = selection.groupBy("experiment_key").agg(F.map_from_entries(F.collect_list(F.struct("budget", "measured"))).alias("picks"))
-    j = rows.join(picks, "experiment_key", "left").join(F.broadcast(lots), F.col("lot_number") <= F.col("test_lot")).withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
+    own = rows.join(picks, "experiment_key", "left").select(F.col("lot_number").alias("test_lot"), "experiment_key", "lot_number", "x", "map", "picks").withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lot, feedback = int(key[0]), key[1]
-        g, x, maps, lot_of = _sorted(g)
-        test = lot_of == lot
-        w = evaluate.Wafers(x, maps, lot_of)
-        model = evaluate.Causal(w, tuple(n for n in w.names if n != lot), tuple(parameters))
-        targets, own = maps[test], g[test]
-        frozen = model.predicted(model.start, x[test])
-        true = np.abs(frozen - targets).mean(axis=1)
-        limit = float(np.quantile(np.abs(model.predicted(model.start, x[~test]) - maps[~test]).mean(axis=1), 0.95))
-        picks = [dict(p) if p is not None else {} for p in own["picks"]]
+    def run(key: tuple, g: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for budget in sorted({b for p in picks for b in p}):
-            measured = np.array([bool(p.get(budget, False)) for p in picks])
-            _, errors, updates = evaluate.replay(model, x[test], targets, measured, feedback, alpha)
-            out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(own["experiment_key"], measured, true, errors))]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in REPLAY.split(", ")])
+        if len(g) and len(fitted):
+            lot, feedback = int(key[0]), key[1]
+            g, x, targets, _ = _sorted(g)
+            model, limit = pickle.loads(fitted["model"].iloc[0]), float(fitted["drift_error_threshold"].iloc[0])
+            true = np.abs(model.predicted(model.start, x) - targets).mean(axis=1)
+            picks = [dict(p) if p is not None else {} for p in g["picks"]]
+            for budget in sorted({b for p in picks for b in p}):
+                measured = np.array([bool(p.get(budget, False)) for p in picks])
+                _, errors, updates = evaluate.replay(model, x, targets, measured, feedback, alpha)
+                out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(g["experiment_key"], measured, true, errors))]
+        return pd.DataFrame(out, columns=_names(REPLAY))
+
+    return own.groupBy("test_lot", "feedback").cogroup(models.groupBy("test_lot", "feedback")).applyInPandas(run, REPLAY)
+
 
-    return j.groupBy("test_lot", "feedback").applyInPandas(run, REPLAY)
+FEEDBACK_STREAMS = "lot_number int, policy string, budget double, replicate long, feedback string, updates int, " + ", ".join(f"{c} {'long' if c == 'measured_wafers' else 'double'}" for c in kernel.METRICS)
+
+
+def feedback_streams(rows: DataFrame, wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float], replicates: int = 100, seed: int = 20260721, feedbacks: Sequence[str] = FEEDBACKS, parameters: Sequence = PARAMETERS["pls"], alpha: float = 0.3, least_lots: int = 3) -> DataFrame:
+    """(lot_number, policy, budget, replicate, feedback, updates, metrics): policies that decide wafer by wafer, crossed with what they teach the models.
+
+    ``wafers`` has the scores of ``policies`` by experiment_key, as ``analyses.causal_wafers``; 'no_metrology',
+    'periodic' and ``replicates`` of 'random' are added. A row a stream: decisions are made and replayed where the lot's
+    wafers are, by what earlier lots and the wafers measured before them tell. What a measured wafer teaches changes no
+    decision, as scores are of earlier lots.
+    """
+    models, _ = causal_models(rows, parameters, least_lots)
+    models = models.withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
+    scores = wafers.select("experiment_key", F.array(*[F.col(p).cast("double") for p in policies]).alias("s"))
+    own = rows.join(scores, "experiment_key").select(F.col("lot_number").alias("test_lot"), "experiment_key", "lot_number", "x", "map", "s").withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
+    every, policies = np.array([float(b) for b in budgets]), list(policies)
+
+    def run(key: tuple, g: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(g) and len(fitted):
+            g, x, targets, _ = _sorted(g)
+            model, n = pickle.loads(fitted["model"].iloc[0]), len(g)
+            true = np.abs(model.predicted(model.start, x) - targets).mean(axis=1)
+            s, keys = np.stack(g["s"].to_numpy()).astype(float).T, g["experiment_key"].tolist()
+
+            def add(policy: str, replicate: int, decisions: np.ndarray) -> None:
+                for b, measured in zip(every, decisions):
+                    _, errors, updates = evaluate.replay(model, x, targets, measured, key[1], alpha)
+                    m = kernel.stream_metrics(measured[None], true, errors[None])
+                    out.append((int(key[0]), policy, float(b), replicate, key[1], updates, *(m[c][0] for c in kernel.METRICS)))
+
+            add("no_metrology", 0, np.zeros((len(every), n), bool))
+            add("periodic", 0, np.stack([kernel.periodic(n, b) for b in every]))
+            for i, p in enumerate(policies):
+                add(p, 0, kernel.quota(np.tile(s[i], (len(every), 1)), every, 1 - every))
+            for r in range(replicates):
+                add("random", r, kernel.quota(np.tile(kernel.keyed_draws(seed, [r], keys)[0] / float(1 << 32), (len(every), 1)), every, 1 - every))
+        return pd.DataFrame(out, columns=_names(FEEDBACK_STREAMS))
+
+    streams = own.groupBy("test_lot", "feedback").cogroup(models.groupBy("test_lot", "feedback")).applyInPandas(run, FEEDBACK_STREAMS)
+    return streams.withColumn("unmeasured_wafer_mae", F.when(~F.isnan("unmeasured_wafer_mae"), F.col("unmeasured_wafer_mae")))
+
+
+def feedback_gain(streams: DataFrame) -> DataFrame:
+    """(policy, budget, feedback, lot_macro_system_mae, relative_gain): means of lots, and what each feedback gains on none."""
+    lots = streams.groupBy("policy", "budget", "feedback", "lot_number").agg(F.avg("total_system_mae").alias("e"))
+    m = lots.groupBy("policy", "budget", "feedback").agg(F.avg("e").alias("lot_macro_system_mae"))
+    base = m.filter("feedback = 'F0'").select("policy", "budget", F.col("lot_macro_system_mae").alias("_b"))
+    return m.join(base, ["policy", "budget"]).withColumn("relative_gain", 1 - F.col("lot_macro_system_mae") / F.when(F.col("_b") > 0, F.col("_b"))).drop("_b")
+
+
+def selected_lots(rows: DataFrame, lots: Sequence[int]) -> DataFrame:
+    """The wafers of some lots; ValueError for a lot that has none."""
+    found = {r[0] for r in rows.select("lot_number").distinct().filter(F.col("lot_number").isin(*lots)).collect()}
+    if missing := sorted(set(lots) - found):
+        raise ValueError(f"selected lots have no wafers: {missing}")
+    return rows.filter(F.col("lot_number").isin(*lots))
+
+
+def require_features(keys: DataFrame, features: Mapping[str, DataFrame], key: str = "experiment_key") -> None:
+    """ValueError naming wafers of ``keys`` that a feature source lacks, up to ten of each."""
+    lacking = {name: [r[0] for r in keys.select(key).distinct().join(f.select(key).distinct(), key, "left_anti").orderBy(key).limit(10).collect()] for name, f in features.items()}
+    if any(lacking.values()):
+        raise ValueError("selected dense wafer is missing features: " + ", ".join(f"{k}={v}" for k, v in lacking.items() if v))

@@ -96,6 +96,21 @@ def causal_feedback_refit(spark, sf):
     return risk.stream_metrics(r, F.col("drift_error_threshold"), ["test_lot", "feedback", "budget"])
 
 
+@query("feedback_policies")
+def feedback_policies(spark, sf):
+    """Policies crossed with feedback: lot-macro errors and what F1 to F3 gain on none, 3 random replicates."""
+    r = rows(spark, sf)
+    s = models.feedback_streams(r, analyses.causal_wafers(r), ("combined", "oracle"), (0.1, 0.3), 3)
+    return models.feedback_gain(s).select("policy", "budget", "feedback", r6("lot_macro_system_mae"), r6("relative_gain"))
+
+
+@query("validated_weights")
+def validated_weights(spark, sf):
+    """The weights that inner lots select, what they gain on equal ones, and whether the rule adopts them."""
+    w = analyses.drift_risk(rows(spark, sf), replicates=100)["weights"]
+    return w.select("held_out_lot", "weights", r6("inner_equal_macro_aurc"), r6("inner_selected_macro_aurc"), r6("inner_relative_gain"), r6("inner_improved_lot_fraction"), "adoption_rule_passed", "grid_candidates")
+
+
 def _spectra(spark, sf):
     return tables.spectra(spark, sf).groupBy("experiment_key").agg(F.max("intensity").alias("_m")).select("experiment_key", F.col("_m").alias("spectrum"))
 

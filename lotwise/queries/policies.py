@@ -217,7 +217,9 @@ def random_policy_mc(spark, sf):
     return p.select("lot_number", r6("aurc", "mean_aurc"), r6("random_p025"), r6("random_p975"))
 
 
-_SMALL = FACTS + """, sized AS (SELECT lot_number, wafer_order, error, count(*) OVER (PARTITION BY lot_number) AS n FROM facts), small AS (SELECT * FROM sized WHERE n <= 8),
+# Lots are cut into runs of five wafers, so that there are small ones at any size.
+_SMALL = FACTS + """, cutup AS (SELECT lot_number * 100000 + (wafer_order - 1) // 5 AS lot_number, error, (wafer_order - 1) % 5 + 1 AS wafer_order FROM facts),
+sized AS (SELECT lot_number, wafer_order, error, count(*) OVER (PARTITION BY lot_number) AS n FROM cutup), small AS (SELECT * FROM sized WHERE n <= 8),
 lined AS (SELECT DISTINCT lot_number, n, CAST([] AS BIGINT[]) AS used, CAST([] AS DOUBLE[]) AS v FROM small UNION ALL SELECT o.lot_number, o.n, list_append(used, wafer_order), list_append(v, error) FROM lined o JOIN small s ON s.lot_number = o.lot_number AND NOT list_contains(used, wafer_order)),
 whole AS (SELECT lot_number, n, list_transform(range(1, n + 1), lambda i: list_avg(v[i:])) AS risk FROM lined WHERE len(used) = n),
 q AS (SELECT lot_number, CASE WHEN n > 1 THEN (list_sum(risk) - (risk[1] + risk[n]) / 2) / (n - 1) ELSE risk[1] END AS aurc FROM whole)"""
@@ -225,14 +227,24 @@ q AS (SELECT lot_number, CASE WHEN n > 1 THEN (list_sum(risk) - (risk[1] + risk[
 
 @query("small_lot_permutations", "WITH RECURSIVE " + _SMALL.replace("WITH ", "") + (f" SELECT lot_number, count(*) AS ranking_permutations, count(DISTINCT round(aurc, 9)) AS unique_aurc_values, {dr6('min(aurc)', 'best_aurc')}, {dr6('max(aurc)', 'worst_aurc')} FROM q GROUP BY lot_number"))
 def small_lot_permutations(spark, sf):
-    """All orders of the lots of at most 8 wafers; none where there is no lot that small."""
-    a = risk.every_order(facts(spark, sf))
+    """All orders of measuring the wafers of runs of five of a lot."""
+    first = F.col("wafer_order") - 1
+    runs = facts(spark, sf).select((F.col("lot_number") * 100_000 + F.floor(first / 5).cast("int")).alias("lot_number"), (first % 5 + 1).alias("wafer_order"), "error")
+    a = risk.every_order(runs)
     return a.groupBy("lot_number").agg(F.count("*").alias("ranking_permutations"), F.countDistinct(F.round("aurc", 9)).alias("unique_aurc_values"), r6(F.min("aurc"), "best_aurc"), r6(F.max("aurc"), "worst_aurc"))
 
 
-@query("simplex_grid", "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_index, a / 4.0 AS w1, b / 4.0 AS w2, c / 4.0 AS w3 FROM (SELECT unnest(range(5)) AS a) CROSS JOIN (SELECT unnest(range(5)) AS b) CROSS JOIN (SELECT unnest(range(5)) AS c) WHERE a + b + c = 4")
+_GRID3 = "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_index, a / 4.0 AS w1, b / 4.0 AS w2, c / 4.0 AS w3 FROM (SELECT unnest(range(5)) AS a) CROSS JOIN (SELECT unnest(range(5)) AS b) CROSS JOIN (SELECT unnest(range(5)) AS c) WHERE a + b + c = 4"
+
+
+@query("simplex_grid", sql(FACTS + f", g AS ({_GRID3}), pr AS (SELECT percent_rank() OVER (PARTITION BY lot_number ORDER BY score) AS a, percent_rank() OVER (PARTITION BY lot_number ORDER BY abs(shift)) AS b, percent_rank() OVER (PARTITION BY lot_number ORDER BY error) AS c FROM facts)", f"SELECT grid_index, w1, w2, w3, {dr6('max(w1 * a + w2 * b + w3 * c)', 'largest_risk')}, {dr6('avg(w1 * a + w2 * b + w3 * c)', 'mean_risk')} FROM g CROSS JOIN pr GROUP BY ALL"))
 def simplex_grid(spark, sf):
-    return resample.simplex_grid(spark, 3).select(F.col("grid_index").cast("int").alias("grid_index"), *[F.col("weights")[i].alias(f"w{i + 1}") for i in range(3)])
+    """Every weighting of three percentiles, and the largest and mean risk that it gives the wafers."""
+    w = Window.partitionBy("lot_number")
+    p = facts(spark, sf).select(F.percent_rank().over(w.orderBy("score")).alias("a"), F.percent_rank().over(w.orderBy(F.abs("shift"))).alias("b"), F.percent_rank().over(w.orderBy("error")).alias("c"))
+    g = resample.simplex_grid(spark, 3).select(F.col("grid_index").cast("int").alias("grid_index"), *[F.col("weights")[i].alias(f"w{i + 1}") for i in range(3)])
+    risk_of = F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c")
+    return p.crossJoin(F.broadcast(g)).groupBy("grid_index", "w1", "w2", "w3").agg(r6(F.max(risk_of), "largest_risk"), r6(F.avg(risk_of), "mean_risk"))
 
 
 @query("weight_selection", sql(FACTS + """, pc AS (SELECT lot_number, experiment_key, error, percent_rank() OVER (PARTITION BY lot_number ORDER BY score) AS a, percent_rank() OVER (PARTITION BY lot_number ORDER BY abs(shift)) AS b FROM facts), gr AS (SELECT row_number() OVER (ORDER BY i) - 1 AS gi, i / 4.0 AS w1, (4 - i) / 4.0 AS w2 FROM (SELECT unnest(range(5)) AS i)),

@@ -215,7 +215,7 @@ def test_feedback_only_changes_what_comes_later(spark):
     w = wafers(5, 4)
     x, maps, lots = np.array([r[2] for r in w]), np.array([r[3] for r in w]), np.array([r[1] for r in w])
     test = lots == 5
-    model = evaluate.Causal(evaluate.Wafers(x, maps, lots), (1, 2, 3, 4), (1, 2))
+    model = evaluate.Causal.chosen(evaluate.Wafers(x, maps, lots), (1, 2, 3, 4), (1, 2))
     z, targets, measured = x[test], maps[test] + 0.5, np.array([False, True, False, True])
     base, _, n0 = evaluate.replay(model, z, targets, measured, "F0")
     assert n0 == 0
@@ -256,6 +256,108 @@ def test_policies_of_earlier_lots(spark):
     assert out["gate"].first()["gate"] in ("PASS", "FAIL") and out["difference"].count() == 3
 
 
+def test_weights_that_inner_lots_select(spark):
+    """Against a search of the whole grid in plain Python, with ties, and with a redundant score left out."""
+    from itertools import product
+
+    from lotwise.kernels import policies as kernel
+    from lotwise.plans import analyses
+
+    r = np.random.default_rng(14)
+    rows = [(held, inner, f"{inner}-{i:02d}", float(r.random()), held == 2, *(float(r.choice([0.1, 0.5, 0.9])) for _ in analyses.SCORES)) for held in (1, 2) for inner in range(3, 8) for i in range(6)]
+    names = [f"{n}_percentile" for n in analyses.SCORES]
+    df = spark.createDataFrame(rows, "held_out_lot int, lot_number int, experiment_key string, error double, outer_redundant boolean, " + ", ".join(f"{n} double" for n in names))
+    for x in analyses.validated_weights(df).collect():
+        own = [y for y in rows if y[0] == x["held_out_lot"]]
+        free = [i for i, n in enumerate(analyses.SCORES) if not (x["held_out_lot"] == 2 and n == "initial_state")]
+
+        def area(w):
+            out = []
+            for inner in range(3, 8):
+                some = [y for y in own if y[1] == inner]
+                p, e = np.array([y[5:] for y in some]), np.array([y[3] for y in some])
+                out.append(kernel.areas(e[np.argsort(-np.round(p @ w, 12), kind="stable")][None])[0])
+            return np.array(out)
+
+        grid = [np.array([c[free.index(i)] / 4 if i in free else 0.0 for i in range(5)]) for c in product(range(5), repeat=len(free)) if sum(c) == 4]
+        equal = area(np.array([1 / len(free) if i in free else 0.0 for i in range(5)]))
+        best = min(range(len(grid)), key=lambda i: (area(grid[i]).mean(), i))
+        assert x["weights"] == grid[best].tolist() and x["grid_candidates"] == len(grid)
+        gain, share = 1 - area(grid[best]).mean() / equal.mean(), (area(grid[best]) <= equal).mean()
+        assert x["inner_relative_gain"] == pytest.approx(gain) and x["inner_improved_lot_fraction"] == pytest.approx(share)
+        assert x["adoption_rule_passed"] == (gain >= 0.02 and share >= 0.7)
+
+
+def test_drift_risk_has_all_policies(spark):
+    from lotwise.plans import analyses
+
+    out = analyses.drift_risk(spark.createDataFrame(wafers(5, 5), SCHEMA), replicates=50)
+    lots = out["lots"].collect()
+    assert {x["policy"] for x in lots} == {*analyses.SCORES, "combined", "training_weighted_candidate", "oracle", "periodic", "random"} and len(lots) == 5 * 10
+    assert all(x["aurc"] >= next(y["aurc"] for y in lots if y["policy"] == "oracle" and y["lot_number"] == x["lot_number"]) - 1e-9 for x in lots)
+    w = out["weights"].collect()
+    assert len(w) == 5 and all(sum(x["weights"]) == pytest.approx(1) for x in w)
+
+
+def test_risk_inputs_are_those_of_whole_folds(spark):
+    """Moments sent to lots give what a group of all the fold's wafers would."""
+    from lotwise.plans import analyses
+
+    rows = wafers(5, 4)
+    got = {(x["fold"], x["experiment_key"]): x for x in analyses.risk_inputs(spark.createDataFrame(rows, SCHEMA), forward=True).collect()}
+    x, maps, lots = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[1] for r in rows])
+    assert {f for f, _ in got} == {"4", "5"}
+    for held in (4, 5):
+        known = lots <= held
+        w = evaluate.Wafers(x[known], maps[known], lots[known])
+        names = tuple(range(1, held))
+        t = w.training(names)
+        z = t.standard(x)
+        mean, axes, _ = linear.principal_components(z[lots < held], 10)
+        c = (z - mean) @ axes.T
+        full = {f: evaluate.run_fold(w, names, held, f, models.PARAMETERS[f]).stages["full_map"] for f in ("pls", "ridge")}
+        for i, j in enumerate(np.flatnonzero(lots == held)):
+            g = got[str(held), rows[j][0]]
+            assert not g["is_train"] and g["initial_state"] == pytest.approx(np.linalg.norm(c[j]), abs=1e-7)
+            assert g["model_disagreement"] == pytest.approx(np.sqrt(((full["pls"][i] - full["ridge"][i]) ** 2).mean()), abs=1e-7) and g["error"] == pytest.approx(np.abs(full["pls"][i] - maps[j]).mean())
+            if i:
+                assert g["wafer_delta"] == pytest.approx(np.linalg.norm(c[j] - c[j - 1]), abs=1e-7)
+        assert sum(f == str(held) for f, _ in got) == known.sum()
+
+
+def test_feedback_crossed_with_policies(spark):
+    """A stream's errors are those of the job of one selection; no feedback is what no learning gives."""
+    rows = spark.createDataFrame(wafers(5, 4), SCHEMA)
+    scores = rows.select("experiment_key", (F.substring("experiment_key", -1, 1).cast("double") / 4).alias("combined"))
+    s = models.feedback_streams(rows, scores, ("combined",), (0.0, 0.5), 2).collect()
+    assert {(x["policy"], x["replicate"]) for x in s} == {("no_metrology", 0), ("periodic", 0), ("combined", 0), ("random", 0), ("random", 1)} and len(s) == 2 * 5 * 2 * 4
+    picks = risk.causal_selection(rows.join(scores, "experiment_key").select("experiment_key", "lot_number", "combined", (F.substring("experiment_key", -1, 1).cast("int") + 1).alias("wafer_order")), (0.5,), score="combined")
+    one = models.causal_feedback(rows, picks.select("experiment_key", "budget", "measured")).groupBy("test_lot", "feedback").agg(F.avg("system_error").alias("e"), F.max("updates").alias("u")).collect()
+    for x in one:
+        y = next(y for y in s if y["policy"] == "combined" and y["budget"] == 0.5 and (y["lot_number"], y["feedback"]) == (x["test_lot"], x["feedback"]))
+        assert y["total_system_mae"] == pytest.approx(x["e"]) and y["updates"] == x["u"]
+    gain = models.feedback_gain(models.feedback_streams(rows, scores, ("combined",), (0.0, 0.5), 1)).collect()
+    assert all(x["relative_gain"] == pytest.approx(0) for x in gain if x["feedback"] == "F0" or x["policy"] == "no_metrology" or x["budget"] == 0)
+
+
+def test_selected_lots_and_flags(spark):
+    from lotwise.operators import metrics, validate
+
+    rows = spark.createDataFrame(wafers(3, 2), SCHEMA)
+    assert models.selected_lots(rows, (1, 3)).count() == 4
+    with pytest.raises(ValueError, match="9"):
+        models.selected_lots(rows, (1, 9))
+    models.require_features(rows, {"process": rows})
+    with pytest.raises(ValueError, match="oes=.*2025-01-01_00"):
+        models.require_features(rows, {"process": rows, "oes": rows.filter("lot_number > 1")})
+    audit = spark.createDataFrame([("a",), ("b",), (None,)], "experiment_key string")
+    flags = {r[0]: r[1] for r in validate.with_target_flag(audit, spark.createDataFrame([("a",), ("a",), (None,)], "experiment_key string")).collect()}
+    assert flags == {"a": True, "b": False, None: False}
+    p = spark.createDataFrame([("s", "w", 1.0, 2.0), ("s", "w", 3.0, 3.0), ("s", "v", 0.0, 5.0), ("s", "v", 2.0, 7.0)], "ablation string, experiment_key string, observed double, predicted double")
+    x = metrics.residual_profiles(p).first()
+    assert (x["wafers"], x["residual_profile_mae"], x["residual_profile_rmse"]) == (2, 0.25, 0.25)
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     r = np.random.default_rng(3)
     rows = [(lot, i + 1, f"{lot}-{i:02d}", float(r.random()), float(r.normal()), float(r.random())) for lot in range(3) for i in range(9)]
