@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from lotwise.plans import manifest, pipeline
+from lotwise.plans.store import Store, digest
 from lotwise.session import session
 from lotwise.sources import tables
 
@@ -28,11 +28,10 @@ def main(argv: list[str] | None = None) -> int:
     while more := {n for s in wanted for n in known[s].needs} - wanted:
         wanted |= more
     spark = session()
-    files = [Path(a.data, f"{t}.parquet") for t in ("events", "lineitem")]
-    inputs = {str(f): manifest.file_hash(f) for f in files if f.is_file()}
+    inputs = {t: digest(spark.read.parquet(f"{a.data}/{t}.parquet")) for t in ("events", "lineitem")}
     ctx = {"traces": tables.traces(spark, a.data), "dense": tables.dense(spark, a.data)}
     report = manifest.run_steps(spark, [s for s in pipeline.STEPS if s.name in wanted], a.output, inputs, ctx, a.force)
-    manifest.write_json(report, Path(a.output, "summary.json"))
+    Store(spark, a.output).write_text("summary.json", json.dumps(report, indent=2, sort_keys=True))
     print(json.dumps({k: v["status"] for k, v in report.items()}))
     return 0
 

@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.plans.store import Store, digest, file_hashes  # noqa: F401
+
 GATES = ("PASS", "QUALIFIED", "FAIL", "DESCRIPTIVE")
 PACKAGES = ("pyspark", "numpy", "pandas", "pyarrow")
 
@@ -39,12 +41,6 @@ def file_hash(path: str | Path, algorithm: str = "sha256", chunk: int = 1 << 20)
     return h.hexdigest()
 
 
-def file_hashes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, bytes, sha256, md5) of files anywhere that Spark reads."""
-    b = spark.read.format("binaryFile").load(paths)
-    return b.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
-
-
 def package_versions(names: Sequence[str] = PACKAGES) -> dict[str, str]:
     out = {}
     for n in names:
@@ -97,38 +93,32 @@ def cache_key(step: Step, inputs: Mapping[str, str], upstream: Mapping[str, str]
 
 
 def run_steps(spark: SparkSession, steps: Sequence[Step], folder: str, inputs: Mapping[str, str], context: Mapping | None = None, force: bool = False) -> dict[str, dict]:
-    """Runs the steps in order, each result a Parquet table under its key; a step whose key has one is REUSED, if its hash still holds.
+    """Runs the steps in order, each result a Parquet table under its key; a step whose key has one is REUSED, if its digest still holds.
 
-    Returns for each step its status, key, gate, claim boundary, seconds and tables.
+    ``folder`` is on any file system that Spark reads. Tables are digested by Spark and committed by rename, the step's
+    note last. Returns for each step its status, key, gate, claim boundary, seconds and tables.
     """
     ctx, keys, report = dict(context or {}), {}, {}
-    root = Path(folder)
+    store = Store(spark, folder)
     for step in steps:
         missing = [n for n in step.needs if n not in keys]
         if missing:
             raise ValueError(f"step {step.name} needs {missing} before it")
         key = keys[step.name] = cache_key(step, inputs, keys)
-        at, note = root / step.name / key, root / step.name / f"{key}.json"
+        at, note = f"{step.name}/{key}", f"{step.name}/{key}.json"
         began, status = time.time(), "REUSED"
-        known = json.loads(note.read_text()) if note.exists() and not force else None
-        if known and all(_table_hash(at / n) == h for n, h in known["tables"].items()):
-            names = list(known["tables"])
+        known = json.loads(store.read_text(note)) if not force and store.exists(note) else None
+        if known and all(store.table_digest(f"{at}/{n}") == h for n, h in known["tables"].items()):
+            tables = {n: store.read_table(f"{at}/{n}") for n in known["tables"]}
         else:
-            status, frames = "RAN", step.run(spark, ctx | {"config": step.config})
-            names = list(frames)
-            for n, df in frames.items():
-                df.write.mode("overwrite").parquet(str(at / n))
-            write_json({"step": step.name, "gate": step.gate, "tables": {n: _table_hash(at / n) for n in names}}, note)
-        ctx |= {n: spark.read.parquet(str(at / n)) for n in names}
-        report[step.name] = {"status": status, "key": key, "gate": step.gate, "claim_boundary": step.claim_boundary, "seconds": round(time.time() - began, 3), "tables": {n: str(at / n) for n in names}}
+            status = "RAN"
+            tables = {n: store.write_table(f"{at}/{n}", df) for n, df in step.run(spark, ctx | {"config": step.config}).items()}
+            store.write_text(note, json.dumps({"step": step.name, "gate": step.gate, "tables": {n: digest(df) for n, df in tables.items()}}, indent=2, sort_keys=True))
+        ctx |= tables
+        report[step.name] = {"status": status, "key": key, "gate": step.gate, "claim_boundary": step.claim_boundary, "seconds": round(time.time() - began, 3), "tables": {n: store.at(f"{at}/{n}") for n in tables}}
     return report
 
 
-def _table_hash(path: Path) -> str | None:
-    files = sorted(path.glob("*.parquet"))
-    return hashlib.sha256("".join(file_hash(f) for f in files).encode()).hexdigest() if path.is_dir() else None
-
-
 def display(value: Column, kind: str = "number", digits: int = 4) -> Column:
     """A value as reports print it: a number with fixed digits, a percentage, or a count."""
     if kind == "percent":
@@ -136,6 +126,23 @@ def display(value: Column, kind: str = "number", digits: int = 4) -> Column:
     return F.format_string("%d", value.cast("long")) if kind == "count" else F.format_string(f"%.{digits}f", value.cast("double"))
 
 
+def recomputed(claims: Mapping[str, tuple[str, str, str, str]], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(claim_id, value, display) from the artifacts: for each claim its table, an SQL aggregate over it, how it is displayed and a condition on its rows.
+
+    Claims on one table are one aggregate of it. ValueError for a claim on a table that isn't there.
+    """
+    if missing := sorted({t for t, *_ in claims.values()} - set(tables)):
+        raise ValueError(f"claims are made on artifacts that are missing: {missing}")
+    out = None
+    for table in sorted({t for t, *_ in claims.values()}):
+        own = {c: x for c, x in claims.items() if x[0] == table}
+        filtered = [F.expr(f"{value} FILTER (WHERE {where or 'true'})").cast("double").alias(c) for c, (_, value, _, where) in own.items()]
+        rows = F.array(*[F.struct(F.lit(c).alias("claim_id"), F.col(f"`{c}`").alias("value"), display(F.col(f"`{c}`"), kind).alias("display")) for c, (_, _, kind, _) in own.items()])
+        one = tables[table].agg(*filtered).select(F.explode(rows).alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def audit_claims(claims: DataFrame, readme: str) -> DataFrame:
     """claims(claim_id, value, display) with ``status``: PASS if the value is finite and the text holds its display."""
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))

@@ -237,7 +237,7 @@ def small_lot_permutations(spark, sf):
 _GRID3 = "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER) AS grid_index, a / 4.0 AS w1, b / 4.0 AS w2, c / 4.0 AS w3 FROM (SELECT unnest(range(5)) AS a) CROSS JOIN (SELECT unnest(range(5)) AS b) CROSS JOIN (SELECT unnest(range(5)) AS c) WHERE a + b + c = 4"
 
 
-@query("simplex_grid", sql(FACTS + f", g AS ({_GRID3}), pr AS (SELECT percent_rank() OVER (PARTITION BY lot_number ORDER BY score) AS a, percent_rank() OVER (PARTITION BY lot_number ORDER BY abs(shift)) AS b, percent_rank() OVER (PARTITION BY lot_number ORDER BY error) AS c FROM facts)", f"SELECT grid_index, w1, w2, w3, {dr6('max(w1 * a + w2 * b + w3 * c)', 'largest_risk')}, {dr6('avg(w1 * a + w2 * b + w3 * c)', 'mean_risk')} FROM g CROSS JOIN pr GROUP BY ALL"))
+@query("simplex_grid", sql(FACTS + f", grid3 AS ({_GRID3}), pr AS (SELECT percent_rank() OVER (PARTITION BY lot_number ORDER BY score) AS a, percent_rank() OVER (PARTITION BY lot_number ORDER BY abs(shift)) AS b, percent_rank() OVER (PARTITION BY lot_number ORDER BY error) AS c FROM facts)", f"SELECT grid_index, w1, w2, w3, {dr6('max(w1 * a + w2 * b + w3 * c)', 'largest_risk')}, {dr6('avg(w1 * a + w2 * b + w3 * c)', 'mean_risk')} FROM grid3 CROSS JOIN pr GROUP BY ALL"))
 def simplex_grid(spark, sf):
     """Every weighting of three percentiles, and the largest and mean risk that it gives the wafers."""
     w = Window.partitionBy("lot_number")

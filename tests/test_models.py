@@ -401,10 +401,51 @@ def test_steps_are_reused_until_something_changes(spark, tmp_path):
     steps = lambda n: [manifest.Step("one", one, {"n": n})]
     run = lambda n, **k: manifest.run_steps(spark, steps(n), str(tmp_path), k.pop("inputs", {"a": "1"}), **k)["one"]["status"]
     assert [run(3), run(3), run(4), run(3, inputs={"a": "2"}), run(3, force=True)] == ["RAN", "REUSED", "RAN", "RAN", "RAN"]
-    table = next((tmp_path / "one").glob("*/t/*.parquet"))
-    for p in (tmp_path / "one").glob("*/t/*.parquet"):
-        p.write_bytes(table.read_bytes() + b"x")
-    assert run(4) == "RAN"
+    table = next((tmp_path / "one").glob("*/t"))
+    for p in (tmp_path / "one").glob("*/t"):
+        spark.range(99).write.mode("overwrite").parquet(str(p))
+    assert table.exists() and run(4) == "RAN" and run(4) == "REUSED"
+    assert not list(tmp_path.glob("_aside-*"))
+
+
+def test_steps_on_a_path_that_only_spark_opens(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.steps.link./at", f"file://{tmp_path}")
+
+    def one(spark, ctx):
+        return {"t": spark.range(ctx["config"]["n"])}
+
+    def two(spark, ctx):
+        return {"u": ctx["t"].selectExpr("sum(id) AS s")}
+
+    steps = [manifest.Step("one", one, {"n": 5}), manifest.Step("two", two, needs=("one",))]
+    run = lambda: {k: v["status"] for k, v in manifest.run_steps(spark, steps, "viewfs://steps/at/out", {"a": "1"}).items()}
+    assert run() == {"one": "RAN", "two": "RAN"} and run() == {"one": "REUSED", "two": "REUSED"}
+
+
+def test_digests(spark, tmp_path):
+    from lotwise.plans import store
+
+    df = spark.range(1000).selectExpr("id", "id % 7 AS a", "IF(id % 3 = 0, NULL, array(id)) AS b", "CAST(id AS STRING) AS c")
+    d = store.digest(df)
+    assert d == store.digest(df.repartition(7).orderBy("c")) and d != store.digest(df.unionByName(df.limit(1))) and d != store.digest(df.withColumnRenamed("c", "x")) and d != store.digest(df.limit(999))
+    data = np.random.default_rng(15).bytes(300_000)
+    (tmp_path / "a.bin").write_bytes(data)
+    import hashlib
+
+    got = {r["path"].rsplit("/", 1)[1]: r for r in store.file_hashes(spark, str(tmp_path)).collect()}
+    assert got["a.bin"]["sha256"] == hashlib.sha256(data).hexdigest() and got["a.bin"]["md5"] == hashlib.md5(data).hexdigest()
+    trees = {r["path"].rsplit("/", 1)[1]: r for r in store.tree_hashes(spark, str(tmp_path), part=65_536).collect()}
+    parts = [hashlib.sha256(data[i : i + 65_536]).hexdigest() for i in range(0, len(data), 65_536)]
+    assert trees["a.bin"]["parts"] == 5 and trees["a.bin"]["root"] == hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def test_claims_are_recomputed_from_artifacts(spark):
+    t = spark.createDataFrame([("pls", 0.5, 2), ("pls", 0.7, 3), ("gpr", 0.9, 4)], "family string, mae double, n int")
+    claims = {"pls_mae": ("wafers", "avg(mae)", "number", "family = 'pls'"), "rows": ("wafers", "count(*)", "count", ""), "share": ("wafers", "avg(CAST(n > 2 AS DOUBLE))", "percent", ""), "none": ("wafers", "avg(mae)", "number", "family = 'x'")}
+    got = {r["claim_id"]: r["status"] for r in manifest.audit_claims(manifest.recomputed(claims, {"wafers": t}), "0.6000 of 3 rows, 66.6667%").collect()}
+    assert got == {"pls_mae": "PASS", "rows": "PASS", "share": "PASS", "none": "FAIL"}
+    with pytest.raises(ValueError, match="gone"):
+        manifest.recomputed({"x": ("gone", "count(*)", "count", "")}, {"wafers": t})
 
 
 def test_claims(spark):
