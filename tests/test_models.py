@@ -374,6 +374,38 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("splits", [[(1, 6)], [(1, 2), (2, 4), (5, 6)]])
+def test_feedback_stream_is_the_batch_replay(spark, tmp_path, splits):
+    """F0 to F3 over splits with repeated rows; a later lot closes the first one and its state."""
+    from lotwise.streaming import feedback
+
+    data = wafers(5, 6)
+    rows = spark.createDataFrame(data, SCHEMA)
+    made, _ = models.causal_models(rows, (1, 2))
+    cells = F.explode(F.array(*[F.struct(F.lit(0.5).alias("budget"), F.lit(f).alias("feedback")) for f in models.FEEDBACKS]))
+    made = made.withColumn("c", cells).select("test_lot", "c.*", "model")
+    made.write.parquet(str(tmp_path / "models"))
+    order = (F.substring("experiment_key", -2, 2).cast("int") + 1).alias("wafer_order")
+    wide = rows.filter("lot_number >= 4").withColumn("c", cells).select("lot_number", "c.*", order, "experiment_key", F.lit(6).alias("lot_size"), F.lit(0.6).alias("score"), F.lit(0.5).alias("threshold"), "x", "map")
+    wide = wide.withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("wafer_order") * 60 + (F.col("lot_number") - 4) * 100_000))
+    parts = [wide.filter((F.col("lot_number") == 4) & F.col("wafer_order").between(*s)) for s in splits] + [wide.filter("lot_number = 5"), wide.filter("lot_number = 5 and wafer_order = 6")]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feedback.run_available(spark.readStream.schema(wide.schema).parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "models")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    picks = wide.filter("feedback = 'F0'").select("experiment_key", "lot_number", "wafer_order", F.lit(0.6).alias("score"))
+    want = models.causal_feedback(rows, risk.causal_selection(picks, (0.5,)).select("experiment_key", "budget", "measured"), parameters=(1, 2)).collect()
+    assert len(want) == 2 * 4 * 6 and len([x for x in got if not x["closed"]]) == len(want)
+    by = {(x["feedback"], x["experiment_key"]): x for x in got if not x["closed"]}
+    for x in want:
+        y = by[x["feedback"], x["experiment_key"]]
+        assert y["measured"] == x["measured"] and y["system_error"] == pytest.approx(x["system_error"])
+    closed = [x for x in got if x["closed"]]
+    assert {(x["lot_number"], x["feedback"]) for x in closed} == {(4, f) for f in models.FEEDBACKS} and all(x["wafer_order"] == 6 for x in closed)
+    for x in closed:
+        assert x["system_error"] == pytest.approx(np.mean([y["system_error"] for y in want if y["test_lot"] == 4 and y["feedback"] == x["feedback"]]))
+
+
 def test_manifest(tmp_path):
     f = tmp_path / "a.txt"
     f.write_text("x")
