@@ -270,20 +270,122 @@ def compare(forward_wafers: DataFrame, lolo_wafers: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("lot_number").isNull(), "macro").otherwise("lot").alias("scope"), "family", "lot_number", "lolo_mae", "chronological_mae", (F.col("chronological_mae") / F.when(F.col("lolo_mae") > 0, F.col("lolo_mae")) - 1).alias("relative_degradation"))
 
 
+#: Values of spectra (wafers by channels) that one task holds.
+SPECTRAL_VALUES = 2_000_000
+KERNEL = "a int, b int, lot_number int, rows int, kernel binary"
+SHIFTS = "held_out_lot int, experiment_key string, shift double, setting string, inner_error double"
+
+
+def fold_kernels(spectra: DataFrame, values: int = SPECTRAL_VALUES) -> DataFrame:
+    """(a, b, lot_number, rows, kernel): for the wafers that a fold trains on, all but lots a and b, the products of every lot's standard spectra with theirs.
+
+    spectra: (experiment_key, lot_number, spectrum). b is a for an outer fold; an inner one and that with both lots
+    exchanged train on the same wafers. Channels are standardised over training, constant ones left out. A task holds
+    some channels of all wafers, ``values`` numbers at most, and makes their share of every kernel; shares are added up
+    lot by lot. Rows are wafers by (lot, key), columns the training ones.
+    """
+    n, wide = spectra.agg(F.count("*"), F.max(F.size("spectrum"))).first()
+    width = max(1, min(int(wide or 1), values // max(int(n), 1)))
+    cut = F.transform(F.sequence(F.lit(0), F.size("spectrum") - 1, F.lit(width)), lambda i: F.slice("spectrum", i + 1, F.lit(width)))
+    parts = spectra.select("experiment_key", F.col("lot_number").cast("int").alias("lot_number"), F.posexplode(cut).alias("part", "v"))
+
+    def share(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["lot_number", "experiment_key"])
+        x, lots = np.stack(g["v"].to_numpy()).astype(float), g["lot_number"].to_numpy()
+        names, out = sorted(set(lots.tolist())), []
+        for i, a in enumerate(names):
+            for b in names[i:]:
+                train = (lots != a) & (lots != b)
+                if train.sum() < 2:
+                    continue
+                mean, deviation = x[train].mean(axis=0), x[train].std(axis=0)
+                keep = deviation**2 > 1e-18
+                z = (x[:, keep] - mean[keep]) / deviation[keep]
+                k = z @ z[train].T
+                out += [(a, b, n, int((lots == n).sum()), k[lots == n].tobytes()) for n in names]
+        return pd.DataFrame(out, columns=_names(KERNEL))
+
+    def added(g: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(k) for k in g["kernel"])
+        return g.iloc[:1].assign(kernel=total.tobytes())
+
+    return parts.groupBy("part").applyInPandas(share, KERNEL).groupBy("a", "b", "lot_number").applyInPandas(added, KERNEL)
+
+
+def spectral_shifts(rows: DataFrame, spectra: DataFrame, candidates: Sequence[tuple[int, float]] = SPECTRAL_CANDIDATES, values: int = SPECTRAL_VALUES) -> DataFrame:
+    """(held_out_lot, experiment_key, shift, setting, inner_error): each wafer's shift by its spectrum, leave-one-lot-out.
+
+    Ridge on the leading components of standard channels, by the fold's kernel alone: the number of components and the
+    penalty are those of the least mean error over the inner lots. A group holds a kernel of wafers, never spectra.
+    """
+    candidates = tuple(candidates)
+    levels = rows.select("experiment_key", F.col("lot_number").cast("int").alias("lot_number"), (F.aggregate("map", F.lit(0.0), lambda s, x: s + x) / F.size("map")).alias("level"))
+    own = levels.join(spectra.select("experiment_key", "spectrum"), "experiment_key")
+    kernels = written(fold_kernels(own, values), "kernels")
+    levels = own.groupBy("lot_number").agg(F.array_sort(F.collect_list(F.struct("experiment_key", "level"))).alias("w"))
+    blocks = kernels.join(levels, "lot_number")
+
+    def fold(g: pd.DataFrame):
+        """(training levels less their mean, that mean, u, s, the kernel and keys and levels of a lot)."""
+        g = g.sort_values("lot_number")
+        a, b = int(g["a"].iloc[0]), int(g["b"].iloc[0])
+        own = {int(n): (np.frombuffer(k).reshape(r, -1), [x["experiment_key"] for x in w], np.array([x["level"] for x in w])) for n, r, k, w in zip(g["lot_number"], g["rows"], g["kernel"], g["w"])}
+        train = [n for n in own if n not in (a, b)]
+        y, k = np.concatenate([own[n][2] for n in train]), np.concatenate([own[n][0] for n in train])
+        values, u = np.linalg.eigh((k + k.T) / 2)
+        s = np.sqrt(np.maximum(values[::-1], 0))
+        return a, b, own, y.mean(), y - y.mean(), u[:, ::-1], s
+
+    def predicted(parts, lot: int, some) -> dict:
+        _, _, own, _, y, u, s = parts
+        # A centred matrix of n rows has n - 1 directions; what is left of others is rounding.
+        m = max(1, int((s > 1e-7 * s[0]).sum()))
+        along, weight = own[lot][0] @ u[:, :m] / np.maximum(s[:m], 1e-300), u[:, :m].T @ y
+        out = {}
+        for k, alpha in some:
+            n = max(1, min(k, len(y) - 1, m))
+            out[k, alpha] = along[:, :n] @ (s[:n] / (s[:n] ** 2 + alpha) * weight[:n])
+        return out
+
+    def inner(g: pd.DataFrame) -> pd.DataFrame:
+        parts = fold(g)
+        a, b, own, level = parts[:4]
+        out = []
+        for held, tested in ((a, b), (b, a)):
+            for i, p in enumerate(predicted(parts, tested, candidates).values()):
+                out.append((held, tested, i, float(np.abs(p - (own[tested][2] - level)).mean())))
+        return pd.DataFrame(out, columns=["held", "tested", "place", "error"])
+
+    named = F.array(*[F.lit(f"pca={k},alpha={alpha:g}") for k, alpha in candidates])
+    errors = blocks.filter("a <> b").groupBy("a", "b").applyInPandas(inner, "held int, tested int, place int, error double").groupBy("held", "place").agg(F.avg("error").alias("error"))
+    best = errors.withColumn("setting", F.element_at(named, F.col("place") + 1)).groupBy("held").agg(F.min(F.struct("error", "setting", "place")).alias("b")).select(F.col("held").alias("a"), "b.*")
+
+    def outer(g: pd.DataFrame) -> pd.DataFrame:
+        parts = fold(g)
+        c = candidates[int(g["place"].iloc[0])]
+        p = predicted(parts, parts[0], [c])[c]
+        return pd.DataFrame({"held_out_lot": parts[0], "experiment_key": parts[2][parts[0]][1], "shift": p, "setting": g["setting"].iloc[0], "inner_error": g["error"].iloc[0]})
+
+    return blocks.filter("a = b").join(best, "a").groupBy("a").applyInPandas(outer, SHIFTS)
+
+
 def fused_spectra(rows: DataFrame, spectra: DataFrame, pls: Sequence = PARAMETERS["pls"], candidates: Sequence[tuple[int, float]] = SPECTRAL_CANDIDATES) -> DataFrame:
-    """Leave-one-lot-out facts of the fused model; ``spectra(experiment_key, spectrum array)`` predicts the shift."""
-    lots = rows.select(F.col("lot_number").alias("held_out_lot")).distinct()
-    j = rows.join(spectra.select("experiment_key", "spectrum"), "experiment_key").crossJoin(F.broadcast(lots))
+    """Leave-one-lot-out facts of the fused model: ``spectra(experiment_key, spectrum array)`` predict the shift, process features the residual.
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        held = int(key[0])
-        g, x, maps, lot = _sorted(g)
-        s = np.stack(g["spectrum"].to_numpy()).astype(float)
-        w = evaluate.Wafers(x, maps, lot)
-        fold = evaluate.run_fused_fold(w, s, tuple(n for n in w.names if n != held), held, tuple(pls), tuple(candidates))
-        return _emit(g, lot == held, held, "oes_mean_process_residual", "all", fold, maps)
-
-    return j.groupBy("held_out_lot").applyInPandas(run, FACTS)
+    Of wafers that have both. Spectra go into kernels by channels, process features into moments by lots.
+    """
+    rows = written(rows.join(spectra.select("experiment_key"), "experiment_key", "left_semi").select("experiment_key", "lot_number", "x", "map"), "fused-rows")
+    facts = evaluate_folds(rows, ("pls",), {"pls": tuple(pls)}).filter(F.col("stage").isin("template", "mean_shift", "full_map"))
+    at = lambda s: F.first(F.when(F.col("stage") == s, F.col("predicted")), ignorenulls=True)
+    wide = facts.groupBy("held_out_lot", "experiment_key", "lot_number").agg(at("template").alias("template"), at("mean_shift").alias("mean"), at("full_map").alias("full"), F.first("observed").alias("observed"), F.first("facts").alias("own"))
+    j = wide.join(spectral_shifts(rows, spectra, candidates), ["held_out_lot", "experiment_key"])
+    shifted = F.transform("template", lambda x: x + F.col("shift"))
+    residual = F.zip_with("full", "mean", lambda x, y: x - y)
+    stages = F.array(F.struct(F.lit("template").alias("stage"), F.col("template").alias("p")), F.struct(F.lit("mean_shift").alias("stage"), shifted.alias("p")), F.struct(F.lit("full_map").alias("stage"), F.zip_with(shifted, residual, lambda x, y: x + y).alias("p")))
+    said = F.to_json(F.struct(F.col("setting").alias("spectral_setting"), F.col("inner_error").alias("spectral_inner_mae"), F.get_json_object("own", "$.residual_parameter").alias("residual_parameter"), F.get_json_object("own", "$.residual_inner_lot_macro_rmse").cast("double").alias("residual_inner_lot_macro_rmse")))
+    none = F.lit(None).cast("array<double>")
+    return j.select("held_out_lot", F.lit("oes_mean_process_residual").alias("family"), F.lit("all").alias("ablation"), "experiment_key", "lot_number", F.explode(stages).alias("s"), "observed", said.alias("facts")).select(
+        "held_out_lot", "family", "ablation", "experiment_key", "lot_number", "s.stage", F.col("s.p").alias("predicted"), "observed", none.alias("predicted_std"), "facts", none.alias("importance"), none.alias("coefficient_sign"))
 
 
 REPLAY = "test_lot int, feedback string, budget double, experiment_key string, wafer_order int, measured boolean, true_error double, system_error double, updates int, drift_error_threshold double"

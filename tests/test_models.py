@@ -211,6 +211,29 @@ def test_fused_spectra(spark):
     assert f.select("held_out_lot").distinct().count() == 4 and f.filter("stage = 'full_map'").count() == 12
 
 
+@pytest.mark.parametrize("values", [40, 2_000_000])
+def test_kernels_by_channels_are_the_primal_model(spark, values):
+    """More channels than wafers, one of them constant; a few channels a task, or all in one."""
+    r = np.random.default_rng(16)
+    data = wafers(4, 4)
+    s = {k: [float(v) for v in np.r_[r.normal(size=30) + x[0] * np.linspace(0, 1, 30), 5.0]] for k, _, x, _ in data}
+    rows, spectra = spark.createDataFrame(data, SCHEMA), spark.createDataFrame(list(s.items()), "experiment_key string, spectrum array<double>")
+    candidates = ((2, 1.0), (4, 10.0), (50, 0.1))
+    got = {x["experiment_key"]: x for x in models.spectral_shifts(rows, spectra, candidates, values).collect()}
+    x, maps, lots = np.array([d[2] for d in data]), np.array([d[3] for d in data]), np.array([d[1] for d in data])
+    spec, w = np.array([s[d[0]] for d in data]), evaluate.Wafers(x, maps, lots)
+    fused = {(f["stage"], f["experiment_key"]): f for f in models.fused_spectra(rows, spectra, candidates=candidates).collect()} if values > 40 else {}
+    for held in (1, 2, 3, 4):
+        fold = evaluate.run_fused_fold(w, spec, tuple(n for n in w.names if n != held), held, models.PARAMETERS["pls"], candidates)
+        for i, j in enumerate(np.flatnonzero(lots == held)):
+            g = got[data[j][0]]
+            assert g["setting"] == fold.facts["spectral_setting"] and g["inner_error"] == pytest.approx(fold.facts["spectral_inner_mae"])
+            assert g["shift"] == pytest.approx((fold.stages["mean_shift"] - fold.stages["template"])[i, 0])
+            for stage in ("template", "mean_shift", "full_map") if fused else ():
+                assert np.allclose(fused[stage, data[j][0]]["predicted"], fold.stages[stage][i])
+                assert json.loads(fused[stage, data[j][0]]["facts"])["residual_parameter"] == fold.facts["residual_parameter"]
+
+
 def test_feedback_only_changes_what_comes_later(spark):
     w = wafers(5, 4)
     x, maps, lots = np.array([r[2] for r in w]), np.array([r[3] for r in w]), np.array([r[1] for r in w])
