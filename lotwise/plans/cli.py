@@ -28,8 +28,8 @@ def main(argv: list[str] | None = None) -> int:
     while more := {n for s in wanted for n in known[s].needs} - wanted:
         wanted |= more
     spark = session()
-    inputs = {t: digest(spark.read.parquet(f"{a.data}/{t}.parquet")) for t in ("events", "lineitem")}
-    ctx = {"traces": tables.traces(spark, a.data), "dense": tables.dense(spark, a.data)}
+    inputs = {t: digest(spark.read.parquet(f"{a.data}/{t}.parquet")) for t in ("events", "lineitem", "embeddings")}
+    ctx = {"traces": tables.traces(spark, a.data), "dense": tables.dense(spark, a.data), "sparse": tables.sparse(spark, a.data), "spectra": tables.spectra(spark, a.data)}
     report = manifest.run_steps(spark, [s for s in pipeline.STEPS if s.name in wanted], a.output, inputs, ctx, a.force)
     Store(spark, a.output).write_text("summary.json", json.dumps(report, indent=2, sort_keys=True))
     print(json.dumps({k: v["status"] for k, v in report.items()}))

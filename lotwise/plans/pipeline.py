@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,56 @@ def _named(prefix: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def _ablation(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
-    maps = validate.ordered_maps(ctx["dense"], ctx["features"], "stepheight")
-    names = [r[0] for r in ctx["features"].select("feature").distinct().collect()]  # a row a column of the wide table
-    facts = models.evaluate_folds(models.modelling_rows(ctx["features"], maps), ("pls",), subsets=models.ablation_subsets(names))
-    e = metrics.wafer_errors(models.points(facts), ["ablation", "stage", "experiment_key", "lot_number"])
-    return {"ablation_wafers": e, "ablation_steps": models.ablation_steps(e.filter("stage = 'full_map'"))}
+    facts = models.evaluate_folds(_rows(ctx), ("pls",), subsets=models.ablation_subsets(_feature_names(ctx)))
+    p = models.points(facts)
+    e = metrics.wafer_errors(p, ["ablation", "stage", "experiment_key", "lot_number"])
+    profiles = metrics.residual_profiles(p.filter("stage = 'full_map'"), ["ablation"])
+    return {"ablation_wafers": e, "ablation_profiles": profiles, "ablation_steps": models.ablation_steps(e.filter("stage = 'full_map'"))}
+
+
+def _feature_names(ctx: dict) -> list[str]:
+    return sorted(r[0] for r in ctx["features"].select("feature").distinct().collect())  # a row a column of the wide table
+
+
+def _audit(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    return _named("audit", analyses.data_audit(ctx["dense"], ctx["sparse"], ctx["traces"], list(tables.SIGNALS), ctx.get("spectra")))
+
+
+def _detectors(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    every = [segment.cycle_diagnostics(ctx["traces"], d).withColumn("detector", F.lit(d)) for d in segment.DETECTORS]
+    c = segment.detector_summary(reduce(DataFrame.unionByName, every))
+    return {"detectors": c, "selected_detector": segment.selected_detector(c)}
+
+
+def _stability(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    s = models.stability(ctx["facts"], _feature_names(ctx))
+    return {"stability": s, "stability_rollup": metrics.stability_rollup(s.filter("family = 'pls'"))}
+
+
+def _failure(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    """Of the lot with the largest mean error."""
+    e = ctx["wafer_errors"].filter("family = 'pls' and stage = 'full_map'").groupBy("lot_number").agg(F.avg("mae").alias("e"))
+    lot = e.orderBy(F.desc("e"), "lot_number").first()["lot_number"]
+    keys = ctx["wafer_errors"].filter(F.col("lot_number") == lot).select("experiment_key").distinct()
+    return {"failure_wafers": metrics.lot_failure(models.points(ctx["facts"]), lot, "pls"), "failure_features": metrics.out_of_lot_z(ctx["features"], keys)}
+
+
+def _spectra(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    """The pilot's lots are those that have spectra, or the configured ones."""
+    spectra = ctx["spectra"].groupBy("experiment_key").agg(F.max("intensity").alias("spectrum"))
+    rows = _rows(ctx)
+    if ctx["config"].get("lots"):
+        rows = models.selected_lots(rows, ctx["config"]["lots"])
+    facts = models.fused_spectra(rows, spectra)
+    e = metrics.wafer_errors(models.points(facts), ["stage", "experiment_key", "lot_number"])
+    flags = validate.with_target_flag(spectra.select("experiment_key"), ctx["dense"])
+    return {"spectral_facts": facts, "spectral_summary": metrics.stage_summary(e, ["mae", "rmse"], ["stage"]), "spectral_targets": flags}
+
+
+def _feedback(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
+    rows = _rows(ctx)
+    s = models.feedback_streams(rows, analyses.causal_wafers(rows), ("ood", "disagreement", "combined", "oracle"), ctx["config"].get("budgets", (0.1, 0.2, 0.3)), ctx["config"].get("replicates", 5))
+    return {"feedback_streams": s, "feedback_gain": models.feedback_gain(s)}
 
 
 def _chronological(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
@@ -102,6 +149,8 @@ def _policies(spark: SparkSession, ctx: dict) -> dict[str, DataFrame]:
 
 
 STEPS = (
+    Step("data_audit", _audit, {}, claim_boundary="what the tables hold, not what they should"),
+    Step("detector_selection", _detectors, {}, claim_boundary="detectors are chosen by cycle counts, not by errors"),
     Step("features", _features, {"detector": "complementary"}),
     Step("cycle_validation", _cycles, {"detector": "complementary"}),
     Step("target_template", _template, {}, claim_boundary="templates see no row of the lot they predict"),
@@ -114,6 +163,10 @@ STEPS = (
     Step("spatial_decomposition", _spatial, {}, gate="QUALIFIED", needs=("process_baseline",)),
     Step("drift_risk", _drift, {}, gate="QUALIFIED", claim_boundary="percentiles are against training wafers", needs=("features",)),
     Step("uncertainty_calibration", _uncertainty, {}, gate="QUALIFIED", claim_boundary="bounds are calibrated on the lot before", needs=("chronological_vm",)),
+    Step("feature_stability", _stability, {}, needs=("features", "process_baseline")),
+    Step("lot_failure", _failure, {}, needs=("features", "process_baseline", "metrics")),
+    Step("spectral_pilot", _spectra, {}, gate="QUALIFIED", claim_boundary="wafers that have spectra only", needs=("features",)),
+    Step("feedback_policies", _feedback, {"budgets": (0.1, 0.3), "replicates": 2}, gate="QUALIFIED", claim_boundary="scores are of earlier lots, feedback changes models only", needs=("features",)),
     Step("selective_metrology", _policies, {}, gate="QUALIFIED", claim_boundary="decisions see earlier lots and wafers only", needs=("features",)),
 )
 

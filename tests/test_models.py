@@ -514,3 +514,19 @@ def test_gates():
     assert pipeline.risk_gate(0.0928, 8) == "FAIL" and pipeline.risk_gate(0.12, 7) == "PASS"
     assert not pipeline.retain_gate(0.04, 4) and pipeline.retain_gate(0.05, 3)
     assert pipeline.policy_gate(2, 2, 0.7, 2, 0.1)[0] == "PASS" and pipeline.policy_gate(2, 1, 0.7, 2, 0.1)[0] == "FAIL"
+
+
+def test_every_step_runs_and_is_reused(spark, tmp_path):
+    from lotwise.plans import cli
+    from tests.conftest import SF
+
+    out = str(tmp_path / "out")
+    some = ["data_audit", "detector_selection", "feature_stability", "lot_failure", "spectral_pilot", "feedback_policies", "feature_ablation"]
+    assert cli.main([*some, "--data", SF, "--output", out]) == 0
+    report = json.loads((tmp_path / "out" / "summary.json").read_text())
+    assert {"features", "process_baseline", "metrics", *some} == set(report) and {x["status"] for x in report.values()} == {"RAN"}
+    for x in report.values():
+        for table in x["tables"].values():
+            assert spark.read.parquet(table).count() > 0, table
+    assert cli.main(["lot_failure", "data_audit", "--data", SF, "--output", out]) == 0
+    assert {x["status"] for x in json.loads((tmp_path / "out" / "summary.json").read_text()).values()} == {"REUSED"}
