@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.stats import safe_divide
 from lotwise.kernels import policies as kernel
 from lotwise.operators import resample
+from lotwise.sources.shared import spread
 
 #: Budgets of the grid, and those that the gate looks at.
 BUDGETS, GATE_BUDGETS = (0.0, 0.1, 0.2, 0.3, 0.5), (0.1, 0.2, 0.3)
@@ -76,7 +77,7 @@ def streams(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float]
         return made.assign(drift_error_threshold=limit, drift_onset_wafer_order=pd.array([onset] * len(made), "Int64"), recovery_wafer_count=pd.array([recovery] * len(made), "Int64"))
 
     policies = list(policies)
-    rows = own.groupBy("lot", "part").applyInPandas(run, STREAMS)
+    rows = spread(own, "lot", "part").groupBy("lot", "part").applyInPandas(run, STREAMS)
     return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("unmeasured_wafer_mae", "drift_error_threshold")})
 
 

@@ -13,7 +13,7 @@ from lotwise.functions.stats import l2_distance, safe_divide, spearman
 from lotwise.kernels import policies as kernel
 from lotwise.operators import scan
 from lotwise.operators.resample import rankings
-from lotwise.sources.shared import written
+from lotwise.sources.shared import spread, written
 
 
 def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, by: Sequence[str] = (), out: str = "percentile") -> DataFrame:
@@ -191,7 +191,8 @@ def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str =
         chunks = queries.groupBy("f", "b").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
         q = queries.join(chunks, ["f", "b"]).withColumn("c", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
         t = training.join(chunks, ["f", "b"]).select("f", "k", "x", "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
-        return q.groupBy("f", "b", "c").cogroup(t.groupBy("f", "b", "c")).applyInPandas(looked, found_kinds)
+        by = ("f", "b", "c")
+        return spread(q, *by).groupBy(*by).cogroup(spread(t, *by).groupBy(*by)).applyInPandas(looked, found_kinds)
 
     one = written(found(rows.select("f", "k", "x").mapInPandas(lambda batches: asked(batches, True), kinds + ", b long")), "first-rings")
     more = found(one.select("f", "k", "x", "d").mapInPandas(lambda batches: asked(batches, False), kinds + ", b long"))
@@ -308,7 +309,7 @@ def random_areas(wafers: DataFrame, replicates: int = 10_000, seed: int = 202607
 
     own = wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(error).cast("double").alias("e"))
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PART) - 1))))
-    return own.groupBy("lot_number", "part").applyInPandas(run, "lot_number int, replicate long, aurc double, retained array<double>")
+    return spread(own, "lot_number", "part").groupBy("lot_number", "part").applyInPandas(run, "lot_number int, replicate long, aurc double, retained array<double>")
 
 
 def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260721, budgets: Sequence[float] = (), error: str = "error", order: str = "wafer_order", key: str = "experiment_key") -> DataFrame:

@@ -16,7 +16,7 @@ from lotwise.kernels import evaluate
 from lotwise.kernels import policies as kernel
 from lotwise.operators import conformal, metrics, replay, resample, risk, template, validate
 from lotwise.plans import models
-from lotwise.sources.shared import written
+from lotwise.sources.shared import spread, written
 
 SCORES = ("initial_state", "wafer_delta", "ewma_distance", "ood_distance", "model_disagreement")
 
@@ -89,7 +89,7 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
     params = {f: tuple(parameters[f]) for f in ("pls", "ridge")}
     rows = written(rows.withColumn("ablation", F.lit("all")), "risk-rows")
     moments = written(models.lot_moments(rows), "moments")
-    each = rows.groupBy("ablation", "lot_number")
+    each = spread(rows, "ablation", "lot_number").groupBy("ablation", "lot_number")
     best = models._chosen(each, models.fold_rows(moments, list(params), forward, least_lots), params, evaluate.SHARE, evaluate.MOST)
 
     def fit(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lotwise.kernels import evaluate, gaussian, linear
 from lotwise.kernels import policies as kernel
 from lotwise.operators.features import FEATURE_GROUPS, family_of, feature_group, feature_vectors, group_of, sensor_family
-from lotwise.sources.shared import written
+from lotwise.sources.shared import spread, written
 
 #: Default candidates of each family.
 PARAMETERS: dict[str, tuple] = {"ridge": (0.1, 1.0, 10.0, 100.0, 1000.0), "pls": (1, 2, 4), "gpr": (gaussian.Settings(4, 1.0, 0.1), gaussian.Settings(4, 3.0, 0.1), gaussian.Settings(8, 3.0, 0.3))}
@@ -144,7 +144,8 @@ def _chosen(each, folds: DataFrame, params: Mapping[str, Sequence], share: float
                     out += [(name, subset, held, family, residual, i, evaluate.label(params[family][i]), e) for i, e in enumerate(found)]
         return pd.DataFrame(out, columns=_names(INNER))
 
-    scores = each.cogroup(folds.groupBy(*_BY).applyInPandas(inner, FITTED).groupBy("ablation", "at_lot")).applyInPandas(scored, INNER)
+    fitted = spread(folds, *_BY).groupBy(*_BY).applyInPandas(inner, FITTED)
+    scores = each.cogroup(spread(fitted, "ablation", "at_lot").groupBy("ablation", "at_lot")).applyInPandas(scored, INNER)
     scores = scores.groupBy(*_BY, "residual", "place", "label").agg(F.avg("error").alias("error"))
     best = scores.groupBy(*_BY, "residual").agg(F.min(F.struct("error", "label", "place")).alias("b"))
     at = lambda r: F.max(F.when(F.col("residual") == r, F.col("b")))
@@ -159,7 +160,7 @@ def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool
     """
     moments = written(lot_moments(rows, subsets), "moments")
     folds = fold_rows(moments, list(params), forward, least)
-    each = rows.select("ablation", "experiment_key", "lot_number", "x", "map").groupBy("ablation", "lot_number")
+    each = spread(rows.select("ablation", "experiment_key", "lot_number", "x", "map"), "ablation", "lot_number").groupBy("ablation", "lot_number")
     best = _chosen(each, folds, params, share, most)
 
     def final(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
@@ -183,8 +184,8 @@ def _linear_folds(rows: DataFrame, params: Mapping[str, Sequence], forward: bool
                     out += [(f.held_out_lot, f.family, name, k, int(n), stage, p[i], maps[i], None, f.facts, f.importance, f.coefficient_sign) for i, (k, n) in enumerate(zip(g["experiment_key"], g["lot_number"]))]
         return pd.DataFrame(out, columns=_names(FACTS))
 
-    models = folds.groupBy(*_BY).cogroup(best.groupBy(*_BY)).applyInPandas(final, FINAL)
-    return each.cogroup(models.groupBy("ablation", "at_lot")).applyInPandas(predicted, FACTS)
+    models = spread(folds, *_BY).groupBy(*_BY).cogroup(spread(best, *_BY).groupBy(*_BY)).applyInPandas(final, FINAL)
+    return each.cogroup(spread(models, "ablation", "at_lot").groupBy("ablation", "at_lot")).applyInPandas(predicted, FACTS)
 
 
 def evaluate_folds(rows: DataFrame, families: Sequence[str] = ("ridge", "pls"), parameters: Mapping[str, Sequence] = PARAMETERS, forward: bool = False, least_lots: int = 3, variance: float = 0.90, most: int = 8, ablation: str = "ablation", subsets: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
@@ -402,7 +403,7 @@ def causal_models(rows: DataFrame, parameters: Sequence = PARAMETERS["pls"], lea
     params = {"pls": tuple(parameters)}
     rows = written(rows.withColumn("ablation", F.lit("all")), "causal-rows")
     folds = fold_rows(written(lot_moments(rows), "moments"), ["pls"], True, least_lots)
-    each = rows.groupBy("ablation", "lot_number")
+    each = spread(rows, "ablation", "lot_number").groupBy("ablation", "lot_number")
     best = written(_chosen(each, folds, params, evaluate.SHARE, evaluate.MOST), "chosen")
 
     def parts(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame):
@@ -460,7 +461,8 @@ def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[s
                 out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(g["experiment_key"], measured, true, errors))]
         return pd.DataFrame(out, columns=_names(REPLAY))
 
-    return own.groupBy("test_lot", "feedback").cogroup(models.groupBy("test_lot", "feedback")).applyInPandas(run, REPLAY)
+    by = ("test_lot", "feedback")
+    return spread(own, *by).groupBy(*by).cogroup(spread(models, *by).groupBy(*by)).applyInPandas(run, REPLAY)
 
 
 FEEDBACK_STREAMS = "lot_number int, policy string, budget double, replicate long, feedback string, updates int, " + ", ".join(f"{c} {'long' if c == 'measured_wafers' else 'double'}" for c in kernel.METRICS)
@@ -502,7 +504,8 @@ def feedback_streams(rows: DataFrame, wafers: DataFrame, policies: Sequence[str]
                 add("random", r, kernel.quota(np.tile(kernel.keyed_draws(seed, [r], keys)[0] / float(1 << 32), (len(every), 1)), every, 1 - every))
         return pd.DataFrame(out, columns=_names(FEEDBACK_STREAMS))
 
-    streams = own.groupBy("test_lot", "feedback").cogroup(models.groupBy("test_lot", "feedback")).applyInPandas(run, FEEDBACK_STREAMS)
+    by = ("test_lot", "feedback")
+    streams = spread(own, *by).groupBy(*by).cogroup(spread(models, *by).groupBy(*by)).applyInPandas(run, FEEDBACK_STREAMS)
     return streams.withColumn("unmeasured_wafer_mae", F.when(~F.isnan("unmeasured_wafer_mae"), F.col("unmeasured_wafer_mae")))
 
 

@@ -43,3 +43,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     _made.append((spark, at))
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over all cores, for groups whose work is out of proportion to their bytes: adaptive execution, which goes by bytes, would put them into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
