@@ -144,7 +144,10 @@ def _searched(vocabulary: DataFrame, mirrored: bool, parts: int, pairs: bool) ->
             best[i] = (count + 1, *min((x, y), (-n[j], turned(words[j]))))
         return pd.DataFrame([(turned(p), *((c := best[i])[0], -c[1], c[2])) if i in best else (turned(p), 0, None, None) for i, p in enumerate(patterns)], columns=["word", "n_near", "best_n", "best"]).astype({"best_n": "Int64"})
 
-    return asked.groupBy("shard", "chunk").cogroup(held.groupBy("shard", "chunk")).applyInPandas(search, kinds)
+    # A search is long for its bytes: by bytes, adaptive execution would put many into one task.
+    n = max(2 * vocabulary.sparkSession.sparkContext.defaultParallelism, parts)
+    by = ("shard", "chunk")
+    return asked.repartition(n, *by).groupBy(*by).cogroup(held.repartition(n, *by).groupBy(*by)).applyInPandas(search, kinds)
 
 
 def _parts(vocabulary: DataFrame) -> int:
