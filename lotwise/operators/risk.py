@@ -293,8 +293,9 @@ def random_areas(wafers: DataFrame, replicates: int = 10_000, seed: int = 202607
 
     An order is that of draws keyed by (seed, replicate, wafer), so a task makes a range of ``PART`` orders of one lot
     from its array of errors, some hundred thousand places at a time, and gives back areas: wafers meet ranges of
-    replicates, not replicates.
+    replicates, not replicates. Without a column ``key`` a wafer's key is its lot and order.
     """
+    named = F.col(key).cast("string") if key in wafers.columns else F.concat_ws("-", "lot_number", order)
     shares = [float(b) for b in budgets]
 
     def run(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -307,7 +308,7 @@ def random_areas(wafers: DataFrame, replicates: int = 10_000, seed: int = 202607
             out.append(pd.DataFrame({"lot_number": int(group[0]), "replicate": some, "aurc": kernel.areas(ordered), "retained": list(kept)}))
         return pd.concat(out)
 
-    own = wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(error).cast("double").alias("e"))
+    own = wafers.select(F.col("lot_number").cast("int").alias("lot_number"), F.col(order).alias("o"), named.alias("k"), F.col(error).cast("double").alias("e"))
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // PART) - 1))))
     return spread(own, "lot_number", "part").groupBy("lot_number", "part").applyInPandas(run, "lot_number int, replicate long, aurc double, retained array<double>")
 
