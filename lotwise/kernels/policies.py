@@ -77,6 +77,18 @@ def periodic(n: int, budget: float) -> np.ndarray:
     return out
 
 
+def periodic_risks(errors: np.ndarray, counts: Sequence[int]) -> np.ndarray:
+    """The mean error left after measuring each count (below n) of wafers at even distances.
+
+    Such places are more than one apart, so none repeats: what is left is the lot's sum less the errors at those places.
+    """
+    n, total, out = len(errors), errors.sum(), np.empty(len(counts))
+    for i, c in enumerate(counts):
+        at = np.rint(np.arange(c) * (n - 1) / max(c - 1, 1)).astype(np.int64)
+        out[i] = (total - errors[at].sum()) / (n - c)
+    return out
+
+
 METRICS = ("total_system_mae", "unmeasured_wafer_mae", "measured_fraction", "high_error_capture", "p95_system_error", "cumulative_system_error", "measured_wafers")
 
 

@@ -271,16 +271,24 @@ def aurc(wafers: DataFrame, score: str = "score", error: str = "error", by: Sequ
 def periodic_aurc(wafers: DataFrame, error: str = "error", by: Sequence[str] = ("lot_number",), order: str = "wafer_order") -> DataFrame:
     """The area for even spacing, whose selection is made anew for each count.
 
-    A count below n spreads its places by more than one, so none repeats: what is kept is the lot's sum less the errors
-    at those places, which are looked up, not searched for.
+    A task works on a range of counts of one lot from its array of errors: a 64th of them, 256 at least, so a wafer is
+    sent 64 times at most, however long the lot. A missing error makes its lot's area NULL.
     """
-    g = wafers.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(error).cast("double").alias("e")))), lambda x: x["e"]).alias("_e"))
-    g = g.withColumn("_n", F.size("_e")).withColumn("_all", F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)).withColumn("_count", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    place = lambda i: rint(i * (F.col("_n") - 1) / F.greatest(F.col("_count") - 1, F.lit(1)).cast("double"))
-    taken = F.when(F.col("_count") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("_count") - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + F.get("_e", place(i)))).otherwise(0.0)
-    r = g.select(*by, "_n", "_count", ((F.col("_all") - taken) / (F.col("_n") - F.col("_count"))).alias("_risk"))
-    ends = F.sum(F.when(F.col("_count") == 0, F.col("_risk")).otherwise(0.0)) + F.sum(F.when(F.col("_count") == F.col("_n") - 1, F.col("_risk")).otherwise(0.0))
-    return r.groupBy(*by).agg(F.when(F.first("_n") > 1, (F.sum("_risk") - ends / 2) / (F.first("_n") - 1)).otherwise(F.first("_risk")).alias("aurc"))
+    w = Window.partitionBy(*by)
+    own = wafers.select(*by, F.col(order).alias("o"), F.col(error).cast("double").alias("e")).withColumn("n", F.count("*").over(w))
+    own = own.withColumn("span", F.greatest(F.ceil(F.col("n") / 64), F.lit(256)).cast("long"))
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("span")))))
+
+    def run(group: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        e, n, span = g.sort_values("o", kind="stable")["e"].to_numpy(float), len(g), int(g["span"].iloc[0])
+        counts = np.arange(group[-1] * span, min((group[-1] + 1) * span, n))
+        risk = kernel.periodic_risks(e, counts)
+        weight = np.where((counts == 0) | (counts == n - 1), 0.5, 1.0) / (n - 1) if n > 1 else np.ones(1)
+        return pd.DataFrame({**dict(zip(by, [[x] for x in group[:-1]])), "area": [float((risk * weight).sum())]})
+
+    kinds = ", ".join(f"`{c}` {wafers.schema[c].dataType.simpleString()}" for c in by)
+    parts = spread(own, *by, "part").groupBy(*by, "part").applyInPandas(run, f"{kinds}, area double")
+    return parts.groupBy(*by).agg(F.when(F.count("area") == F.count("*"), F.sum("area")).alias("aurc"))
 
 
 RANDOM = "lot_number int, aurc double, random_p025 double, random_p975 double, budgets array<struct<requested_budget:double,selected_wafers:long,actual_metrology_fraction:double,retained_mae:double>>"

@@ -88,21 +88,44 @@ def debounced(edges: Column, spacing: float | Column) -> Column:
     return F.aggregate(edges, empty, lambda kept, x: F.when((F.size(kept) == 0) | (x - F.try_element_at(kept, F.lit(-1)) > gap), F.concat(kept, F.array(x))).otherwise(kept))
 
 
+def with_kept_edges(df: DataFrame, edge: str, spacing: float, spec: TraceSpec = TraceSpec(), out: str = "kept_edge") -> DataFrame:
+    """Adds whether a rising edge (``edge``: a boolean) stays when those not more than ``spacing`` after the last one kept go.
+
+    An edge further than that from the edge before it always stays, so it starts a burst that is debounced by itself; a
+    row meets the edges of its own burst up to itself, no row those of its trace. A trace whose edges all follow each
+    other within ``spacing`` is one burst: its time, not its memory, then grows with the square of its edges.
+    """
+    mine = [spec.key, "_rises"]
+    d = df.withColumn("_rises", F.coalesce(F.col(edge) & F.col(spec.time).isNotNull(), F.lit(False)))
+    order = Window.partitionBy(*mine).orderBy(spec.time)
+    start = F.col("_rises") & F.coalesce(F.col(spec.time) - F.lag(spec.time).over(order) > spacing, F.lit(True))
+    d = d.withColumn("_start", start.cast("int")).withColumn("_burst", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = Window.partitionBy(*mine, "_burst").orderBy(spec.time).rowsBetween(Window.unboundedPreceding, 0)
+    burst = F.collect_list(F.when(F.col("_rises"), F.col(spec.time).cast("double"))).over(upto)
+    # The last time kept, and whether that is the time looked at now.
+    none = F.struct(F.lit(None).cast("double").alias("last"), F.lit(False).alias("stays"))
+    step = lambda s, x: F.when(s["last"].isNull() | (x - s["last"] > spacing), F.struct(x.alias("last"), F.lit(True).alias("stays"))).otherwise(F.struct(s["last"].alias("last"), F.lit(False).alias("stays")))
+    return d.withColumn("_upto", burst).withColumn(out, F.col("_rises") & F.aggregate("_upto", none, step)["stays"]).drop("_rises", "_start", "_burst", "_upto")
+
+
+def kept_times(spec: TraceSpec = TraceSpec()) -> Column:
+    """The aggregate of a trace's kept edges: an array of times in order."""
+    return F.array_sort(F.collect_list(F.when(F.col("kept_edge"), F.col(spec.time))))
+
+
 def with_cycles(phased: DataFrame, detector: str, spec: TraceSpec = TraceSpec()) -> DataFrame:
-    """Adds edges (array of kept rising-edge times), cycle_count and cycle_index (-1 outside).
+    """Adds kept_edge (a rising edge that is kept starts a cycle here), cycle_count and cycle_index (-1 outside).
 
-    The edges of one trace are one array, a trace being the unit of measurement; windows share the trace's partition.
+    All windows share the trace's partition; a sample holds no array of the trace's edges.
     """
     order, w = Window.partitionBy(spec.key).orderBy(spec.time), Window.partitionBy(spec.key)
     rising = F.col("long_phase") & ~F.lag("long_phase", 1, False).over(order)
-    d = phased.withColumn("_edge", F.when(rising, F.col(spec.time)))
     spacing = 0.5 * spec.expected_period if detector == "period_constrained" else spec.edge_spacing
-    d = d.withColumn("edges", debounced(F.array_sort(F.collect_list("_edge").over(w)), spacing))
-    # Only rising samples are looked up; a sample's cycle is how many kept edges came up to it.
-    kept = F.when(F.col("_edge").isNotNull(), F.array_contains("edges", F.col("_edge")).cast("int")).otherwise(0)
-    upto = Window.partitionBy(spec.key).orderBy(spec.time).rangeBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_kept", kept).withColumn("_at", (F.sum("_kept").over(upto) - 1).cast("int"))
-    return d.withColumns({"cycle_count": F.size("edges"), "cycle_index": F.when(F.col("active") & (F.col("_at") >= 0), F.col("_at")).otherwise(-1)}).drop("_at", "_edge", "_kept")
+    d = with_kept_edges(phased.withColumn("_edge", rising), "_edge", spacing, spec)
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    one = F.col("kept_edge").cast("int")
+    d = d.withColumns({"_at": (F.sum(one).over(upto) - 1).cast("int"), "cycle_count": F.sum(one).over(w).cast("int")})
+    return d.withColumn("cycle_index", F.when(F.col("active") & (F.col("_at") >= 0), F.col("_at")).otherwise(-1)).drop("_at", "_edge")
 
 
 def detect_regions(traces: DataFrame, detector: str = "quantile", spec: TraceSpec = TraceSpec()) -> DataFrame:
@@ -146,7 +169,7 @@ def cycle_diagnostics(traces: DataFrame, detector: str, spec: TraceSpec = TraceS
         F.count_if(both).alias("phase_overlap_samples"), (F.count_if(both) / n).alias("phase_overlap_fraction"),
         F.count_if(none).alias("uncovered_active_samples"), (F.count_if(none) / n).alias("uncovered_active_fraction"),
         F.max("_step").alias("maximum_timestamp_gap_seconds"), F.median("_step").alias("median_timestamp_step_seconds"),
-        F.first("edges").alias("edges"), (F.count_if("_back") == 0).alias("cycle_index_monotonic"),
+        kept_times(spec).alias("edges"), (F.count_if("_back") == 0).alias("cycle_index_monotonic"),
     )
     first, last = F.try_element_at("edges", F.lit(1)), F.try_element_at("edges", F.lit(-1))
     inside = lambda e: e.between(F.col("active_start_seconds"), F.col("active_end_seconds"))

@@ -61,7 +61,7 @@ for _d in segment.DETECTORS:
 
 @query("edge_debounce", sql(cycles("complementary"), f"SELECT experiment_key, CAST(len(edges) AS BIGINT) AS kept, {dr6('edges[1]', 'first_edge')}, {dr6('edges[-1]', 'last_edge')}, {dr6('list_sum(edges)', 'edge_sum')} FROM edges"))
 def edge_debounce(spark, sf):
-    d = segment.detect_regions(tables.traces(spark, sf), "complementary").filter("cycle_count > 0").groupBy("experiment_key").agg(F.first("edges").alias("e"))
+    d = segment.detect_regions(tables.traces(spark, sf), "complementary").filter("cycle_count > 0").groupBy("experiment_key").agg(segment.kept_times(SPEC).alias("e"))
     return d.select("experiment_key", big(F.size("e"), "kept"), r6(F.col("e")[0], "first_edge"), r6(F.element_at("e", -1), "last_edge"), r6(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), "edge_sum"))
 
 
