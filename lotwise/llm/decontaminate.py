@@ -2,10 +2,11 @@
 
 A window of a document as long as an item is fingerprinted over its word shingles, and fingerprints meet the items' in
 multi-index Hamming blocks: of radius + 1 blocks of bits two fingerprints within the radius agree on one, so an equality
-join on (block, value) finds them all. Each pair found is then verified by the exact weighted Jaccard similarity of
-its shingles, weights being occurrences. Windows are built wherever an item can be: similarity s of a window and an
-item of a and b shingles takes s (a + b) / (1 + s) shared ones, so only starts from which a window has as many of the
-item's shingles, at any places, are built, and all of these are.
+join on (block, value) finds them all, for every window among all items of its size. What is joined are places and
+fingerprints; the shingles of the pairs within the radius are fetched afterwards, and each pair is verified by their
+exact weighted Jaccard similarity, weights being occurrences. Windows are built wherever an item can be: similarity s
+of a window and an item of a and b shingles takes s (a + b) / (1 + s) shared ones, so only starts from which a window
+has as many of some item's shingles, at any places, are built, and all of these are.
 """
 
 from __future__ import annotations
@@ -116,25 +117,30 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
         return F.when(last - first < F.col("size"), some).otherwise(F.array().cast("array<int>"))
 
     starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), starts_at)))
-    hits = written(hits.select("uid", "item", "n", "k", "size", starts.alias("starts")).filter(F.size("starts") > 0), "windows")
-    per_doc = hits.groupBy("uid").agg(F.collect_list(F.struct("item", "n", "k", "size", "starts")).alias("wanted"))
+    # A start that several items of a size ask for is one window.
+    hits = hits.select("uid", "n", "k", "size", starts.alias("starts")).filter(F.size("starts") > 0)
+    hits = written(hits.groupBy("uid", "n", "k", "size").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "windows")
+    per_doc = hits.groupBy("uid").agg(F.collect_list(F.struct("n", "k", "size", "starts")).alias("wanted"))
 
     near = base.join(sent(per_doc, small_rows), "uid")
     near = near.select("doc", "uid", words_of(F.col("t")).alias("w"), F.explode_outer("wanted").alias("x")).select("doc", "uid", "w", "x.*")
     near = near.withColumn("s", per_size(lambda k: shingles_of(F.col("w"), k))).drop("w")
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("starts") - 1) / CHUNK).cast("int")), lambda c: F.slice("starts", c * CHUNK + 1, CHUNK))
-    near = near.select("doc", "uid", "item", "n", "k", "size", "s", F.explode_outer(chunks).alias("chunk"))
+    near = near.select("doc", "uid", "n", "k", "size", "s", F.explode_outer(chunks).alias("chunk"))
     cut = F.transform("chunk", lambda x: F.struct(x.alias("start"), F.slice("s", x + 1, F.col("size")).alias("a")))
-    near = near.select("doc", "uid", "item", "n", "k", F.explode_outer(cut).alias("x")).select("doc", "uid", "item", "n", "k", "x.*")
+    near = near.select("doc", "uid", "n", "k", F.explode_outer(cut).alias("x")).select("doc", "uid", "n", "k", "x.*")
     near = written(near.withColumn("window_fp", simhash(F.col("a"))), "fingerprints")
 
-    blocks = radius + 1
-    left = near.select("*", _blocks(F.col("window_fp"), blocks).alias("b")).select("*", "b.block", "b.value").drop("b")
-    right = it.select("item", "n", "k", F.col("s").alias("b"), "fp", _blocks(F.col("fp"), blocks).alias("x")).select("*", "x.block", "x.value").drop("x")
-    pairs = left.join(sent(right, small_rows), (left["item"].eqNullSafe(right["item"])) & (left["n"] == right["n"]) & (left["k"] == right["k"]) & (left["block"] == right["block"]) & (left["value"] == right["value"]))
-    pairs = pairs.select("doc", "uid", left["item"], left["n"], "start", "a", "b", "window_fp", "fp", left["block"])
+    blocks, window = radius + 1, ["uid", "n", "k", "start"]
+    left = near.select(*window, "window_fp").distinct().select("*", _blocks(F.col("window_fp"), blocks).alias("b")).select(*window, "window_fp", "b.*")
+    right = it.select("item", "n", "k", "fp").distinct().select("*", _blocks(F.col("fp"), blocks).alias("b")).select("item", "n", "k", "fp", "b.*")
+    pairs = left.join(sent(right, small_rows), ["n", "k", "block", "value"])
     pairs = pairs.filter(_first_shared(F.col("window_fp"), F.col("fp"), blocks) == F.col("block"))
     pairs = pairs.withColumn("distance", F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp")))).filter(F.col("distance") <= radius)
+    pairs = written(pairs.select(*window, "item", "fp", "distance"), "within-radius")
+    whole = it.select(F.col("item").alias("_item"), F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("fp").alias("_fp"), F.col("s").alias("b"))
+    pairs = near.drop("window_fp").join(sent(pairs, small_rows), window)
+    pairs = pairs.join(sent(whole, small_rows), F.col("item").eqNullSafe(F.col("_item")) & (F.col("n") == F.col("_n")) & (F.col("k") == F.col("_k")) & (F.col("fp") == F.col("_fp")))
     pairs = pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n", "distance")).alias("best")
     out = pairs.groupBy("uid", "doc", "item").agg(best)
