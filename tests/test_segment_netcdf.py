@@ -1,14 +1,18 @@
 """Debouncing against a loop, areas of long lots against the definition, and the NetCDF sources on files of a stand-in library."""
 
 import json
+import math
+import os
 import pickle
 import sys
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.functions import stats
 from lotwise.operators import risk, segment
 from lotwise.sources import netcdf
 
@@ -51,6 +55,33 @@ def test_a_trace_shares_one_shuffle_and_no_row_holds_its_edges(spark):
         assert one[0] == one[1] == one[2] + 1 == 100
 
 
+def test_quantiles_round_once_as_sql_does(spark, duck):
+    rng = np.random.default_rng(11)
+    rows = [(f"k{k}", None if i == 3 else float(x)) for k, n in enumerate(rng.integers(1, 90, 200)) for i, x in enumerate(np.round(rng.uniform(0, 300, n), 2))]
+    got = stats.with_quantiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], ["lo", "hi"])
+    assert got.columns == ["k", "v", "lo", "hi"] and got.count() == len(rows)
+    own = got.select("k", "lo", "hi").distinct().toArrow()  # noqa: F841
+    plain = pa.table({"k": [r[0] for r in rows], "v": [r[1] for r in rows]})  # noqa: F841
+    apart = duck.sql("select count(*) from own full join (select k, quantile_cont(v, 0.05) a, quantile_cont(v, 0.95) b from plain group by k) q using (k) where (lo, hi) is distinct from (a, b)").fetchall()
+    assert apart == [(0,)]
+
+
+def test_quantiles_between_equal_neighbours(spark):
+    # 5 % and 95 % of 58 samples lie between equal neighbours, 3 and 91; SQL's own rounding is kept there too.
+    values = [3.0] * 6 + [47.0] * 46 + [91.0] * 6
+    df = spark.createDataFrame([("w", float(i), float(i % 58 != 0), v, v) for i, v in enumerate(values)], "experiment_key string, t double, rf double, gas_long double, gas_short double")
+    got = segment.with_quantiles(df, "gas_long", ["experiment_key"], ["lo", "hi"]).select("lo", "hi").distinct().collect()
+    assert [tuple(r) for r in got] == [(math.fma(3.0, 1 - (57 * 0.05 - 2), 3.0 * (57 * 0.05 - 2)), math.fma(91.0, 1 - (57 * 0.95 - 54), 91.0 * (57 * 0.95 - 54)))]
+
+
+def test_a_policy_is_not_worse_than_itself(spark):
+    # A second run of the areas gives other last bits; here, other values.
+    anew = F.udf(lambda _: os.urandom(4)[0] / 256.0 + 0.001, "double").asNondeterministic()
+    lots = spark.range(40).select((F.col("id") + 1).cast("int").alias("lot_number"), F.lit("random").alias("policy"), anew("id").alias("aurc"))
+    got = risk.policy_influence(lots).select("lots_worse_than_random", "median_policy_minus_random", "relative_reduction_vs_random").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 0.0, 0.0)]
+
+
 def test_periodic_areas_in_parts(spark):
     rng = np.random.default_rng(5)
     lots = {1: rng.random(700), 2: rng.random(1), 3: rng.random(257)}
