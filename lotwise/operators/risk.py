@@ -359,9 +359,13 @@ def score_correlations(scores_long: DataFrame, by: Sequence[str], key: str = "ex
 
 
 def policy_influence(lot_summary: DataFrame, excluded_lot: int = 8, baseline: str = "random") -> DataFrame:
-    """A row for each policy and removed lot ('none' too): macro AURC against the baseline's. The median difference is over all lots, removed or not."""
-    base = lot_summary.filter(F.col("policy") == baseline).select("lot_number", F.col("aurc").alias("_base"))
-    p = lot_summary.join(base, "lot_number")
+    """A row for each policy and removed lot ('none' too): macro AURC against the baseline's. The median difference is over all lots, removed or not.
+
+    A lot's baseline is taken from the same rows, not from a second run of ``lot_summary``, whose sums could differ in their last bits.
+    """
+    own = Window.partitionBy("lot_number")
+    base = F.col("policy") == baseline
+    p = lot_summary.withColumns({"_base": F.max(F.when(base, F.col("aurc"))).over(own), "_has": F.max(base.cast("int")).over(own)}).filter("_has = 1").drop("_has")
     median = p.groupBy("policy").agg(F.median(F.col("aurc") - F.col("_base")).alias("median_policy_minus_random"))
     lots = lot_summary.select(F.col("lot_number").alias("_removed")).distinct()
     removed = lots.select("_removed", F.col("_removed").cast("string").alias("removed_lot")).unionByName(lots.sparkSession.range(1).select(F.lit(None).cast("int").alias("_removed"), F.lit("none").alias("removed_lot")))
