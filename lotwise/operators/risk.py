@@ -101,14 +101,25 @@ BLOCK, PIVOTS = 4096, 64
 MOST_PIVOTS, LEAST_PIVOTS = 200_000, 4
 
 
+#: Cells of a matrix of distances that one task holds.
+NEAREST_CELLS = 1_000_000
+
+
 def _nearest(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
-    """The least distance from each row of q to a row of t of another key, dimension by dimension: exact, and no matrix but one."""
-    x, y = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy())
-    square = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1]):
-        square += (x[:, j, None] - y[None, :, j]) ** 2
-    square[q["k"].to_numpy()[:, None] == t["k"].to_numpy()[None]] = np.inf
-    return np.sqrt(square.min(axis=1))
+    """The least distance from each row of q to a row of t of another key, dimension by dimension: exact, some rows of q at a time."""
+    x, y, out = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy()), np.full(len(q), np.inf)
+    place = dict(zip(t["k"], range(len(t))))  # keys are distinct within a fold
+    own = np.array([place.get(k, -1) for k in q["k"]])
+    step = max(1, NEAREST_CELLS // len(t))
+    for at in range(0, len(q), step):
+        some = slice(at, at + step)
+        square = np.zeros((len(x[some]), len(y)))
+        for j in range(x.shape[1]):
+            square += (x[some, j, None] - y[None, :, j]) ** 2
+        same = np.flatnonzero(own[some] >= 0)
+        square[same, own[some][same]] = np.inf
+        out[some] = np.sqrt(square.min(axis=1))
+    return out
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -179,7 +190,9 @@ def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str =
                     can = low < g["d"].to_numpy()[:, None]
                     can[np.arange(len(g)), best] = False
                     i, j = np.nonzero(can)
-                yield g[["f", "k", "x"]].iloc[i].assign(b=rings[j, 3].astype(np.int64))
+                for at in range(0, len(i), 10_000):  # a row may ask for every ring
+                    some = slice(at, at + 10_000)
+                    yield g[["f", "k", "x"]].iloc[i[some]].assign(b=rings[j[some], 3].astype(np.int64))
 
     found_kinds = kinds.replace(", x array<double>", ", x array<double>, d double, n long")
 
@@ -244,16 +257,30 @@ def policy_curve(wafers: DataFrame, budgets: Sequence[float], score: str = "scor
 
 def periodic_places(n: Column, count: Column) -> Column:
     """The places from 0 of ``count`` wafers spread evenly over n, repeats once."""
-    place = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: rint(i * (n - 1) / F.when(count > 1, count - 1).otherwise(1).cast("double")))
+    place = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: _periodic_place(i, n, count))
     return F.when(count > 0, F.array_distinct(place)).otherwise(F.array().cast("array<int>"))
 
 
+def _periodic_place(i: Column, n: Column, count: Column) -> Column:
+    return rint(i.cast("long") * (n - 1) / F.greatest(count - 1, F.lit(1)).cast("double"))
+
+
+def is_periodic_place(place: Column, n: Column, count: Column) -> Column:
+    """Whether a place is one of ``periodic_places``: such places ascend, so only those numbered about place * (count - 1) / (n - 1) can be it."""
+    near = F.floor(place.cast("long") * (count - 1) / F.greatest(n - 1, F.lit(1)).cast("double"))
+    out = F.lit(False)
+    for step in (-1, 0, 1, 2):
+        out = out | (((near + step).between(0, count - 1)) & (_periodic_place(near + step, n, count) == place))
+    return out
+
+
 def periodic_curve(wafers: DataFrame, budgets: Sequence[float], error: str = "error", by: Sequence[str] = ("lot_number",), order: str = "wafer_order") -> DataFrame:
     """As ``policy_curve``, for wafers at even distances in their order."""
     w = Window.partitionBy(*by)
     r = wafers.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w).cast("int")}).withColumn("requested_budget", F.explode(F.array(*[F.lit(float(x)) for x in budgets])))
-    r = r.withColumn("_at", periodic_places(F.col("_n"), F.least(rint(F.col("requested_budget") * F.col("_n")), F.col("_n") - 1)))
-    return r.groupBy(*by, "requested_budget").agg(F.size(F.first("_at")).cast("long").alias("selected_wafers"), (F.size(F.first("_at")) / F.first("_n")).alias("actual_metrology_fraction"), F.avg(F.when(~F.array_contains("_at", F.col("_i")), F.col(error))).alias("retained_mae"))
+    r = r.withColumn("_at", is_periodic_place(F.col("_i"), F.col("_n"), F.least(rint(F.col("requested_budget") * F.col("_n")), F.col("_n") - 1)))
+    selected = F.count_if("_at")
+    return r.groupBy(*by, "requested_budget").agg(selected.alias("selected_wafers"), (selected / F.first("_n")).alias("actual_metrology_fraction"), F.avg(F.when(~F.col("_at"), F.col(error))).alias("retained_mae"))
 
 
 def aurc(wafers: DataFrame, score: str = "score", error: str = "error", by: Sequence[str] = ("lot_number",), order: str = "wafer_order") -> DataFrame:
@@ -262,7 +289,8 @@ def aurc(wafers: DataFrame, score: str = "score", error: str = "error", by: Sequ
     Coverages are evenly spaced, so the trapezoid is (sum - (first + last) / 2) / (n - 1); a lot of one wafer has its error.
     """
     r = _ranked(wafers, score, by, order)
-    ahead = Window.partitionBy(*by).orderBy("_rn").rowsBetween(0, Window.unboundedFollowing)
+    # From the last rank on: a frame that starts at the current row would be summed anew for each row.
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("_risk", F.avg(error).over(ahead))
     ends = F.sum(F.when(F.col("_rn") == 1, F.col("_risk")).otherwise(0.0)) + F.sum(F.when(F.col("_rn") == F.col("_n"), F.col("_risk")).otherwise(0.0))
     return r.groupBy(*by).agg(F.when(F.count("*") > 1, (F.sum("_risk") - ends / 2) / (F.count("*") - 1)).otherwise(F.first("_risk")).alias("aurc"))
@@ -342,15 +370,34 @@ def random_policy(wafers: DataFrame, replicates: int = 10_000, seed: int = 20260
 def every_order(wafers: DataFrame, most: int = 8, error: str = "error", order: str = "wafer_order") -> DataFrame:
     """(lot_number, permutation, aurc): every order of measuring the lots of at most ``most`` wafers; larger lots are left out."""
     w = Window.partitionBy("lot_number")
-    small = wafers.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(order)) - 1}).filter(F.col("_n") <= most)
+    small = wafers.withColumn("_n", F.count("*").over(w)).filter(F.col("_n") <= most)
+    lots = small.groupBy("lot_number").agg(F.array_sort(F.collect_list(F.struct(order, F.col(error).cast("double").alias("e")))).alias("w"))
+    lots = spread(written(lots.select("lot_number", F.size("w").alias("_n"), F.col("w.e").alias("e")), "small-lots"), "lot_number")
     out = None
-    for r in small.select("_n").distinct().collect():  # at most 8 sizes
-        one = small.filter(F.col("_n") == r[0]).join(F.broadcast(rankings(wafers.sparkSession, r[0])), F.col("_i") == F.col("item"))  # n! n rows
-        one = aurc(one.withColumn("_s", -F.col("position")), "_s", error, ["lot_number", "permutation"], order)
+    for n in sorted(r[0] for r in lots.select("_n").distinct().collect()):  # at most 8 sizes; a row a lot and order, n! of each
+        orders = rankings(wafers.sparkSession, n).groupBy("permutation").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("p"))
+        one = lots.filter(F.col("_n") == n).crossJoin(F.broadcast(orders)).select("lot_number", "permutation", _area([F.col("e")[F.col("p")[i]["item"]] for i in range(n)]).alias("aurc"))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else wafers.limit(0).select("lot_number", F.lit(0).alias("permutation"), F.col(error).cast("double").alias("aurc"))
 
 
+def _area(errors: Sequence[Column]) -> Column:
+    """``aurc`` of one lot from its errors in the order of measuring."""
+    def mean(some: Sequence[Column]) -> Column:
+        total, count = F.lit(0.0), F.lit(0)
+        for x in some:
+            total, count = total + F.coalesce(x, F.lit(0.0)), count + x.isNotNull().cast("int")
+        return total / F.when(count > 0, count)
+
+    if len(errors) == 1:
+        return errors[0]
+    risks = [mean(errors[i:]) for i in range(len(errors))]
+    total = F.lit(0.0)
+    for x in risks:
+        total = total + F.coalesce(x, F.lit(0.0))
+    return F.when(risks[0].isNotNull(), (total - (F.coalesce(risks[0], F.lit(0.0)) + F.coalesce(risks[-1], F.lit(0.0))) / 2) / (len(errors) - 1))
+
+
 def score_correlations(scores_long: DataFrame, by: Sequence[str], key: str = "experiment_key") -> DataFrame:
     """(by, score_a, score_b, n, spearman) of every pair of scores(by, key, score, value)."""
     a = scores_long.select(*by, key, F.col("score").alias("score_a"), F.col("value").alias("a"))

@@ -6,8 +6,10 @@ import os
 import pickle
 import sys
 import textwrap
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,39 @@ def test_a_policy_is_not_worse_than_itself(spark):
     assert [tuple(r) for r in got] == [(0, 0.0, 0.0)]
 
 
+def test_even_places_of_long_lots(spark):
+    # 60,000 * 59,999 is beyond 32 bits.
+    for n, budgets in ((1, (0.5,)), (2, (0.1, 0.5, 1.0)), (7, (0.1, 0.3, 0.5, 1.0)), (60_000, (0.1, 0.7))):
+        df = spark.range(n).select(F.lit(1).alias("lot_number"), F.col("id").cast("int").alias("wafer_order"), (F.col("id") % 101).cast("double").alias("error"))
+        got = {r["requested_budget"]: r for r in risk.periodic_curve(df, budgets).collect()}
+        for b in budgets:
+            k = min(int(np.rint(b * n)), n - 1)
+            at = sorted({int(np.rint(i * (n - 1) / max(k - 1, 1))) for i in range(k)})
+            assert got[b]["selected_wafers"] == len(at)
+            assert got[b]["retained_mae"] == pytest.approx(np.delete(np.arange(n) % 101.0, at).mean())
+
+
+def test_the_area_of_a_long_lot_is_one_pass(spark):
+    e = np.random.default_rng(3).random(60_000)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(e)], "lot_number int, wafer_order int, error double").withColumn("score", -F.col("wafer_order"))
+    start = time.monotonic()
+    got = risk.aurc(df).first()["aurc"]
+    assert time.monotonic() - start < 15  # a sum for each row took 3.6e9 additions
+    left = np.cumsum(e[::-1])[::-1] / np.arange(len(e), 0, -1)
+    assert got == pytest.approx(np.trapezoid(left) / (len(e) - 1))
+
+
+def test_distances_are_taken_some_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(9)
+    side = lambda n, at: pd.DataFrame({"k": [f"w{i + at}" for i in range(n)], "x": list(rng.random((n, 3)))})
+    q, t = side(50, 0), side(40, 30)
+    whole = risk._nearest(q, t)
+    monkeypatch.setattr(risk, "NEAREST_CELLS", 90)
+    assert (risk._nearest(q, t) == whole).all()
+    for i, (k, x) in enumerate(zip(q["k"], q["x"])):
+        assert whole[i] == pytest.approx(min(np.linalg.norm(x - y) for k2, y in zip(t["k"], t["x"]) if k2 != k))
+
+
 def test_periodic_areas_in_parts(spark):
     rng = np.random.default_rng(5)
     lots = {1: rng.random(700), 2: rng.random(1), 3: rng.random(257)}
