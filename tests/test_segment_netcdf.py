@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import stats
 from lotwise.operators import risk, segment
+from lotwise.plans import models
 from lotwise.sources import netcdf
 
 SPEC = segment.TraceSpec()
@@ -272,3 +273,28 @@ def test_missing_times_and_codes_are_null(spark, files):
     assert d.filter("t >= 0").count() == 2
     _dump(at / "empty.nc", {"g": {"times": np.zeros(0), "data": np.zeros((0, 2), np.uint16)}}, {})
     assert spark.read.format("wafer_netcdf").load(f"{at}/empty.nc").count() == 0
+
+
+@pytest.mark.parametrize("family", ["ridge", "pls"])
+def test_lots_in_parts_give_the_models_of_whole_lots(spark, monkeypatch, family):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(60, 4))
+    maps = x @ rng.normal(size=(4, 5)) + rng.normal(scale=0.1, size=(60, 5))
+    rows = spark.createDataFrame([(f"w{i:03d}", i % 4 + 1, x[i].tolist(), maps[i].tolist()) for i in range(60)], "experiment_key string, lot_number int, x array<double>, map array<double>")
+
+    def found():
+        facts = models.evaluate_folds(rows, (family,))
+        return {(r["experiment_key"], r["stage"]): (r["predicted"], r["facts"]) for r in facts.collect()}
+
+    whole = found()
+    monkeypatch.setattr(models, "PART", 4)
+    some = found()
+    assert set(some) == set(whole) and len(some) == 60 * 5
+    for k, (p, facts) in whole.items():
+        assert some[k][0] == pytest.approx(p, abs=1e-9)
+        a, b = json.loads(facts), json.loads(some[k][1])
+        assert (a["mean_parameter"], a["residual_parameter"]) == (b["mean_parameter"], b["residual_parameter"])
+        assert a["residual_inner_lot_macro_rmse"] == pytest.approx(b["residual_inner_lot_macro_rmse"])
+    moments = models.lot_moments(rows.withColumn("ablation", F.lit("all")))
+    sizes = models.Parts(rows.withColumn("ablation", F.lit("all")), moments).wafers.groupBy("lot_number", "part").count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 15
