@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.stats import robust_absolute_z, with_quantiles
+from lotwise.sources.shared import spread
 
 DETECTORS = ("quantile", "complementary", "duration_filtered", "period_constrained")
 
@@ -41,7 +42,8 @@ def normalized(x: Column, low: str, high: str) -> Column:
 def with_active(traces: DataFrame, spec: TraceSpec = TraceSpec()) -> DataFrame:
     """Adds active_start, active_end and active: from the first to the last sample over the power threshold, all between included."""
     w = Window.partitionBy(spec.key)
-    d = with_quantiles(traces, spec.power, [spec.key], ["_low", "_high"])  # 5 % and 95 %
+    # Traces over all cores: the sorts of all windows that follow share a task's memory, and adaptive execution would join tasks by their bytes.
+    d = with_quantiles(spread(traces, spec.key), spec.power, [spec.key], ["_low", "_high"])  # 5 % and 95 %
     d = d.withColumn("_hot", F.col(spec.power) > threshold("_low", "_high")).drop("_low", "_high")
     at = F.when(F.col("_hot"), F.col(spec.time))
     d = d.withColumns({"active_start": F.min(at).over(w), "active_end": F.max(at).over(w)}).drop("_hot")
