@@ -466,28 +466,31 @@ def causal_feedback(rows: DataFrame, selection: DataFrame, feedbacks: Sequence[s
     """A row for each wafer, budget and feedback of every test lot that follows at least ``least_lots`` others.
 
     selection: (experiment_key, budget, measured). Models see earlier lots and wafers measured before only; a group
-    holds the wafers of the test lot.
+    replays the test lot for one feedback and budget.
     """
     models, limits = causal_models(rows, parameters, least_lots)
     models = models.join(limits, "test_lot").withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
-    picks = selection.groupBy("experiment_key").agg(F.map_from_entries(F.collect_list(F.struct("budget", "measured"))).alias("picks"))
-    own = rows.join(picks, "experiment_key", "left").select(F.col("lot_number").alias("test_lot"), "experiment_key", "lot_number", "x", "map", "picks").withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
+    picked = selection.groupBy("experiment_key", "budget").agg(F.max("measured").alias("measured"))
+    wafers = rows.select(F.col("lot_number").alias("test_lot"), "experiment_key", "lot_number", "x", "map")
+    # A lot's budgets, each with all of its wafers: those that a selection lacks are not measured.
+    budgets = wafers.select("test_lot", "experiment_key").join(picked, "experiment_key").select("test_lot", F.col("budget").alias("_b")).distinct()
+    named = lambda: budgets.select("test_lot", F.col("_b").alias("budget"))
+    own = wafers.join(F.broadcast(named()), "test_lot").join(picked, ["experiment_key", "budget"], "left").withColumn("measured", F.coalesce("measured", F.lit(False)))
+    own = own.withColumn("feedback", F.explode(F.array(*map(F.lit, feedbacks))))
+    models = models.join(named(), "test_lot")
 
     def run(key: tuple, g: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(g) and len(fitted):
-            lot, feedback = int(key[0]), key[1]
+            lot, feedback, budget = int(key[0]), key[1], float(key[2])
             g, x, targets, _ = _sorted(g)
             model, limit = pickle.loads(fitted["model"].iloc[0]), float(fitted["drift_error_threshold"].iloc[0])
-            true = np.abs(model.predicted(model.start, x) - targets).mean(axis=1)
-            picks = [dict(p) if p is not None else {} for p in g["picks"]]
-            for budget in sorted({b for p in picks for b in p}):
-                measured = np.array([bool(p.get(budget, False)) for p in picks])
-                _, errors, updates = evaluate.replay(model, x, targets, measured, feedback, alpha)
-                out += [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(g["experiment_key"], measured, true, errors))]
+            true, measured = np.abs(model.predicted(model.start, x) - targets).mean(axis=1), g["measured"].to_numpy(bool)
+            _, errors, updates = evaluate.replay(model, x, targets, measured, feedback, alpha)
+            out = [(lot, feedback, budget, k, i + 1, bool(m), float(t), float(e), updates, limit) for i, (k, m, t, e) in enumerate(zip(g["experiment_key"], measured, true, errors))]
         return pd.DataFrame(out, columns=_names(REPLAY))
 
-    by = ("test_lot", "feedback")
+    by = ("test_lot", "feedback", "budget")
     return spread(own, *by).groupBy(*by).cogroup(spread(models, *by).groupBy(*by)).applyInPandas(run, REPLAY)
 
 
