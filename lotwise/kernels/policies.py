@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import md5
 
 import numpy as np
 
 #: Cells of a matrix (streams or orders by wafers) that are worked on at once.
 CELLS = 400_000
+#: Streams of a lot, at least, that step through its wafers together: with fewer for longer lots, time would grow with the square of a lot.
+STREAMS = 64
 
 
 def keyed_draws(seed: int, replicates: Sequence[int], keys: Sequence[str]) -> np.ndarray:
@@ -49,14 +51,21 @@ def quota(scores: np.ndarray, budgets: np.ndarray, thresholds: np.ndarray) -> np
     The quota is rint(budget n), n at most. A wafer is taken if without it the quota could not be met any more, or if
     its score is at the threshold and the share so far stays within the budget, rounded up. All streams step together.
     """
-    streams, n = scores.shape
+    return quota_by_ranges(lambda lo, hi: scores[:, lo:hi], scores.shape[1], budgets, thresholds)
+
+
+def quota_by_ranges(scores: Callable[[int, int], np.ndarray], n: int, budgets: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """``quota`` of n wafers, whose scores ``scores(lo, hi)`` gives for a range of them at a time: of long lots only the decisions are held."""
     total = np.minimum(np.rint(budgets * n), n).astype(np.int64)
-    count, out = np.zeros(streams, np.int64), np.zeros((streams, n), bool)
-    for i in range(n):
-        cap = np.minimum(total, np.ceil(budgets * (i + 1)).astype(np.int64))
-        take = (count < total) & ((count < total - (n - i - 1)) | ((scores[:, i] >= thresholds) & (count < cap)))
-        out[:, i] = take
-        count += take
+    count, out = np.zeros(len(budgets), np.int64), np.zeros((len(budgets), n), bool)
+    step = max(1, CELLS // len(budgets))
+    for lo in range(0, n, step):
+        some = scores(lo, min(lo + step, n))
+        for i in range(lo, min(lo + step, n)):
+            cap = np.minimum(total, np.ceil(budgets * (i + 1)).astype(np.int64))
+            take = (count < total) & ((count < total - (n - i - 1)) | ((some[:, i - lo] >= thresholds) & (count < cap)))
+            out[:, i] = take
+            count += take
     return out
 
 

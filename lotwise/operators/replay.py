@@ -18,8 +18,8 @@ from lotwise.sources.shared import spread
 BUDGETS, GATE_BUDGETS = (0.0, 0.1, 0.2, 0.3, 0.5), (0.1, 0.2, 0.3)
 MEANS = ("total_system_mae", "unmeasured_wafer_mae", "measured_fraction", "high_error_capture", "p95_system_error", "cumulative_system_error", "drift_error_threshold", "drift_onset_wafer_order", "recovery_wafer_count")
 STREAMS = "lot_number int, mode string, policy string, budget double, replicate long, " + ", ".join(f"{c} {'long' if c == 'measured_wafers' else 'double'}" for c in kernel.METRICS) + ", drift_error_threshold double, drift_onset_wafer_order long, recovery_wafer_count long"
-#: Random replicates that one task draws of a lot.
-PART = 1000
+#: Random replicates that one task draws of a lot, at most, and over how many tasks fewer are spread.
+PART, TASKS = 1000, 16
 
 
 def streams(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float] = BUDGETS, replicates: int = 100, seed: int = 20260721, lot: str = "lot_number", order: str = "wafer_order", key: str = "experiment_key", error: str = "true_error") -> DataFrame:
@@ -29,11 +29,12 @@ def streams(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float]
     'direct_substitution' decides wafer by wafer under a quota, the threshold being 1 - budget; 'ranking_only' by the
     ranks of the whole lot. 'no_metrology' and 'periodic' are the same in both; 'random' is drawn anew in each replicate
     and decides directly. A measured wafer has no system error. A task holds one lot's scores and steps through its
-    wafers with all streams side by side; of random replicates it draws a range by their keys.
+    wafers with its streams side by side, 64 or more at once; of random replicates it draws a range by their keys.
     """
     limit = F.col("drift_error_threshold") if "drift_error_threshold" in wafers.columns else F.lit(None)
     own = wafers.select(F.col(lot).cast("int").alias("lot"), F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(error).cast("double").alias("e"), limit.cast("double").alias("limit"), F.array(*[F.col(p).cast("double") for p in policies]).alias("s"))
-    parts = 1 + -(-replicates // PART)
+    each = max(1, min(PART, -(-replicates // TASKS)))
+    parts = 1 + -(-replicates // each)
     own = own.withColumn("part", F.explode(F.sequence(F.lit(-1), F.lit(parts - 2))) if parts > 1 else F.lit(-1))
     every = [float(b) for b in budgets]
 
@@ -43,33 +44,38 @@ def streams(wafers: DataFrame, policies: Sequence[str], budgets: Sequence[float]
         onset, recovery = kernel.drift(e, limit)
         out = []
 
+        fit = max(1, kernel.CELLS // n)  # streams whose numbers are held at once
+
         def add(mode: str, names: Sequence[tuple[str, float, int]], measured: np.ndarray) -> None:
-            m = kernel.stream_metrics(measured, e)
-            out.append(pd.DataFrame({"lot_number": int(key[0]), "mode": mode, "policy": [x[0] for x in names], "budget": [x[1] for x in names], "replicate": [x[2] for x in names], **m}))
+            for at in range(0, len(names), fit):
+                some = names[at : at + fit]
+                m = kernel.stream_metrics(measured[at : at + fit], e)
+                out.append(pd.DataFrame({"lot_number": int(key[0]), "mode": mode, "policy": [x[0] for x in some], "budget": [x[1] for x in some], "replicate": [x[2] for x in some], **m}))
 
         def decided(mode: str, cells: Sequence[tuple[str, float, int]], scores) -> None:
-            """Streams in blocks; ``scores`` gives those of some of them."""
-            step = max(1, kernel.CELLS // n)
+            """Streams in blocks; ``scores`` gives those of some of them for a range of wafers."""
+            online = mode == "direct_substitution"
+            step = max(fit, kernel.STREAMS) if online else fit
             for at in range(0, len(cells), step):
                 some = cells[at : at + step]
                 b = np.array([x[1] for x in some])
-                add(mode, some, kernel.quota(scores(some), b, 1 - b) if mode == "direct_substitution" else kernel.ranked(scores(some), b))
+                add(mode, some, kernel.quota_by_ranges(lambda lo, hi: scores(some, lo, hi), n, b, 1 - b) if online else kernel.ranked(scores(some, 0, n), b))
 
         if key[1] < 0:
             s = np.stack(g["s"].to_numpy()).astype(float).T.reshape(len(policies), n)
             cells = [(p, b, 0) for p in policies for b in every]
             for mode in ("direct_substitution", "ranking_only"):
-                decided(mode, cells, lambda some: np.stack([s[policies.index(x[0])] for x in some]))
+                decided(mode, cells, lambda some, lo, hi: np.stack([s[policies.index(x[0]), lo:hi] for x in some]))
                 for b in every:
                     add(mode, [("no_metrology", b, 0), ("periodic", b, 0)], np.stack([np.zeros(n, bool), kernel.periodic(n, b)]))
         else:
             # A replicate's draws serve all of its budgets.
             keys = g["k"].tolist()
-            cells = [("random", b, r) for r in range(int(key[1]) * PART, min((int(key[1]) + 1) * PART, replicates)) for b in every]
+            cells = [("random", b, r) for r in range(int(key[1]) * each, min((int(key[1]) + 1) * each, replicates)) for b in every]
 
-            def draws(some: Sequence[tuple[str, float, int]]) -> np.ndarray:
+            def draws(some: Sequence[tuple[str, float, int]], lo: int, hi: int) -> np.ndarray:
                 reps = sorted({x[2] for x in some})
-                d = kernel.keyed_draws(seed, reps, keys) / float(1 << 32)
+                d = kernel.keyed_draws(seed, reps, keys[lo:hi]) / float(1 << 32)
                 return d[[x[2] - reps[0] for x in some]]
 
             decided("direct_substitution", cells, draws)

@@ -546,3 +546,21 @@ def test_feedback_refits_what_has_learnt(spark, monkeypatch):
     s = models.feedback_streams(rows, scores, ("combined",), (0.2, 0.5), 12)
     assert s.count() == 2 * 4 * 2 * 15 and s.select("lot_number", "feedback", "policy", "replicate", "budget").distinct().count() == s.count()
     assert "part" in s._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[1].split("\n")[0]
+
+
+def test_quota_by_ranges_and_streams_of_long_lots(spark, monkeypatch):
+    """Decisions don't depend on how many wafers and streams are looked at together, and a long lot doesn't narrow the streams that step together."""
+    from lotwise.kernels import policies as kernel
+    from lotwise.operators import replay as grid
+
+    r = np.random.default_rng(2)
+    scores, b = r.random((6, 50)), np.array([0.0, 0.1, 0.25, 0.5, 0.9, 1.0])
+    want, looked = kernel.quota(scores, b, 1 - b), []
+    monkeypatch.setattr(kernel, "CELLS", 42)
+    assert (kernel.quota(scores, b, 1 - b) == want).all()
+    assert (kernel.quota_by_ranges(lambda lo, hi: looked.append(hi - lo) or scores[:, lo:hi], 50, b, 1 - b) == want).all() and max(looked) == 7
+    df = spark.createDataFrame([(1, i + 1, f"w{i:02d}", float(i % 7), 0.5) for i in range(50)], "lot_number int, wafer_order int, experiment_key string, true_error double, combined double")
+    rows = grid.streams(df, ["combined"], (0.1, 0.5), 40)
+    drawn = rows.filter("policy = 'random'").groupBy("budget").agg(F.count("*").alias("n"), F.countDistinct("replicate").alias("r"), F.avg("measured_fraction").alias("m")).collect()
+    assert {(x["budget"], x["n"], x["r"]) for x in drawn} == {(0.1, 40, 40), (0.5, 40, 40)} and all(x["m"] == pytest.approx(x["budget"]) for x in drawn)
+    assert rows.filter("policy = 'random'").select(F.spark_partition_id()).distinct().count() > 1
