@@ -11,14 +11,16 @@ from lotwise.queries import traces
 from lotwise.queries.policies import selected
 from lotwise.queries.registry import query, r6
 from lotwise.sources import tables
+from lotwise.sources.shared import written
 
 
 NAMES = [f"{s}__{t}" for s in tables.SIGNALS for t in features.STATISTICS]
 
 
 def _rows(spark, sf):
-    f = traces.long_features(spark, sf).filter("value is not null")
-    return f, validate.ordered_maps(tables.dense(spark, sf), f, "stepheight")
+    """Long features and maps. Both are met by checks, by fits and by scores, so they are written: traces are gone through once."""
+    f = written(traces.long_features(spark, sf).filter("value is not null"), "features")
+    return f, validate.ordered_maps(written(tables.dense(spark, sf), "dense"), f, "stepheight")
 
 
 def rows(spark, sf):
