@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.kernels import evaluate, gaussian, linear
 from lotwise.operators import risk
-from lotwise.plans import manifest, models, pipeline
+from lotwise.plans import manifest, models, pipeline, tiles
 from lotwise.streaming import replay
 
 
@@ -194,6 +194,34 @@ def test_folds_of_moments_are_those_of_wafers(spark, forward):
                     assert np.allclose(np.array(r["importance"], float), f.importance, equal_nan=True)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_processes_by_tiles_are_those_of_groups(spark, forward, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(f"2025-01-{lot:02d}_{w:02d}", lot, [lot + w / 4, r.normal(), 1.0, r.normal() + lot], [10 + p + 0.2 * lot + r.normal() for p in range(4)]) for lot in (1, 2, 3, 4) for w in range(9 + lot)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    settings = {"gpr": (gaussian.Settings(2, 1.0, 0.1), gaussian.Settings(3, 3.0, 0.3))}
+
+    def at(group):
+        monkeypatch.setattr(models, "GROUP", group)
+        monkeypatch.setattr(models, "PART", 6)
+        f = models.evaluate_folds(df, ("gpr",), settings, forward=forward).collect()
+        return {(x["held_out_lot"], x["lot_number"], x["stage"], x["experiment_key"]): x for x in f}
+
+    groups = at(1000)
+    monkeypatch.setattr(tiles, "TILE_BYTES", 10_000)  # several batches
+    batches, sizes, each = [], [], tiles._factored
+    monkeypatch.setattr(tiles, "_factored", lambda session, some: (batches.append(len(some)), sizes.extend(n for p in some for *_, n in p.train + p.test), each(session, some)))
+    by_tiles = at(10)
+    assert len(batches) > 2 and max(sizes) < 13  # no tile grows with the fold
+    assert groups.keys() == by_tiles.keys() and len(groups) == sum(5 * (9 + n) for n in ((4,) if forward else (1, 2, 3, 4)))
+    for k, x in groups.items():
+        y = by_tiles[k]
+        assert np.allclose(x["predicted"], y["predicted"], atol=1e-8) and x["observed"] == y["observed"]
+        assert (x["predicted_std"] is None) == (y["predicted_std"] is None) and np.allclose(x["predicted_std"] or 0, y["predicted_std"] or 0, atol=1e-8)
+        a, b = json.loads(x["facts"]), json.loads(y["facts"])
+        assert a.keys() == b.keys() and all(b[n] == pytest.approx(v) for n, v in a.items())
+
+
 def test_facts_unfold(spark):
     f = models.evaluate_folds(spark.createDataFrame(wafers(), SCHEMA), ("pls",)).cache()
     assert f.count() == 15 * 5 and models.points(f).count() == 15 * 5 * 3
