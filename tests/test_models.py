@@ -208,7 +208,7 @@ def test_processes_by_tiles_are_those_of_groups(spark, forward, monkeypatch):
         return {(x["held_out_lot"], x["lot_number"], x["stage"], x["experiment_key"]): x for x in f}
 
     groups = at(1000)
-    monkeypatch.setattr(tiles, "TILE_BYTES", 10_000)  # several batches
+    monkeypatch.setattr(tiles, "TILE_BYTES", 5_000)  # several batches
     batches, sizes, each = [], [], tiles._factored
     monkeypatch.setattr(tiles, "_factored", lambda session, some: (batches.append(len(some)), sizes.extend(n for p in some for *_, n in p.train + p.test), each(session, some)))
     by_tiles = at(10)
