@@ -11,13 +11,16 @@ import time
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise import queries
 from lotwise.functions import stats
 from lotwise.operators import risk, segment
 from lotwise.plans import models
 from lotwise.sources import netcdf
+from tests.conftest import same_rows
 
 SPEC = segment.TraceSpec()
 
@@ -77,6 +80,34 @@ def test_quantiles_between_equal_neighbours(spark):
     assert [tuple(r) for r in got] == [(math.fma(3.0, 1 - (57 * 0.05 - 2), 3.0 * (57 * 0.05 - 2)), math.fma(91.0, 1 - (57 * 0.95 - 54), 91.0 * (57 * 0.95 - 54)))]
 
 
+@pytest.fixture(scope="module")
+def threshold_events(tmp_path_factory):
+    """Events of three wafers with samples that meet a threshold exactly."""
+    import duckdb
+
+    rows = []
+    for user in (19, 11062, 16883):
+        r = np.random.default_rng(user)
+        n = r.integers(20, 60)
+        for at, short, long, power in zip(np.sort(r.integers(0, 2 * 10**12, n)), r.integers(0, 30, n), r.integers(0, 30, n), r.integers(0, 100, n)):
+            rows.append((97 * user + int(short), 1704067200 * 10**6 + int(at), user, float(power), f'{{"k": {long}}}'))
+    event_id, ts, user_id, value, props = zip(*rows)
+    folder = tmp_path_factory.mktemp("events")
+    pq.write_table(pa.table({"event_id": event_id, "ts": pa.array(ts, pa.timestamp("us")), "user_id": user_id, "value": value, "props": props}), folder / "events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", [
+    "cycle_assignment_duration_filtered", "cycle_assignment_period_constrained", "cycle_assignment_quantile", "cycle_diagnostics", "edge_debounce", "feature_pivot",
+    "phase_masks_complementary", "phase_masks_duration_filtered", "phase_masks_period_constrained", "phase_masks_quantile",
+])
+def test_samples_on_a_threshold_fall_as_in_sql(spark, threshold_events, name):
+    folder, con = threshold_events
+    same_rows(queries.QUERIES[name](spark, folder), con.sql(queries.ORACLES[name]))
+
+
 def test_a_policy_is_not_worse_than_itself(spark):
     # A second run of the areas gives other last bits; here, other values.
     anew = F.udf(lambda _: os.urandom(4)[0] / 256.0 + 0.001, "double").asNondeterministic()
