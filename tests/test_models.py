@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise import queries
 from lotwise.kernels import evaluate, gaussian, linear
 from lotwise.operators import risk
 from lotwise.plans import manifest, models, pipeline, tiles
 from lotwise.streaming import replay
+from tests.conftest import SF
 
 
 def test_least_squares_limits():
@@ -222,6 +224,52 @@ def test_processes_by_tiles_are_those_of_groups(spark, forward, monkeypatch):
         assert a.keys() == b.keys() and all(b[n] == pytest.approx(v) for n, v in a.items())
 
 
+def test_an_ascent_ends_where_the_likelihood_is_largest():
+    r = np.random.default_rng(3)
+    for noise in (0.0, 0.5):  # with none its bound is met
+        x = r.normal(size=(80, 3))
+        y = np.sin(x @ r.normal(size=(3, 2))) + noise * r.normal(size=(80, 2))
+        d, y = gaussian._squares(x, x), (y - y.mean(axis=0)) / y.std(axis=0)
+        theta = gaussian._climb(d, y, np.log([1.0, 3.0, 0.05]))
+        low, high = np.log(np.array(gaussian.BOUNDS)).T
+        best = gaussian._likelihood(d, y, theta)
+        assert best > gaussian._likelihood(d, y, np.log([1.0, 3.0, 0.05])) + 1
+        assert all(gaussian._likelihood(d, y, np.clip(theta + step * s * e, low, high)) < best + 1e-3 for e in np.eye(3) for s in (1, -1) for step in (0.01, 0.1))
+        c, length, n = np.exp(theta)
+        k = c * np.exp(-d / (2 * length**2)) + (n + 1e-10) * np.eye(80)
+        want = -0.5 * np.trace(y.T @ np.linalg.solve(k, y)) - np.linalg.slogdet(k)[1] - 80 * np.log(2 * np.pi)
+        assert best == pytest.approx(want)
+
+
+def test_fitted_processes_by_tiles_are_those_of_groups(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(f"2025-01-{lot:02d}_{w:02d}", lot, [lot + w / 4, r.normal(), 1.0, r.normal() + lot], [float(10 + p + 0.2 * lot + np.sin(w) + r.normal()) for p in range(4)]) for lot in (1, 2, 3) for w in range(8 + lot)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    settings = {"gpr": (gaussian.Settings(2, 3.0, 0.05, True),)}
+
+    def at(group):
+        monkeypatch.setattr(models, "GROUP", group)
+        monkeypatch.setattr(models, "PART", 12)
+        f = models.evaluate_folds(df, ("gpr",), settings, forward=True, least_lots=2).collect()
+        return {(x["held_out_lot"], x["stage"], x["experiment_key"]): x for x in f}
+
+    groups, sizes, each = at(1000), [], tiles._factored
+    monkeypatch.setattr(tiles, "_factored", lambda session, some: (sizes.extend(n for p in some for *_, n in p.train + p.test), each(session, some)))
+    by_tiles = at(10)
+    assert sizes and max(sizes) < 13 and groups and groups.keys() == by_tiles.keys()  # no tile grows with the fold
+    for k, x in groups.items():
+        y = by_tiles[k]
+        assert np.allclose(x["predicted"], y["predicted"], atol=1e-4) and np.allclose(x["predicted_std"] or 0, y["predicted_std"] or 0, atol=1e-4)
+
+
+def test_the_forward_query_compares_every_family(spark):
+    got = queries.QUERIES["chronological_vm"](spark, SF).collect()
+    assert {(x["family"], x["scope"]) for x in got} == {(f, s) for f in ("gpr", "pls", "ridge") for s in ("lot", "macro")}
+    of = {f: sorted((x["lot_number"] or 0, x["chronological_mae"]) for x in got if x["family"] == f) for f in ("gpr", "pls", "ridge")}
+    assert len({str(v) for v in of.values()}) == 3
+    assert [s.optimize for s in models.CHRONOLOGICAL["gpr"]] == [True]
+
+
 def test_facts_unfold(spark):
     f = models.evaluate_folds(spark.createDataFrame(wafers(), SCHEMA), ("pls",)).cache()
     assert f.count() == 15 * 5 and models.points(f).count() == 15 * 5 * 3
