@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,7 +15,7 @@ from lotwise.functions.stats import l2_distance, safe_divide, spearman
 from lotwise.kernels import policies as kernel
 from lotwise.operators import scan
 from lotwise.operators.resample import rankings
-from lotwise.sources.shared import spread, written
+from lotwise.sources.shared import new_dir, spread, written
 
 
 def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, by: Sequence[str] = (), out: str = "percentile") -> DataFrame:
@@ -105,23 +107,39 @@ MOST_PIVOTS, LEAST_PIVOTS = 200_000, 4
 NEAREST_CELLS = 1_000_000
 
 
-def _nearest(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
-    """The least distance from each row of q to a row of t of another key, dimension by dimension: exact, some rows of q at a time."""
-    x, y, out = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy()), np.full(len(q), np.inf)
-    place = dict(zip(t["k"], range(len(t))))  # keys are distinct within a fold
-    own = np.array([place.get(k, -1) for k in q["k"]])
-    step = max(1, NEAREST_CELLS // len(t))
-    for at in range(0, len(q), step):
-        some = slice(at, at + step)
-        square = np.zeros((len(x[some]), len(y)))
-        for j in range(x.shape[1]):
-            square += (x[some, j, None] - y[None, :, j]) ** 2
-        same = np.flatnonzero(own[some] >= 0)
-        square[same, own[some][same]] = np.inf
-        out[some] = np.sqrt(square.min(axis=1))
+def _least(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The least distance from each row of x to a row of y other than that at its place in ``own`` (-1: none), some rows at a time.
+
+    Products rule out all rows but those that rounding leaves open; these are compared dimension by dimension, exactly.
+    """
+    out, step = np.full(len(x), np.inf), max(1, NEAREST_CELLS // max(len(y), 1))
+    length = (y**2).sum(axis=1)
+    for at in range(0, len(x) if len(y) else 0, step):
+        some, place = x[at : at + step], own[at : at + step]
+        square = some @ (-2 * y.T)
+        square += length
+        same = np.flatnonzero(place >= 0)
+        square[same, place[same]] = np.inf
+        slack = 1e-12 * (x.shape[1] + 1) * ((some**2).sum(axis=1) + length.max())
+        i, j = np.nonzero(square <= (square.min(axis=1) + slack)[:, None])
+        exact = np.zeros(len(i))
+        for k in range(x.shape[1]):
+            exact += (some[i, k] - y[j, k]) ** 2
+        exact[place[i] == j] = np.inf
+        np.minimum.at(out, i + at, np.sqrt(exact))
     return out
 
 
+def _places(keys, wanted) -> np.ndarray:
+    place = dict(zip(keys, range(len(keys))))  # keys are distinct within a fold
+    return np.array([place.get(k, -1) for k in wanted], int)
+
+
+def _nearest(q: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
+    """The least distance from each row of q to a row of t of another key."""
+    return _least(np.stack(q["x"].to_numpy()).astype(float), np.stack(t["x"].to_numpy()).astype(float), _places(t["k"].tolist(), q["k"]))
+
+
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots."""
     return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * x @ pivots.T, 0))
@@ -137,16 +155,22 @@ def _bounds(distances: np.ndarray, rings: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum(own - rings[:, 2], rings[:, 1] - own) - slack, 0)
 
 
-def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(fold, key, ood_distance, compared): the distance to the nearest training row, and how many rows were looked at for it.
+#: Bounds of a row and a ring that one task holds, and rings that a row looks into one by one before it sweeps over the others.
+BOUND_CELLS, AHEAD = 2_000_000, 3
 
-    Training rows lie in rings about their nearest pivots, of ``block`` rows at most. A row first looks into the ring
-    that can be nearest; what it finds there rules out all rings that the triangle inequality keeps farther away, and
-    only the others are looked into. Pivots are rows of some keys, the same in all folds. They and the rings' bounds,
-    a row for each ``block`` training rows, come to the driver and go to the tasks. Rows are written once.
+
+def with_nearest(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """``vectors`` without x, with ood_distance, the distance to the nearest training row (NULL if there is no other), and compared, how many rows were looked at for it.
+
+    Training rows lie in rings about their nearest pivots, of ``block`` rows at most, each a file of the shared folder.
+    A row first looks into the rings that can be nearest; what it finds there rules out all rings that the triangle
+    inequality keeps farther away, and only the others are looked into. Tasks map the rings that their rows need, so rows
+    are never copied for the rings that they ask: what is written and shuffled grows as the rows do. Pivots are rows of
+    some keys, the same in all folds; they and the rings' bounds, a row for each ``block`` training rows, come to the
+    driver and go to the tasks. ``vectors`` is gone through several times.
     """
     spark = vectors.sparkSession
-    rows = written(vectors.select(F.col(fold).alias("f"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(train).alias("t")), "vectors")
+    rows = vectors.select(F.col(fold).alias("f"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(train).alias("t"))
     kinds = f"f {vectors.schema[fold].dataType.simpleString()}, k {vectors.schema[key].dataType.simpleString()}, x array<double>"
     folds = rows.select("f").distinct().count()
     some = max(LEAST_PIVOTS, min(pivots, MOST_PIVOTS // max(folds, 1)))
@@ -155,6 +179,7 @@ def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str =
     for r in rows.join(F.broadcast(named), "k").select("f", "k", "x").collect():  # ``some`` a fold at most
         at.setdefault(r["f"], []).append((r["k"], r["x"]))
     pivot_of = spark.sparkContext.broadcast({f: np.array([v for _, v in sorted(found, key=lambda p: str(p[0]))], float) for f, found in at.items()})
+    folder = new_dir(spark, "rings")
 
     def own_pivots(f, width: int) -> np.ndarray:
         return pivot_of.value.get(f, np.zeros((1, width)))
@@ -166,51 +191,70 @@ def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str =
                 home = d.argmin(axis=1)
                 yield g[["f", "k", "x"]].assign(home=home, d=d[np.arange(len(g)), home])
 
+    def ring(g: pd.DataFrame) -> pd.DataFrame:
+        name = uuid.uuid4().hex  # a task that is run again names its own
+        np.save(f"{folder}/{name}-x.npy", np.stack(g["x"].to_numpy()).astype(float))
+        with open(f"{folder}/{name}-keys", "wb") as f:
+            pickle.dump(g["k"].tolist(), f)
+        return pd.DataFrame({"f": g["f"].iloc[:1], "home": g["home"].iloc[0], "lo": g["d"].min(), "hi": g["d"].max(), "n": len(g), "name": name})
+
     around = Window.partitionBy("f", "home").orderBy("d", "k")
-    training = rows.filter("t").mapInPandas(placed, kinds + ", home int, d double").withColumn("ring", F.floor((F.row_number().over(around) - 1) / F.lit(block)))
-    training = written(training.select("f", "k", "x", "home", "d", (F.col("home") * F.lit(1 << 32) + F.col("ring")).alias("b")), "rings")
-    bounds: dict = {}
-    for r in training.groupBy("f", "b").agg(F.first("home").alias("home"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
-        bounds.setdefault(r["f"], []).append((r["home"], r["lo"], r["hi"], r["b"]))
-    ring_of = spark.sparkContext.broadcast({f: np.array(sorted(found)) for f, found in bounds.items()})
-
-    def asked(batches, first: bool):
-        """Each row for the ring that can be nearest, or for the others that can be nearer than what it has found."""
+    training = rows.filter("t").mapInPandas(placed, kinds + ", home int, d double").withColumn("b", F.floor((F.row_number().over(around) - 1) / F.lit(block)))
+    told = spread(training, "f", "home", "b").groupBy("f", "home", "b").applyInPandas(ring, kinds.split(", ")[0] + ", home int, lo double, hi double, n long, name string")
+    rings: dict = {}
+    for r in told.collect():  # a row a ring
+        rings.setdefault(r["f"], []).append((r["home"], r["lo"], r["hi"], r["n"], r["name"]))
+    ring_of = spark.sparkContext.broadcast({f: (np.array([r[:3] for r in sorted(found)], float), [r[3:] for r in sorted(found)]) for f, found in rings.items()})
+
+    def searched(f, keys: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, compared = np.full(len(v), np.inf), np.zeros(len(v), np.int64)
+        bounds, files = ring_of.value.get(f, (None, ()))
+        if not files:
+            return best, compared
+        d = _to_pivots(v, own_pivots(f, v.shape[1]))
+        low = _bounds(d, bounds)
+        nearest = np.lexsort((d[:, bounds[:, 0].astype(int)], low), axis=1)
+
+        def look(j: int, i: np.ndarray) -> None:
+            n, name = files[j]
+            with open(f"{folder}/{name}-keys", "rb") as found:
+                own = _places(pickle.load(found), keys[i])
+            best[i] = np.minimum(best[i], _least(v[i], np.load(f"{folder}/{name}-x.npy", mmap_mode="r"), own))
+            compared[i] += n
+
+        done = np.zeros(low.shape, bool)
+        for ahead in range(min(AHEAD, len(files))):
+            at = nearest[:, ahead]
+            can = low[np.arange(len(v)), at] < best
+            for j in np.unique(at[can]):
+                i = np.flatnonzero(can & (at == j))
+                look(j, i)
+                done[i, j] = True
+        for j in np.argsort(low.mean(axis=0)):
+            i = np.flatnonzero((low[:, j] < best) & ~done[:, j])
+            if len(i):
+                look(j, i)
+        return best, compared
+
+    def search(batches):
         for b in batches:
-            for f, g in b.groupby("f", sort=False):
-                rings = ring_of.value.get(f)
-                if rings is None:
-                    continue
-                d = _to_pivots(np.stack(g["x"].to_numpy()).astype(float), own_pivots(f, len(g["x"].iloc[0])))
-                low = _bounds(d, rings)
-                best = np.lexsort((d[:, rings[:, 0].astype(int)], low), axis=1)[:, 0]
-                if first:
-                    i, j = np.arange(len(g)), best
-                else:
-                    can = low < g["d"].to_numpy()[:, None]
-                    can[np.arange(len(g)), best] = False
-                    i, j = np.nonzero(can)
-                for at in range(0, len(i), 10_000):  # a row may ask for every ring
-                    some = slice(at, at + 10_000)
-                    yield g[["f", "k", "x"]].iloc[i[some]].assign(b=rings[j[some], 3].astype(np.int64))
-
-    found_kinds = kinds.replace(", x array<double>", ", x array<double>, d double, n long")
-
-    def looked(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        d = _nearest(q, t) if len(q) and len(t) else np.full(len(q), np.inf)
-        return q[["f", "k", "x"]].assign(d=d, n=len(t))
-
-    def found(queries: DataFrame) -> DataFrame:
-        chunks = queries.groupBy("f", "b").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-        q = queries.join(chunks, ["f", "b"]).withColumn("c", F.pmod(F.xxhash64("k"), "chunks").cast("int"))
-        t = training.join(chunks, ["f", "b"]).select("f", "k", "x", "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
-        by = ("f", "b", "c")
-        return spread(q, *by).groupBy(*by).cogroup(spread(t, *by).groupBy(*by)).applyInPandas(looked, found_kinds)
-
-    one = written(found(rows.select("f", "k", "x").mapInPandas(lambda batches: asked(batches, True), kinds + ", b long")), "first-rings")
-    more = found(one.select("f", "k", "x", "d").mapInPandas(lambda batches: asked(batches, False), kinds + ", b long"))
-    every = one.select("f", "k", "d", "n").unionByName(more.select("f", "k", "d", "n")).groupBy("f", "k").agg(F.min("d").alias("d"), F.sum("n").alias("n"))
-    return every.filter(F.col("d") < F.lit(float("inf"))).select(F.col("f").alias(fold), F.col("k").alias(key), F.col("d").alias("ood_distance"), F.col("n").alias("compared"))
+            distance, compared = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
+            for f, at in b.groupby(fold, sort=False, dropna=False).indices.items():
+                step = max(1, BOUND_CELLS // max(1, len(ring_of.value.get(f, (0, ()))[1])))
+                for lo in range(0, len(at), step):
+                    i = at[lo : lo + step]
+                    distance[i], compared[i] = searched(f, b[key].to_numpy()[i], np.stack(b[x].to_numpy()[i]).astype(float))
+            yield b.drop(columns=[x]).assign(ood_distance=distance, compared=compared)
+
+    own = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in vectors.schema if c.name != x), "ood_distance double, compared long"])
+    found = spread(vectors, fold, key).sortWithinPartitions(fold).mapInPandas(search, own)
+    return found.withColumn("ood_distance", F.when(F.col("ood_distance") < F.lit(float("inf")), F.col("ood_distance")))
+
+
+def nearest_search(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(fold, key, ood_distance, compared) of the rows for which ``with_nearest`` finds one. Rows are written once."""
+    rows = written(vectors.select(fold, key, x, train), "vectors")
+    return with_nearest(rows, fold, train, key, x, block, pivots).filter("ood_distance is not null").select(fold, key, "ood_distance", "compared")
 
 
 def nearest_training_distance(vectors: DataFrame, fold: str = "held_out_lot", train: str = "is_train", key: str = "experiment_key", x: str = "x", block: int = BLOCK) -> DataFrame:

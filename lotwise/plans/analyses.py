@@ -83,13 +83,13 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
     A fold tests one lot and is fitted on others: leave-one-lot-out, or with ``forward`` the earlier ones, of which
     there must be ``least_lots``. With ``inner`` each training lot is tested too, by what is fitted on the others with
     the parameters of its outer fold. Training wafers are predicted by the models that were fitted on them; they serve
-    as the reference of percentiles only. Fits need the lots' moments: transforms and models go to the lots, and no
-    group holds the wafers of more than one. Components are about the training mean, which is the origin.
+    as the reference of percentiles only. Fits need the lots' moments: transforms and models go to the lots, and a
+    group holds the wafers of one, by the fits of one outer fold. Components are about the training mean, which is the origin.
     """
     params = {f: tuple(parameters[f]) for f in ("pls", "ridge")}
     rows = written(rows.withColumn("ablation", F.lit("all")), "risk-rows")
     moments = written(models.lot_moments(rows), "moments")
-    each = spread(rows, "ablation", "lot_number").groupBy("ablation", "lot_number")
+    each = rows.crossJoin(F.broadcast(moments.select(F.col("lot_number").alias("held_out_lot")).distinct()))
     best = models._chosen(models.Parts(rows, moments), models.fold_rows(moments, list(params), forward, least_lots), params, evaluate.SHARE, evaluate.MOST)
 
     def fit(key: tuple, g: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
@@ -116,13 +116,14 @@ def risk_inputs(rows: DataFrame, components: int = 10, parameters=models.PARAMET
                 full = {name: m.stages(x, maps)["full_map"] for name, m in by.items()}
                 apart, error = np.sqrt(((full["pls"] - full["ridge"]) ** 2).mean(axis=1)), np.abs(full["pls"] - maps).mean(axis=1)
                 fold = str(f.held_out_lot) if f.test_lot == f.held_out_lot else f"{f.held_out_lot}/{f.test_lot}"
-                facts = zip(g["experiment_key"], lots, c, *_changes(c, alpha), apart, error)
-                out += [(fold, f.held_out_lot, f.test_lot, k, int(n), int(n) != f.test_lot, *rest) for k, n, *rest in facts]
-        return pd.DataFrame(out, columns=models._names(RISK))
+                initial, delta, run = _changes(c, alpha)
+                out.append(pd.DataFrame({"fold": fold, "held_out_lot": f.held_out_lot, "test_lot": f.test_lot, "experiment_key": g["experiment_key"], "lot_number": lots, "is_train": lots != f.test_lot, "x": list(c), "initial_state": initial, "wafer_delta": delta, "ewma_distance": run, "model_disagreement": apart, "error": error}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=models._names(RISK))
 
     by = ["ablation", "held_out_lot"]
     fitted = models.fold_rows(moments, ["all"], forward, least_lots).groupBy(*by).cogroup(best.groupBy(*by)).applyInPandas(fit, APPLIED)
-    out = each.cogroup(fitted.withColumn("ablation", F.lit("all")).groupBy("ablation", "at_lot")).applyInPandas(apply, RISK)
+    own = spread(fitted, "at_lot", "held_out_lot").groupBy("at_lot", "held_out_lot")
+    out = spread(each, "lot_number", "held_out_lot").groupBy("lot_number", "held_out_lot").cogroup(own).applyInPandas(apply, RISK)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("wafer_delta", "ewma_distance")})
 
 
@@ -130,10 +131,9 @@ def risk_scores(inputs: DataFrame, redundancy: float = 0.90) -> DataFrame:
     """Test wafers of each fold with their five scores, the percentile of each among the training wafers of the fold, and combined_risk.
 
     initial_state is left out of the mean where its rank correlation with the distance to the nearest training wafer is
-    at least ``redundancy``, of either sign, in training.
+    at least ``redundancy``, of either sign, in training. ``inputs`` is met several times, and what is found for it is written.
     """
-    near = risk.nearest_training_distance(inputs, fold="fold")
-    s = inputs.drop("x").join(near, ["fold", "experiment_key"], "left")
+    s = written(risk.with_nearest(inputs, fold="fold").drop("compared"), "risk-near")
     drop = spearman(s.filter("is_train"), "ood_distance", "initial_state", ["fold"]).select("fold", (F.abs(F.coalesce("spearman", F.lit(0.0))) >= redundancy).alias("initial_is_redundant"))
     long = unpivot(s, ["fold", "experiment_key", "is_train"], SCORES, "score")
     p = risk.empirical_percentile(long.filter("not is_train"), long.filter("is_train"), "value", ["fold", "score"])

@@ -1,11 +1,14 @@
 """Exact small values and leakage tests of the operators."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import stats
 from lotwise.operators import asof, conformal, features, metrics, resample, risk, segment, template, validate
+from lotwise.sources.shared import shared_dir
 
 SECONDS = segment.TraceSpec()
 
@@ -295,6 +298,30 @@ def test_rings_rule_out_most_rows(spark, hot):
     assert len(got) == 1800 and sum(x["compared"] for x in got) < (0.15 if hot else 0.1) * 1800 * 720
 
 
+def test_rows_are_not_copied_for_the_rings_that_they_ask(spark):
+    """On rows without clusters every row asks for most rings; what is shuffled and written for them stays a few times the rows."""
+    r = np.random.default_rng(11)
+    rows = [(f, f"w{i}", r.normal(size=8).tolist(), bool(i % 5)) for f in (1, 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "held_out_lot int, experiment_key string, x array<double>, is_train boolean").repartition(4).cache()
+    df.count()
+    shared = shared_dir(spark).removeprefix("file://")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def used() -> int:
+        files = disk.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size())) + sum(os.lstat(f"{d}/{f}").st_size for d, _, names in os.walk(shared) for f in names)
+
+    before = used()
+    got = risk.nearest_search(df, block=64).collect()
+    assert used() - before < 12 * 6000 * 8 * 8  # some 60 times as much when rows were sent to rings
+    assert len(got) == 6000 and sum(x["compared"] for x in got) > 20 * 64 * 6000
+    x, train = np.array([v for f, _, v, _ in rows if f == 1]), np.array([t for f, *_, t in rows if f == 1])
+    for g in (g for g in got if g["held_out_lot"] == 1):
+        i = int(g["experiment_key"][1:])
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert g["ood_distance"] == pytest.approx(d[train & (np.arange(3000) != i)].min(), rel=1e-13)
+
+
 def test_scans_in_blocks_are_the_folds(spark):
     """Blocks of a few rows, several lots, against the fold of a whole array and plain loops."""
     r = np.random.default_rng(12)
