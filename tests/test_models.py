@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lotwise import queries
 from lotwise.kernels import evaluate, gaussian, linear
 from lotwise.operators import risk
-from lotwise.plans import manifest, models, pipeline, tiles
+from lotwise.plans import analyses, manifest, models, pipeline, tiles
+from lotwise.sources.shared import written
 from lotwise.streaming import replay
 from tests.conftest import SF
 
@@ -398,6 +399,12 @@ def test_drift_risk_has_all_policies(spark):
     assert len(w) == 5 and all(sum(x["weights"]) == pytest.approx(1) for x in w)
 
 
+def test_scores_search_for_nearest_rows_once(spark):
+    inputs = written(analyses.risk_inputs(spark.createDataFrame(wafers(), SCHEMA), inner=True), "risk-inputs")
+    plan = analyses.risk_scores(inputs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan  # each use of the distances had searched anew
+
+
 def test_risk_inputs_are_those_of_whole_folds(spark):
     """Moments sent to lots give what a group of all the fold's wafers would."""
     from lotwise.plans import analyses
