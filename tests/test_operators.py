@@ -313,7 +313,7 @@ def test_rows_are_not_copied_for_the_rings_that_they_ask(spark):
 
     before = used()
     got = risk.nearest_search(df, block=64).collect()
-    assert used() - before < 12 * 6000 * 8 * 8  # some 60 times as much when rows were sent to rings
+    assert used() - before < 12 * 6000 * 8 * 8  # 40 times the vectors when rows were sent to rings
     assert len(got) == 6000 and sum(x["compared"] for x in got) > 20 * 64 * 6000
     x, train = np.array([v for f, _, v, _ in rows if f == 1]), np.array([t for f, *_, t in rows if f == 1])
     for g in (g for g in got if g["held_out_lot"] == 1):
